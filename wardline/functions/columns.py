@@ -1,6 +1,6 @@
 """Column expressions: keys, rule matching, derived columns, labels.
 
-Every function takes Column(s) or column names and returns one Column that stays inside generated JVM code.
+Every function takes column names (some also Columns) and returns one Column that stays inside generated JVM code.
 """
 
 from __future__ import annotations
@@ -22,22 +22,33 @@ def as_column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def first_case(cases: Iterable[tuple[Column, object]], default: object = None) -> Column:
-    """CASE WHEN over (condition, value) pairs; the first true condition wins."""
-    chain = None
-    for condition, value in cases:
-        value = value if isinstance(value, Column) else F.lit(value)
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
-    return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
+def sql_text(value) -> str:
+    """A Python constant as SQL."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value}D" if isinstance(value, float) else str(value)
 
 
-def contains_any(text: Column, words: Sequence[str]) -> Column:
-    """True if any word is a substring. Words that contain another word of the list cannot change the answer."""
+def first_case(cases: Iterable[tuple[str, object]], default: str = "NULL") -> Column:
+    """CASE WHEN over (condition, constant) pairs; the first true condition wins.
+
+    Conditions and default are SQL, parsed once: long chains built call by call take longer than the query.
+    """
+    chain = " ".join(f"WHEN {condition} THEN {sql_text(value)}" for condition, value in cases)
+    return F.expr(f"CASE {chain} ELSE {default} END")
+
+
+def contains_any(text: str, words: Sequence[str]) -> str:
+    """SQL: any word is a substring. Words that contain another word of the list cannot change the answer."""
     needed = [w for w in words if not any(o != w and o in w for o in words)]
-    test = text.contains(needed[0])
-    for word in needed[1:]:
-        test = test | text.contains(word)
-    return test
+    return "(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in needed) + ")"
+
+
+def constants(values: Sequence) -> str:
+    """SQL array of constants."""
+    return "array(" + ", ".join(sql_text(v) for v in values) + ")"
 
 
 def clean(value: Column | str) -> Column:
@@ -53,17 +64,15 @@ def is_blank_tag(tag: Column | str) -> Column:
 # --- rule matching ---------------------------------------------------------------------------------------------
 
 
-def rule_number(name_key: Column | str, rules: Sequence[Rule] = ref.QUEUE_RULES) -> Column:
+def rule_number(name_key: str, rules: Sequence[Rule] = ref.QUEUE_RULES) -> Column:
     """Position (from 1) of the first rule that matches the lower-case name, NULL if none does."""
-    key = as_column(name_key)
-    return first_case((contains_any(key, rule.keywords), n) for n, rule in enumerate(rules, 1))
+    return first_case((contains_any(name_key, rule.keywords), n) for n, rule in enumerate(rules, 1))
 
 
-def rule_value(number: Column | str, field: str, rules: Sequence[Rule] = ref.QUEUE_RULES) -> Column:
+def rule_value(number: str, field: str, rules: Sequence[Rule] = ref.QUEUE_RULES) -> Column:
     """One attribute of a rule by its position; NULL positions give the attribute of 'no rule'."""
-    values = F.array(*[F.lit(getattr(rule, field)) for rule in rules])
-    unmatched = F.lit(getattr(ref.UNMATCHED, field))
-    return F.coalesce(F.get(values, as_column(number) - 1), unmatched)
+    values = constants([getattr(rule, field) for rule in rules])
+    return F.expr(f"coalesce(get({values}, {number} - 1), {sql_text(getattr(ref.UNMATCHED, field))})")
 
 
 # --- derived columns of the queue ------------------------------------------------------------------------------
@@ -78,12 +87,14 @@ def domain(schema: Column | str) -> Column:
     return F.initcap(F.translate(as_column(schema), "_", " "))
 
 
-def tag_category(tag: Column | str) -> Column:
-    low = F.lower(as_column(tag))
-    return first_case(
-        [(low.contains("pii"), "PII"), (low.contains("phi"), "PHI"), (low.contains("financial"), "Financial")],
-        "Sensitive",
-    )
+def _by_fragment(column: str, pairs: Sequence[tuple[Sequence[str], str]], default: str, lower: bool = True) -> Column:
+    text = f"lower(`{column}`)" if lower else f"`{column}`"
+    return first_case(((contains_any(text, words), value) for words, value in pairs), default)
+
+
+def tag_category(tag: str) -> Column:
+    pairs = ((("pii",), "PII"), (("phi",), "PHI"), (("financial",), "Financial"))
+    return _by_fragment(tag, pairs, "'Sensitive'")
 
 
 def confidence(text: Column | str, default: float = 0.9) -> Column:
@@ -94,7 +105,7 @@ def confidence(text: Column | str, default: float = 0.9) -> Column:
 
 def prior_priority(score: Column | str) -> Column:
     score = as_column(score)
-    return first_case([(score >= 0.95, "Critical"), (score >= 0.85, "High")], "Medium")
+    return F.when(score >= 0.95, "Critical").when(score >= 0.85, "High").otherwise("Medium")
 
 
 def recommendation(score: Column | str, threshold: float = ref.AUTO_APPROVAL) -> Column:
@@ -126,23 +137,17 @@ def initial_timeline(submitted: Column | str) -> Column:
 # --- derived columns of the catalog view -----------------------------------------------------------------------
 
 
-def _policy(tag: Column, table: Sequence[tuple[Sequence[str], str]]) -> Column:
-    return first_case(((contains_any(tag, words), name) for words, name in table), NONE)
+def masking_policy(tag: str) -> Column:
+    return _by_fragment(tag, ref.MASKING_POLICIES, "'None'", lower=False)
 
 
-def masking_policy(tag: Column | str) -> Column:
-    return _policy(as_column(tag), ref.MASKING_POLICIES)
+def access_policy(tag: str) -> Column:
+    return _by_fragment(tag, ref.ACCESS_POLICIES, "'None'", lower=False)
 
 
-def access_policy(tag: Column | str) -> Column:
-    return _policy(as_column(tag), ref.ACCESS_POLICIES)
-
-
-def search_category(tag: Column | str) -> Column:
+def search_category(tag: str) -> Column:
     """The category the search page shows; it tests 'pci', so financial tags come out as Other."""
-    low = F.lower(F.coalesce(as_column(tag), F.lit("")))
-    return first_case([(low.contains("pii"), "PII"), (low.contains("phi"), "PHI"), (low.contains("pci"), "Financial")],
-                      "Other")
+    return _by_fragment(tag, ((("pii",), "PII"), (("phi",), "PHI"), (("pci",), "Financial")), "'Other'")
 
 
 # --- labels ----------------------------------------------------------------------------------------------------
@@ -150,33 +155,26 @@ def search_category(tag: Column | str) -> Column:
 
 def confidence_band(score: Column | str) -> Column:
     score = as_column(score)
-    return first_case([(score >= 0.90, "high"), (score >= 0.70, "medium")], "low")
+    return F.when(score >= 0.90, "high").when(score >= 0.70, "medium").otherwise("low")
 
 
-def category_label(category: Column | str) -> Column:
-    low = F.lower(as_column(category))
-    return first_case(
-        [
-            (low.contains("pii"), "PII"),
-            (low.contains("phi"), "PHI"),
-            (low.contains("financial") | low.contains("pci"), "Financial"),
-        ],
-        as_column(category),
-    )
+def category_label(category: str) -> Column:
+    pairs = ((("pii",), "PII"), (("phi",), "PHI"), (("financial", "pci"), "Financial"))
+    return _by_fragment(category, pairs, f"`{category}`")
 
 
-def status_label(status: Column | str) -> Column:
-    low = F.lower(as_column(status))
+def status_label(status: str) -> Column:
+    low = f"lower(`{status}`)"
     return first_case(
         [
-            (low.contains("pending"), "Pending Review"),
-            (low.contains("classified") & ~low.contains("un"), "Classified"),
-            (low.contains("approve"), "Approved"),
-            (low.contains("reject"), "Rejected"),
-            (low.contains("escalat"), "Escalated"),
-            (low.contains("unclassified"), "Unclassified"),
+            (f"contains({low}, 'pending')", "Pending Review"),
+            (f"contains({low}, 'classified') AND NOT contains({low}, 'un')", "Classified"),
+            (f"contains({low}, 'approve')", "Approved"),
+            (f"contains({low}, 'reject')", "Rejected"),
+            (f"contains({low}, 'escalat')", "Escalated"),
+            (f"contains({low}, 'unclassified')", "Unclassified"),
         ],
-        as_column(status),
+        f"`{status}`",
     )
 
 
@@ -189,9 +187,9 @@ def dash_if_empty(text: Column | str) -> Column:
     return F.coalesce(F.nullif(as_column(text), F.lit("")), F.lit("—"))
 
 
-def role_of(email: Column | str) -> Column:
-    low = F.lower(as_column(email))
-    return first_case(((low.contains(word), role) for word, role in ref.ROLE_BY_EMAIL), ref.DEFAULT_ROLE)
+def role_of(email: str) -> Column:
+    pairs = [((word,), role) for word, role in ref.ROLE_BY_EMAIL]
+    return _by_fragment(email, pairs, sql_text(ref.DEFAULT_ROLE))
 
 
 def qualified(schema: Column | str, table: Column | str, column: Column | str) -> Column:
@@ -229,7 +227,7 @@ def audit_time(text: Column | str, as_of: Column) -> Column:
 
 
 def literal_map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(part) for pair in pairs.items() for part in pair])
+    return F.expr("map(" + ", ".join(f"{sql_text(k)}, {sql_text(v)}" for k, v in pairs.items()) + ")")
 
 
 def review_deadline_hours(category: Column | str, status: Column | str) -> Column:
@@ -254,13 +252,7 @@ INTENTS = (
 )
 
 
-def question_intent(question: Column | str) -> Column:
-    low = F.lower(as_column(question))
-
-    def met(choices: Sequence[Sequence[str]]) -> Column:
-        test = contains_any(low, choices[0])
-        for choice in choices[1:]:
-            test = test & contains_any(low, choice)
-        return test
-
-    return first_case(((met(choices), intent) for intent, choices in INTENTS), "summary")
+def question_intent(question: str) -> Column:
+    low = f"lower(`{question}`)"
+    cases = ((" AND ".join(contains_any(low, choice) for choice in choices), intent) for intent, choices in INTENTS)
+    return first_case(cases, "'summary'")

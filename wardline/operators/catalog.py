@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
-from wardline.operators.classify import join_prior
+from wardline.operators.classify import join_prior, with_keys
 from wardline.operators.joins import top_per_key
 
 PATH = ["schema_name", "table_name", "column_name"]
@@ -15,11 +15,11 @@ SYSTEM_REVIEWER = "system-agent"
 CLASS_DATE = "2026-07-01"
 
 
-def catalog_tag() -> Column:
-    """Prior tag if usable, else the catalog rules; untagged is the empty text."""
-    number = c.rule_number("c_key", ref.CATALOG_RULES)
-    ruled = F.coalesce(c.rule_value(number, "tag", ref.CATALOG_RULES), F.lit(""))
-    return F.when(c.is_blank_tag("prior_tag"), ruled).otherwise(F.col("prior_tag"))
+def with_catalog_rule(df: DataFrame, name_key: str) -> DataFrame:
+    """Add rule_tag, the catalog rules' tag for a lower-case name; the empty text if no rule matches."""
+    numbered = df.withColumn("rule_number", c.rule_number(name_key, ref.CATALOG_RULES))
+    ruled = F.coalesce(c.rule_value("rule_number", "tag", ref.CATALOG_RULES), F.lit(""))
+    return numbered.withColumn("rule_tag", ruled).drop("rule_number")
 
 
 def catalog_view(inventory: DataFrame, prior: DataFrame, class_date: str = CLASS_DATE, keep=(), **skew) -> DataFrame:
@@ -27,10 +27,10 @@ def catalog_view(inventory: DataFrame, prior: DataFrame, class_date: str = CLASS
     named = inventory.filter(
         (F.length("column_name") > 0) & ~F.col("column_name").startswith("#") & (F.length("data_type") > 0)
     )
-    joined = join_prior(named, prior, **skew)
+    joined = join_prior(with_catalog_rule(with_keys(named), "c_key"), prior, **skew)
     own = F.col("t_key") == ref.RESULTS_TABLE
-    tagged = joined.withColumn("tag", F.when(own, F.lit("")).otherwise(catalog_tag()))
-    return with_policies(tagged, class_date, keep)
+    tag = F.when(own, F.lit("")).when(c.is_blank_tag("prior_tag"), F.col("rule_tag")).otherwise(F.col("prior_tag"))
+    return with_policies(joined.withColumn("tag", tag), class_date, keep)
 
 
 def with_policies(tagged: DataFrame, class_date: str = CLASS_DATE, keep=()) -> DataFrame:
@@ -67,9 +67,9 @@ def column_metadata(catalog: DataFrame, schema: str, table: str, column: str) ->
 
 def filled_tags(catalog: DataFrame) -> DataFrame:
     """Give untagged rows the rule tag of their name, as the explorer does; the status column stays as it is."""
-    number = c.rule_number(F.lower("column_name"), ref.CATALOG_RULES)
-    ruled = F.coalesce(c.rule_value(number, "tag", ref.CATALOG_RULES), F.lit(""))
-    return catalog.withColumn("tag", F.when(c.is_blank_tag("tag"), ruled).otherwise(F.col("tag")))
+    ruled = with_catalog_rule(catalog.withColumn("__key", F.lower("column_name")), "__key")
+    tag = F.when(c.is_blank_tag("tag"), F.col("rule_tag")).otherwise(F.col("tag"))
+    return ruled.withColumn("tag", tag).drop("__key", "rule_tag")
 
 
 def explorer_masks(catalog: DataFrame) -> DataFrame:

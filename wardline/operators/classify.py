@@ -29,10 +29,22 @@ def discoverable(inventory: DataFrame) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
+    """Add rule_number, the first matching rule.
+
+    The long chain of tests is evaluated here once per row, before any join; later steps carry the small number.
+    """
+    keyed = df if "c_key" in df.columns else df.withColumn("c_key", c.clean("column_name"))
+    return keyed.withColumn("rule_number", c.rule_number("c_key", rules))
+
+
+def with_rule_values(df: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
+    return df.withColumns({f"rule_{f}": c.rule_value("rule_number", f, rules) for f in RULE_FIELDS})
+
+
 def classify(df: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
     """Add the six rule outputs. The rules are constants, so this is one projection without join or shuffle."""
-    numbered = df.withColumn("rule_number", c.rule_number(c.clean("column_name"), rules))
-    return numbered.withColumns({f"rule_{f}": c.rule_value("rule_number", f, rules) for f in RULE_FIELDS})
+    return with_rule_values(numbered(df, rules), rules)
 
 
 def rule_table(spark, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
@@ -76,19 +88,20 @@ def latest_prior(prior: DataFrame) -> DataFrame:
 
 def join_prior(inventory: DataFrame, prior: DataFrame, **skew) -> DataFrame:
     """Inventory with its prior result, by normalised table and column name (the schema is not part of the key)."""
-    keyed = with_keys(inventory)
+    keyed = inventory if "t_key" in inventory.columns else with_keys(inventory)
     spread = [name for name in ("schema_name", "table_name", "column_name", "item_key") if name in inventory.columns]
-    return lookup_join(keyed, latest_prior(prior), KEYS, spread, **skew)
+    return lookup_join(keyed, latest_prior(prior), KEYS, spread, sized_by=inventory, **skew)
 
 
-def merged(df: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
+def merged(inventory: DataFrame, prior: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES, **skew) -> DataFrame:
     """A usable prior tag overrides the rules; blank tags fall back to them."""
+    joined = join_prior(numbered(with_keys(inventory), rules), prior, **skew)
     usable = ~c.is_blank_tag("prior_tag")
 
     def pick(prior_value: Column, field: str) -> Column:
         return F.when(F.col("from_prior"), prior_value).otherwise(F.col(f"rule_{field}"))
 
-    flagged = classify(df, rules).withColumn("from_prior", usable)
+    flagged = with_rule_values(joined, rules).withColumn("from_prior", usable)
     return flagged.withColumns(
         {
             "suggested_tag": pick(F.col("prior_tag"), "tag"),
@@ -111,7 +124,7 @@ def review_queue(inventory: DataFrame, prior: DataFrame, submitted: Column, keep
     """The full queue row of every tagged column. ``keep`` names inventory columns to carry along."""
     # Python's str(None or "STRING") rule: a missing type is shown as STRING.
     data_type = F.coalesce(F.nullif(F.col("data_type"), F.lit("")), F.lit("STRING"))
-    rows = tagged_only(merged(join_prior(discoverable(inventory), prior, **skew)))
+    rows = tagged_only(merged(discoverable(inventory), prior, **skew))
     texts = F.array().cast("array<string>")
     return rows.select(
         *keep,

@@ -7,7 +7,7 @@ approval_duration, approval_method.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
@@ -18,27 +18,17 @@ from wardline.operators.queue import pending, selected
 ORDER = ["timestamp", "governance_decision_id"]
 
 
-def permission_table(spark: SparkSession) -> DataFrame:
-    """The role matrix: 36 rows, fixed."""
-    rows = [(role, p, p not in denied) for role, denied in ref.DENIED.items() for p in ref.PERMISSIONS]
-    return spark.createDataFrame(rows, "role string, permission string, allowed boolean")
-
-
-def action_table(spark: SparkSession) -> DataFrame:
-    """The steward actions: 7 rows, fixed."""
-    return spark.createDataFrame(
-        [tuple(a) for a in ref.ACTIONS],
-        "action string, status_after string, decision string, keeps_tag boolean, writes_back boolean",
-    )
-
-
 def with_permission(df: DataFrame, permission: str | Column = "approve_reject") -> DataFrame:
-    """Add role and allowed, from the e-mail address. Unknown roles and permissions are not allowed."""
+    """Add role and allowed, from the e-mail address. Unknown roles and permissions are not allowed.
+
+    The role matrix is a constant inside the expression, so there is no join.
+    """
     wanted = F.lit(permission) if isinstance(permission, str) else permission
+    granted = c.literal_map({f"{role}|{p}": True for role, denied in ref.DENIED.items()
+                             for p in ref.PERMISSIONS if p not in denied})
     asked = df.withColumn("role", c.role_of("user_email")).withColumn("permission", wanted)
-    matrix = F.broadcast(permission_table(df.sparkSession))  # 36 rows
-    joined = asked.join(matrix, ["role", "permission"], "left")
-    return joined.withColumn("allowed", F.coalesce("allowed", F.lit(False)))
+    cell = F.try_element_at(granted, F.concat_ws("|", "role", "permission"))
+    return asked.withColumn("allowed", F.coalesce(cell, F.lit(False)))
 
 
 def accepted(decisions: DataFrame) -> DataFrame:
@@ -51,9 +41,19 @@ def refused(decisions: DataFrame) -> DataFrame:
 
 def resolved(decisions: DataFrame) -> DataFrame:
     """Add what each action means, and the decision id. Actions without effect have no status_after."""
-    actions = F.broadcast(action_table(decisions.sparkSession))  # 7 rows
-    return decisions.join(actions, "action", "left").withColumn(
-        "governance_decision_id", c.decision_id("decision_key", "user_email")
+    known = [a for a in ref.ACTIONS if a.status]
+
+    def meaning(field: str) -> Column:
+        return F.try_element_at(c.literal_map({a.action: getattr(a, field) for a in known}), F.col("action"))
+
+    return decisions.withColumns(
+        {
+            "status_after": meaning("status"),
+            "decision": meaning("decision"),
+            "keeps_tag": F.coalesce(meaning("keeps_tag"), F.lit(False)),
+            "writes_back": F.coalesce(meaning("writes_back"), F.lit(False)),
+            "governance_decision_id": c.decision_id("decision_key", "user_email"),
+        }
     )
 
 
@@ -105,7 +105,8 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") ->
 def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
     """Effective decisions on items that the queue does not hold."""
     known = queue.select(key).distinct()
-    return lookup_join(effective(decisions), known, [key], ["governance_decision_id"], "left_anti", **skew)
+    return lookup_join(effective(decisions), known, [key], ["governance_decision_id"], "left_anti", decisions,
+                       **skew)
 
 
 def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
@@ -123,7 +124,7 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
     )
     known = lookup_join(
         effective(decisions).withColumnRenamed("timestamp", "event_time"), queue.select(key).distinct(), [key],
-        ["governance_decision_id"], "left_semi", **skew,
+        ["governance_decision_id"], "left_semi", decisions, **skew,
     )
     decided = F.concat(F.lit(ref.STAGE_DECISION), F.col("status_after"))
     applied = [F.lit(s) for s in ref.STAGES_APPROVED]
@@ -132,22 +133,21 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
     return listed(start, first).unionByName(listed(known, stages))
 
 
-def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", keep: tuple[str, ...] = (),
-             **skew) -> DataFrame:
+def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
     """One audit row per effective decision on a known item.
 
     previous_tag is the tag in force just before the decision; an approval without a tag of its own confirms it.
     """
-    steps = running_last(effective(decisions), key, ORDER, new_steward_tag(), "__before", "timestamp")
+    steps = running_last(effective(decisions), key, ORDER, new_steward_tag(), "__before", "timestamp",
+                         sized_by=decisions, **({"limit": skew["limit"]} if "limit" in skew else {}))
     items = queue.select(
         key, "schema_name", "table_name", "column_name", F.col("suggested_tag").alias("ai_recommendation"),
         "confidence_score",
     )
-    rows = lookup_join(steps, items, [key], ["governance_decision_id"], "inner", **skew)
+    rows = lookup_join(steps, items, [key], ["governance_decision_id"], "inner", decisions, **skew)
     rows = rows.withColumn("previous_tag", F.coalesce("__before", "ai_recommendation"))
     kept = F.coalesce(new_steward_tag(), F.col("previous_tag"))
     return rows.select(
-        *keep,
         c.audit_id("decision_key").alias("id"),
         "governance_decision_id",
         "timestamp",

@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 MAX_HOT_KEYS = 1024
 HOT_ROWS = 1_000_000
 SALTS = 64
+# Up to this size (as Spark estimates it) a frame fits one task even if all its rows share one key. Spark itself
+# calls a partition skewed only from 256 MB on; the lower figure allows for compression.
+ONE_TASK_BYTES = 64 * 1024 * 1024
+
+
+def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
+    """True if Spark's own size estimate of the frame is proof that no key can be too large for a task.
+
+    Nothing is run for this. Estimates behind joins are far too high, so pass the frame as it was read.
+    """
+    if not hasattr(df, "_jdf"):  # a remote session shows no estimate
+        return False
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1,
@@ -36,13 +49,19 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left",
-                min_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
+                sized_by: DataFrame | None = None, min_rows: int = HOT_ROWS, salts: int = SALTS,
+                limit: int = ONE_TASK_BYTES) -> DataFrame:
     """Equi-join of ``left`` with a side that has at most one row per key.
 
-    Keys that are frequent on the left are split by a hash of ``spread_by`` (columns that tell left rows apart)
-    into ``salts`` parts, and only their rows on the right are repeated. Left rows with a NULL key are spread too.
-    The choice of hot keys affects the speed alone, never the result.
+    If the left side as a whole fits one task, this is a plain join. Otherwise keys that are frequent on the left
+    are split by a hash of ``spread_by`` (columns that tell left rows apart) into ``salts`` parts, and only their
+    rows on the right are repeated. Left rows with a NULL key are spread too. Sizes and the choice of hot keys
+    affect the speed alone, never the result.
+
+    ``sized_by`` is the frame whose size stands for the left side, where that one has joins behind it.
     """
+    if fits_one_task(left if sized_by is None else sized_by, limit):
+        return left.join(right, list(keys), how)
     hot = F.broadcast(hot_keys(left, keys, min_rows).withColumn("__hot", F.lit(True)))
     part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     no_key = F.lit(False)
@@ -59,13 +78,16 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_b
 
 
 def running_last(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str, when: str,
-                 width: str = "hour") -> DataFrame:
+                 width: str = "hour", sized_by: DataFrame | None = None, limit: int = ONE_TASK_BYTES) -> DataFrame:
     """Per row, the last non-NULL ``value`` of the same key strictly before it.
 
-    Works in two levels, so that a key with very many rows is not ordered in one task: inside each
-    (key, time bucket) by a window, and across buckets by a window over one summary row per bucket.
-    ``width`` is the bucket size for ``date_trunc``.
+    One window if the rows fit one task. Otherwise in two levels, so that a key with very many rows is not ordered
+    in one task: inside each (key, time bucket) by a window, and across buckets by a window over one summary row
+    per bucket. ``width`` is the bucket size for ``date_trunc``.
     """
+    if fits_one_task(df if sized_by is None else sized_by, limit):
+        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(before))
     place = F.struct(*order)
     rows = df.withColumn("__bucket", F.date_trunc(width, when).cast("timestamp_ntz")).withColumn("__value", value)
     summary = rows.groupBy(key, "__bucket").agg(

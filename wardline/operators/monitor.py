@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
@@ -42,30 +42,25 @@ def deadline_summary(items: DataFrame, as_of: Column) -> DataFrame:
 # --- concepts --------------------------------------------------------------------------------------------------
 
 
-def concept_table(spark: SparkSession) -> DataFrame:
-    """The known tag-to-concept pairs: 5 rows, fixed."""
-    return spark.createDataFrame(list(ref.CONCEPTS), "suggested_tag string, concept string")
-
-
 def with_concept(items: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
-    """Add the concept of the tag. The built-in pairs are broadcast; a caller's table is left to the planner,
+    """Add the concept of the tag. The built-in pairs are a constant map; a caller's table is left to the planner,
 
     which broadcasts by size, and is first reduced to one concept per tag.
     """
     if concepts is None:
-        known = F.broadcast(concept_table(items.sparkSession))  # 5 rows
-    else:
-        known = concepts.groupBy("suggested_tag").agg(F.min("concept").alias("concept"))
+        concept = F.try_element_at(c.literal_map(dict(ref.CONCEPTS)), F.col("suggested_tag"))
+        return items.withColumn("concept_match", F.coalesce(concept, F.lit("")))
+    known = concepts.groupBy("suggested_tag").agg(F.min("concept").alias("__concept"))
     return items.join(known, "suggested_tag", "left").withColumn(
-        "concept_match", F.coalesce("concept", F.lit(""))
-    ).drop("concept")
+        "concept_match", F.coalesce("__concept", F.lit(""))
+    ).drop("__concept")
 
 
 # --- similar columns -------------------------------------------------------------------------------------------
 
 
 def similar_columns(items: DataFrame, classified: DataFrame, key: str, name: str = "column_name", k: int = 3,
-                    **skew) -> DataFrame:
+                    sized_by: DataFrame | None = None, **skew) -> DataFrame:
     """For each item: classified columns of the same name in other tables.
 
     Gives their number, the most common tag among all of them and the first ``k`` as an array of (path, tag).
@@ -90,8 +85,8 @@ def similar_columns(items: DataFrame, classified: DataFrame, key: str, name: str
     facts = by_name.join(examples, name)
     asked = items.withColumn("__table", table)
     own = per_table.select(name, "__table", F.col("n").alias("n_own"))
-    joined = lookup_join(asked, own, [name, "__table"], [key], **skew)
-    joined = lookup_join(joined, facts, [name], [key], **skew)
+    joined = lookup_join(asked, own, [name, "__table"], [key], sized_by=sized_by, **skew)
+    joined = lookup_join(joined, facts, [name], [key], sized_by=sized_by, **skew)
     others = F.filter(F.coalesce("heads", F.array().cast("array<struct<path:string,tag:string>>")),
                       lambda h: h["path"] != F.col("__table"))
     found = joined.withColumn(

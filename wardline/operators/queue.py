@@ -71,7 +71,7 @@ def display_rows(queue: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def similar_links(queue: DataFrame, **skew) -> DataFrame:
+def similar_links(queue: DataFrame, sized_by: DataFrame | None = None, **skew) -> DataFrame:
     """Each similar column of each item with the queue item behind it; none means it was already reviewed."""
     links = queue.select("id", F.explode("similar_columns_metrics").alias("similar")).select(
         "id", F.col("similar.name").alias("name"), F.col("similar.similarity").alias("similarity")
@@ -80,7 +80,7 @@ def similar_links(queue: DataFrame, **skew) -> DataFrame:
         c.qualified("schema_name", "table_name", "column_name").alias("name"), F.col("id").alias("linked_id")
     )
     targets = top_per_key(paths, ["name"], [F.asc("linked_id")])
-    joined = lookup_join(links, targets, ["name"], ["id"], **skew)
+    joined = lookup_join(links, targets, ["name"], ["id"], sized_by=sized_by, **skew)
     return joined.withColumn("already_reviewed", F.col("linked_id").isNull())
 
 

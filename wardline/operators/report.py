@@ -53,27 +53,53 @@ def counts(items: DataFrame, audit: DataFrame, threshold: float = ref.AUTO_APPRO
     return both.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in both.columns])
 
 
+ITEM_FIGURES = ("pending_count", "approved_items", "auto_classified", "classified_cols", "pii_count", "phi_count",
+                "coverage_pct", "other_count")
+AUDIT_FIGURES = ("total_decisions", "ai_accuracy", "modify_override_pct", "non_approval_pct")
+
+
+def _item_columns(base_classified: int, total_columns: int) -> dict[str, Column]:
+    classified = F.col("approved_items") + base_classified
+    return {
+        "classified_cols": classified,
+        "coverage_pct": classified / F.lit(total_columns) * 100,
+        "other_count": F.lit(total_columns).cast("long") - F.col("pii_count") - F.col("phi_count"),
+    }
+
+
+def _audit_columns() -> dict[str, Column]:
+    approvals = share(F.col("approve_decisions"), F.col("total_decisions"))
+    return {
+        "ai_accuracy": approvals,
+        "modify_override_pct": share(F.col("modify_decisions"), F.col("total_decisions")) * 100,
+        "non_approval_pct": F.when(F.col("total_decisions") > 0, 100 - approvals * 100).otherwise(0.0),
+    }
+
+
+def item_figures(items: DataFrame, threshold: float = ref.AUTO_APPROVAL, base_classified: int = ref.BASE_CLASSIFIED,
+                 total_columns: int = ref.TOTAL_COLUMNS) -> DataFrame:
+    """Figures that need the queue alone."""
+    found = item_counts(items, threshold).withColumns(_item_columns(base_classified, total_columns))
+    return found.select(*ITEM_FIGURES)
+
+
+def audit_figures(audit: DataFrame) -> DataFrame:
+    """Figures that need the log alone."""
+    return audit_counts(audit).withColumns(_audit_columns()).select(*AUDIT_FIGURES)
+
+
 def dashboard(items: DataFrame, audit: DataFrame, threshold: float = ref.AUTO_APPROVAL,
               base_classified: int = ref.BASE_CLASSIFIED, total_columns: int = ref.TOTAL_COLUMNS) -> DataFrame:
-    """The figures of dashboard and report page in one row."""
-    approvals = share(F.col("approve_decisions"), F.col("total_decisions"))
-    classified = F.col("approved_items") + base_classified
-    return counts(items, audit, threshold).select(
-        "pending_count",
-        "approved_items",
-        (F.col("approved_items") + F.col("approve_decisions")).alias("approved_count"),
-        (F.col("rejected_items") + F.col("reject_decisions")).alias("rejected_count"),
-        "auto_classified",
-        classified.alias("classified_cols"),
-        "pii_count",
-        "phi_count",
-        "total_decisions",
-        approvals.alias("ai_accuracy"),
-        (share(F.col("modify_decisions"), F.col("total_decisions")) * 100).alias("modify_override_pct"),
-        F.when(F.col("total_decisions") > 0, 100 - approvals * 100).otherwise(0.0).alias("non_approval_pct"),
-        (classified / F.lit(total_columns) * 100).alias("coverage_pct"),
-        (F.lit(total_columns).cast("long") - F.col("pii_count") - F.col("phi_count")).alias("other_count"),
+    """The figures of dashboard and report page in one row. Approvals and rejections count items and log together."""
+    both = counts(items, audit, threshold).withColumns(
+        {
+            **_item_columns(base_classified, total_columns),
+            **_audit_columns(),
+            "approved_count": F.col("approved_items") + F.col("approve_decisions"),
+            "rejected_count": F.col("rejected_items") + F.col("reject_decisions"),
+        }
     )
+    return both.select(*ITEM_FIGURES, *AUDIT_FIGURES, "approved_count", "rejected_count")
 
 
 def _as_rows(df: DataFrame, label: str, pairs: dict[str, str]) -> DataFrame:
@@ -88,9 +114,7 @@ def status_distribution(items: DataFrame, audit: DataFrame) -> DataFrame:
 
 
 def sensitivity_distribution(items: DataFrame, total_columns: int = ref.TOTAL_COLUMNS) -> DataFrame:
-    found = item_counts(items).withColumn(
-        "other_count", F.lit(total_columns).cast("long") - F.col("pii_count") - F.col("phi_count")
-    )
+    found = item_figures(items, total_columns=total_columns)
     return _as_rows(found, "sensitivity", {"PII": "pii_count", "PHI": "phi_count", "Other": "other_count"})
 
 

@@ -7,12 +7,22 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.functions.columns import constants
 from wardline.operators import catalog, classify, decide
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
     "pages", "benchmark", "labels", "conversations",
 )
+# Schemas of the given tables, so that no job is needed to find them.
+SCHEMA_OF = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "pages": "page_id bigint, url string, html string",
+}
 AS_OF = "2024-02-01 00:00:00"
 KEY = "item_key"
 
@@ -48,9 +58,9 @@ QUESTIONS = (
 )
 
 
-def pick(values, number):
-    """The value at number modulo the list's length."""
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.pmod(number, F.lit(len(values))).cast("int"))
+def pick(values, number: str):
+    """The value at number modulo the list's length; ``number`` is a column name."""
+    return F.expr(f"get({constants(values)}, cast(pmod({number}, {len(values)}) AS int))")
 
 
 class Derived:
@@ -65,18 +75,20 @@ class Derived:
         return f"{self.folder}/{name}.parquet"
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        known = SCHEMA_OF.get(name)
+        reader = self.spark.read.schema(known) if known else self.spark.read
+        return reader.parquet(self.path(name))
 
     @cached_property
     def inventory(self) -> DataFrame:
         key = F.col("o_orderkey")
         return self.table("orders").select(
             key.alias(KEY),
-            pick(SCHEMAS, F.col("o_custkey")).alias("schema_name"),
+            pick(SCHEMAS, "o_custkey").alias("schema_name"),
             F.concat(F.lit("tbl_"), F.col("o_custkey").cast("string")).alias("table_name"),
-            F.concat_ws("_", pick(BASE_NAMES, key), key.cast("string")).alias("column_name"),
-            pick(TYPES, key).alias("data_type"),
-            pick(BASE_NAMES, key).alias("base_name"),
+            F.concat_ws("_", pick(BASE_NAMES, "o_orderkey"), key.cast("string")).alias("column_name"),
+            pick(TYPES, "o_orderkey").alias("data_type"),
+            pick(BASE_NAMES, "o_orderkey").alias("base_name"),
             (F.lit("2024-01-28").cast("timestamp_ntz") + F.make_dt_interval(hours=(key % 96).cast("int")))
             .alias("submitted_time"),
             F.col("o_orderpriority").alias("urgency"),
@@ -105,9 +117,9 @@ class Derived:
         first = urgent.select(
             "table_name",
             "column_name",
-            pick(PRIOR_TAGS, key).alias("class_tag"),
+            pick(PRIOR_TAGS, KEY).alias("class_tag"),
             "data_type",
-            pick(PRIOR_CONFIDENCES, key).alias("confidence"),
+            pick(PRIOR_CONFIDENCES, KEY).alias("confidence"),
             F.lit("['***masked***']").alias("samples"),
         )
         doubled = urgent.filter(F.col("progress") == "F").select(
@@ -139,10 +151,10 @@ class Derived:
             F.concat(F.lit("D-"), event.cast("string")).alias("decision_key"),
             (event - event % 2).alias(KEY),
             F.col("ts").alias("timestamp"),
-            F.concat(pick(roles, F.col("user_id")), F.col("user_id").cast("string"), F.lit("@example.com"))
+            F.concat(pick(roles, "user_id"), F.col("user_id").cast("string"), F.lit("@example.com"))
             .alias("user_email"),
             action.alias("action"),
-            F.when(F.col("event_type") == "click", pick(STEWARD_TAGS, event)).alias("steward_tag"),
+            F.when(F.col("event_type") == "click", pick(STEWARD_TAGS, "event_id")).alias("steward_tag"),
             F.when(event % 4 == 0, "").when(event % 4 == 1, F.lit(None))
             .otherwise(F.concat(F.lit("Checked "), F.col("props"))).alias("comments"),
             F.concat((event % 3).cast("string"), F.lit("m "), (event % 60).cast("string"), F.lit("s"))
@@ -165,7 +177,7 @@ class Derived:
     @cached_property
     def questions(self) -> DataFrame:
         return self.table("events").select(
-            F.col("event_id").alias("question_id"), pick(QUESTIONS, F.col("event_id")).alias("question")
+            F.col("event_id").alias("question_id"), pick(QUESTIONS, "event_id").alias("question")
         )
 
     @cached_property

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline import schemas
@@ -178,7 +178,8 @@ def _(d):
     return cat.current_tags(d.spark.read.schema(schemas.COLUMN_TAG_EVENT).parquet(target))
 
 
-@query("k6_export_audit_csv", f"SELECT {SQL_AUDIT} FROM aud WHERE decision IN ('APPROVE', 'MODIFY')")
+@query("k6_export_audit_csv", f"""
+SELECT * REPLACE (nullif(comments, '') AS comments) FROM (SELECT {SQL_AUDIT} FROM aud WHERE decision IN ('APPROVE', 'MODIFY'))""")
 def _(d):
     target = work_path(d.spark, "audit-csv")
     rows = log.filter_audit(d.audit, decisions=["APPROVE", "MODIFY"])
@@ -359,7 +360,7 @@ def _(d):
 
 @query("f2_tagged_only", "SELECT id, suggested_tag FROM q")
 def _(d):
-    rows = classify.tagged_only(classify.merged(classify.join_prior(d.inventory, d.prior)))
+    rows = classify.tagged_only(classify.merged(d.inventory, d.prior))
     return rows.select(c.item_id("schema_name", "table_name", "column_name").alias("id"), "suggested_tag")
 
 
@@ -415,18 +416,17 @@ def _(d):
 
 
 @query("f10_column_metadata", """
-SELECT schema_name, table_name, column_name, tag, status FROM cat WHERE schema_name = 'clinical' AND table_name = 'tbl_1000'
-  AND column_name = (SELECT min(column_name) FROM cat WHERE schema_name = 'clinical' AND table_name = 'tbl_1000')""")
+SELECT schema_name, table_name, column_name, tag, status FROM cat ORDER BY schema_name, table_name, column_name LIMIT 1""")
 def _(d):
-    first = d.inventory.filter("schema_name = 'clinical' AND table_name = 'tbl_1000'").agg(F.min("column_name"))
-    name = first.first()[0] or ""
-    return cat.column_metadata(d.catalog, "clinical", "tbl_1000", name).select(
-        "schema_name", "table_name", "column_name", "tag", "status")
+    path = ["schema_name", "table_name", "column_name"]
+    schema, table, column = d.inventory.agg(F.min(F.struct(*path)).alias("p")).first().p
+    return cat.column_metadata(d.catalog, schema, table, column).select(*path, "tag", "status")
 
 
-@query("f11_item_by_id", "SELECT id, suggested_tag, status FROM st WHERE id = (SELECT min(id) FROM q)")
+@query("f11_item_by_id", "SELECT id, suggested_tag, status FROM st WHERE id = (SELECT min(id) FROM q WHERE base_name = 'ssn')")
 def _(d):
-    first = d.queue.agg(F.min("id")).first()[0]
+    named = d.inventory.filter("base_name = 'ssn'")
+    first = named.agg(F.min(c.item_id("schema_name", "table_name", "column_name"))).first()[0]
     return queue.by_id(d.state, first).select("id", "suggested_tag", "status")
 
 
@@ -477,7 +477,7 @@ def _(d):
 @query("c3_prior_overrides", """
 SELECT item_key, from_prior, suggested_tag, category, confidence_score, priority, native_classification, ai_explanation FROM merged""")
 def _(d):
-    return classify.merged(classify.join_prior(d.inventory, d.prior)).select(
+    return classify.merged(d.inventory, d.prior).select(
         KEY, "from_prior", "suggested_tag", "category", "confidence_score", "priority", "native_classification",
         "ai_explanation")
 
@@ -508,7 +508,7 @@ SELECT i.item_key, coalesce(nullif(p.prior_tag, ''), '(none)') AS prior_tag FROM
 LEFT JOIN best_prior p ON p.t_key = i.table_name AND p.c_key = i.column_name""")
 def _(d):
     """The same join with every key treated as hot: the result must not change."""
-    joined = classify.join_prior(d.inventory, d.prior, min_rows=1, salts=4)
+    joined = classify.join_prior(d.inventory, d.prior, min_rows=1, salts=4, limit=0)
     return joined.select(KEY, F.coalesce(F.nullif(F.col("prior_tag"), F.lit("")), F.lit("(none)")).alias("prior_tag"))
 
 
@@ -536,7 +536,7 @@ def _(d):
     linked = queue.pending(d.state).withColumn("similar_columns_metrics", F.array(
         F.struct(path.alias("name"), F.lit(97.0).alias("similarity")),
         F.struct(gone.alias("name"), F.lit(90.0).alias("similarity"))))
-    return queue.similar_links(linked)
+    return queue.similar_links(linked, sized_by=d.inventory)
 
 
 @query("j6_permissions", """
@@ -575,9 +575,17 @@ def _(d):
 
 
 def _figure(name: str, columns: str, body: str) -> None:
-    """A query that takes some figures of the dashboard row."""
+    """A query for some figures of the dashboard, from the queue, the log or both, as they need."""
     picked = [part.strip() for part in columns.split(",")]
-    query(name, body)(lambda d: report.dashboard(d.state, d.audit).select(*picked))
+
+    def run(d: Derived) -> DataFrame:
+        if set(picked) <= set(report.ITEM_FIGURES):
+            return report.item_figures(d.state).select(*picked)
+        if set(picked) <= set(report.AUDIT_FIGURES):
+            return report.audit_figures(d.audit).select(*picked)
+        return report.dashboard(d.state, d.audit).select(*picked)
+
+    query(name, body)(run)
 
 
 _figure("a1_pending", "pending_count", "SELECT pending_count FROM dash")
@@ -596,6 +604,16 @@ _figure("a9_non_approval", "non_approval_pct",
 _figure("a10_coverage", "coverage_pct", "SELECT (approved_items + 20) / 150 * 100 AS coverage_pct FROM dash")
 
 
+@query("a_dashboard", """
+SELECT pending_count, approved_items, auto_classified, approved_items + 20 AS classified_cols, pii_count, phi_count,
+  (approved_items + 20) / 150 * 100 AS coverage_pct, 150 - pii_count - phi_count AS other_count, total_decisions,
+  approve_decisions / total_decisions AS ai_accuracy, modify_decisions / total_decisions * 100 AS modify_override_pct,
+  100 - approve_decisions / total_decisions * 100 AS non_approval_pct, approved_items + approve_decisions AS approved_count,
+  rejected_items + reject_decisions AS rejected_count FROM dash""")
+def _(d):
+    return report.dashboard(d.state, d.audit)
+
+
 @query("a11_status_distribution", """
 SELECT 'Pending' AS status, pending_count AS n FROM dash UNION ALL SELECT 'Approved', approved_items + approve_decisions FROM dash
 UNION ALL SELECT 'Rejected', rejected_items + reject_decisions FROM dash""")
@@ -765,13 +783,8 @@ WITH {SQL_GROUPS} SELECT category, tag, CAST(row_number() OVER (PARTITION BY cat
 FROM (SELECT DISTINCT category, tag FROM groups)""")
 def _(d):
     tags = cat.tags_by_group(d.catalog)  # one row per tag and group
-    return tags.withColumn("place", F.row_number().over(classify_order())).select("category", "tag", "place")
-
-
-def classify_order():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("category").orderBy("tag")
+    in_order = Window.partitionBy("category").orderBy("tag")
+    return tags.withColumn("place", F.row_number().over(in_order)).select("category", "tag", "place")
 
 
 @query("u1_log_with_new", f"""
@@ -995,7 +1008,7 @@ SELECT id, suggested_tag, CASE suggested_tag WHEN 'phi:patient_id' THEN 'Patient
   WHEN 'phi:diagnosis' THEN 'ICD Medical Coding Taxonomy' WHEN 'financial:account' THEN 'Patient Billing Account Reference'
   WHEN 'pii:insurance' THEN 'Health Insurance Plan Identifier' ELSE '' END AS concept_match FROM q""")
 def _(d):
-    return monitor.with_concept(d.queue.drop("concept_match")).select("id", "suggested_tag", "concept_match")
+    return monitor.with_concept(d.queue).select("id", "suggested_tag", "concept_match")
 
 
 SQL_SIMILAR = """
@@ -1013,10 +1026,9 @@ found AS (SELECT b.item_key, b.name, b.tbl, CAST(coalesce(t.n_all, 0) - coalesce
 WITH {SQL_SIMILAR}
 SELECT item_key, n_similar, CASE WHEN n_similar > 0 THEN common_tag END AS common_tag FROM found""")
 def _(d):
-    view = cat.catalog_view(d.inventory.drop("column_name").withColumn("column_name", F.concat_ws("_", "base_name", KEY)),
-                            d.prior, keep=(KEY, "base_name"))
+    view = cat.catalog_view(d.inventory, d.prior, keep=(KEY, "base_name"))
     known = view.filter(F.col("status") == "Classified")
-    return monitor.similar_columns(view, known, KEY, "base_name").select(KEY, "n_similar", "common_tag")
+    return monitor.similar_columns(view, known, KEY, "base_name", sized_by=d.inventory).select(KEY, "n_similar", "common_tag")
 
 
 @query("r6_similar_examples", f"""
@@ -1026,7 +1038,7 @@ QUALIFY row_number() OVER (PARTITION BY f.item_key ORDER BY h.tbl) <= 3""")
 def _(d):
     view = cat.catalog_view(d.inventory, d.prior, keep=(KEY, "base_name"))
     known = view.filter(F.col("status") == "Classified")
-    found = monitor.similar_columns(view, known, KEY, "base_name")
+    found = monitor.similar_columns(view, known, KEY, "base_name", sized_by=d.inventory)
     return found.select(KEY, F.explode("similar").alias("other")).select(KEY, "other.path", "other.tag")
 
 
@@ -1035,7 +1047,7 @@ WITH w AS (SELECT item_key, rule_confidence AS c, 0.5::DOUBLE AS w FROM classifi
   UNION ALL SELECT item_key, prior_conf, 0.3::DOUBLE FROM classified WHERE from_prior)
 SELECT item_key, round(sum(w * c) / sum(w), 6) AS composite_confidence, count(*) AS n_workers FROM w GROUP BY ALL""")
 def _(d):
-    joined = classify.classify(classify.join_prior(d.inventory, d.prior))
+    joined = classify.merged(d.inventory, d.prior)
     scores = F.array(
         F.struct(F.lit("rules").alias("worker"), F.when(F.col("rule_number").isNotNull(), F.col("rule_confidence")).alias("confidence")),
         F.struct(F.lit("prior").alias("worker"), F.when(~c.is_blank_tag("prior_tag"), F.col("prior_confidence")).alias("confidence")))
@@ -1091,26 +1103,39 @@ def _(d):
 # --- streaming -------------------------------------------------------------------------------------------------
 
 
-def _event_stream(d: Derived) -> DataFrame:
-    events = feed.feed(d.spark, d.path("events"), d.table("events").schema)
-    return decide.effective(d.decisions_from(events))
+def _fed(d: Derived) -> str:
+    """Run the decision feed over all event files; returns the folder that it filled."""
+    events = feed.feed(d.spark, d.path("events") + "*", d.table("events").schema)
+    target = work_path(d.spark, "feed")
+    run = feed.append_stream(decide.effective(d.decisions_from(events)), target, work_path(d.spark, "feed-state"))
+    run.awaitTermination()
+    return target
 
 
 @query("t2_decision_feed", "SELECT governance_decision_id, timestamp, action, user_email FROM eff")
 def _(d):
-    target = work_path(d.spark, "feed")
-    run = feed.append_stream(_event_stream(d), target, work_path(d.spark, "feed-state"))
-    run.awaitTermination()
-    return d.spark.read.parquet(target).select("governance_decision_id", "timestamp", "action", "user_email")
+    return d.spark.read.parquet(_fed(d)).select("governance_decision_id", "timestamp", "action", "user_email")
 
 
 @query("t2_daily_counts", "SELECT CAST(timestamp AS DATE) AS day, count(*) AS n_decisions FROM eff GROUP BY ALL")
 def _(d):
+    source = _fed(d)
+    stream = feed.feed(d.spark, source, d.spark.read.parquet(source).schema)
     target = work_path(d.spark, "daily")
-    run = feed.count_stream(_event_stream(d), target, work_path(d.spark, "daily-state"))
-    run.awaitTermination()
+    feed.count_stream(stream, target, work_path(d.spark, "daily-state")).awaitTermination()
     return feed.daily_counts(d.spark, target)
 
 
+@query("t2_late_rows", """
+SELECT 'late' AS kind, 0 AS n UNION ALL SELECT 'fed', count(*) FROM eff""")
+def _(d):
+    """Rows of the batch log that the feed did not take, next to those it took."""
+    fed = d.spark.read.parquet(_fed(d))
+    late = feed.late_rows(decide.effective(d.decisions), fed)
+    sizes = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+             for kind, df in (("late", late), ("fed", fed))]
+    return sizes[0].unionByName(sizes[1])
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=function: f(Derived(spark, folder))) for name, function in QUERIES.items()}

@@ -52,8 +52,14 @@ def comment_column(spark: SparkSession, table: str, column: str, tag: str) -> No
     spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{column.replace('`', '``')}` COMMENT '{text}'")
 
 
+CSV = {"header": True, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
-    """A CSV folder with headers, written by all tasks; nested columns become JSON text."""
+    """A CSV folder with headers, written by all tasks; nested columns become JSON text.
+
+    As in any CSV, missing and empty texts look the same.
+    """
     nested = (ArrayType, MapType, StructType)
     flat = df.select(
         *[
@@ -61,8 +67,8 @@ def export_csv(df: DataFrame, path: str) -> None:
             for f in df.schema.fields
         ]
     )
-    flat.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
+    flat.write.mode("errorifexists").options(**CSV).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)

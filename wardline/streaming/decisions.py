@@ -26,7 +26,8 @@ def deduplicated(decisions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
     Rows older than the watermark are dropped here; ``late_rows`` reports them.
     """
-    return decisions.withWatermark("timestamp", watermark).dropDuplicatesWithinWatermark([ID])
+    timed = decisions.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    return timed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([ID]).drop("event_time")
 
 
 def append_stream(decisions: DataFrame, target: str, checkpoint: str, watermark: str = WATERMARK) -> StreamingQuery:
@@ -41,17 +42,16 @@ def append_stream(decisions: DataFrame, target: str, checkpoint: str, watermark:
     )
 
 
-def count_stream(decisions: DataFrame, target: str, checkpoint: str, watermark: str = WATERMARK) -> StreamingQuery:
-    """Decisions per day. Every batch writes the days it changed to its own folder; a repeated batch overwrites it."""
-    daily = (
-        decisions.withWatermark("timestamp", watermark)
-        .groupBy(F.window("timestamp", "1 day").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n_decisions"))
-    )
+def count_stream(decisions: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Decisions per day of an already deduplicated stream, such as the folder that ``append_stream`` fills.
+
+    The state is one row per day, so it needs no watermark and counts late rows too. Every batch writes the days it
+    changed to its own folder; a repeated batch overwrites it.
+    """
+    daily = decisions.groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n_decisions"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        days = batch.select(F.to_date("day.start").alias("day"), "n_decisions")
-        days.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
+        batch.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(
             f"{target}/batch={batch_id}"
         )
 
