@@ -133,18 +133,20 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
     return listed(start, first).unionByName(listed(known, stages))
 
 
-def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
+def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", sized_by: DataFrame | None = None,
+             **skew) -> DataFrame:
     """One audit row per effective decision on a known item.
 
     previous_tag is the tag in force just before the decision; an approval without a tag of its own confirms it.
     """
+    size = decisions if sized_by is None else sized_by
     steps = running_last(effective(decisions), key, ORDER, new_steward_tag(), "__before", "timestamp",
-                         sized_by=decisions, **({"limit": skew["limit"]} if "limit" in skew else {}))
+                         sized_by=size, limit=skew.get("limit"))
     items = queue.select(
         key, "schema_name", "table_name", "column_name", F.col("suggested_tag").alias("ai_recommendation"),
         "confidence_score",
     )
-    rows = lookup_join(steps, items, [key], ["governance_decision_id"], "inner", decisions, **skew)
+    rows = lookup_join(steps, items, [key], ["governance_decision_id"], "inner", size, **skew)
     rows = rows.withColumn("previous_tag", F.coalesce("__before", "ai_recommendation"))
     kept = F.coalesce(new_steward_tag(), F.col("previous_tag"))
     return rows.select(

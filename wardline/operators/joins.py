@@ -17,14 +17,15 @@ SALTS = 64
 ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
-def fits_one_task(df: DataFrame, limit: int = ONE_TASK_BYTES) -> bool:
+def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
     """True if Spark's own size estimate of the frame is proof that no key can be too large for a task.
 
     Nothing is run for this. Estimates behind joins are far too high, so pass the frame as it was read.
     """
     if not hasattr(df, "_jdf"):  # a remote session shows no estimate
         return False
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= limit
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= (ONE_TASK_BYTES if limit is None else limit)
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1,
@@ -40,7 +41,7 @@ def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Col
     return kept if rank else kept.drop(name)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
     """The most frequent keys with at least ``min_rows`` rows; counts are combined before the shuffle."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= min_rows)
     for key in keys:
@@ -49,8 +50,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -> Da
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left",
-                sized_by: DataFrame | None = None, min_rows: int = HOT_ROWS, salts: int = SALTS,
-                limit: int = ONE_TASK_BYTES) -> DataFrame:
+                sized_by: DataFrame | None = None, min_rows: int | None = None, salts: int | None = None,
+                limit: int | None = None) -> DataFrame:
     """Equi-join of ``left`` with a side that has at most one row per key.
 
     If the left side as a whole fits one task, this is a plain join. Otherwise keys that are frequent on the left
@@ -62,6 +63,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_b
     """
     if fits_one_task(left if sized_by is None else sized_by, limit):
         return left.join(right, list(keys), how)
+    min_rows, salts = min_rows or HOT_ROWS, salts or SALTS
     hot = F.broadcast(hot_keys(left, keys, min_rows).withColumn("__hot", F.lit(True)))
     part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     no_key = F.lit(False)
@@ -78,7 +80,7 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_b
 
 
 def running_last(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str, when: str,
-                 width: str = "hour", sized_by: DataFrame | None = None, limit: int = ONE_TASK_BYTES) -> DataFrame:
+                 width: str = "hour", sized_by: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Per row, the last non-NULL ``value`` of the same key strictly before it.
 
     One window if the rows fit one task. Otherwise in two levels, so that a key with very many rows is not ordered

@@ -797,7 +797,7 @@ def _(d):
     """The log, the log again and new bulk decisions: old rows stay single, new ones are added."""
     escalated = d.state.filter(F.col("status") == "ESCALATED")
     new = decide.bulk_reject(d.state, escalated, "steward@example.com", d.as_of, KEY)
-    added = decide.to_audit(d.state, new, KEY)
+    added = decide.to_audit(d.state, new, KEY, sized_by=d.inventory)
     return log.with_new(d.audit, d.audit.unionByName(added))
 
 
@@ -843,14 +843,14 @@ BULK_COLUMNS = ("governance_decision_id", "timestamp", "schema_name", "table_nam
 def _(d):
     ids = d.queue.filter(F.col("priority") == "Critical")
     rows = decide.bulk_approve(d.queue, ids, "steward@example.com", d.as_of, KEY)
-    return decide.to_audit(d.queue, rows, KEY).select(*BULK_COLUMNS)
+    return decide.to_audit(d.queue, rows, KEY, sized_by=d.inventory).select(*BULK_COLUMNS)
 
 
 @query("d4_bulk_reject", _bulk_sql("reject", "Bulk rejected", "REJECT", "'None'"))
 def _(d):
     ids = d.queue.filter(F.col("priority") == "Critical")
     rows = decide.bulk_reject(d.queue, ids, "steward@example.com", d.as_of, KEY)
-    return decide.to_audit(d.queue, rows, KEY).select(*BULK_COLUMNS)
+    return decide.to_audit(d.queue, rows, KEY, sized_by=d.inventory).select(*BULK_COLUMNS)
 
 
 @query("d5_audit_rows", f"SELECT {SQL_AUDIT} FROM aud")

@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", app: str = "wardline", **extra: str) -
         **SETTINGS,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **extra,
     }
