@@ -104,9 +104,8 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") ->
 
 def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
     """Effective decisions on items that the queue does not hold."""
-    known = queue.select(key).distinct()
-    return lookup_join(effective(decisions), known, [key], ["governance_decision_id"], "left_anti", decisions,
-                       **skew)
+    return lookup_join(effective(decisions), queue.select(key), [key], ["governance_decision_id"], "left_anti",
+                       decisions, **skew)
 
 
 def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
@@ -123,7 +122,7 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
         key, F.col("submitted_time").alias("event_time"), F.lit("").alias("governance_decision_id")
     )
     known = lookup_join(
-        effective(decisions).withColumnRenamed("timestamp", "event_time"), queue.select(key).distinct(), [key],
+        effective(decisions).withColumnRenamed("timestamp", "event_time"), queue.select(key), [key],
         ["governance_decision_id"], "left_semi", decisions, **skew,
     )
     decided = F.concat(F.lit(ref.STAGE_DECISION), F.col("status_after"))
