@@ -88,3 +88,21 @@ def test_similar_columns_against_brute_force(spark):
             counts = {t: sum(r[4] == t for r in same) for t in "abc"}
             common = max((n, t) for t, n in counts.items())[1]
             assert found[i].common_tag == (common if others else None)
+
+
+def test_near_names_against_brute_force(spark):
+    def distance(a, b):
+        before = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+            before = row
+        return before[-1]
+
+    rng = random.Random(5)
+    names = {"".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(150)} | {"ssn", "SSN", "sn", "ssnn"}
+    df = spark.createDataFrame([(n,) for n in names for _ in range(2)] + [("",), (None,)], "column_name string")
+    low = {n.lower() for n in names}
+    expected = sorted((a, b) for a in low for b in low if distance(a, b) == 1)
+    assert rows(monitor.near_names(df)) == expected

@@ -42,11 +42,11 @@ def test_twin(spark, con, name):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == twin
 
 
-def test_no_query_has_a_cross_join(spark):
-    for name, run in entry.queries().items():
+def test_no_query_has_a_cross_join(derived):
+    for name, run in QUERIES.items():
         if name in WRITERS:
             continue
-        plan = run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        plan = run(derived)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
         assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan, name
 

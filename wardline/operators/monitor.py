@@ -100,6 +100,23 @@ def similar_columns(items: DataFrame, classified: DataFrame, key: str, name: str
     ).drop("__table", "n_all", "n_own", "heads")
 
 
+def near_names(df: DataFrame, name: str = "column_name") -> DataFrame:
+    """Pairs of distinct names that differ by one character inserted, dropped or replaced.
+
+    Two such names share a variant: one of them unchanged or with one character dropped. Only names with a common
+    variant meet. A variant of length n belongs to at most 1 + (n + 1) * (size of the alphabet) distinct names, so
+    no variant is hot, and nothing is cut off.
+    """
+    names = df.select(F.lower(F.col(name)).alias("name")).filter(F.length("name") > 0).distinct()
+    places = F.sequence(F.lit(1), F.length("name"))
+    shorter = F.transform(
+        places, lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name")))
+    )
+    variants = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), shorter))).alias("variant"))
+    met = variants.join(variants.withColumnRenamed("name", "near_name"), "variant").filter("name <> near_name")
+    return met.select("name", "near_name").distinct().filter(F.levenshtein("name", "near_name") == 1)
+
+
 # --- composite score -------------------------------------------------------------------------------------------
 
 

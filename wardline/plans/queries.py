@@ -1042,6 +1042,15 @@ def _(d):
     return found.select(KEY, F.explode("similar").alias("other")).select(KEY, "other.path", "other.tag")
 
 
+@query("r6_near_names", """
+WITH n AS (SELECT DISTINCT lower(column_name) AS name FROM inv),
+v AS (SELECT name, name AS variant FROM n
+  UNION SELECT name, concat(substr(name, 1, i - 1), substr(name, i + 1)) FROM (SELECT name, unnest(range(1, length(name) + 1)) AS i FROM n))
+SELECT DISTINCT a.name, b.name AS near_name FROM v a JOIN v b USING (variant) WHERE a.name <> b.name AND levenshtein(a.name, b.name) = 1""")
+def _(d):
+    return monitor.near_names(d.inventory)
+
+
 @query("r7_composite_confidence", """
 WITH w AS (SELECT item_key, rule_confidence AS c, 0.5::DOUBLE AS w FROM classified WHERE rule IS NOT NULL
   UNION ALL SELECT item_key, prior_conf, 0.3::DOUBLE FROM classified WHERE from_prior)
