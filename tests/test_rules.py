@@ -119,7 +119,7 @@ def test_intents(spark):
 
 def test_keys_and_ids(spark):
     assert one(spark, "string", ["  Ab C\t\n", None], c.clean("x")) == ["ab c", None]
-    assert one(spark, "string", ["My Col"], c.item_id(F.lit("Brz"), F.lit("T 1"), F.col("x"))) == ["live-brz-t_1-my_col"]
+    assert one(spark, "string", ["My Col"], c.item_id("'Brz'", "'T 1'", "x")) == ["live-brz-t_1-my_col"]
     assert one(spark, "string", ["revenue_cycle"], c.domain("x")) == ["Revenue Cycle"]
 
 

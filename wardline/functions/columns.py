@@ -51,14 +51,15 @@ def constants(values: Sequence) -> str:
     return "array(" + ", ".join(sql_text(v) for v in values) + ")"
 
 
-def clean(value: Column | str) -> Column:
+def clean(value: str) -> Column:
     """Trim all blanks and lower the case: the form in which names are joined and matched."""
-    return F.btrim(F.lower(as_column(value)), F.lit(BLANKS))
+    return F.expr(f"btrim(lower({value}), {sql_text(BLANKS)})")
 
 
-def is_blank_tag(tag: Column | str) -> Column:
+def is_blank_tag(tag: str) -> Column:
     """NULL, empty, 'none' and 'unclassified' all mean: no tag."""
-    return F.coalesce(clean(tag).isin(*ref.BLANK_TAGS), F.lit(True))
+    blank = ", ".join(sql_text(t) for t in ref.BLANK_TAGS)
+    return F.expr(f"coalesce(btrim(lower({tag}), {sql_text(BLANKS)}) IN ({blank}), true)")
 
 
 # --- rule matching ---------------------------------------------------------------------------------------------
@@ -78,13 +79,12 @@ def rule_value(number: str, field: str, rules: Sequence[Rule] = ref.QUEUE_RULES)
 # --- derived columns of the queue ------------------------------------------------------------------------------
 
 
-def item_id(schema: Column | str, table: Column | str, column: Column | str) -> Column:
-    path = F.concat_ws("-", F.lit("live"), as_column(schema), as_column(table), as_column(column))
-    return F.lower(F.translate(path, " ", "_"))
+def item_id(schema: str, table: str, column: str) -> Column:
+    return F.expr(f"lower(translate(concat_ws('-', 'live', {schema}, {table}, {column}), ' ', '_'))")
 
 
-def domain(schema: Column | str) -> Column:
-    return F.initcap(F.translate(as_column(schema), "_", " "))
+def domain(schema: str) -> Column:
+    return F.expr(f"initcap(translate({schema}, '_', ' '))")
 
 
 def _by_fragment(column: str, pairs: Sequence[tuple[Sequence[str], str]], default: str, lower: bool = True) -> Column:
@@ -97,10 +97,9 @@ def tag_category(tag: str) -> Column:
     return _by_fragment(tag, pairs, "'Sensitive'")
 
 
-def confidence(text: Column | str, default: float = 0.9) -> Column:
+def confidence(text: str, default: float = 0.9) -> Column:
     """Text to number; empty, NULL and unreadable texts give the default."""
-    value = as_column(text)
-    return F.coalesce(F.when(value.rlike(NUMBER), value.try_cast("double")), F.lit(default))
+    return F.expr(f"coalesce(CASE WHEN {text} RLIKE {sql_text(NUMBER)} THEN try_cast({text} AS double) END, {default}D)")
 
 
 def prior_priority(score: Column | str) -> Column:
@@ -108,12 +107,12 @@ def prior_priority(score: Column | str) -> Column:
     return F.when(score >= 0.95, "Critical").when(score >= 0.85, "High").otherwise("Medium")
 
 
-def recommendation(score: Column | str, threshold: float = ref.AUTO_APPROVAL) -> Column:
-    return F.when(as_column(score) >= threshold, "Auto-Approve").otherwise("Review Recommended")
+def recommendation(score: str, threshold: float = ref.AUTO_APPROVAL) -> Column:
+    return F.expr(f"CASE WHEN {score} >= {threshold}D THEN 'Auto-Approve' ELSE 'Review Recommended' END")
 
 
-def prior_native_class(tag: Column | str) -> Column:
-    return F.concat(F.lit("Classified as "), F.upper(as_column(tag)))
+def prior_native_class(tag: str) -> Column:
+    return F.expr(f"concat('Classified as ', upper({tag}))")
 
 
 def minute_text(when: Column | str) -> Column:
@@ -124,14 +123,12 @@ def second_text(when: Column | str) -> Column:
     return F.date_format(as_column(when), "yyyy-MM-dd HH:mm:ss")
 
 
-def stage(name: Column | str, when: Column) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name
-    return F.struct(name.alias("stage"), minute_text(when).alias("timestamp"))
-
-
-def initial_timeline(submitted: Column | str) -> Column:
-    when = as_column(submitted)
-    return F.array(stage(ref.STAGE_DISCOVERED, when), stage(ref.STAGE_CLASSIFIED, when))
+def initial_timeline(submitted: str) -> Column:
+    entries = ", ".join(
+        f"named_struct('stage', {sql_text(name)}, 'timestamp', date_format({submitted}, 'yyyy-MM-dd HH:mm'))"
+        for name in (ref.STAGE_DISCOVERED, ref.STAGE_CLASSIFIED)
+    )
+    return F.expr(f"array({entries})")
 
 
 # --- derived columns of the catalog view -----------------------------------------------------------------------
@@ -199,13 +196,13 @@ def qualified(schema: Column | str, table: Column | str, column: Column | str) -
 # --- decisions -------------------------------------------------------------------------------------------------
 
 
-def decision_id(decision_key: Column | str, email: Column | str) -> Column:
+def decision_id(decision_key: str, email: str) -> Column:
     """The same decision always gets the same id, so a rerun adds nothing."""
-    return F.concat(F.lit("GD-"), F.substring(F.sha2(F.concat_ws("|", decision_key, email), 256), 1, 12))
+    return F.expr(f"concat('GD-', substring(sha2(concat_ws('|', {decision_key}, {email}), 256), 1, 12))")
 
 
-def audit_id(decision_key: Column | str) -> Column:
-    return F.concat(F.lit("aud-"), F.substring(F.sha2(as_column(decision_key), 256), 1, 12))
+def audit_id(decision_key: str) -> Column:
+    return F.expr(f"concat('aud-', substring(sha2({decision_key}, 256), 1, 12))")
 
 
 def seconds(duration: Column | str) -> Column:

@@ -96,21 +96,18 @@ def join_prior(inventory: DataFrame, prior: DataFrame, **skew) -> DataFrame:
 def merged(inventory: DataFrame, prior: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES, **skew) -> DataFrame:
     """A usable prior tag overrides the rules; blank tags fall back to them."""
     joined = join_prior(numbered(with_keys(inventory), rules), prior, **skew)
-    usable = ~c.is_blank_tag("prior_tag")
-
-    def pick(prior_value: Column, field: str) -> Column:
-        return F.when(F.col("from_prior"), prior_value).otherwise(F.col(f"rule_{field}"))
-
-    flagged = with_rule_values(joined, rules).withColumn("from_prior", usable)
+    flagged = with_rule_values(joined, rules).withColumn("from_prior", ~c.is_blank_tag("prior_tag"))
+    from_prior = {
+        "suggested_tag": (F.col("prior_tag"), "tag"),
+        "category": (c.tag_category("prior_tag"), "category"),
+        "confidence_score": (F.col("prior_confidence"), "confidence"),
+        "priority": (c.prior_priority("prior_confidence"), "priority"),
+        "native_classification": (c.prior_native_class("prior_tag"), "native_class"),
+        "ai_explanation": (F.lit(ref.PRIOR_EXPLANATION), "explanation"),
+    }
+    usable = F.col("from_prior")
     return flagged.withColumns(
-        {
-            "suggested_tag": pick(F.col("prior_tag"), "tag"),
-            "category": pick(c.tag_category("prior_tag"), "category"),
-            "confidence_score": pick(F.col("prior_confidence"), "confidence"),
-            "priority": pick(c.prior_priority("prior_confidence"), "priority"),
-            "native_classification": pick(c.prior_native_class("prior_tag"), "native_class"),
-            "ai_explanation": pick(F.lit(ref.PRIOR_EXPLANATION), "explanation"),
-        }
+        {name: F.when(usable, value).otherwise(F.col(f"rule_{field}")) for name, (value, field) in from_prior.items()}
     )
 
 
@@ -122,32 +119,29 @@ def tagged_only(df: DataFrame) -> DataFrame:
 def review_queue(inventory: DataFrame, prior: DataFrame, submitted: Column, keep: Sequence[str] = (),
                  **skew) -> DataFrame:
     """The full queue row of every tagged column. ``keep`` names inventory columns to carry along."""
-    # Python's str(None or "STRING") rule: a missing type is shown as STRING.
-    data_type = F.coalesce(F.nullif(F.col("data_type"), F.lit("")), F.lit("STRING"))
-    rows = tagged_only(merged(discoverable(inventory), prior, **skew))
-    texts = F.array().cast("array<string>")
+    rows = tagged_only(merged(discoverable(inventory), prior, **skew)).withColumn("submitted_time", submitted)
     return rows.select(
         *keep,
         c.item_id("schema_name", "table_name", "column_name").alias("id"),
         "schema_name",
         "table_name",
         "column_name",
-        data_type.alias("data_type"),
+        F.expr("coalesce(nullif(data_type, ''), 'STRING') AS data_type"),
         "suggested_tag",
         "native_classification",
-        F.lit("").alias("ontology_match"),
-        texts.alias("similar_columns"),
+        F.expr("'' AS ontology_match"),
+        F.expr("cast(array() AS array<string>) AS similar_columns"),
         "confidence_score",
         c.recommendation("confidence_score").alias("supervisor_recommendation"),
         "ai_explanation",
-        texts.alias("sample_values"),
-        F.lit("PENDING").alias("status"),
-        submitted.alias("submitted_time"),
+        F.expr("cast(array() AS array<string>) AS sample_values"),
+        F.expr("'PENDING' AS status"),
+        "submitted_time",
         "priority",
         "category",
         c.domain("schema_name").alias("domain"),
-        F.lit("").alias("concept_match"),
-        F.col("confidence_score").alias("concept_confidence"),
-        F.array().cast("array<struct<name:string,similarity:double>>").alias("similar_columns_metrics"),
-        c.initial_timeline(submitted).alias("governance_timeline"),
+        F.expr("'' AS concept_match"),
+        F.expr("confidence_score AS concept_confidence"),
+        F.expr("cast(array() AS array<struct<name:string,similarity:double>>) AS similar_columns_metrics"),
+        c.initial_timeline("submitted_time").alias("governance_timeline"),
     )

@@ -69,7 +69,7 @@ def no_op(decisions: DataFrame) -> DataFrame:
 
 def new_steward_tag() -> Column:
     """The tag a decision sets, NULL if it leaves the tag alone."""
-    return F.when(F.col("keeps_tag") & (F.col("steward_tag") != ""), F.col("steward_tag"))
+    return F.expr("CASE WHEN keeps_tag AND steward_tag <> '' THEN steward_tag END")
 
 
 def fold(decisions: DataFrame, key: str = "id") -> DataFrame:

@@ -142,24 +142,18 @@ class Derived:
 
     def decisions_from(self, events: DataFrame) -> DataFrame:
         """Decisions out of event rows; works on a batch and on a stream."""
-        event = F.col("event_id")
         roles = ("steward", "compliance", "engineer", "analyst")
-        action = F.lit("Save as Draft")
-        for kind, name in ACTION_BY_EVENT.items():
-            action = F.when(F.col("event_type") == kind, name).otherwise(action)
+        actions = " ".join(f"WHEN '{kind}' THEN '{name}'" for kind, name in ACTION_BY_EVENT.items())
         return events.select(
-            F.concat(F.lit("D-"), event.cast("string")).alias("decision_key"),
-            (event - event % 2).alias(KEY),
-            F.col("ts").alias("timestamp"),
-            F.concat(pick(roles, "user_id"), F.col("user_id").cast("string"), F.lit("@example.com"))
-            .alias("user_email"),
-            action.alias("action"),
-            F.when(F.col("event_type") == "click", pick(STEWARD_TAGS, "event_id")).alias("steward_tag"),
-            F.when(event % 4 == 0, "").when(event % 4 == 1, F.lit(None))
-            .otherwise(F.concat(F.lit("Checked "), F.col("props"))).alias("comments"),
-            F.concat((event % 3).cast("string"), F.lit("m "), (event % 60).cast("string"), F.lit("s"))
-            .alias("approval_duration"),
-            F.when(event % 10 == 0, "Bulk Approval").otherwise("Manual Steward Review").alias("approval_method"),
+            F.expr("concat('D-', event_id) AS decision_key"),
+            F.expr(f"event_id - event_id % 2 AS {KEY}"),
+            F.expr("ts AS timestamp"),
+            F.concat(pick(roles, "user_id"), F.expr("concat(user_id, '@example.com')")).alias("user_email"),
+            F.expr(f"CASE event_type {actions} END AS action"),
+            F.when(F.expr("event_type = 'click'"), pick(STEWARD_TAGS, "event_id")).alias("steward_tag"),
+            F.expr("CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE concat('Checked ', props) END AS comments"),
+            F.expr("concat(event_id % 3, 'm ', event_id % 60, 's') AS approval_duration"),
+            F.expr("CASE WHEN event_id % 10 = 0 THEN 'Bulk Approval' ELSE 'Manual Steward Review' END AS approval_method"),
         )
 
     @cached_property
