@@ -10,10 +10,11 @@ the larger ones of the parts, register by register, and two registers agree with
 3. Stars: in each bucket (documents with one band value) every class is paired with the first one only. Pairs
    are judged by the likelihood of their registers given both set sizes; what isn't far below the threshold is then
    confirmed on the full sets of shingles, taken from the texts. Confirmed links give components.
-4. The rest: buckets whose classes lie in more than one component. All pairs of classes of different components are compared
-   there, register by register, in blocks of bounded size, never as rows; what may reach the threshold is confirmed as above.
-   Pairs inside one component need no check, as they change no component. So no link found by a band is lost, whatever the
-   size of a bucket, and no bucket is cut.
+4. Second stars: in buckets whose classes lie in several components, classes outside the largest one are paired with
+   one of its members, another one in each bucket.
+5. The rest: what still lies in several components is compared in full with all classes of the largest one and of the other
+   ones, in groups of bounded size that send out links, not pairs. Pairs inside one component need no check, as they change no
+   component. So no link found by a band is lost, whatever the size of a bucket, and no bucket is cut.
 
 Nothing here is sampled or capped. Whatever is used more than once is written to the shared folder.
 """
@@ -41,8 +42,8 @@ BAND = 6
 BANDS = REGISTERS // BAND
 # Pairs whose likeliest similarity lies this many standard errors below the threshold are not confirmed.
 ERRORS = 5.0
-# Classes of one side in a block of the last step.
-BLOCK = 2048
+# Classes of one side in a group of the last step.
+BLOCK = 512
 U64 = np.uint64
 
 
@@ -133,17 +134,42 @@ def sketches(docs: DataFrame, width: int, id_column: str, text_column: str) -> D
     return written(rows.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, wanted: DataFrame, width: int, percent: int) -> DataFrame:
+def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, floor: float) -> np.ndarray:
+    """If the likeliest similarity of each pair is at least ``floor``: the likelihood still rises there."""
+    above = (left > right).sum(axis=-1).astype(float)
+    below = (left < right).sum(axis=-1).astype(float)
+    same = REGISTERS - above - below
+    u = n_left / (n_left + n_right)
+    v = 1 - u
+    share = (BASE - 1) / BASE
+    more, less = (np.clip(x, 1e-9, 1) for x in (u - v * floor, v - u * floor))
+    p_more, p_less = (-np.log1p(-x * share) / np.log(BASE) for x in (more, less))
+    slope_more, slope_less = (-k * share / (1 - x * share) / np.log(BASE) for k, x in ((v, more), (u, less)))
+    rise = (above * slope_more / p_more + below * slope_less / p_less
+            - same * (slope_more + slope_less) / np.maximum(1 - p_more - p_less, 1e-12))
+    return (rise >= 0) & (np.minimum(n_left, n_right) >= floor * np.maximum(n_left, n_right))
+
+
+def _floor(percent: int) -> float:
+    bar = percent / 100
+    return bar - ERRORS * (bar * (1 - bar) / REGISTERS) ** 0.5
+
+
+def _rows_of(held: DataFrame, uids: DataFrame) -> DataFrame:
+    """Sketch and text of some rows; what an id filter keeps away isn't shuffled."""
+    near = IdFilter(uids, "uid")
+    return held.filter(near.maybe(F.col("uid"))).select("uid", "n_shingles", "regs", "text")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of uids whose sets have ``100 * intersection >= percent * union``, as a written table."""
-    near = IdFilter(wanted, "uid")
-    rows = held.filter(near.maybe(F.col("uid"))).select("uid", "n_shingles", "regs", "text")
+    rows = _rows_of(held, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
 
     def side(name: str) -> DataFrame:
         return rows.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in rows.columns[1:]))
 
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    bar = percent / 100
-    floor = bar - ERRORS * (bar * (1 - bar) / REGISTERS) ** 0.5
+    floor = _floor(percent)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,9 +178,8 @@ def confirmed(pairs: DataFrame, held: DataFrame, wanted: DataFrame, width: int,
             part = batch.to_pydict()
             left, right = (np.frombuffer(b"".join(part[c]), "<u2").reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
             sizes = (np.array(part[c], float) for c in ("n_shingles_a", "n_shingles_b"))
-            seems = likeliest(left, right, *sizes)
             good = []
-            for i in np.flatnonzero(seems >= floor):
+            for i in np.flatnonzero(may_reach(left, right, *sizes, floor)):
                 shared, union = jaccard_counts(part["text_a"][i], part["text_b"][i], width)
                 if 100 * shared >= percent * union:
                     good.append(i)
@@ -165,61 +190,102 @@ def confirmed(pairs: DataFrame, held: DataFrame, wanted: DataFrame, width: int,
     return written(both.mapInArrow(judge, "a long, b long"), "links")
 
 
-def unsettled(buckets: DataFrame, parts: DataFrame, held: DataFrame, percent: int) -> DataFrame | None:
-    """Pairs that may reach the threshold, out of buckets whose classes (without the star's centre, which has been compared
-    with all of them) lie in several components. None if there is no such bucket."""
-    spark = held.sparkSession
+def open_buckets(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (key, uid, component, main) of the buckets whose classes lie in several components; main is the bucket's most
+    frequent one. The star's centre has been compared with all others and is left out."""
     placed = (
         buckets.filter("uid != centre")
         .join(parts.withColumnRenamed("node", "uid"), "uid", "left")
         .select("key", "uid", F.coalesce("component", "uid").alias("component"))
     )
     by_part = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    open_keys = (
-        by_part.groupBy("key")
-        .agg(F.max_by("component", "n").alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"))
-        .filter("parts > 1")
-        .select("key", "main", "n", F.ceil(F.col("n") / BLOCK).alias("grid"))
-    )
-    rows = written(placed.join(open_keys, "key"), "unsettled")
-    if rows.isEmpty():
-        return None
-    near = IdFilter(rows.select("uid").distinct(), "uid")
-    sketch = held.filter(near.maybe(F.col("uid"))).select("uid", "n_shingles", "regs")
-    rows = rows.join(sketch, "uid").withColumn("cell", F.pmod(F.xxhash64("uid"), F.col("grid")))
-    other = F.sequence(F.lit(0).cast("long"), F.col("grid") - 1)
-    # A grid of cells: a class asks in its row of cells if it lies outside the main component, and answers in its column.
-    asks = rows.filter("component != main").select(
-        "*", F.col("cell").alias("i"), F.explode(other).alias("j"), F.lit(True).alias("asks"))
-    answers = rows.select("*", F.explode(other).alias("i"), F.col("cell").alias("j"), F.lit(False).alias("asks"))
-    cells = asks.unionByName(answers).select("key", "i", "j", "asks", "uid", "component", "n_shingles", "regs")
-    bar = percent / 100
-    floor = bar - ERRORS * (bar * (1 - bar) / REGISTERS) ** 0.5
+    keys = by_part.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count(F.lit(1)).alias("parts")
+    ).filter("parts > 1").select("key", "main")
+    return written(placed.join(keys, "key"), "open")
+
+
+def second_stars(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b): every class outside a bucket's main component, with one member of that component, another one in each
+    bucket. So a class meets up to 42 different members of a group."""
+    centres = rows.filter("component = main").groupBy("key").agg(
+        F.min_by("uid", F.xxhash64("uid", "key")).alias("b"))
+    return rows.filter("component != main").join(centres, "key").select(F.col("uid").alias("a"), "b").distinct()
+
+
+def settle(rows: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """Confirmed links that join different components of open buckets: one at least for every two components that any
+    bucket's pair of classes links.
+
+    Classes outside the main component of one of their buckets ask; all classes of the buckets with that main component answer.
+    Askers and answerers are cut into blocks, and each pair of blocks is one group of bounded size, in which pairs are judged by
+    registers and confirmed on full sets. Only links leave a group.
+    """
+    asks = rows.filter("component != main").select("main", "uid", "component").distinct()
+    answers = rows.select("main", "uid", "component").distinct()
+
+    def cells(of: DataFrame, name: str) -> DataFrame:
+        return of.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+
+    grid = cells(asks, "n_i").join(cells(answers, "n_j"), "main")
+    sketch = _rows_of(held, answers.select("uid").distinct())
+
+    def dealt(of: DataFrame, own: str, other: str, asking: bool) -> DataFrame:
+        cell = F.pmod(F.xxhash64("uid"), F.col(f"n_{own}")).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)).alias(other)
+        placed = of.join(grid, "main").select("main", "uid", "component", cell, f"n_{other}")
+        return placed.join(sketch, "uid").select(
+            "main", "uid", "component", "n_shingles", "regs", "text", own, every, F.lit(asking).alias("asks"))
+
+    both = dealt(asks, "i", "j", True).unionByName(dealt(answers, "j", "i", False))
+    floor = _floor(percent)
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        ask, answer = group[group["asks"]], group[~group["asks"]]
-        out: list[np.ndarray] = []
-        if len(ask) and len(answer):
-            regs = np.frombuffer(b"".join(answer["regs"]), "<u2").reshape(-1, REGISTERS)
-            uid, part, size = (answer[c].to_numpy() for c in ("uid", "component", "n_shingles"))
-            for q_uid, q_part, q_size, q_regs in zip(ask["uid"], ask["component"], ask["n_shingles"], ask["regs"],
-                                                     strict=True):
-                at = np.flatnonzero(
-                    (part != q_part) & (100 * np.minimum(size, q_size) >= percent * np.maximum(size, q_size)))
-                if len(at):
-                    mine = np.broadcast_to(np.frombuffer(q_regs, "<u2"), (len(at), REGISTERS))
-                    seems = likeliest(mine, regs[at], np.full(len(at), float(q_size)), size[at].astype(float))
-                    found = uid[at[seems >= floor]]
-                    out.append(np.column_stack((np.minimum(found, q_uid), np.maximum(found, q_uid))))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-        return pd.DataFrame(pairs, columns=["a", "b"])
-
-    return written(cells.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct(), "pairs")
+        group = group.sort_values(["asks", "uid"], ignore_index=True)
+        uid, part, size = (group[c].to_numpy() for c in ("uid", "component", "n_shingles"))
+        regs = np.frombuffer(b"".join(group["regs"]), "<u2").reshape(-1, REGISTERS)
+        text = group["text"].tolist()
+        asking = group["asks"].to_numpy()
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        sets: list[np.ndarray] = []
+        for low, high in blocks(text):
+            value, doc = Words(text[low:high]).shingles(width)
+            sets.extend(np.split(value, np.cumsum(np.bincount(doc, minlength=high - low))[:-1]))
+        answer = np.flatnonzero(~asking)
+        links: list[tuple[int, int]] = []
+        for q in np.flatnonzero(asking):
+            near = answer[(part[answer] != part[q])
+                          & (100 * np.minimum(size[answer], size[q]) >= percent * np.maximum(size[answer], size[q]))]
+            if not len(near):
+                continue
+            mine = np.broadcast_to(regs[q], (len(near), REGISTERS))
+            likely = may_reach(mine, regs[near], np.full(len(near), float(size[q])), size[near].astype(float), floor)
+            for m in near[likely]:
+                a, b = root(int(part[q])), root(int(part[m]))
+                if a == b:
+                    continue
+                at = np.minimum(np.searchsorted(sets[m], sets[q]), len(sets[m]) - 1)
+                shared = int((sets[m][at] == sets[q]).sum())
+                if 100 * shared < percent * (len(sets[q]) + len(sets[m]) - shared):
+                    continue
+                shared, union = jaccard_counts(text[q], text[m], width)
+                if 100 * shared >= percent * union:
+                    top[max(a, b)] = min(a, b)
+                    links.append((int(uid[q]), int(uid[m])))
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+    return written(both.groupBy("main", "i", "j").applyInPandas(compare, "a long, b long"), "settled")
 
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
-            text_column: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sketches, members): members has uid, id, n_shingles and component (the smallest uid of the component's first rows).
+            text_column: str = "text") -> DataFrame:
+    """uid, id, n_shingles and component (the smallest uid of the component's first rows) of every row.
 
     A document without words is alone. Ids may be NULL or repeated: rows are told apart by uid.
     """
@@ -236,17 +302,21 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
     shared = banded.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = written(banded.join(shared.select("key", "centre"), "key"), "buckets")
     stars = buckets.filter("uid != centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
-    stars = written(stars, "stars")
-    wanted = stars.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-    links = confirmed(stars, held, wanted, width, percent)
-    parts = components(links)
-    more = unsettled(buckets, parts, held, percent)
-    if more is not None and not more.isEmpty():
-        wanted = more.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        parts = components(links.unionByName(confirmed(more, held, wanted, width, percent)))
-    members = members.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
+    parts = components(confirmed(written(stars, "stars"), held, width, percent))
+
+    def with_links(links: DataFrame) -> DataFrame:
+        return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+    rows = open_buckets(buckets, parts)
+    if not rows.isEmpty():
+        parts = with_links(confirmed(written(second_stars(rows), "stars"), held, width, percent))
+        rows = open_buckets(buckets, parts)
+    if not rows.isEmpty():
+        links = settle(rows, held, width, percent)
+        if not links.isEmpty():
+            parts = with_links(links)
+    return members.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
         "uid", "id", "n_shingles", F.coalesce("component", "first").alias("component"))
-    return held, members
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
@@ -258,8 +328,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
     unless it is alone; its row is kept only if its component has no id at all (component_id NULL). Rows with the same id and
     the same words are both marked. An empty table gives an empty one. Other columns are not read.
     """
-    _, members = classes(docs, width, percent, id_column, text_column)
-    members = written(members, "classes")
+    members = written(classes(docs, width, percent, id_column, text_column), "classes")
     least = members.groupBy("component").agg(F.min("id").alias("component_id"))
     return members.join(least, "component").select(
         F.col("id").alias(id_column), "n_shingles", "component_id",
@@ -274,8 +343,7 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_column: s
     removed ones are joined. Ids must tell documents apart; rows with one id count as copies of one document, and one of
     them stays.
     """
-    _, members = classes(docs, width, percent, id_column, text_column)
-    members = written(members, "classes")
+    members = written(classes(docs, width, percent, id_column, text_column), "classes")
     best = members.groupBy("component").agg(F.min("id").alias("best"))
     gone = written(
         members.join(best, "component").filter(~F.col("id").eqNullSafe(F.col("best"))).select("id").distinct(), "gone")

@@ -47,6 +47,19 @@ def powers(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of runs of bytes that follow each other."""
+    out = np.empty(len(start), U64)
+    for low in range(0, len(start), WORDS_AT_ONCE):
+        high = min(low + WORDS_AT_ONCE, len(start))
+        begin, stop = int(start[low]), int(end[high - 1])
+        part = _BYTE[data[begin:stop]] * powers(_BASE, stop - begin)
+        sums = np.concatenate((np.zeros(1, U64), np.cumsum(part, dtype=U64)))
+        at = start[low:high] - begin
+        out[low:high] = (sums[end[low:high] - begin] - sums[at]) * powers(_BACK, stop - begin)[at]
+    return mix(out)
+
+
 class Words:
     """The words of a block of texts: hash, text number, and place in the joined bytes."""
 
@@ -64,15 +77,7 @@ class Words:
         self.count = np.diff(np.append(bounds, len(self.start)))
         self.offset = bounds
         self.doc = np.repeat(np.arange(len(blobs)), self.count)
-        self.hash = np.empty(len(self.start), U64)
-        for low in range(0, len(self.start), WORDS_AT_ONCE):
-            high = min(low + WORDS_AT_ONCE, len(self.start))
-            begin, stop = int(self.start[low]), int(self.end[high - 1])
-            part = _BYTE[self.data[begin:stop]] * powers(_BASE, stop - begin)
-            sums = np.concatenate((np.zeros(1, U64), np.cumsum(part, dtype=U64)))
-            at = self.start[low:high] - begin
-            self.hash[low:high] = (sums[self.end[low:high] - begin] - sums[at]) * powers(_BACK, stop - begin)[at]
-        self.hash = mix(self.hash)
+        self.hash = hash_runs(self.data, self.start, self.end)
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, text number) of each distinct run of ``width`` words of each text, ordered by text and hash.
