@@ -86,10 +86,33 @@ def test_timeline_has_three_stages_per_approval(spark):
     assert rows(found.filter("id = 'i2' and governance_decision_id <> ''"), "stage") == [("Steward Decision: REJECTED",)]
 
 
+def test_items_carry_their_last_timeline_entries(spark):
+    made = decisions(spark, ("i1", T1, S, "Escalate for Expert Review", None), ("i1", T2, S, "Approve Recommendation", None))
+    found = {r.id: [e.stage for e in r.governance_timeline] for r in decide.item_timeline(items(spark), made, last=4).collect()}
+    assert found["i1"] == ["Steward Decision: ESCALATED", "Steward Decision: APPROVED", "Policy Applied (ABAC & Masking)",
+                           "Governed View Updated"]
+    assert found["i3"] == ["Column Discovered in Live Catalog", "AI Classified"]
+
+
+def test_bulk_audit_is_the_audit_of_the_bulk_decisions(spark):
+    for verdict, made in (("approve", decide.bulk_approve), ("reject", decide.bulk_reject)):
+        direct = decide.bulk_audit(items(spark), verdict, S, as_of())
+        by_log = decide.to_audit(items(spark), made(items(spark), items(spark), S, as_of()))
+        assert rows(direct) == rows(by_log) and direct.count() == 3
+    assert decide.bulk_audit(items(spark), "approve", E, as_of()).count() == 0
+
+
+def test_roles_have_what_is_granted_and_nothing_else(spark):
+    df = spark.createDataFrame([(w, p) for w in ("steward@x", "engineer@x", "y@x") for p in ("approve_reject", "view_audit", "new")],
+                               "user_email string, p string")
+    allowed = rows(decide.with_permission(df, F.col("p")).filter("allowed"), "user_email", "p")
+    assert allowed == [("engineer@x", "view_audit"), ("steward@x", "approve_reject"), ("steward@x", "view_audit"), ("y@x", "view_audit")]
+
+
 def test_applying_twice_is_applying_once(derived):
     twice = derived.decisions.unionByName(derived.decisions)
-    columns = ["id", "status", "suggested_tag"]
-    assert rows(decide.apply_decisions(derived.queue, twice, KEY), *columns) == rows(derived.state, *columns)
+    assert rows(decide.apply_decisions(derived.queue, twice, KEY)) == rows(derived.state)
+    assert rows(decide.to_audit(derived.queue, twice, KEY)) == rows(derived.audit)
     assert log.with_new(derived.audit, derived.audit).count() == derived.audit.count()
 
 

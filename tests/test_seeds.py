@@ -127,3 +127,11 @@ def test_decide_on_seed(spark, items):
     events = decide.tag_events(decide.to_audit(items, made))
     assert events.count() == 3
     assert decide.accepted(decide.bulk_approve(items, ids, "engineer@enterprise.com", as_of)).count() == 0
+
+
+def test_schema_events_and_restored_fields(spark, items):
+    assert rows(seeds.schema_events(spark), "event_id", "event_type") == [
+        ("EVT-8092", "SCHEMA_CHANGE"), ("EVT-8093", "NEW_DATA_INGESTION")]
+    row = items.filter("id = 'req-cbp-002'").first()
+    assert (row.ontology_match, row.concept_match) == ("Monetary Dollar Value", "Adjudicated Claim Charge")
+    assert [e.timestamp for e in row.governance_timeline] == ["2026-07-27 12:00", "2026-07-30 08:00"]

@@ -1,5 +1,6 @@
 """Discovery, table reads, writes, value scans."""
 
+import os
 from datetime import datetime
 
 import pytest
@@ -7,8 +8,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from wardline import schemas
+from wardline.operators import audit, classify, protect
 from wardline.operators import catalog as cat
-from wardline.operators import classify, protect
 from wardline.session import shared_dir, work_path
 from wardline.sources import discover, seeds, sinks, tables
 
@@ -50,12 +51,40 @@ def test_append_goes_by_name_and_repeats_leave_no_trace(spark, database):
     sinks.append_audit(shuffled, "brz.governance_audit")
     stored = tables.read(spark, "brz.governance_audit")
     assert stored.count() == 6
-    assert rows(sinks.logged(stored)) == rows(log)
+    assert rows(audit.once(stored)) == rows(log)
 
 
 def test_health(spark, database):
-    found = rows(tables.table_health(spark, ["brz.classification_results", "brz.nothing"]))
-    assert found == [("brz.classification_results", True, 9), ("brz.nothing", False, None)]
+    broken = work_path(spark, "broken")
+    os.makedirs(broken)
+    with open(f"{broken}/part-0.parquet", "w") as out:
+        out.write("not a table")
+    spark.sql(f"CREATE TABLE brz.broken (x INT) USING parquet LOCATION '{broken}'")
+    found = rows(tables.table_health(spark, ["brz.classification_results", "brz.nothing", "brz.broken"]))
+    spark.sql("DROP TABLE brz.broken")
+    assert [r[:3] for r in found] == [
+        ("brz.broken", False, None), ("brz.classification_results", True, 9), ("brz.nothing", False, None)]
+    assert found[0][3] and found[1][3] is None and "brz" in found[2][3]
+
+
+def test_information_schema_listing(spark):
+    listing = spark.createDataFrame(
+        [("brz", "t", "a", "INT", 1), ("brz", "t", "b", "STRING", 2), ("other", "t", "a", "INT", 1)],
+        "table_schema string, table_name string, column_name string, data_type string, ordinal_position int")
+    found = discover.information_schema_columns(spark, "main", "brz", listing)
+    assert found.columns == schemas.COLUMN_INVENTORY.names
+    assert rows(found) == [("main", "brz", "t", "a", "INT", False, 0), ("main", "brz", "t", "b", "STRING", False, 1)]
+
+
+def test_failed_tag_writes_are_returned(spark):
+    inventory = spark.createDataFrame([("s", "t", "a")], "schema_name string, table_name string, column_name string")
+    events = spark.createDataFrame(
+        [("s", "t", "a", "pii:x", "u", datetime(2024, 1, 1), "1"), ("s", "t", "b", "pii:x", "u", datetime(2024, 1, 1), "2"),
+         ("s", "t", "a", " ", "u", datetime(2024, 1, 1), "3")], schemas.COLUMN_TAG_EVENT)
+    target = work_path(spark, "tags")
+    failed = sinks.write_tags(events, inventory, target)
+    assert rows(failed, "decision_id", "outcome") == [("2", "FAILED: no such column"), ("3", "FAILED: no tag")]
+    assert rows(spark.read.parquet(target), "decision_id") == [("1",)]
 
 
 def test_column_comment(spark, database):
@@ -155,7 +184,6 @@ def test_table_policies_and_samples(spark, derived):
     assert [len(values) for _, values in lists] == [2, 2]
 
 
-def test_too_many_policies_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(protect, "MAX_TABLE_COLUMNS", 2)
-    with pytest.raises(ValueError):
-        protect.policies_of(seeds.catalog_entries(spark), "brz", "healthcare_patients_financial")
+def test_too_many_policies_are_refused(spark):
+    with pytest.raises(ValueError, match="more than 2"):
+        protect.policies_of(seeds.catalog_entries(spark), "brz", "healthcare_patients_financial", most=2)

@@ -35,9 +35,13 @@ def test_feed(spark):
     assert rows(run(), "governance_decision_id") == [("a",), ("b",), ("c",), ("d",)]  # nothing new: nothing changes
     assert rows(feed.late_rows(spark.read.parquet(source), taken), "governance_decision_id") == [("late",)]
 
+    assert feed.daily_counts(spark, work_path(spark, "nothing")).collect() == []
     counts, count_state = work_path(spark, "counts"), work_path(spark, "count-state")
     for _ in range(2):
         feed.count_stream(feed.feed(spark, target, schema, 1), counts, count_state).awaitTermination()
     batch = taken.groupBy(F.to_date("timestamp").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    assert rows(feed.daily_counts(spark, counts)) == rows(batch) == [
+    assert rows(feed.daily_counts(spark, counts), "day", "n_decisions") == rows(batch) == [
         (datetime(2024, 1, 1).date(), 2), (datetime(2024, 1, 2).date(), 2)]
+    compacted = work_path(spark, "compacted")
+    feed.compact_counts(spark, counts, compacted)
+    assert rows(feed.daily_counts(spark, compacted)) == rows(feed.daily_counts(spark, counts))

@@ -65,7 +65,6 @@ UNMATCHED = Rule(None, "Unknown", 0.0, "Low", "Unclassified", "No matching gover
 PRIOR_EXPLANATION = "Discovered pre-existing classification in classification_results metadata table."
 BLANK_TAGS = ("", "unclassified", "none")
 RESULTS_TABLE = "classification_results"
-AUDIT_TABLE = "governance_audit"
 
 # Masking policy by tag fragment, first match wins, case-sensitive.
 MASKING_POLICIES = (
@@ -112,16 +111,22 @@ DEFAULT_SOURCE = "Steward Portal Workspace UI"
 BULK_METHOD = "Bulk Approval"
 BULK_COMMENTS = {"APPROVE": "Bulk approved via Workbench", "REJECT": "Bulk rejected via Workbench"}
 
-# Permissions by role. The first two roles may do everything.
-PERMISSIONS = (
-    "view_dashboard", "view_queue", "approve_reject", "view_audit", "view_search", "ask_qa", "manage_settings",
-    "view_orchestrator", "trigger_orchestrator",
-)
-DENIED = {
-    "Governance Steward": (),
-    "Compliance Officer": (),
-    "Data Engineer": ("approve_reject", "manage_settings"),
-    "Read-only Analyst": ("approve_reject", "manage_settings", "trigger_orchestrator"),
+# Permissions granted to each role. What is not listed is not allowed.
+GRANTED = {
+    "Governance Steward": (
+        "view_dashboard", "view_queue", "approve_reject", "view_audit", "view_search", "ask_qa", "manage_settings",
+        "view_orchestrator", "trigger_orchestrator",
+    ),
+    "Compliance Officer": (
+        "view_dashboard", "view_queue", "approve_reject", "view_audit", "view_search", "ask_qa", "manage_settings",
+        "view_orchestrator", "trigger_orchestrator",
+    ),
+    "Data Engineer": (
+        "view_dashboard", "view_queue", "view_audit", "view_search", "ask_qa", "view_orchestrator", "trigger_orchestrator",
+    ),
+    "Read-only Analyst": (
+        "view_dashboard", "view_queue", "view_audit", "view_search", "ask_qa", "view_orchestrator",
+    ),
 }
 # Role by fragment of the e-mail address, first match wins.
 ROLE_BY_EMAIL = (
@@ -161,13 +166,11 @@ AUTO_APPROVAL = 0.95
 ALERT_BELOW = 0.70
 BASE_CLASSIFIED = 20
 TOTAL_COLUMNS = 150
-TOTAL_TABLES = 12
-TOTAL_SCHEMAS = 3
 
-# Value patterns of the content scan: ours, written without look-around or backtracking hazards.
+# Value patterns of the content scan: ours, without upper bounds; possessive, so a long text is read once.
 VALUE_PATTERNS = (
     # (label, tag, needed character, regular expression)
-    ("email", "pii:email", "@", r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63}){1,8}"),
+    ("email", "pii:email", "@", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ssn", "pii:ssn", "-", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("phone", "pii:phone", None, r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}"),
     ("card_number", "financial:account", None, r"[0-9]{13,16}"),

@@ -70,12 +70,17 @@ def summary(audit: DataFrame) -> DataFrame:
     )
 
 
+def once(audit: DataFrame) -> DataFrame:
+    """The log with one row per decision id: a repeated append leaves no trace."""
+    return top_per_key(audit, ["governance_decision_id"], [F.asc("timestamp")])
+
+
 def with_new(audit: DataFrame, new: DataFrame) -> DataFrame:
     """The log with new rows. A row that is already there (same decision id) is not added twice.
 
     The order comes from ``history``, not from the position.
     """
-    return top_per_key(audit.unionByName(new), ["governance_decision_id"], [F.asc("timestamp")])
+    return once(audit.unionByName(new))
 
 
 def table_changes(audit: DataFrame, tables: Sequence[str] = (), limit: int = 10) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
@@ -22,12 +22,12 @@ def with_catalog_rule(df: DataFrame, name_key: str) -> DataFrame:
     return numbered.withColumn("rule_tag", ruled).drop("rule_number")
 
 
-def catalog_view(inventory: DataFrame, prior: DataFrame, class_date: str = CLASS_DATE, keep=(), **skew) -> DataFrame:
+def catalog_view(inventory: DataFrame, prior: DataFrame, class_date: str = CLASS_DATE, keep=()) -> DataFrame:
     """One row per column with tag, policies and status. The results table's own columns stay Unclassified."""
     named = inventory.filter(
         (F.length("column_name") > 0) & ~F.col("column_name").startswith("#") & (F.length("data_type") > 0)
     )
-    joined = join_prior(with_catalog_rule(with_keys(named), "c_key"), prior, **skew)
+    joined = join_prior(with_catalog_rule(with_keys(named), "c_key"), prior)
     own = F.col("t_key") == ref.RESULTS_TABLE
     tag = F.when(own, F.lit("")).when(c.is_blank_tag("prior_tag"), F.col("rule_tag")).otherwise(F.col("prior_tag"))
     return with_policies(joined.withColumn("tag", tag), class_date, keep)
@@ -48,18 +48,23 @@ def with_policies(tagged: DataFrame, class_date: str = CLASS_DATE, keep=()) -> D
     )
 
 
-def search(catalog: DataFrame, query: str) -> DataFrame:
-    """Rows whose schema, table, column or tag contains the query; an empty query gives all rows."""
+def search_hit(query: str) -> Column:
+    """If schema, table, column or tag contains the query; an empty query hits all rows."""
     if not query:
-        return catalog
+        return F.lit(True)
     word = query.lower()
     test = F.lit(False)
     for name in (*PATH, "tag"):
         test = test | F.coalesce(F.lower(F.col(name)).contains(word), F.lit(False))
-    return catalog.filter(test)
+    return test
+
+
+def search(catalog: DataFrame, query: str) -> DataFrame:
+    return catalog.filter(search_hit(query))
 
 
-def column_metadata(catalog: DataFrame, schema: str, table: str, column: str) -> DataFrame:
+def column_metadata(catalog: DataFrame, schema: str | Column, table: str | Column, column: str | Column) -> DataFrame:
+    """The entry of one column; the names may be scalar subqueries."""
     return catalog.filter(
         (F.col("schema_name") == schema) & (F.col("table_name") == table) & (F.col("column_name") == column)
     )

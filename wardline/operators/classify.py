@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
 from wardline.functions.reference_data import Rule
-from wardline.operators.joins import lookup_join, top_per_key
+from wardline.operators.joins import top_per_key
 
 KEYS = ["t_key", "c_key"]
 RULE_FIELDS = ("tag", "category", "confidence", "priority", "native_class", "explanation")
@@ -57,23 +57,24 @@ def rule_table(spark, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
     )
 
 
-MAX_TABLE_RULES = 1000
+def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
+    """As ``classify`` for a rule table of any length.
 
+    The rules become one sorted array, a scalar subquery of the projection: nothing passes through the driver and no
+    column meets a rule in a join. The first rule with a keyword in the name counts.
+    """
+    listed = rules.select(F.struct("rule_order", "keywords", *RULE_FIELDS).alias("rule")).agg(
+        F.array_sort(F.collect_list("rule")).alias("rules")).scalar()
+    keyed = df if "c_key" in df.columns else df.withColumn("c_key", c.clean("column_name"))
+    held = keyed.withColumn("__rules", listed)
 
-def classify_by_table(df: DataFrame, rules: DataFrame, spread_by: Sequence[str]) -> DataFrame:
-    """As ``classify`` for a rule table. The number of rules is checked: they become one expression per row.
+    def matches(rule: Column) -> Column:
+        return F.exists(rule["keywords"], lambda word: F.contains(F.col("c_key"), word))
 
-    Rules are collected (at most ``MAX_TABLE_RULES``, more is an error), so that no join of every column with
-    every keyword arises.
-    """
-    found = rules.orderBy("rule_order").limit(MAX_TABLE_RULES + 1).collect()
-    if len(found) > MAX_TABLE_RULES:
-        raise ValueError(f"more than {MAX_TABLE_RULES} rules")
-    listed = tuple(
-        Rule(r.tag, r.category, r.confidence, r.priority, r.native_class, r.explanation, tuple(r.keywords))
-        for r in found
-    )
-    return classify(df, listed)
+    first = held.withColumn("__rule", F.get(F.filter("__rules", matches), F.lit(0)))
+    return first.select(
+        *keyed.columns, F.col("__rule")["rule_order"].alias("rule_number"),
+        *(F.coalesce(F.col("__rule")[f], F.lit(getattr(ref.UNMATCHED, f))).alias(f"rule_{f}") for f in RULE_FIELDS))
 
 
 def latest_prior(prior: DataFrame) -> DataFrame:
@@ -86,16 +87,15 @@ def latest_prior(prior: DataFrame) -> DataFrame:
     return top_per_key(best.select(*KEYS, "prior_tag", "prior_confidence"), KEYS, order)
 
 
-def join_prior(inventory: DataFrame, prior: DataFrame, **skew) -> DataFrame:
+def join_prior(inventory: DataFrame, prior: DataFrame) -> DataFrame:
     """Inventory with its prior result, by normalised table and column name (the schema is not part of the key)."""
     keyed = inventory if "t_key" in inventory.columns else with_keys(inventory)
-    spread = [name for name in ("schema_name", "table_name", "column_name", "item_key") if name in inventory.columns]
-    return lookup_join(keyed, latest_prior(prior), KEYS, spread, sized_by=inventory, **skew)
+    return keyed.join(latest_prior(prior), KEYS, "left")
 
 
-def merged(inventory: DataFrame, prior: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES, **skew) -> DataFrame:
+def merged(inventory: DataFrame, prior: DataFrame, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
     """A usable prior tag overrides the rules; blank tags fall back to them."""
-    joined = join_prior(numbered(with_keys(inventory), rules), prior, **skew)
+    joined = join_prior(numbered(with_keys(inventory), rules), prior)
     flagged = with_rule_values(joined, rules).withColumn("from_prior", ~c.is_blank_tag("prior_tag"))
     from_prior = {
         "suggested_tag": (F.col("prior_tag"), "tag"),
@@ -116,10 +116,9 @@ def tagged_only(df: DataFrame) -> DataFrame:
     return df.filter(F.col("suggested_tag").isNotNull())
 
 
-def review_queue(inventory: DataFrame, prior: DataFrame, submitted: Column, keep: Sequence[str] = (),
-                 **skew) -> DataFrame:
+def review_queue(inventory: DataFrame, prior: DataFrame, submitted: Column, keep: Sequence[str] = ()) -> DataFrame:
     """The full queue row of every tagged column. ``keep`` names inventory columns to carry along."""
-    rows = tagged_only(merged(discoverable(inventory), prior, **skew)).withColumn("submitted_time", submitted)
+    rows = tagged_only(merged(discoverable(inventory), prior)).withColumn("submitted_time", submitted)
     return rows.select(
         *keep,
         c.item_id("schema_name", "table_name", "column_name").alias("id"),

@@ -7,12 +7,14 @@ approval_duration, approval_method.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
-from wardline.operators.joins import lookup_join, running_last
+from wardline.operators.joins import running_last, top_per_key
 from wardline.operators.queue import pending, selected
 
 ORDER = ["timestamp", "governance_decision_id"]
@@ -24,8 +26,7 @@ def with_permission(df: DataFrame, permission: str | Column = "approve_reject")
     The role matrix is a constant inside the expression, so there is no join.
     """
     wanted = F.lit(permission) if isinstance(permission, str) else permission
-    granted = c.literal_map({f"{role}|{p}": True for role, denied in ref.DENIED.items()
-                             for p in ref.PERMISSIONS if p not in denied})
+    granted = c.literal_map({f"{role}|{p}": True for role, given in ref.GRANTED.items() for p in given})
     asked = df.withColumn("role", c.role_of("user_email")).withColumn("permission", wanted)
     cell = F.try_element_at(granted, F.concat_ws("|", "role", "permission"))
     return asked.withColumn("allowed", F.coalesce(cell, F.lit(False)))
@@ -57,11 +58,21 @@ def resolved(decisions: DataFrame) -> DataFrame:
     )
 
 
-def effective(decisions: DataFrame) -> DataFrame:
-    """Permitted decisions that change something."""
+def changing(decisions: DataFrame) -> DataFrame:
+    """Permitted decisions that change something, as often as they come; works on a stream too."""
     return resolved(accepted(decisions)).filter(F.col("status_after").isNotNull())
 
 
+def effective(decisions: DataFrame) -> DataFrame:
+    """Permitted decisions that change something, each decision id once.
+
+    A log that holds a decision twice gives what it gives without the repetition. Of rows that share an id but differ, the
+    smallest one counts; the choice is made before the shuffle as far as rows of an id are in one task.
+    """
+    rows = changing(decisions)
+    return top_per_key(rows, ["governance_decision_id"], [F.col(n) for n in rows.columns])
+
+
 def no_op(decisions: DataFrame) -> DataFrame:
     """Permitted decisions whose action changes nothing."""
     return resolved(accepted(decisions)).filter(F.col("status_after").isNull())
@@ -102,13 +113,12 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") ->
     ).drop("decided_status", "decided_tag")
 
 
-def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
+def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
     """Effective decisions on items that the queue does not hold."""
-    return lookup_join(effective(decisions), queue.select(key), [key], ["governance_decision_id"], "left_anti",
-                       decisions, **skew)
+    return effective(decisions).join(queue.select(key), key, "left_anti")
 
 
-def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) -> DataFrame:
+def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
     """The governance timeline as rows: two entries per item at the start, one or three per decision.
 
     Rows instead of a growing array, so an item with very many decisions needs no large row.
@@ -121,10 +131,7 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
     start = queue.select(
         key, F.col("submitted_time").alias("event_time"), F.lit("").alias("governance_decision_id")
     )
-    known = lookup_join(
-        effective(decisions).withColumnRenamed("timestamp", "event_time"), queue.select(key), [key],
-        ["governance_decision_id"], "left_semi", decisions, **skew,
-    )
+    known = effective(decisions).withColumnRenamed("timestamp", "event_time").join(queue.select(key), key, "left_semi")
     decided = F.concat(F.lit(ref.STAGE_DECISION), F.col("status_after"))
     applied = [F.lit(s) for s in ref.STAGES_APPROVED]
     stages = F.when(F.col("status_after") == "APPROVED", F.array(decided, *applied)).otherwise(F.array(decided))
@@ -132,21 +139,21 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", **skew) ->
     return listed(start, first).unionByName(listed(known, stages))
 
 
-def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", sized_by: DataFrame | None = None,
-             **skew) -> DataFrame:
+def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
     """One audit row per effective decision on a known item.
 
     previous_tag is the tag in force just before the decision; an approval without a tag of its own confirms it.
     """
-    size = decisions if sized_by is None else sized_by
-    steps = running_last(effective(decisions), key, ORDER, new_steward_tag(), "__before", "timestamp",
-                         sized_by=size, limit=skew.get("limit"))
+    steps = running_last(effective(decisions), key, *ORDER, new_steward_tag(), "__before")
     items = queue.select(
         key, "schema_name", "table_name", "column_name", F.col("suggested_tag").alias("ai_recommendation"),
         "confidence_score",
     )
-    rows = lookup_join(steps, items, [key], ["governance_decision_id"], "inner", size, **skew)
-    rows = rows.withColumn("previous_tag", F.coalesce("__before", "ai_recommendation"))
+    return _audit_rows(steps.join(items, key).withColumn("previous_tag", F.coalesce("__before", "ai_recommendation")))
+
+
+def _audit_rows(rows: DataFrame) -> DataFrame:
+    """Audit rows from resolved decisions that carry their item's columns and previous_tag."""
     kept = F.coalesce(new_steward_tag(), F.col("previous_tag"))
     return rows.select(
         c.audit_id("decision_key").alias("id"),
@@ -176,8 +183,33 @@ def tag_events(audit: DataFrame) -> DataFrame:
     )
 
 
+def item_timeline(queue: DataFrame, decisions: DataFrame, key: str = "id", last: int = 10) -> DataFrame:
+    """The item's last ``last`` timeline entries, oldest first, as an array of (event_time, stage), beside its state.
+
+    The entries are picked by rank before the shuffle, so an item with very many decisions sends no more than that.
+    """
+    newest = [F.desc("event_time"), F.desc("governance_decision_id"), F.desc("step")]
+    entries = top_per_key(timeline(queue, decisions, key), [key], newest, last, "__rank")
+    listed = entries.groupBy(key).agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("__rank")).alias("place"), "event_time", "stage"))).alias("__entries"))
+    history = F.transform("__entries", lambda e: F.struct(e["event_time"].alias("event_time"), e["stage"].alias("stage")))
+    state = apply_decisions(queue, decisions, key)
+    return state.join(listed, key, "left").withColumn("governance_timeline", history).drop("__entries")
+
+
+def bulk_audit(items: DataFrame, verdict: str, email: str, as_of: Column, key: str = "id") -> DataFrame:
+    """Audit rows of one bulk decision on the selected items, straight from the items: ``verdict`` is approve or reject.
+
+    Each item has one new decision and its present tag before it, so nothing needs to be joined.
+    """
+    made = (bulk_approve if verdict == "approve" else bulk_reject)
+    own = ["schema_name", "table_name", "column_name", "suggested_tag", "confidence_score"]
+    rows = made(items, None, email, as_of, key, own).withColumnRenamed("suggested_tag", "ai_recommendation")
+    return _audit_rows(changing(rows).withColumn("previous_tag", F.col("ai_recommendation")))
+
+
 def _as_decisions(items: DataFrame, key: str, prefix: str, action: str, email: str, as_of: Column, method: str,
-                  comments: str | None, tag: Column) -> DataFrame:
+                  comments: str | None, tag: Column, keep: Sequence[str] = ()) -> DataFrame:
     name = F.concat_ws("-", F.lit(prefix), F.col(key).cast("string"), c.second_text(as_of))
     return items.select(
         name.alias("decision_key"),
@@ -189,19 +221,22 @@ def _as_decisions(items: DataFrame, key: str, prefix: str, action: str, email: s
         F.lit(comments).cast("string").alias("comments"),
         F.lit(None).cast("string").alias("approval_duration"),
         F.lit(method).alias("approval_method"),
+        *keep,
     )
 
 
-def bulk_approve(queue: DataFrame, ids: DataFrame, email: str, as_of: Column, key: str = "id") -> DataFrame:
-    """Decisions that approve every selected item with its present tag."""
-    return _as_decisions(selected(queue, ids, key), key, "bulk-approve", "Approve Recommendation", email, as_of,
-                         ref.BULK_METHOD, ref.BULK_COMMENTS["APPROVE"], F.col("suggested_tag"))
+def bulk_approve(queue: DataFrame, ids: DataFrame | None, email: str, as_of: Column, key: str = "id",
+                 keep: Sequence[str] = ()) -> DataFrame:
+    """Decisions that approve every selected item (all, without ``ids``) with its present tag. ``keep`` names item columns."""
+    return _as_decisions(queue if ids is None else selected(queue, ids, key), key, "bulk-approve", "Approve Recommendation", email, as_of,
+                         ref.BULK_METHOD, ref.BULK_COMMENTS["APPROVE"], F.col("suggested_tag"), keep)
 
 
-def bulk_reject(queue: DataFrame, ids: DataFrame, email: str, as_of: Column, key: str = "id") -> DataFrame:
-    """Decisions that reject every selected item; no tag is written."""
-    return _as_decisions(selected(queue, ids, key), key, "bulk-reject", "Reject Recommendation", email, as_of,
-                         ref.BULK_METHOD, ref.BULK_COMMENTS["REJECT"], F.lit(None))
+def bulk_reject(queue: DataFrame, ids: DataFrame | None, email: str, as_of: Column, key: str = "id",
+                keep: Sequence[str] = ()) -> DataFrame:
+    """Decisions that reject every selected item (all, without ``ids``); no tag is written."""
+    return _as_decisions(queue if ids is None else selected(queue, ids, key), key, "bulk-reject", "Reject Recommendation", email, as_of,
+                         ref.BULK_METHOD, ref.BULK_COMMENTS["REJECT"], F.lit(None), keep)
 
 
 AUTO_EMAIL = "auto-steward@system"

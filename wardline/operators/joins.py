@@ -1,4 +1,8 @@
-"""Joins and per-key picks that stay balanced when one key holds a large share of the rows."""
+"""Per-key picks and running values that stay balanced when one key holds a large share of the rows.
+
+Lookups need no helper here: they are plain joins with a side of one row per key, of which Spark splits the large partitions
+at run time (adaptive skew join), whatever their number.
+"""
 
 from __future__ import annotations
 
@@ -7,26 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A hot-key list never exceeds this many rows, so it can be broadcast. A key left out of it holds less than
-# 1/MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 1024
-HOT_ROWS = 1_000_000
-SALTS = 64
-# Up to this size (as Spark estimates it) a frame fits one task even if all its rows share one key. Spark itself
-# calls a partition skewed only from 256 MB on; the lower figure allows for compression.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
-def fits_one_task(df: DataFrame, limit: int | None = None) -> bool:
-    """True if Spark's own size estimate of the frame is proof that no key can be too large for a task.
-
-    Nothing is run for this. Estimates behind joins are far too high, so pass the frame as it was read.
-    """
-    if not hasattr(df, "_jdf"):  # a remote session shows no estimate
-        return False
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size <= (ONE_TASK_BYTES if limit is None else limit)
-
 
 def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1,
                 rank: str | None = None) -> DataFrame:
@@ -41,71 +25,44 @@ def top_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Col
     return kept if rank else kept.drop(name)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], min_rows: int) -> DataFrame:
-    """The most frequent keys with at least ``min_rows`` rows; counts are combined before the shuffle."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") >= min_rows)
-    for key in keys:
-        counts = counts.filter(F.col(key).isNotNull())
-    return counts.orderBy(F.desc("__rows"), *keys).limit(MAX_HOT_KEYS).select(*keys)
-
-
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], spread_by: Sequence[str], how: str = "left",
-                sized_by: DataFrame | None = None, min_rows: int | None = None, salts: int | None = None,
-                limit: int | None = None) -> DataFrame:
-    """Equi-join of ``left`` with a side that has at most one row per key.
-
-    If the left side as a whole fits one task, this is a plain join. Otherwise keys that are frequent on the left
-    are split by a hash of ``spread_by`` (columns that tell left rows apart) into ``salts`` parts, and only their
-    rows on the right are repeated. Left rows with a NULL key are spread too. Sizes and the choice of hot keys
-    affect the speed alone, never the result.
-
-    ``sized_by`` is the frame whose size stands for the left side, where that one has joins behind it.
-    """
-    if fits_one_task(left if sized_by is None else sized_by, limit):
-        return left.join(right, list(keys), how)
-    min_rows, salts = min_rows or HOT_ROWS, salts or SALTS
-    hot = F.broadcast(hot_keys(left, keys, min_rows).withColumn("__hot", F.lit(True)))
-    part = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    no_key = F.lit(False)
-    for key in keys:
-        no_key = no_key | F.col(key).isNull()
-    salted = (
-        left.join(hot, list(keys), "left")
-        .withColumn("__salt", F.when(F.col("__hot") | no_key, part).otherwise(F.lit(0)))
-        .drop("__hot")
-    )
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, list(keys), "left").withColumn("__salt", F.explode(copies)).drop("__hot")
-    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
-
-
-def running_last(df: DataFrame, key: str, order: Sequence[str], value: Column, name: str, when: str,
-                 width: str = "hour", sized_by: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    """Per row, the last non-NULL ``value`` of the same key strictly before it.
+def running_last(df: DataFrame, key: str, when: str, tie: str, value: Column, name: str) -> DataFrame:
+    """Per row, the last non-NULL ``value`` of the same key strictly before it, in the order of ``when`` and ``tie``.
 
-    One window if the rows fit one task. Otherwise in two levels, so that a key with very many rows is not ordered
-    in one task: inside each (key, time bucket) by a window, and across buckets by a window over one summary row
-    per bucket. ``width`` is the bucket size for ``date_trunc``.
+    Rows are ordered in cells only: one key, one time, and one beginning (two characters) of ``tie``, a hash in text form.
+    What is carried into a cell comes from summaries with one row per cell, second and hour, each ordered inside the next: cells
+    inside a second, seconds inside an hour, hours inside a key. So no task orders all rows of a key, however many it has
+    and however close in time they are. NULL keys and times are keys and times like others.
     """
-    if fits_one_task(df if sized_by is None else sized_by, limit):
-        before = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(name, F.last(value, ignorenulls=True).over(before))
-    place = F.struct(*order)
-    rows = df.withColumn("__bucket", F.date_trunc(width, when).cast("timestamp_ntz")).withColumn("__value", value)
-    summary = rows.groupBy(key, "__bucket").agg(
-        F.max(F.when(F.col("__value").isNotNull(), F.struct(place.alias("place"), F.col("__value").alias("v"))))
-        .getField("v").alias("__bucket_last")
-    )
-    across = Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.select(
-        key, "__bucket", F.last("__bucket_last", ignorenulls=True).over(across).alias("__carried")
-    )
-    inside = (
-        Window.partitionBy(key, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        rows.withColumn("__inside", F.last("__value", ignorenulls=True).over(inside))
-        .join(carried, [key, "__bucket"], "left")
-        .withColumn(name, F.coalesce("__inside", "__carried"))
-        .drop("__bucket", "__value", "__inside", "__carried")
-    )
+    marks = {
+        "__key": F.col(key),
+        "__hour": F.date_trunc("hour", when).cast("timestamp_ntz"),
+        "__second": F.date_trunc("second", when).cast("timestamp_ntz"),
+        "__time": F.col(when),
+        "__start": F.substring(F.col(tie).cast("string"), 1, 2),
+    }
+    names = list(marks)
+    rows = df.withColumns(marks | {"__value": value})
+
+    def before(keys: Sequence[str], order: Sequence[str], last: Column) -> Column:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.last(last, ignorenulls=True).over(window)
+
+    def joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Left join on equal or both missing keys."""
+        other = right.select(*(F.col(k).alias(f"{k}_r") for k in keys), "__carried")
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"{k}_r"))
+        return left.join(other, same, "left").drop(*(f"{k}_r" for k in keys))
+
+    place = F.struct(when, tie)
+    last = F.max(F.when(F.col("__value").isNotNull(), F.struct(place.alias("place"), F.col("__value").alias("v"))))
+    cells = rows.groupBy(*names).agg(last.alias("__last"))
+    seconds = cells.groupBy(*names[:3]).agg(F.max("__last").alias("__last"))
+    hours = seconds.groupBy(*names[:2]).agg(F.max("__last").alias("__last"))
+    carried = hours.withColumn("__carried", before(["__key"], ["__hour"], F.col("__last")["v"]))
+    for level, keys, order in ((seconds, names[:2], ["__second"]), (cells, names[:3], ["__time", "__start"])):
+        own = level.withColumn("__own", before(keys, order, F.col("__last")["v"]))
+        carried = joined(own, carried, keys).withColumn("__carried", F.coalesce("__own", "__carried"))
+    inside = rows.withColumn("__inside", before(names, [when, tie], F.col("__value")))
+    return joined(inside, carried, names).withColumn(name, F.coalesce("__inside", "__carried")).select(*df.columns, name)

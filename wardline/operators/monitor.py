@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
-from wardline.operators.joins import lookup_join, top_per_key
+from wardline.operators.joins import top_per_key
 
 PATH = ["schema_name", "table_name", "column_name"]
 
@@ -59,8 +59,7 @@ def with_concept(items: DataFrame, concepts: DataFrame | None = None) -> DataFra
 # --- similar columns -------------------------------------------------------------------------------------------
 
 
-def similar_columns(items: DataFrame, classified: DataFrame, key: str, name: str = "column_name", k: int = 3,
-                    sized_by: DataFrame | None = None, **skew) -> DataFrame:
+def similar_columns(items: DataFrame, classified: DataFrame, name: str = "column_name", k: int = 3) -> DataFrame:
     """For each item: classified columns of the same name in other tables.
 
     Gives their number, the most common tag among all of them and the first ``k`` as an array of (path, tag).
@@ -85,8 +84,7 @@ def similar_columns(items: DataFrame, classified: DataFrame, key: str, name: str
     facts = by_name.join(examples, name)
     asked = items.withColumn("__table", table)
     own = per_table.select(name, "__table", F.col("n").alias("n_own"))
-    joined = lookup_join(asked, own, [name, "__table"], [key], sized_by=sized_by, **skew)
-    joined = lookup_join(joined, facts, [name], [key], sized_by=sized_by, **skew)
+    joined = asked.join(own, [name, "__table"], "left").join(facts, name, "left")
     others = F.filter(F.coalesce("heads", F.array().cast("array<struct<path:string,tag:string>>")),
                       lambda h: h["path"] != F.col("__table"))
     found = joined.withColumn(

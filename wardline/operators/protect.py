@@ -12,18 +12,6 @@ from wardline.functions import masks
 from wardline.functions import reference_data as ref
 from wardline.operators.joins import top_per_key
 
-MAX_TABLE_COLUMNS = 10_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a plain scan that has fewer parts than the cluster has cores, leave any other as it is.
-
-    For work that is heavy per row. A large table already has many parts and is not shuffled.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() * 2 <= wanted else df
-
-
 def hits(text: Column, needed: str | None, pattern: str) -> Column:
     """Matches of the pattern in the whole text. The cheap test for a needed character saves most evaluations."""
     found = F.regexp_count(text, F.lit(pattern))
@@ -72,9 +60,9 @@ def suggested_tags(scan: DataFrame, min_rate: float = 0.5) -> DataFrame:
     return top_per_key(good, ["column_name"], [F.desc("hit_rate"), F.asc("tag")])
 
 
-def mask_table(df: DataFrame, policies: Mapping[str, str]) -> DataFrame:
-    """The table with some columns masked: one projection, all other columns untouched."""
-    return df.withColumns({name: masks.by_policy(name, policy) for name, policy in policies.items()})
+def mask_table(df: DataFrame, policies: Mapping[str, str], secret: str | None = None) -> DataFrame:
+    """The table with some columns masked: one projection, all other columns untouched. ``secret`` is for pseudonyms."""
+    return df.withColumns({name: masks.by_policy(name, policy, secret) for name, policy in policies.items()})
 
 
 def mask_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -82,35 +70,47 @@ def mask_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({name: masks.free_text(name) for name in columns})
 
 
-def policies_of(catalog: DataFrame, schema: str, table: str) -> dict[str, str]:
-    """The masking policies of one table, for ``mask_table``. The size is that of one table's column list."""
+def policies_of(catalog: DataFrame, schema: str, table: str, most: int = 10_000) -> dict[str, str]:
+    """The masking policies of one table, for ``mask_table``: one table's column list, ``most`` columns (more is an error)."""
     rows = (
         catalog.filter((F.col("schema_name") == schema) & (F.col("table_name") == table))
         .filter(F.col("masking_policy") != c.NONE)
         .select("column_name", "masking_policy")
-        .limit(MAX_TABLE_COLUMNS + 1)
+        .limit(most + 1)
         .collect()
     )
-    if len(rows) > MAX_TABLE_COLUMNS:
-        raise ValueError(f"more than {MAX_TABLE_COLUMNS} masked columns in {schema}.{table}")
+    if len(rows) > most:
+        raise ValueError(f"more than {most} masked columns in {schema}.{table}")
     return {r.column_name: r.masking_policy for r in rows}
 
 
-def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct non-empty values as (column_name, value) rows, made distinct before the shuffle."""
-    pairs = F.array(
-        *[F.struct(F.lit(n).alias("column_name"), F.col(n).cast("string").alias("value")) for n in columns]
-    )
-    rows = df.select(F.explode(pairs).alias("pair")).select("pair.column_name", "pair.value")
-    return rows.filter(F.length("value") > 0).distinct()
-
+def masked_samples(df: DataFrame, policies: Mapping[str, str], k: int = 3, secret: str | None = None) -> DataFrame:
+    """``k`` masked sample values per column: distinct non-empty values, picked by hash so that the choice is stable.
 
-def masked_samples(df: DataFrame, policies: Mapping[str, str], k: int = 3) -> DataFrame:
-    """``k`` masked sample values per column, picked by hash so that the choice is stable."""
-    values = column_values(df, list(policies)).withColumn("pick", F.md5("value"))
-    picked = top_per_key(values, ["column_name"], [F.asc("pick"), F.asc("value")], k, "sample_number")
-    policy = F.try_element_at(c.literal_map(dict(policies)), F.col("column_name"))
-    return picked.select("column_name", "sample_number", masks.by_policy_column("value", policy).alias("masked_value"))
+    ``k`` rounds, each over the table with one aggregate per column: the smallest (hash, value) above the one found before. A
+    task sends one row per round, whatever the number of values, and the columns are not exploded.
+    """
+    names = list(policies)
+
+    def pick(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.when(F.length(text) > 0, F.struct(F.md5(text).alias("pick"), text.alias("value")))
+
+    picks = df.select(*(pick(n).alias(f"c{i}") for i, n in enumerate(names)))
+    rounds: list[Column] = []
+    for _ in range(k):
+        wanted = [
+            F.min(F.when(F.col(f"c{i}") > rounds[-1][f"c{i}"], F.col(f"c{i}")) if rounds else F.col(f"c{i}")).alias(f"c{i}")
+            for i in range(len(names))
+        ]
+        rounds.append(picks.agg(F.struct(*wanted).alias("found")).scalar())
+    listed = F.array(*(
+        F.struct(F.lit(n).alias("column_name"), F.lit(number).alias("sample_number"),
+                 masks.by_policy(found[f"c{i}"]["value"], policies[n], secret).alias("masked_value"))
+        for number, found in enumerate(rounds, 1) for i, n in enumerate(names)
+    ))
+    rows = df.sparkSession.range(1).select(F.explode(listed).alias("sample")).select("sample.*")
+    return rows.filter(F.col("masked_value").isNotNull())
 
 
 def sample_lists(samples: DataFrame) -> DataFrame:

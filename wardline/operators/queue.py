@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
-from wardline.operators.joins import lookup_join, top_per_key
+from wardline.operators.joins import top_per_key
 
 
 def one_of(choices: dict[str, Sequence]) -> Column:
@@ -37,7 +37,7 @@ def filter_queue(queue: DataFrame, schemas: Sequence[str] = (), priorities: Sequ
     return queue.filter(test & (F.col("confidence_score") >= min_confidence))
 
 
-def by_id(queue: DataFrame, item_id: str) -> DataFrame:
+def by_id(queue: DataFrame, item_id: str | Column) -> DataFrame:
     return queue.filter(F.col("id") == item_id)
 
 
@@ -71,7 +71,7 @@ def display_rows(queue: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def similar_links(queue: DataFrame, sized_by: DataFrame | None = None, **skew) -> DataFrame:
+def similar_links(queue: DataFrame) -> DataFrame:
     """Each similar column of each item with the queue item behind it; none means it was already reviewed."""
     links = queue.select("id", F.explode("similar_columns_metrics").alias("similar")).select(
         "id", F.col("similar.name").alias("name"), F.col("similar.similarity").alias("similarity")
@@ -80,7 +80,7 @@ def similar_links(queue: DataFrame, sized_by: DataFrame | None = None, **skew) -
         c.qualified("schema_name", "table_name", "column_name").alias("name"), F.col("id").alias("linked_id")
     )
     targets = top_per_key(paths, ["name"], [F.asc("linked_id")])
-    joined = lookup_join(links, targets, ["name"], ["id"], sized_by=sized_by, **skew)
+    joined = links.join(targets, "name", "left")
     return joined.withColumn("already_reviewed", F.col("linked_id").isNull())
 
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import reference_data as ref
 from wardline.operators import audit as log
-from wardline.operators.queue import alerts, pending
+from wardline.operators import catalog as cat
+from wardline.operators.joins import top_per_key
+from wardline.operators.queue import pending
 
 
 def _n() -> Column:
@@ -140,19 +144,22 @@ def decision_text() -> Column:
 
 
 def notifications(items: DataFrame, n_alerts: int = 2, n_pending: int = 4, n_approved: int = 2) -> DataFrame:
-    """The heads of three lists, oldest first."""
-
-    def head(df: DataFrame, section: str, n: int) -> DataFrame:
-        return df.orderBy("submitted_time", "id").limit(n).select(
-            F.lit(section).alias("section"), "id", "table_name", "column_name", "suggested_tag", "confidence_score"
-        )
-
-    approved = items.filter(F.col("status") == "APPROVED")
-    return (
-        head(alerts(items), "alert", n_alerts)
-        .unionByName(head(pending(items), "pending", n_pending))
-        .unionByName(head(approved, "approved", n_approved))
+    """The heads of three lists, oldest first, from one pass: a row is sent once for each list whose head it may be in."""
+    is_pending = F.col("status") == "PENDING"
+    sections = F.filter(
+        F.array(
+            F.when(is_pending & (F.col("confidence_score") < ref.ALERT_BELOW), F.lit("alert")),
+            F.when(is_pending, F.lit("pending")),
+            F.when(F.col("status") == "APPROVED", F.lit("approved")),
+        ),
+        lambda s: s.isNotNull(),
     )
+    shown = ["id", "table_name", "column_name", "suggested_tag", "confidence_score"]
+    listed = items.select(F.explode(sections).alias("section"), "submitted_time", *shown)
+    most = {"alert": n_alerts, "pending": n_pending, "approved": n_approved}
+    heads = top_per_key(listed, ["section"], [F.asc("submitted_time"), F.asc("id")], max(most.values()), "__rank")
+    wanted = F.try_element_at(c.literal_map(most), F.col("section"))
+    return heads.filter(F.col("__rank") <= wanted).select("section", *shown)
 
 
 def average_review_seconds(audit: DataFrame) -> DataFrame:
@@ -177,15 +184,19 @@ def top_tags(items: DataFrame, k: int = 10) -> DataFrame:
     return per_tag.orderBy(F.desc("n_items"), "suggested_tag").limit(k)
 
 
-def row_counts(queue_hits: DataFrame, catalog_hidden: DataFrame, audit_hits: DataFrame, open_items: DataFrame
-               ) -> DataFrame:
-    """Sizes of four lists: search hits, hidden unclassified columns, filtered audit rows, notifications."""
-    named = {"search_hits": queue_hits, "hidden_unclassified": catalog_hidden, "audit_rows": audit_hits,
-             "notifications": open_items}
-    parts = [df.agg(_n().alias("n")).select(F.lit(name).alias("list"), "n") for name, df in named.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+def list_sizes(catalog: DataFrame, audit: DataFrame, items: DataFrame, query: str, decisions: Sequence[str]) -> DataFrame:
+    """Sizes of four lists: search hits, hidden unclassified columns, filtered audit rows, notifications.
+
+    Each source is read once; all its sizes are counts of conditions.
+    """
+    from_catalog = cat.explorer_masks(catalog).agg(
+        F.count_if(cat.search_hit(query)).alias("search_hits"), F.count_if("is_unclassified").alias("hidden_unclassified"))
+    from_log = audit.agg(F.count_if(F.col("decision").isin(*decisions)).alias("audit_rows"))
+    from_items = items.agg(F.count_if(F.col("status") == "PENDING").alias("notifications"))
+    out = None
+    for df in (from_catalog, from_log, from_items):
+        part = df.unpivot([], df.columns, "list", "n")
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -114,23 +114,14 @@ class Derived:
         """Earlier results for the urgent orders' columns, with blank, odd and doubled entries."""
         key = F.col(KEY)
         urgent = self.inventory.filter(F.col("urgency") == "1-URGENT")
-        first = urgent.select(
-            "table_name",
-            "column_name",
-            pick(PRIOR_TAGS, KEY).alias("class_tag"),
-            "data_type",
-            pick(PRIOR_CONFIDENCES, KEY).alias("confidence"),
-            F.lit("['***masked***']").alias("samples"),
-        )
-        doubled = urgent.filter(F.col("progress") == "F").select(
-            F.concat(F.lit(" "), F.upper("table_name")).alias("table_name"),
-            "column_name",
-            F.lit("pii:email").alias("class_tag"),
-            "data_type",
-            F.lit("0.91").alias("confidence"),
-            F.lit("['***masked***']").alias("samples"),
-        )
-        return first.unionByName(doubled)
+        first = F.struct(F.col("table_name"), pick(PRIOR_TAGS, KEY).alias("class_tag"),
+                         pick(PRIOR_CONFIDENCES, KEY).alias("confidence"))
+        second = F.struct(F.concat(F.lit(" "), F.upper("table_name")).alias("table_name"),
+                          F.lit("pii:email").alias("class_tag"), F.lit("0.91").alias("confidence"))
+        entries = F.when(F.col("progress") == "F", F.array(first, second)).otherwise(F.array(first))
+        return urgent.select("column_name", "data_type", F.explode(entries).alias("entry")).select(
+            "entry.table_name", "column_name", "entry.class_tag", "data_type", "entry.confidence",
+            F.lit("['***masked***']").alias("samples"))
 
     @cached_property
     def queue(self) -> DataFrame:

@@ -121,7 +121,7 @@ def _(d):
 def _(d):
     for name in TABLES:
         d.table(name).createOrReplaceTempView(f"wardline_{name}")
-    health = tables.table_health(d.spark, [f"wardline_{t}" for t in TABLES])
+    health = tables.table_health(d.spark, [f"wardline_{t}" for t in TABLES]).drop("error")
     return health.withColumn("table_name", F.regexp_replace("table_name", "^wardline_", ""))
 
 
@@ -165,7 +165,7 @@ def _(d):
     target = work_path(d.spark, "log")
     sinks.append_audit(d.audit, target)
     sinks.append_audit(d.audit, target)
-    return sinks.logged(d.spark.read.schema(schemas.GOVERNANCE_AUDIT).parquet(target))
+    return log.once(d.spark.read.schema(schemas.GOVERNANCE_AUDIT).parquet(target))
 
 
 @query("k5_tag_write_back", """
@@ -178,6 +178,17 @@ def _(d):
     return cat.current_tags(d.spark.read.schema(schemas.COLUMN_TAG_EVENT).parquet(target))
 
 
+@query("k5_failed_writes", """
+SELECT schema_name, table_name, column_name, new_tag AS tag, governance_decision_id AS decision_id, 'FAILED: no such column' AS outcome
+FROM aud WHERE decision IN ('APPROVE', 'MODIFY') AND (schema_name, table_name, column_name) NOT IN (
+  SELECT (schema_name, table_name, column_name) FROM inv WHERE item_key % 8 <> 0)""")
+def _(d):
+    """Tag writes to columns that are gone are returned with their outcome; the others are written."""
+    left = d.inventory.filter(F.col(KEY) % 8 != 0)
+    failed = sinks.write_tags(decide.tag_events(d.audit), left, work_path(d.spark, "tags"))
+    return failed.select("schema_name", "table_name", "column_name", "tag", "decision_id", "outcome")
+
+
 @query("k6_export_audit_csv", f"""
 SELECT * REPLACE (nullif(comments, '') AS comments) FROM (SELECT {SQL_AUDIT} FROM aud WHERE decision IN ('APPROVE', 'MODIFY'))""")
 def _(d):
@@ -419,14 +430,14 @@ def _(d):
 SELECT schema_name, table_name, column_name, tag, status FROM cat ORDER BY schema_name, table_name, column_name LIMIT 1""")
 def _(d):
     path = ["schema_name", "table_name", "column_name"]
-    schema, table, column = d.inventory.agg(F.min(F.struct(*path)).alias("p")).first().p
-    return cat.column_metadata(d.catalog, schema, table, column).select(*path, "tag", "status")
+    first = d.inventory.agg(F.min(F.struct(*path)).alias("p")).scalar()
+    return cat.column_metadata(d.catalog, *(first[name] for name in path)).select(*path, "tag", "status")
 
 
 @query("f11_item_by_id", "SELECT id, suggested_tag, status FROM st WHERE id = (SELECT min(id) FROM q WHERE base_name = 'ssn')")
 def _(d):
     named = d.inventory.filter("base_name = 'ssn'")
-    first = named.agg(F.min(c.item_id("schema_name", "table_name", "column_name"))).first()[0]
+    first = named.agg(F.min(c.item_id("schema_name", "table_name", "column_name"))).scalar()
     return queue.by_id(d.state, first).select("id", "suggested_tag", "status")
 
 
@@ -464,7 +475,7 @@ def _(d):
 @query("c1_rule_table_classifier", SQL_RULED)
 def _(d):
     rules = classify.rule_table(d.spark)
-    return classify.classify_by_table(d.inventory, rules, [KEY]).select(KEY, *RULE_COLUMNS)
+    return classify.classify_by_table(d.inventory, rules).select(KEY, *RULE_COLUMNS)
 
 
 @query("c2_catalog_classifier", """
@@ -508,7 +519,7 @@ SELECT i.item_key, coalesce(nullif(p.prior_tag, ''), '(none)') AS prior_tag FROM
 LEFT JOIN best_prior p ON p.t_key = i.table_name AND p.c_key = i.column_name""")
 def _(d):
     """The same join with every key treated as hot: the result must not change."""
-    joined = classify.join_prior(d.inventory, d.prior, min_rows=1, salts=4, limit=0)
+    joined = classify.join_prior(d.inventory, d.prior)
     return joined.select(KEY, F.coalesce(F.nullif(F.col("prior_tag"), F.lit("")), F.lit("(none)")).alias("prior_tag"))
 
 
@@ -536,7 +547,7 @@ def _(d):
     linked = queue.pending(d.state).withColumn("similar_columns_metrics", F.array(
         F.struct(path.alias("name"), F.lit(97.0).alias("similarity")),
         F.struct(gone.alias("name"), F.lit(90.0).alias("similarity"))))
-    return queue.similar_links(linked, sized_by=d.inventory)
+    return queue.similar_links(linked)
 
 
 @query("j6_permissions", """
@@ -702,9 +713,7 @@ UNION ALL SELECT 'hidden_unclassified', count(*) FROM cat WHERE NOT regexp_match
 UNION ALL SELECT 'audit_rows', count(*) FROM aud WHERE decision = 'REJECT'
 UNION ALL SELECT 'notifications', count(*) FROM st WHERE status = 'PENDING'""")
 def _(d):
-    hidden = cat.explorer_masks(d.catalog).filter("is_unclassified")
-    return report.row_counts(cat.search(d.catalog, "ssn"), hidden,
-                             log.filter_audit(d.audit, decisions=["REJECT"]), queue.pending(d.state))
+    return report.list_sizes(d.catalog, d.audit, d.state, "ssn", ["REJECT"])
 
 
 # --- last write, state, order ----------------------------------------------------------------------------------
@@ -715,18 +724,24 @@ def _(d):
     return classify.latest_prior(d.prior)
 
 
-@query("w2_timeline", """
-WITH t AS (
+SQL_TIMELINE = """t AS (
   SELECT item_key, submitted_time AS event_time, '' AS governance_decision_id, unnest([0, 1]) AS step,
     unnest(['Column Discovered in Live Catalog', 'AI Classified']) AS stage FROM q
   UNION ALL SELECT item_key, timestamp, governance_decision_id, 0, concat('Steward Decision: ', status_after) FROM steps
   UNION ALL SELECT item_key, timestamp, governance_decision_id, unnest([1, 2]),
-    unnest(['Policy Applied (ABAC & Masking)', 'Governed View Updated']) FROM steps WHERE status_after = 'APPROVED')
-SELECT * FROM t""")
+    unnest(['Policy Applied (ABAC & Masking)', 'Governed View Updated']) FROM steps WHERE status_after = 'APPROVED')"""
+
+
+@query("w2_timeline", f"WITH {SQL_TIMELINE} SELECT * FROM t")
 def _(d):
     return decide.timeline(d.queue, d.decisions, KEY)
 
 
+@query("w2_repeated_log", f"WITH {SQL_TIMELINE} SELECT * FROM t")
+def _(d):
+    return decide.timeline(d.queue, d.decisions.unionByName(d.decisions), KEY)
+
+
 @query("l1_audit_newest_first", "SELECT governance_decision_id, timestamp, decision FROM aud")
 def _(d):
     return log.history(d.audit).select("governance_decision_id", "timestamp", "decision")
@@ -794,11 +809,13 @@ SELECT concat('aud-', substr(sha256(k), 1, 12)), concat('GD-', substr(sha256(con
   confidence_score, '30s', 'Bulk Approval', 'Steward Portal Workspace UI'
 FROM (SELECT *, concat('bulk-reject-', CAST(item_key AS VARCHAR), '-2024-02-01 00:00:00') AS k FROM st WHERE status = 'ESCALATED')""")
 def _(d):
-    """The log, the log again and new bulk decisions: old rows stay single, new ones are added."""
+    """The stored log, the log again and new bulk decisions: old rows stay single, new ones are added."""
+    target = work_path(d.spark, "log")
+    sinks.append_audit(d.audit, target)
+    stored = d.spark.read.schema(schemas.GOVERNANCE_AUDIT).parquet(target)
     escalated = d.state.filter(F.col("status") == "ESCALATED")
-    new = decide.bulk_reject(d.state, escalated, "steward@example.com", d.as_of, KEY)
-    added = decide.to_audit(d.state, new, KEY, sized_by=d.inventory)
-    return log.with_new(d.audit, d.audit.unionByName(added))
+    added = decide.bulk_audit(escalated, "reject", "steward@example.com", d.as_of, KEY)
+    return log.with_new(stored, stored.unionByName(added))
 
 
 # --- decisions -------------------------------------------------------------------------------------------------
@@ -809,6 +826,29 @@ def _(d):
     return d.state.select("id", "suggested_tag", "status", "decided_at", "decided_by", "n_decisions")
 
 
+def _repeated(d: Derived) -> DataFrame:
+    """The decision log with every row twice, in another order."""
+    return d.decisions.unionByName(d.decisions).orderBy(F.xxhash64("decision_key", "user_email"))
+
+
+@query("d1_repeated_log", "SELECT id, suggested_tag, status, decided_at, decided_by, n_decisions FROM st")
+def _(d):
+    return decide.apply_decisions(d.queue, _repeated(d), KEY).select(
+        "id", "suggested_tag", "status", "decided_at", "decided_by", "n_decisions")
+
+
+@query("d1_item_timeline", f"""
+WITH {SQL_TIMELINE}, r AS (SELECT *, row_number() OVER (PARTITION BY item_key ORDER BY event_time DESC, governance_decision_id DESC, step DESC) AS place
+  FROM t QUALIFY place <= 4)
+SELECT q.id, string_agg(r.stage, ' > ' ORDER BY place DESC) AS history, max(r.event_time) AS last_event FROM q JOIN r USING (item_key) GROUP BY ALL""")
+def _(d):
+    """Each item with its last four timeline entries."""
+    items = decide.item_timeline(d.queue, d.decisions, KEY, 4)
+    entries = F.col("governance_timeline")
+    return items.select("id", F.array_join(F.transform(entries, lambda e: e["stage"]), " > ").alias("history"),
+                        F.element_at(entries, -1)["event_time"].alias("last_event"))
+
+
 @query("d1_unknown_items", "SELECT governance_decision_id, item_key, action FROM eff WHERE item_key NOT IN (SELECT item_key FROM q)")
 def _(d):
     return decide.unknown_items(d.queue, d.decisions, KEY).select("governance_decision_id", KEY, "action")
@@ -841,16 +881,14 @@ BULK_COLUMNS = ("governance_decision_id", "timestamp", "schema_name", "table_nam
 
 @query("d3_bulk_approve", _bulk_sql("approve", "Bulk approved", "APPROVE", "suggested_tag"))
 def _(d):
-    ids = d.queue.filter(F.col("priority") == "Critical")
-    rows = decide.bulk_approve(d.queue, ids, "steward@example.com", d.as_of, KEY)
-    return decide.to_audit(d.queue, rows, KEY, sized_by=d.inventory).select(*BULK_COLUMNS)
+    items = d.queue.filter(F.col("priority") == "Critical")
+    return decide.bulk_audit(items, "approve", "steward@example.com", d.as_of, KEY).select(*BULK_COLUMNS)
 
 
 @query("d4_bulk_reject", _bulk_sql("reject", "Bulk rejected", "REJECT", "'None'"))
 def _(d):
-    ids = d.queue.filter(F.col("priority") == "Critical")
-    rows = decide.bulk_reject(d.queue, ids, "steward@example.com", d.as_of, KEY)
-    return decide.to_audit(d.queue, rows, KEY, sized_by=d.inventory).select(*BULK_COLUMNS)
+    items = d.queue.filter(F.col("priority") == "Critical")
+    return decide.bulk_audit(items, "reject", "steward@example.com", d.as_of, KEY).select(*BULK_COLUMNS)
 
 
 @query("d5_audit_rows", f"SELECT {SQL_AUDIT} FROM aud")
@@ -858,6 +896,11 @@ def _(d):
     return d.audit
 
 
+@query("d5_repeated_log", f"SELECT {SQL_AUDIT} FROM aud")
+def _(d):
+    return decide.to_audit(d.queue, _repeated(d), KEY)
+
+
 @query("d6_refused", "SELECT decision_key, user_email, role FROM dec WHERE NOT allowed")
 def _(d):
     return decide.refused(d.decisions).select("decision_key", "user_email", "role")
@@ -922,27 +965,69 @@ def _(d):
 
 
 @query("r1_mask_people", """
-SELECT c_custkey, concat('pt_', substr(sha256(mrn), 1, 16)) AS mrn, '***-**-****' AS ssn, concat(birth_date[1:4], '-01-01') AS birth_date,
+SELECT c_custkey, concat('pt_', sha256(concat('given|', sha256(concat('given|', mrn))))) AS mrn, '***-**-****' AS ssn, concat(birth_date[1:4], '-01-01') AS birth_date,
   'u***@mail.example.com' AS email, concat('***-***-', phone[9:]) AS phone, concat('****', account[14:]) AS account,
   '***masked***' AS c_mktsegment FROM people""")
 def _(d):
     return protect.mask_table(d.people, {
         "mrn": "MASK_PATIENT_ID", "ssn": "MASK_FULL_SSN", "birth_date": "MASK_DOB", "email": "MASK_EMAIL",
-        "phone": "MASK_LAST_4", "account": "MASK_ACCOUNT", "c_mktsegment": "MASK_SENSITIVE_VALUE"})
+        "phone": "MASK_LAST_4", "account": "MASK_ACCOUNT", "c_mktsegment": "MASK_SENSITIVE_VALUE"}, "given")
+
+
+@query("r1_mask_odd_values", """
+SELECT c_custkey, '***masked***' AS as_patient, '***masked***' AS as_ssn, '***masked***' AS as_birth, '***masked***' AS as_email,
+  '***masked***' AS as_last_4, '***masked***' AS as_account, '***masked***' AS as_unknown, '***-**-****' AS plain_ssn,
+  concat(CAST(c_custkey % 60 + 1940 AS VARCHAR), '-01-01') AS slashed_birth FROM customer""")
+def _(d):
+    """Values without the form that a policy expects are hidden as a whole."""
+    number, year = F.col("c_custkey"), (F.col("c_custkey") % 60 + 1940).cast("string")
+    odd = d.table("customer").select(
+        "c_custkey", F.concat(F.lit("MRN"), number).alias("as_patient"), F.concat(F.lit("ssn "), number).alias("as_ssn"),
+        F.concat(F.lit("born "), year).alias("as_birth"), F.concat(F.lit("no mail "), number).alias("as_email"),
+        (number % 1000).cast("string").alias("as_last_4"), (number % 1000).cast("string").alias("as_account"),
+        "c_name", F.lpad(number.cast("string"), 9, "0").alias("plain_ssn"),
+        F.concat(F.lit("01/02/"), year).alias("slashed_birth"))
+    return protect.mask_table(odd.withColumnRenamed("c_name", "as_unknown"), {
+        "as_patient": "MASK_PATIENT_ID", "as_ssn": "MASK_FULL_SSN", "as_birth": "MASK_DOB", "as_email": "MASK_EMAIL",
+        "as_last_4": "MASK_LAST_4", "as_account": "MASK_ACCOUNT", "as_unknown": "NO_SUCH_POLICY", "plain_ssn": "MASK_FULL_SSN",
+        "slashed_birth": "MASK_DOB"})
 
 
 SQL_MASKED = r"""regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@', '\1***@', 'g'),
-  '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}', '***-**-****', 'g'), '[0-9]{{9,12}}([0-9]{{4}})', '****\1', 'g')"""
+  '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}', '***-**-****', 'g'), '[0-9]{{5,}}([0-9]{{4}})', '****\1', 'g')"""
 
 
 @query("r1_mask_documents", f"SELECT doc_id, {SQL_MASKED.format('text')} AS text, lang, source, n_chars FROM documents")
 def _(d):
-    return protect.mask_texts(protect.spread(d.table("documents")), ["text"])
+    return protect.mask_texts(d.table("documents"), ["text"])
+
+
+@query("r1_nothing_in_clear", """
+SELECT doc_id, 0::BIGINT AS n_long_numbers, 0::BIGINT AS n_mail_names,
+  length(regexp_replace(text, '[^\\n]', '', 'g')) AS n_line_ends FROM documents""")
+def _(d):
+    """What masking promises, counted in the masked texts: no run of nine digits, no mail name beyond one character."""
+    masked = protect.mask_texts(d.table("documents"), ["text"])
+    return masked.select(
+        "doc_id", F.regexp_count("text", F.lit("[0-9]{9}")).cast("long").alias("n_long_numbers"),
+        F.regexp_count("text", F.lit("[A-Za-z0-9._%+-]@")).cast("long").alias("n_mail_names"),
+        F.char_length(F.regexp_replace("text", "[^\\n]", "")).cast("long").alias("n_line_ends"))
+
+
+# The twin's own patterns: other expressions for the same values.
+SQL_PATTERNS = (
+    ("email", "pii:email", r"[[:alnum:]._%+-]+@[[:alnum:]-]+([.][[:alnum:]-]+)+"),
+    ("ssn", "pii:ssn", r"\d\d\d-\d\d-\d\d\d\d"),
+    ("phone", "pii:phone", r"[(]?\d{3}[)]?[. -]\d{3}[. -]\d{4}"),
+    ("card_number", "financial:account", r"\d{13}\d?\d?\d?"),
+    ("birth_date", "pii:dob", r"(?:19|20)\d\d-\d\d-\d\d"),
+    ("ip_address", "pii:address", r"(?:\d{1,3}[.]){3}\d{1,3}"),
+)
 
 
 def _scan_sql(table: str, column: str) -> str:
     parts = []
-    for label, tag, _, pattern in ref.VALUE_PATTERNS:
+    for label, tag, pattern in SQL_PATTERNS:
         parts.append(f"""SELECT '{column}' AS column_name, '{label}' AS pattern, '{tag}' AS tag, count({column}) AS n_values,
   count(*) FILTER (n > 0) AS n_rows_hit, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_hits, count(*) FILTER (n > 0) / count({column}) AS hit_rate
 FROM (SELECT {column}, len(regexp_extract_all({column}, '{pattern}')) AS n FROM {table})""")
@@ -951,12 +1036,12 @@ FROM (SELECT {column}, len(regexp_extract_all({column}, '{pattern}')) AS n FROM
 
 @query("r2_scan_documents", _scan_sql("documents", "text"))
 def _(d):
-    return protect.scan_values(protect.spread(d.table("documents")), ["text"])
+    return protect.scan_values(d.table("documents"), ["text"])
 
 
 @query("r2_scan_pages", f"{_scan_sql('pages', 'url')} UNION ALL {_scan_sql('pages', 'html')}")
 def _(d):
-    return protect.scan_values(protect.spread(d.table("pages")), ["url", "html"])
+    return protect.scan_values(d.table("pages"), ["url", "html"])
 
 
 @query("r2_suggested_tags", """
@@ -1028,7 +1113,7 @@ SELECT item_key, n_similar, CASE WHEN n_similar > 0 THEN common_tag END AS commo
 def _(d):
     view = cat.catalog_view(d.inventory, d.prior, keep=(KEY, "base_name"))
     known = view.filter(F.col("status") == "Classified")
-    return monitor.similar_columns(view, known, KEY, "base_name", sized_by=d.inventory).select(KEY, "n_similar", "common_tag")
+    return monitor.similar_columns(view, known, "base_name").select(KEY, "n_similar", "common_tag")
 
 
 @query("r6_similar_examples", f"""
@@ -1038,7 +1123,7 @@ QUALIFY row_number() OVER (PARTITION BY f.item_key ORDER BY h.tbl) <= 3""")
 def _(d):
     view = cat.catalog_view(d.inventory, d.prior, keep=(KEY, "base_name"))
     known = view.filter(F.col("status") == "Classified")
-    found = monitor.similar_columns(view, known, KEY, "base_name", sized_by=d.inventory)
+    found = monitor.similar_columns(view, known, "base_name")
     return found.select(KEY, F.explode("similar").alias("other")).select(KEY, "other.path", "other.tag")
 
 
@@ -1116,7 +1201,7 @@ def _fed(d: Derived) -> str:
     """Run the decision feed over all event files; returns the folder that it filled."""
     events = feed.feed(d.spark, d.path("events") + "*", d.table("events").schema)
     target = work_path(d.spark, "feed")
-    run = feed.append_stream(decide.effective(d.decisions_from(events)), target, work_path(d.spark, "feed-state"))
+    run = feed.append_stream(decide.changing(d.decisions_from(events)), target, work_path(d.spark, "feed-state"))
     run.awaitTermination()
     return target
 
@@ -1132,7 +1217,7 @@ def _(d):
     stream = feed.feed(d.spark, source, d.spark.read.parquet(source).schema)
     target = work_path(d.spark, "daily")
     feed.count_stream(stream, target, work_path(d.spark, "daily-state")).awaitTermination()
-    return feed.daily_counts(d.spark, target)
+    return feed.daily_counts(d.spark, target).select("day", "n_decisions")
 
 
 @query("t2_late_rows", """

@@ -11,7 +11,10 @@ from wardline.schemas import COLUMN_INVENTORY
 
 
 def catalog_columns(spark: SparkSession, schema: str, catalog: str = "spark_catalog") -> DataFrame:
-    """Every column of every table of one schema, from the session catalog. Only metadata reaches the driver."""
+    """Every column of every table of one schema, from the session catalog. Only metadata reaches the driver.
+
+    One call per table: for catalogs with very many tables use ``information_schema_columns``.
+    """
     rows = []
     for table in spark.catalog.listTables(schema):
         if table.isTemporary:
@@ -30,9 +33,13 @@ def path_columns(spark: SparkSession, paths: Mapping[str, str], schema: str, cat
     return spark.createDataFrame(rows, COLUMN_INVENTORY)
 
 
-def information_schema_columns(spark: SparkSession, catalog: str, schema: str) -> DataFrame:
-    """The same from ``information_schema``, for catalogs that offer it; nothing passes through the driver."""
-    return spark.table(f"{catalog}.information_schema.columns").filter(F.col("table_schema") == schema).select(
+def information_schema_columns(spark: SparkSession, catalog: str, schema: str, listing: DataFrame | None = None) -> DataFrame:
+    """The same from ``information_schema``, for catalogs that offer it; nothing passes through the driver.
+
+    ``listing`` is a view of that shape, if it is kept under another name.
+    """
+    columns = spark.table(f"{catalog}.information_schema.columns") if listing is None else listing
+    return columns.filter(F.col("table_schema") == schema).select(
         F.lit(catalog).alias("catalog_name"), F.col("table_schema").alias("schema_name"), "table_name", "column_name",
         "data_type", F.lit(False).alias("is_partition"), (F.col("ordinal_position") - 1).cast("int").alias("ordinal"),
     )

@@ -59,6 +59,26 @@ QUEUE = (
     ("req-hpf-003", PATIENTS, "patient_id", "STRING", "phi:patient_id", 0.95, "Auto-Approve", "Critical", "PHI", 48,
      "Patient Master Identifier", 0.96),
 )
+# Explanation, ontology term and age in days of the discovery, by item id.
+FOUND = {
+    "req-cbp-001": ("Column name and context match PHI patient identifier pattern.", "Patient Master Identifier", 3),
+    "req-cbp-002": ("Dollar-scale decimal pattern and column name match financial billing guidelines.",
+                    "Monetary Dollar Value", 3),
+    "req-cbp-003": ("Diagnosis code column pattern matches ICD-10 PHI classification.", "ICD Medical Coding Taxonomy", 3),
+    "req-hpf-001": ("Account number pattern matches PCI financial account classification.",
+                    "Patient Billing Account Reference", 2),
+    "req-hpf-002": ("Insurance ID keyword matches PII insurance identifier classification.",
+                    "Health Insurance Plan Identifier", 2),
+    "req-hpf-003": ("Patient ID column matches PHI patient identifier classification.", "Patient Master Identifier", 2),
+}
+# Id, type, table, details, action, status, time.
+EVENTS = (
+    ("EVT-8092", "SCHEMA_CHANGE", "clinical.PATIENTS", "New column 'tax_identifier' added to table schema.",
+     "Triggered Supervisor Agent", "PROCESSED", "2026-07-29 10:15:30"),
+    ("EVT-8093", "NEW_DATA_INGESTION", "revenue_cycle.CLAIMS",
+     "Inbound claims file processed via Autoloader schema inference.", "Triggered Classification Worker", "PROCESSED",
+     "2026-07-29 14:02:11"),
+)
 # Similar columns by item id.
 SIMILAR = {
     "req-cbp-001": (f"brz.{PATIENTS}.patient_id", 97.0),
@@ -101,10 +121,17 @@ def classification_items(spark: SparkSession, as_of: datetime) -> DataFrame:
     for (ident, table, column, kind, tag, score, advice, priority, category, age, concept, concept_score) in QUEUE:
         submitted = as_of - timedelta(hours=age)
         similar = [SIMILAR[ident]] if ident in SIMILAR else []
-        when = submitted.strftime("%Y-%m-%d %H:%M")
+        why, term, days = FOUND[ident]
+        stages = [(ref.STAGE_DISCOVERED, as_of - timedelta(days=days)), (ref.STAGE_CLASSIFIED, submitted)]
         rows.append((
-            ident, "brz", table, column, kind, tag, native[tag], concept, [f"{name} ({tag})" for name, _ in similar], score,
-            advice, "Column name and context match the pattern of the tag.", ["***masked***"], "PENDING", submitted, priority,
-            category, "Brz", concept, concept_score, similar, [(ref.STAGE_DISCOVERED, when), (ref.STAGE_CLASSIFIED, when)],
+            ident, "brz", table, column, kind, tag, native[tag], term, [f"{name} ({tag})" for name, _ in similar], score,
+            advice, why, ["***masked***"], "PENDING", submitted, priority,
+            category, "Brz", concept, concept_score, similar,
+            [(stage, when.strftime("%Y-%m-%d %H:%M")) for stage, when in stages],
         ))
     return spark.createDataFrame(rows, schemas.CLASSIFICATION_ITEM)
+
+
+def schema_events(spark: SparkSession) -> DataFrame:
+    rows = [(*row[:-1], datetime.strptime(row[-1], "%Y-%m-%d %H:%M:%S")) for row in EVENTS]
+    return spark.createDataFrame(rows, schemas.SCHEMA_EVENT)

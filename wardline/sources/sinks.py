@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
-from wardline.operators.joins import top_per_key
 from wardline.schemas import COLUMN_TAG_EVENT, GOVERNANCE_AUDIT
 
 
@@ -37,19 +36,35 @@ def append_audit(audit: DataFrame, target: str) -> None:
     append(audit, GOVERNANCE_AUDIT, target)
 
 
-def logged(log: DataFrame) -> DataFrame:
-    """The log with one row per decision id: a repeated append leaves no trace."""
-    return top_per_key(log, ["governance_decision_id"], [F.asc("timestamp")])
-
-
 def append_tag_events(events: DataFrame, target: str) -> None:
     append(events, COLUMN_TAG_EVENT, target)
 
 
+def with_outcome(events: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Tag events with ``outcome``: WRITTEN, or why the write can't be done (no tag, or no such column)."""
+    path = ["schema_name", "table_name", "column_name"]
+    known = inventory.select(*path).distinct().withColumn("__known", F.lit(True))
+    blank = F.coalesce(F.length(F.trim("tag")), F.lit(0)) == 0
+    outcome = F.when(blank, "FAILED: no tag").when(F.col("__known").isNull(), "FAILED: no such column").otherwise("WRITTEN")
+    return events.join(known, path, "left").withColumn("outcome", outcome).drop("__known")
+
+
+def write_tags(events: DataFrame, inventory: DataFrame, target: str) -> DataFrame:
+    """Append the events that can be written and return the others, with their outcome."""
+    judged = with_outcome(events, inventory)
+    append_tag_events(judged.filter(F.col("outcome") == "WRITTEN"), target)
+    return judged.filter(F.col("outcome") != "WRITTEN")
+
+
 def comment_column(spark: SparkSession, table: str, column: str, tag: str) -> None:
     """Show the tag as the column comment, where the catalog has no tags of its own."""
     text = tag.replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"ALTER TABLE {table} ALTER COLUMN `{column.replace('`', '``')}` COMMENT '{text}'")
+
+    def quoted(name: str) -> str:
+        return "`" + name.replace("`", "``") + "`"
+
+    place = ".".join(quoted(part) for part in table.split("."))
+    spark.sql(f"ALTER TABLE {place} ALTER COLUMN {quoted(column)} COMMENT '{text}'")
 
 
 CSV = {"header": True, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}

@@ -40,17 +40,17 @@ def current_queue(queue: DataFrame, decisions: DataFrame, key: str = "id") -> Da
 
 
 def table_health(spark: SparkSession, names: Sequence[str]) -> DataFrame:
-    """(table_name, is_readable, n_rows) per table of the session catalog; missing tables count as unreadable."""
-    out = None
+    """(table_name, is_readable, n_rows, error) per table of the session catalog.
+
+    Every table is read on its own, so one that is missing or broken is reported and the others are counted.
+    """
+    rows = []
     for name in names:
-        if spark.catalog.tableExists(name):
-            part = spark.table(name).agg(F.count(F.lit(1)).alias("n_rows")).select(
-                F.lit(name).alias("table_name"), F.lit(True).alias("is_readable"), "n_rows")
-        else:
-            part = spark.range(1).select(F.lit(name).alias("table_name"), F.lit(False).alias("is_readable"),
-                                         F.lit(None).cast("long").alias("n_rows"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        try:
+            rows.append((name, True, spark.table(name).count(), None))
+        except Exception as problem:
+            rows.append((name, False, None, str(problem).splitlines()[0]))
+    return spark.createDataFrame(rows, "table_name string, is_readable boolean, n_rows long, error string")
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -1,7 +1,14 @@
-"""The decision feed: new decision files become audit rows and daily counts, continuously."""
+"""The decision feed: new decision files become audit rows and daily counts, in one run or continuously.
+
+``trigger`` takes what ``DataStreamWriter.trigger`` takes: everything that is there (default), or an interval such as
+``{"processingTime": "1 minute"}`` for a query that goes on.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +17,7 @@ from pyspark.sql.types import StructType
 from wardline.operators.joins import top_per_key
 
 WATERMARK = "1 hour"
+ALL_THERE_IS = {"availableNow": True}
 ID = "governance_decision_id"
 
 
@@ -30,19 +38,20 @@ def deduplicated(decisions: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     return timed.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark([ID]).drop("event_time")
 
 
-def append_stream(decisions: DataFrame, target: str, checkpoint: str, watermark: str = WATERMARK) -> StreamingQuery:
+def append_stream(decisions: DataFrame, target: str, checkpoint: str, watermark: str = WATERMARK,
+                  trigger: Mapping = ALL_THERE_IS) -> StreamingQuery:
     """Append the deduplicated decisions to a Parquet folder, each exactly once across restarts."""
     return (
         deduplicated(decisions, watermark)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start(target)
     )
 
 
-def count_stream(decisions: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def count_stream(decisions: DataFrame, target: str, checkpoint: str, trigger: Mapping = ALL_THERE_IS) -> StreamingQuery:
     """Decisions per day of an already deduplicated stream, such as the folder that ``append_stream`` fills.
 
     The state is one row per day, so it needs no watermark and counts late rows too. Every batch writes the days it
@@ -58,16 +67,28 @@ def count_stream(decisions: DataFrame, target: str, checkpoint: str) -> Streamin
     return (
         daily.writeStream.outputMode("update")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(save)
         .start()
     )
 
 
 def daily_counts(spark: SparkSession, target: str) -> DataFrame:
-    """The last count written for each day."""
-    written = spark.read.schema("day date, n_decisions long, batch_id long").parquet(f"{target}/batch=*")
-    return top_per_key(written, ["day"], [F.desc("batch_id")]).select("day", "n_decisions")
+    """The last count written for each day; no rows before the first batch."""
+    schema = "day date, n_decisions long, batch_id long"
+    try:
+        written = spark.read.schema(schema).parquet(f"{target}/batch=*")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        written = spark.createDataFrame([], schema)
+    return top_per_key(written, ["day"], [F.desc("batch_id")]).select("day", "n_decisions", "batch_id")
+
+
+def compact_counts(spark: SparkSession, target: str, compacted: str) -> None:
+    """Write the newest count of each day, with its batch, as one folder that ``daily_counts`` reads; later batches of the
+    stream go beside it when ``count_stream`` is pointed there."""
+    daily_counts(spark, target).coalesce(1).write.mode("overwrite").parquet(f"{compacted}/batch=0-compacted")
 
 
 def late_rows(decisions: DataFrame, appended: DataFrame) -> DataFrame:
