@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ NONE = np.int32(2**31 - 1)
 LONGEST = 256
 CELLS = 1 << 20
 REMEMBERED = 500_000
+# Characters that are no letters, numbers or white space.
+MARKS = ".,;:!?\"')]}*$%&#|"
 
 
 def gathered(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -228,12 +231,39 @@ class Units:
     def __init__(self, encode: Callable[[Sequence[str]], Runs]):
         self.encode = encode
         self.place: dict[str, int] = {}
+        # Words after which, or before which, a cut may lie elsewhere.
+        self.odd: set[str] = set()
         self.runs = Runs.none()
 
+    def _add(self, words: Sequence[str], found: Runs) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
+        self.runs = self.runs.extended(found)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode words. Marks behind a letter are a cut's run of their own, so a word's tokens are those of the word without
+        them and those of the marks."""
+        self.odd.update(w for w in new if not w or w[-1].isspace())
+        plain: list[str] = []
+        marked: list[str] = []
+        halves: list[str] = []
+        for word in new:
+            base = word.rstrip(MARKS)
+            if len(base) < len(word) and base[-1:].isalpha():
+                marked.append(word)
+                halves += (base, " " + word[len(base):])
+            else:
+                plain.append(word)
+        plain.extend(set(halves).difference(self.place, plain))
+        self._add(plain, self.encode([w[1:] if w[:1] == " " else " " + w for w in plain]))
+        if marked:
+            place = self.place
+            which = np.fromiter((place[h] for h in halves), np.int64, len(halves))
+            self._add(marked, self.runs.joined(which, np.full(len(marked), 2)))
+
     def texts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(token numbers of all texts one after the other, how many each has)."""
         if len(self.place) > REMEMBERED:
-            self.place, self.runs = {}, Runs.none()
+            self.place, self.odd, self.runs = {}, set(), Runs.none()
         rows: list[list[str]] = []
         wanted: set[str] = set()
         for text in texts:
@@ -244,13 +274,12 @@ class Units:
             wanted.update(words)
         new = [w for w in wanted if w not in self.place]
         if new:
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
-            self.runs = self.runs.extended(self.encode([w[1:] if w[:1] == " " else " " + w for w in new]))
+            self._learn(new)
         count = np.fromiter(map(len, rows), np.int64, len(rows))
         place = self.place
-        number = np.fromiter((place[w] for r in rows for w in r), np.int64, int(count.sum()))
+        number = np.fromiter(map(place.__getitem__, chain.from_iterable(rows)), np.int64, int(count.sum()))
         found = self.runs.joined(number, count)
-        odd = {w for w in wanted if not w or w[-1].isspace()}
+        odd = self.odd & wanted if self.odd else self.odd
         whole = [i for i, words in enumerate(rows) if not odd.isdisjoint(words)] if odd else []
         if whole:
             other = self.encode([texts[i] or "" for i in whole])

@@ -18,6 +18,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,15 @@ from pyspark.sql import functions as F
 
 from wardline.llm.bpe import Runs, Units, gathered
 from wardline.llm.frames import ready, written
-from wardline.llm.text import blocks
+from wardline.llm.text import blocks, grouped
 from wardline.session import work_path
 
 MAGIC = b"RVB1"
 HEAD = np.dtype([("docs", "<u4"), ("ranks", "<u4"), ("ids", "<u8"), ("data", "<u8")])
 # Ids in a file, about.
 FILE_IDS = 1 << 21
+# Words that the library encodes as one text.
+TOGETHER = 1000
 # Bytes of text in a part of the sorted pass, about.
 PART_BYTES = 16 << 20
 # The four lengths that a control byte stands for.
@@ -117,11 +120,29 @@ def _tokenizer(path: str) -> Units:
         library = Tokenizer.from_file(path)
         library.encode_special_tokens = True
 
-        def encode(texts: list[str]) -> Runs:
+        spaced = np.zeros(library.get_vocab_size(), bool)
+        # The library writes the byte of a space as this letter.
+        spaced[[number for token, number in library.get_vocab().items() if token[0] == "\u0120"]] = True
+
+        def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.int32, int(size.sum()))
-            return Runs(flat, np.cumsum(size) - size, size)
+            return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+
+        def encode(texts: list[str]) -> Runs:
+            """Words with a space before them are encoded together: the tokens that begin with a space tell them apart."""
+            single = [i for i, t in enumerate(texts) if t.count(" ") == 1 and t[0] == " " and not t[-1].isspace()]
+            other = sorted(set(range(len(texts))).difference(single))
+            flat, size = ids_of([texts[i] for i in other])
+            joined, _ = ids_of(["".join(texts[i] for i in part) for part in grouped(single, TOGETHER)])
+            first = np.flatnonzero(spaced[joined])
+            if len(first) != len(single):
+                joined, more = ids_of([texts[i] for i in single])
+            else:
+                more = np.diff(np.append(first, len(joined)))
+            sizes = np.concatenate((size, more))
+            back = np.argsort(np.concatenate((np.array(other, np.int64), np.array(single, np.int64))))
+            return Runs(np.concatenate((flat, joined)), (np.cumsum(sizes) - sizes)[back], sizes[back])
 
         _units[path] = Units(encode)
     return _units[path]
