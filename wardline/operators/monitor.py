@@ -62,16 +62,17 @@ def with_concept(items: DataFrame, concepts: DataFrame | None = None) -> DataFra
 def similar_columns(items: DataFrame, classified: DataFrame, name: str = "column_name", k: int = 3) -> DataFrame:
     """For each item: classified columns of the same name in other tables.
 
-    Gives their number, the most common tag among all of them and the first ``k`` as an array of (path, tag).
+    Gives their number, the most common tag among all of them and the first ``k`` as an array of (path, tag, column).
     The rows of a name are aggregated first, so its pairs are never listed: the cost is that of two
     aggregations and one lookup, however common the name is.
-    ``classified`` holds schema_name, table_name, the name column and tag.
+    ``classified`` holds schema_name, table_name, column_name, the name column and tag.
     """
     table = F.concat_ws(".", "schema_name", "table_name")
     per_tag = classified.withColumn("__table", table).groupBy(name, "__table", "tag").agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), F.min("column_name").alias("column")
     )
-    per_table = per_tag.groupBy(name, "__table").agg(F.sum("n").alias("n"), F.min("tag").alias("tag"))
+    per_table = per_tag.groupBy(name, "__table").agg(
+        F.sum("n").alias("n"), F.min("tag").alias("tag"), F.min("column").alias("column"))
     totals = per_tag.groupBy(name, "tag").agg(F.sum("n").alias("n"))
     # Few rows per name from here on: one per tag for the totals, k + 1 for the examples.
     by_name = totals.groupBy(name).agg(
@@ -79,13 +80,13 @@ def similar_columns(items: DataFrame, classified: DataFrame, name: str = "column
     )
     heads = top_per_key(per_table, [name], [F.asc("__table")], k + 1)
     examples = heads.groupBy(name).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("__table").alias("path"), F.col("tag")))).alias("heads")
+        F.array_sort(F.collect_list(F.struct(F.col("__table").alias("path"), F.col("tag"), F.col("column")))).alias("heads")
     )
     facts = by_name.join(examples, name)
     asked = items.withColumn("__table", table)
     own = per_table.select(name, "__table", F.col("n").alias("n_own"))
     joined = asked.join(own, [name, "__table"], "left").join(facts, name, "left")
-    others = F.filter(F.coalesce("heads", F.array().cast("array<struct<path:string,tag:string>>")),
+    others = F.filter(F.coalesce("heads", F.array().cast("array<struct<path:string,tag:string,column:string>>")),
                       lambda h: h["path"] != F.col("__table"))
     found = joined.withColumn(
         "n_similar", F.coalesce(F.col("n_all") - F.coalesce("n_own", F.lit(0)), F.lit(0))
@@ -98,6 +99,22 @@ def similar_columns(items: DataFrame, classified: DataFrame, name: str = "column
     ).drop("__table", "n_all", "n_own", "heads")
 
 
+def with_similar(found: DataFrame) -> DataFrame:
+    """Queue items with their similar columns filled in, from what ``similar_columns`` found for them.
+
+    A column of the same name has similarity 97 if its tag is the same too, else 90.
+    """
+    def path(s: Column) -> Column:
+        return F.concat_ws(".", s["path"], s["column"])
+
+    same_tag = lambda s: F.when(s["tag"] == F.col("suggested_tag"), 97.0).otherwise(90.0)
+    return found.withColumns({
+        "similar_columns": F.transform("similar", lambda s: F.concat(path(s), F.lit(" ("), s["tag"], F.lit(")"))),
+        "similar_columns_metrics": F.transform(
+            "similar", lambda s: F.struct(path(s).alias("name"), same_tag(s).alias("similarity"))),
+    }).drop("similar", "common_tag", "n_similar")
+
+
 def near_names(df: DataFrame, name: str = "column_name") -> DataFrame:
     """Pairs of distinct names that differ by one character inserted, dropped or replaced.
 

@@ -537,17 +537,20 @@ def _(d):
 
 
 @query("j5_similar_links", """
-WITH paths AS (SELECT concat(schema_name, '.', table_name, '.', column_name) AS path, min(id) AS linked_id FROM st WHERE status = 'PENDING' GROUP BY ALL),
-links AS (SELECT id, concat(schema_name, '.', table_name, '.', column_name) AS name, 97.0::DOUBLE AS similarity FROM st WHERE status = 'PENDING'
-  UNION ALL SELECT id, concat(schema_name, '.', table_name, '.reviewed') AS name, 90.0::DOUBLE FROM st WHERE status = 'PENDING')
-SELECT l.id, l.name, l.similarity, p.linked_id, p.linked_id IS NULL AS already_reviewed FROM links l LEFT JOIN paths p ON p.path = l.name""")
-def _(d):
-    path = c.qualified("schema_name", "table_name", "column_name")
-    gone = F.concat_ws(".", "schema_name", "table_name", F.lit("reviewed"))
-    linked = queue.pending(d.state).withColumn("similar_columns_metrics", F.array(
-        F.struct(path.alias("name"), F.lit(97.0).alias("similarity")),
-        F.struct(gone.alias("name"), F.lit(90.0).alias("similarity"))))
-    return queue.similar_links(linked)
+WITH per_tbl AS (SELECT base_name AS name, concat(schema_name, '.', table_name) AS tbl, min(suggested_tag) AS tag, min(column_name) AS col
+  FROM q GROUP BY ALL),
+heads AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY tbl) AS r FROM per_tbl QUALIFY r <= 4),
+links AS (SELECT q.id, concat(h.tbl, '.', h.col) AS name, CASE WHEN h.tag = q.suggested_tag THEN 97.0 ELSE 90.0 END::DOUBLE AS similarity
+  FROM q JOIN heads h ON h.name = q.base_name AND h.tbl <> concat(q.schema_name, '.', q.table_name)
+  QUALIFY row_number() OVER (PARTITION BY q.item_key ORDER BY h.tbl) <= 3),
+paths AS (SELECT concat(schema_name, '.', table_name, '.', column_name) AS path, min(id) AS linked_id FROM q WHERE priority = 'Critical' GROUP BY ALL)
+SELECT l.id, l.name, l.similarity, p.linked_id, p.linked_id IS NULL AS already_reviewed
+FROM links l JOIN q USING (id) LEFT JOIN paths p ON p.path = l.name WHERE q.priority = 'Critical'""")
+def _(d):
+    """The similar columns that the engine finds for each item, with the items behind them in the list of critical ones."""
+    items = classify.review_queue(d.inventory, d.prior, F.col("submitted_time"), keep=(KEY, "base_name"))
+    found = monitor.similar_columns(items, items.withColumn("tag", F.col("suggested_tag")), "base_name")
+    return queue.similar_links(monitor.with_similar(found).filter(F.col("priority") == "Critical"))
 
 
 @query("j6_permissions", """
