@@ -39,11 +39,11 @@ class IdFilter:
     beyond that more foreign ids pass, and the exact join behind it has more to do.
     """
 
-    def __init__(self, ids: DataFrame, column: str, most: int = 1 << 27):
+    def __init__(self, ids: DataFrame, *columns: str, most: int = 1 << 27):
         spark = ids.sparkSession
         count = ids.count()
         self.bits = min(most, 1 << max(18, (16 * count).bit_length()))
-        place = self.place(F.col(column))
+        place = self.place(*map(F.col, columns))
         rows = (
             ids.select(place.alias("p"))
             .groupBy(F.expr("p div 32768").alias("part"))
@@ -55,10 +55,10 @@ class IdFilter:
             held[row["part"] * 4096:(row["part"] + 1) * 4096] = np.frombuffer(row["bits"], np.uint8)
         self._held = spark.sparkContext.broadcast(held)
 
-    def place(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(self.bits))
+    def place(self, *key: Column) -> Column:
+        return F.pmod(F.xxhash64(*key), F.lit(self.bits))
 
-    def maybe(self, key: Column) -> Column:
+    def maybe(self, *key: Column) -> Column:
         held = self._held
 
         @F.pandas_udf("boolean")
@@ -66,4 +66,4 @@ class IdFilter:
             p = places.to_numpy()
             return pd.Series((held.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)
 
-        return look(self.place(key))
+        return look(self.place(*key))

@@ -126,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_setsketch_near_duplicates": setsketch.ORACLE,
     "op4_line_rules": line_rules.oracle_sql(),
     "op5_preference_format": preference.ORACLE,
 }

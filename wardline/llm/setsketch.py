@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.llm.frames import IdFilter, ready, written
@@ -105,7 +105,7 @@ def likeliest(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right:
 
 
 def sketches(docs: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """One written row for each document: uid, id, n_shingles, digest of the set, registers, text."""
+    """One written row for each document: uid, id, mark, n_shingles, digest of the set, registers, text."""
     ready(docs.sparkSession)
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
@@ -131,9 +131,15 @@ def sketches(docs: DataFrame, width: int, id_column: str, text_column: str) -> D
                 )
 
     rows = given.mapInArrow(sketch, f"id {kind}, n_shingles long, digest binary, regs binary, text string")
+    rows = rows.withColumn("mark", _mark(F.col("id"), F.col("text")))
     return written(rows.withColumn("uid", F.monotonically_increasing_id()), "sketches")
 
 
+def _mark(key: Column, text: Column) -> Column:
+    """What stands for a missing id: a hash of the text."""
+    return F.when(key.isNull(), F.xxhash64(text))
+
+
 def may_reach(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: np.ndarray, floor: float) -> np.ndarray:
     """If the likeliest similarity of each pair is at least ``floor``: the likelihood still rises there."""
     above = (left > right).sum(axis=-1).astype(float)
@@ -285,15 +291,15 @@ def settle(rows: DataFrame, held: DataFrame, width: int, percent: int) -> DataFr
 
 def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
             text_column: str = "text") -> DataFrame:
-    """uid, id, n_shingles and component (the smallest uid of the component's first rows) of every row.
+    """uid, id, mark, n_shingles and component (the smallest uid of the component's first rows) of every row.
 
     A document without words is alone. Ids may be NULL or repeated: rows are told apart by uid.
     """
     held = sketches(docs, width, id_column, text_column)
     first = held.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("first"))
     members = written(
-        held.select("uid", "id", "n_shingles", "digest").join(first, "digest", "left")
-        .select("uid", "id", "n_shingles", F.coalesce("first", "uid").alias("first")), "members")
+        held.select("uid", "id", "mark", "n_shingles", "digest").join(first, "digest", "left")
+        .select("uid", "id", "mark", "n_shingles", F.coalesce("first", "uid").alias("first")), "members")
     leaders = members.filter("uid = first AND n_shingles > 0").select("uid")
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -316,7 +322,7 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
         if not links.isEmpty():
             parts = with_links(links)
     return members.join(parts.withColumnRenamed("node", "first"), "first", "left").select(
-        "uid", "id", "n_shingles", F.coalesce("component", "first").alias("component"))
+        "uid", "id", "mark", "n_shingles", F.coalesce("component", "first").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
@@ -337,25 +343,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_colum
 
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id",
                 text_column: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component: the one with the smallest id (NULL ids last, then the first row).
+    """The rows of ``docs``, one of each component: the one with the smallest id.
 
-    All columns stay. Rows that are in no group never leave their place: only those that an id filter can't tell from
-    removed ones are joined. Ids must tell documents apart; rows with one id count as copies of one document, and one of
-    them stays.
+    All columns stay. Rows without an id are told apart by their text, and come after those with one. Rows with one id are copies
+    of one document, and one of them stays. Only rows that an id filter can't tell from removed or repeated ones are joined.
     """
     members = written(classes(docs, width, percent, id_column, text_column), "classes")
-    best = members.groupBy("component").agg(F.min("id").alias("best"))
+    name = F.struct(F.col("id").isNull().alias("missing"), "id", "mark")
+    best = members.groupBy("component").agg(F.min(name).alias("best"))
     gone = written(
-        members.join(best, "component").filter(~F.col("id").eqNullSafe(F.col("best"))).select("id").distinct(), "gone")
-    twice = written(members.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice")
-    return without(docs, gone, twice, id_column)
-
-
-def without(docs: DataFrame, gone: DataFrame, twice: DataFrame, id_column: str) -> DataFrame:
-    """The rows whose id is not in ``gone``; of rows with an id in ``twice`` one."""
-    near = IdFilter(gone.unionByName(twice), "id")
-    maybe = F.coalesce(near.maybe(F.col(id_column)), F.lit(False)) | F.col(id_column).isNull()
-    plain, doubtful = docs.filter(~maybe), docs.filter(maybe)
-    same = F.col(id_column).eqNullSafe(F.col("__gone"))
-    left = doubtful.join(gone.select(F.col("id").alias("__gone")), same, "left_anti")
-    return plain.unionByName(left.dropDuplicates([id_column]))
+        members.join(best, "component").filter(~name.eqNullSafe(F.col("best"))).select("id", "mark").distinct(), "gone")
+    twice = written(
+        members.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "mark"), "twice")
+    near = IdFilter(gone.unionByName(twice), "id", "mark")
+    own = docs.columns
+    docs = docs.withColumn("__mark", _mark(F.col(id_column), F.col(text_column).cast("string")))
+    maybe = near.maybe(F.col(id_column), F.col("__mark"))
+    other = gone.select(F.col("id").alias("__id"), F.col("mark").alias("__other"))
+    same = F.col(id_column).eqNullSafe(F.col("__id")) & F.col("__mark").eqNullSafe(F.col("__other"))
+    left = docs.filter(maybe).join(other, same, "left_anti").dropDuplicates([id_column, "__mark"])
+    return docs.filter(~maybe).unionByName(left).select(*own)
+
+
+# The same components by all pairs that share a shingle, for tables of moderate size.
+ORACLE = """
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS words FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(words) > 1 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))
+    ELSE words END AS found FROM split
+), listed AS (
+  SELECT doc_id, len(found) AS n, unnest(found) AS shingle FROM sets
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM listed a JOIN listed b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other
+)
+SELECT s.doc_id, len(s.found)::BIGINT AS n_shingles, min(r.other) AS component_id, s.doc_id = min(r.other) AS kept
+FROM sets s JOIN reached r USING (doc_id) GROUP BY s.doc_id, s.found"""
