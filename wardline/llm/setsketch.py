@@ -161,38 +161,52 @@ def _floor(percent: int) -> float:
     return bar - ERRORS * (bar * (1 - bar) / REGISTERS) ** 0.5
 
 
-def _rows_of(held: DataFrame, uids: DataFrame) -> DataFrame:
-    """Sketch and text of some rows; what an id filter keeps away isn't shuffled."""
+def _rows_of(held: DataFrame, uids: DataFrame, *columns: str) -> DataFrame:
+    """Some columns of some rows; what an id filter keeps away isn't shuffled."""
     near = IdFilter(uids, "uid")
-    return held.filter(near.maybe(F.col("uid"))).select("uid", "n_shingles", "regs", "text")
+    return held.filter(near.maybe(F.col("uid"))).select("uid", *columns)
 
 
-def confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of uids whose sets have ``100 * intersection >= percent * union``, as a written table."""
-    rows = _rows_of(held, pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct())
+def _with_both(pairs: DataFrame, held: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of both rows, named ``column_a`` and ``column_b``."""
+    ends = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    rows = _rows_of(held, ends, *columns)
+    for end in ("a", "b"):
+        pairs = pairs.join(rows.select(F.col("uid").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
+    return pairs
 
-    def side(name: str) -> DataFrame:
-        return rows.select(F.col("uid").alias(name), *(F.col(c).alias(f"{c}_{name}") for c in rows.columns[1:]))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+def likely(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """The pairs that may reach the threshold by their registers and set sizes, as a written table."""
     floor = _floor(percent)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.to_pydict()
-            left, right = (np.frombuffer(b"".join(part[c]), "<u2").reshape(-1, REGISTERS) for c in ("regs_a", "regs_b"))
-            sizes = (np.array(part[c], float) for c in ("n_shingles_a", "n_shingles_b"))
+            if batch.num_rows:
+                left, right = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS)
+                               for c in ("regs_a", "regs_b"))
+                sizes = (batch.column(c).to_numpy().astype(float) for c in ("n_shingles_a", "n_shingles_b"))
+                good = pa.array(may_reach(left, right, *sizes, floor))
+                yield batch.select(["a", "b"]).filter(good)
+
+    both = _with_both(pairs, held, "n_shingles", "regs").select("a", "b", "n_shingles_a", "n_shingles_b", "regs_a", "regs_b")
+    return written(both.mapInArrow(judge, "a long, b long"), "pairs")
+
+
+def confirmed(pairs: DataFrame, held: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of uids whose sets have ``100 * intersection >= percent * union``, as a written table.
+
+    Texts are moved only for pairs that may reach the threshold by their registers.
+    """
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             good = []
-            for i in np.flatnonzero(may_reach(left, right, *sizes, floor)):
-                shared, union = jaccard_counts(part["text_a"][i], part["text_b"][i], width)
-                if 100 * shared >= percent * union:
-                    good.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part[c][i] for i in good], pa.int64()) for c in ("a", "b")], ["a", "b"]
-            )
+            for left, right in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
+                shared, union = jaccard_counts(left, right, width)
+                good.append(100 * shared >= percent * union)
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    both = _with_both(likely(pairs, held, percent), held, "text").select("a", "b", "text_a", "text_b")
     return written(both.mapInArrow(judge, "a long, b long"), "links")
 
 
@@ -234,7 +248,7 @@ def settle(rows: DataFrame, held: DataFrame, width: int, percent: int) -> DataFr
         return of.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
 
     grid = cells(asks, "n_i").join(cells(answers, "n_j"), "main")
-    sketch = _rows_of(held, answers.select("uid").distinct())
+    sketch = _rows_of(held, answers.select("uid").distinct(), "n_shingles", "regs", "text")
 
     def dealt(of: DataFrame, own: str, other: str, asking: bool) -> DataFrame:
         cell = F.pmod(F.xxhash64("uid"), F.col(f"n_{own}")).alias(own)
