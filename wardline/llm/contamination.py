@@ -69,21 +69,36 @@ def walk(rows: np.ndarray, seed: int, steps: int) -> np.ndarray:
     return out
 
 
-def distance_at_most(left: np.ndarray, right: np.ndarray, most: int) -> int | None:
-    """Edit distance of ``left`` to the nearest beginning of ``right``, None if it is above ``most``."""
-    n = len(right)
-    row = np.arange(n + 1)
-    for i, word in enumerate(left, 1):
-        step = np.minimum(row[1:] + 1, row[:-1] + (right != word))
-        new = np.empty(n + 1, np.int64)
-        new[0] = i
-        # new[j] = min(step[j], new[j - 1] + 1), for all j at once.
-        new[1:] = step
-        new = np.minimum.accumulate(new - np.arange(n + 1)) + np.arange(n + 1)
-        row = new
-        if row.min() > most:
-            return None
-    best = int(row.min())
+def pattern_bits(words: np.ndarray) -> dict[int, int]:
+    """For each word the places where an item has it, as bits."""
+    bits: dict[int, int] = {}
+    for i, word in enumerate(words.tolist()):
+        bits[word] = bits.get(word, 0) | 1 << i
+    return bits
+
+
+def distance_at_most(bits: dict[int, int], n: int, right: list[int], most: int) -> int | None:
+    """Edit distance of an item of ``n`` words to the nearest beginning of ``right``, None if it is above ``most``.
+
+    A column of the distance table is two integers, the places where it rises and falls; a word moves them on at once.
+    """
+    mask, last = (1 << n) - 1, 1 << n - 1
+    rises, falls, here, best = mask, 0, n, n
+    for word in right:
+        same = bits.get(word, 0)
+        down = same | falls
+        across = (((same & rises) + rises) ^ rises) | same
+        up = falls | ~(across | rises) & mask
+        back = rises & across
+        if up & last:
+            here += 1
+        elif back & last:
+            here -= 1
+            best = min(best, here)
+        up = (up << 1 | 1) & mask
+        back = back << 1 & mask
+        rises = back | ~(down | up) & mask
+        falls = up & down
     return best if best <= most else None
 
 
@@ -93,6 +108,8 @@ class Index:
 
     ids: list[int | None]
     words: list[np.ndarray]
+    bits: list[dict[int, int]]
+    pairs: list[frozenset[int]]
     known_pairs: np.ndarray
     # For each class of lengths (windows of one size): window words, pairs needed, table values -> items.
     classes: list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]]
@@ -171,7 +188,8 @@ def index(ids: list[int | None], texts: list[str | None], recall: float = RECALL
             order = np.argsort(value, kind="stable")
             tables.append((seed, steps, value[order], np.array(members)[order]))
         classes.append((size, max(1, needed), tables))
-    return Index(ids, words, known, classes)
+    return Index(ids, words, [pattern_bits(w) for w in words],
+                 [frozenset(pairs_of(w).tolist()) for w in words], known, classes)
 
 
 def search(texts: list[str | None], held: Index) -> list[tuple[int, int, int, int]]:
@@ -186,41 +204,54 @@ def search(texts: list[str | None], held: Index) -> list[tuple[int, int, int, in
     sums = np.concatenate(([0], np.cumsum(hit)))
     ends = (words.offset + words.count)[words.doc]
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for size, needed, tables in held.classes:
-        start = np.arange(len(h) - 1)
-        stop = np.minimum(np.minimum(start + size, ends[:-1]) - 1, len(hit))
-        start = start[sums[np.maximum(stop, start)] - sums[start] >= needed]
-        for low in range(0, len(start), 1 << 14):
-            _look(start[low:low + (1 << 14)], h, ends, words.doc, size, tables, held, best)
+    start = np.arange(len(h) - 1)
+    fits = np.zeros((len(held.classes), len(start)), bool)
+    for i, (size, needed, _) in enumerate(held.classes):
+        stop = np.maximum(np.minimum(start + size, ends[:-1]) - 1, start)
+        fits[i] = sums[np.minimum(stop, len(hit))] - sums[start] >= needed
+    some = np.flatnonzero(fits.any(axis=0))
+    for low in range(0, len(some), 1 << 14):
+        part = some[low:low + (1 << 14)]
+        for window, item in _candidates(part, fits[:, part], h, ends, held):
+            s = int(part[window])
+            key = (int(words.doc[s]), item)
+            n = len(held.words[item])
+            most = int(edits(n))
+            old = best.get(key)
+            if old and old[0] == 0:
+                continue
+            end = min(s + n + most, int(ends[s]))
+            # The lemma once more, for this item alone.
+            if sum(map(held.pairs[item].__contains__, value[s:end - 1].tolist())) < n - 1 - 2 * most:
+                continue
+            d = distance_at_most(held.bits[item], n, h[s:end].tolist(), most)
+            if d is not None and (old is None or (d, s) < old):
+                best[key] = (d, s)
     return [(doc, item, int(s - words.offset[doc]), d) for (doc, item), (d, s) in sorted(best.items())]
 
 
-def _look(start: np.ndarray, h: np.ndarray, ends: np.ndarray, doc: np.ndarray, size: int, tables: list, held: Index,
-          best: dict[tuple[int, int], tuple[int, int]]) -> None:
-    place = start[:, None] + np.arange(size)
+def _candidates(start: np.ndarray, fits: np.ndarray, h: np.ndarray, ends: np.ndarray, held: Index) -> list[list[int]]:
+    """(window, item) pairs that share a value in a table. A walk from a word is the same for windows of all sizes, so
+    each walk is taken once, as far as any table of it looks."""
+    longest = max(int(steps[-1]) + 1 for _, _, tables in held.classes for _, steps, *_ in tables)
+    place = start[:, None] + np.arange(longest)
     rows = np.where(place < ends[start][:, None], h[np.minimum(place, len(h) - 1)], U64(0))
     found: list[np.ndarray] = []
-    for seed, steps, values, items in tables:
-        value = _value(walk(rows, seed, int(steps[-1]) + 1)[:, steps], seed)
-        low, high = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
-        window = np.flatnonzero(high > low)
-        while len(window):
-            found.append(np.column_stack((window, items[low[window]])))
-            low[window] += 1
-            window = window[high[window] > low[window]]
-    if not found:
-        return
-    for window, item in np.unique(np.concatenate(found), axis=0):
-        s = int(start[window])
-        key = (int(doc[s]), int(item))
-        mine = held.words[item]
-        most = int(edits(len(mine)))
-        old = best.get(key)
-        if old and old[0] == 0:
-            continue
-        d = distance_at_most(mine, h[s:min(s + len(mine) + most, int(ends[s]))], most)
-        if d is not None and (old is None or (d, s) < old):
-            best[key] = (d, s)
+    for seed in range(max(len(tables) for _, _, tables in held.classes)):
+        of_seed = [(i, tables[seed]) for i, (_, _, tables) in enumerate(held.classes) if seed < len(tables)]
+        walked = walk(rows, seed, max(int(steps[-1]) + 1 for _, (_, steps, *_) in of_seed))
+        for i, (_, steps, values, items) in of_seed:
+            window = np.flatnonzero(fits[i])
+            code = _value(walked[window][:, steps], seed)
+            low, high = np.searchsorted(values, code, "left"), np.searchsorted(values, code, "right")
+            there = high > low
+            window, low, high = window[there], low[there], high[there]
+            while len(window):
+                found.append(np.column_stack((window, items[low])))
+                low = low + 1
+                there = high > low
+                window, low, high = window[there], low[there], high[there]
+    return np.unique(np.concatenate(found), axis=0).tolist() if found else []
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, items: int = ITEMS, id_column: str = "doc_id",
