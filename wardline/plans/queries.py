@@ -1224,14 +1224,22 @@ def _(d):
 
 
 @query("t2_late_rows", """
-SELECT 'late' AS kind, 0 AS n UNION ALL SELECT 'fed', count(*) FROM eff""")
-def _(d):
-    """Rows of the batch log that the feed did not take, next to those it took."""
-    fed = d.spark.read.parquet(_fed(d))
-    late = feed.late_rows(decide.effective(d.decisions), fed)
-    sizes = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-             for kind, df in (("late", late), ("fed", fed))]
-    return sizes[0].unionByName(sizes[1])
+WITH seen AS (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 1 HOUR AS watermark FROM eff
+  WHERE decision_key IN (SELECT concat('D-', CAST(event_id AS VARCHAR)) FROM events WHERE event_id % 2 = 1)),
+l AS (SELECT e.governance_decision_id, e.timestamp FROM eff e, seen s WHERE e.timestamp <= s.watermark
+  AND e.decision_key IN (SELECT concat('D-', CAST(event_id AS VARCHAR)) FROM events WHERE event_id % 2 = 0))
+SELECT governance_decision_id, timestamp FROM l""")
+def _(d):
+    """Two runs, the second with files out of time order: what the feed drops as too late is written beside its target."""
+    source, target, state, late = (work_path(d.spark, n) for n in ("events", "feed", "feed-state", "late"))
+    events = d.table("events")
+    for rest in (1, 0):
+        events.filter(F.col("event_id") % 2 == rest).coalesce(1).write.mode("append").parquet(source)
+        stream = decide.changing(d.decisions_from(feed.feed(d.spark, source, events.schema)))
+        feed.append_stream(stream, target, state).awaitTermination()
+    taken = d.spark.read.schema(stream.schema).parquet(target)
+    feed.write_late(decide.effective(d.decisions), taken, late)
+    return d.spark.read.parquet(late).select("governance_decision_id", "timestamp")
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -94,3 +94,8 @@ def compact_counts(spark: SparkSession, target: str, compacted: str) -> None:
 def late_rows(decisions: DataFrame, appended: DataFrame) -> DataFrame:
     """Decisions of the batch log that the stream dropped as too late; the batch log stays the source of truth."""
     return decisions.join(appended.select(ID), ID, "left_anti")
+
+
+def write_late(decisions: DataFrame, appended: DataFrame, target: str) -> None:
+    """Write the late rows of a run beside its target, after the run has ended."""
+    late_rows(decisions, appended).write.mode("overwrite").parquet(target)
