@@ -48,12 +48,16 @@ LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
 def packed(rank: np.ndarray) -> tuple[bytes, bytes]:
     """(control bytes, data) of unsigned 32-bit numbers."""
     rank = rank.astype(np.uint32)
-    extra = (rank > 0xFF).astype(np.int64) + (rank > 0xFFFF) + (rank > 0xFFFFFF)
-    ends = np.cumsum(extra + 1)
+    extra = (rank > 0xFF).astype(np.uint8)
+    for limit in (0xFFFF, 0xFFFFFF):
+        if len(rank) and rank.max() > limit:
+            extra += rank > limit
+    ends = np.cumsum(extra + np.uint8(1), dtype=np.int64)
     data = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     start = ends - extra - 1
-    for j in range(4):
-        there = extra >= j
+    data[start] = rank & np.uint32(0xFF)
+    for j in range(1, 1 + int(extra.max(initial=0))):
+        there = np.flatnonzero(extra >= j)
         data[start[there] + j] = (rank[there] >> np.uint32(8 * j)) & np.uint32(0xFF)
     codes = np.zeros(-(-len(rank) // 4) * 4, np.uint8)
     codes[:len(rank)] = extra
@@ -64,9 +68,9 @@ def packed(rank: np.ndarray) -> tuple[bytes, bytes]:
 def unpacked(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarray:
     length = LENGTHS[control].ravel()[:count]
     start = np.cumsum(length) - length
-    rank = np.zeros(count, np.uint32)
-    for j in range(4):
-        there = length > j
+    rank = data[start].astype(np.uint32)
+    for j in range(1, int(length.max(initial=1))):
+        there = np.flatnonzero(length > j)
         rank[there] |= data[start[there] + j].astype(np.uint32) << np.uint32(8 * j)
     return rank
 
