@@ -102,23 +102,30 @@ def judge(docs: DataFrame, rules: Rules | None = None, text_column: str = "text"
     covered = F.aggregate(F.transform("__starts", reach), F.lit(0).cast("long"), lambda a, x: a + x)
     df = step(df, repeat=covered,
               good=F.filter(F.split("__text", "\n"), lambda x: ~x.rlike(has_word) | ~line_fails(x, rules)))
-    df = step(df, clean=F.array_join("__good", "\n"), n_good=F.size(F.filter("__good", lambda x: x.rlike(has_word))))
+    df = step(df, clean=F.array_join("__good", "\n"), n_good=F.size(F.filter("__good", lambda x: x.rlike(has_word))),
+              row=F.monotonically_increasing_id())
+
+    def once(value: Column) -> Column:
+        """The row number isn't deterministic, so a caller's filter stays above all steps. Pushed below them, it would
+        repeat them inside each other, for each element of an array."""
+        return F.when(F.col("__row") >= 0, value)
+
     failed = (F.col("__n") < rules.least_words) | (100 * F.col("__repeat") > rules.repeat_percent * F.col("__n"))
     solid = r"\x20\x09\x0A\x0B\x0C\x0D".encode().decode("unicode_escape")
     letters = F.char_length(F.translate("__text", solid, ""))
     enough = F.char_length(F.translate("__clean", solid, "")) >= rules.least_kept * letters
     return df.select(
         *own,
-        F.col("__n").alias("n_words"),
+        once(F.col("__n")).alias("n_words"),
         letters.cast("long").alias("word_chars"),
         _marks(F.col("__text"), SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.col("__repeat").alias("n_repeat_words"),
-        failed.alias("base_failed"),
-        F.col("__clean").alias("clean_text"),
-        (F.size("__lines") - F.col("__n_good")).cast("long").alias("n_lines_removed"),
-        F.size("__lines").cast("long").alias("n_lines"),
-        (~failed & enough).alias("kept"),
+        once((F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long")).alias("n_dup_lines"),
+        once(F.col("__repeat")).alias("n_repeat_words"),
+        once(failed).alias("base_failed"),
+        once(F.col("__clean")).alias("clean_text"),
+        once((F.size("__lines") - F.col("__n_good")).cast("long")).alias("n_lines_removed"),
+        once(F.size("__lines").cast("long")).alias("n_lines"),
+        once(~failed & enough).alias("kept"),
     )
 
 
