@@ -29,7 +29,7 @@ NONE = np.int32(2**31 - 1)
 # Longest piece, in bytes, that is merged in a matrix; cells of a matrix at once; texts' cuts remembered by a worker, at most.
 LONGEST = 256
 CELLS = 1 << 20
-REMEMBERED = 600_000
+REMEMBERED = 450_000
 # Characters that are no letters, numbers or white space.
 MARKS = ".,;:!?\"')]}*$%&#|"
 
