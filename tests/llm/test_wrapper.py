@@ -65,3 +65,17 @@ def test_matching_keeps_order_and_takes_the_most_nodes():
     body = a.kids[0]
     nodes = wrapper.children(wrapper.parse("<body><div><p>9</p><ul><li>y</li></ul></div></body>"))[0]
     assert wrapper.match(body.kids, wrapper.groups(wrapper.children(nodes))) == [(0, 0)]
+
+
+def frame_of(spark, pages, url="http://mixed.org/"):
+    return spark.createDataFrame([(i, url, p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+
+
+def test_host_of_two_layouts(spark):
+    around = "<body><div class='top'>Site name</div>{}<div class='x'>Same words on all pages.</div></body>"
+    one = [around.format(f"<article><p>Article number {n} of many.</p></article><p>Outside {n}</p>") for n in range(6)]
+    two = [around.format(f"<div id='story'><p>Story number {n} of many.</p></div>") for n in range(3)]
+    want = [f"Article number {n} of many." for n in range(6)] + [f"Story number {n} of many." for n in range(3)]
+    assert [r.text for r in wrapper.main_text(frame_of(spark, one + two)).orderBy("page_id").collect()] == want
+    # A layout that the sample hasn't seen.
+    assert wrapper.extract(one[0], wrapper.induce(two)) == want[0]

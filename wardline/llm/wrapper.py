@@ -3,9 +3,9 @@
 The pages of one host share a template. For each host a wrapper is induced from a bounded number of its pages (a parameter; those
 with the smallest hashes): their DOM trees are aligned one after the other by simple tree matching (the largest order-preserving
 match of nodes with equal labels whose parents match) and merged. A wrapper node that has nearly the same text on all pages is
-template; one whose text varies is a slot. Slots of the article become content, by what the wrapper knows: an article or main
-element if the host has one, else the slots that are not mostly links; never those whose names say menu, footer, advert and
-the like. Every page of the table is then aligned with its host's wrapper, and the wrapper's decisions say what its text is.
+template; one whose text varies is a slot. A page with an article or main element of its own has its text there. In other pages,
+also of the same host, the slots that are not mostly links are content; never those whose names say menu, footer, advert and
+the like. Every page of the table is aligned with its host's wrapper, and the wrapper's decisions say what its text is.
 
 Pages that are copies of each other count once in the induction, so that a text is not taken for template because it was copied.
 Wrappers are small and one for each host; they are joined by host, and broadcast only if their measured size is small.
@@ -261,28 +261,31 @@ def induce(pages: list[str]) -> Slot:
         if text not in seen:
             seen.add(text)
             merge(root, [tree])
-    pages_in_all = root.pages
-    article = any_article(root, pages_in_all)
-    decide(root, article, False, False)
+    decide(root, False, False)
     return root
 
 
-def any_article(slot: Slot, pages: int) -> bool:
-    """If most pages of the host have an article or main element."""
-    return (slot.tag in ARTICLE and 2 * slot.pages > pages) or any(any_article(k, pages) for k in slot.kids)
+def has_article(page: Node) -> bool:
+    """If the page itself has an article or main element with a text."""
+    todo = [page]
+    while todo:
+        node = todo.pop()
+        if node.tag in ARTICLE and text_of(node):
+            return True
+        todo.extend(children(node))
+    return False
 
 
-def decide(slot: Slot, article: bool, inside: bool, out: bool) -> None:
+def decide(slot: Slot, inside: bool, out: bool) -> None:
     """Inline elements share the fate of what they stand in."""
     inside = inside or slot.tag in ARTICLE
-    holds = article and not inside and any_article(slot, 0)
     if slot.tag in INLINE:
         slot.out = out
-    elif not inside and not holds and slot.tag not in ("html", "body"):
+    elif not inside and slot.tag not in ("html", "body"):
         constant = slot.pages >= LEAST_PAGES and max(slot.texts.values()) >= CONSTANT * slot.pages
-        slot.out = article or constant or 2 * slot.links > slot.chars > 0
+        slot.out = constant or 2 * slot.links > slot.chars > 0
     for kid in slot.kids:
-        decide(kid, article, inside, slot.out)
+        decide(kid, inside, slot.out)
 
 
 def packed(slot: Slot) -> list:
@@ -315,9 +318,9 @@ def extract(page: str | None, wrapper: Slot) -> str:
             close() if node.tag not in INLINE else None
             return
         own = own or node.tag in ARTICLE
-        out = not own and (out or (slot is not None and slot.out))
+        out = not own and (article or out or (slot is not None and slot.out))
         partner: dict[int, Slot] = {}
-        if slot is not None and slot.kids and not own:
+        if slot is not None and slot.kids and not own and not article:
             found = groups(children(node))
             for i, j in match(slot.kids, found):
                 partner.update((id(n), slot.kids[i]) for n in found[j][1])
@@ -335,7 +338,9 @@ def extract(page: str | None, wrapper: Slot) -> str:
         if block:
             close()
 
-    visit(parse(page), wrapper, False, False)
+    tree = parse(page)
+    article = has_article(tree)
+    visit(tree, wrapper, False, False)
     close()
     return "\n\n".join(blocks)
 
