@@ -79,3 +79,16 @@ def test_host_of_two_layouts(spark):
     assert [r.text for r in wrapper.main_text(frame_of(spark, one + two)).orderBy("page_id").collect()] == want
     # A layout that the sample hasn't seen.
     assert wrapper.extract(one[0], wrapper.induce(two)) == want[0]
+
+
+def test_names_of_layouts_and_sections(spark):
+    page = """<body><form id="all" class="search-form"><div id="page" class="site has-sidebar"><div class="container nav-open menu">{}</div>
+<div class="menu"><p>Some menu {}</p></div></div></form></body>"""
+    inside = """<h1>Title {0}</h1><section id="related-work"><p>Related work {0} was done.</p></section>
+<div id="search-algorithms"><p>Search {0} is fast.</p></div><p class="notice-period">Notice {0} is a month.</p>
+<div class="share-links"><a href="#">Share this {0} now</a></div><div class="sponsored">Buy {0}</div>"""
+    want = "\n\n".join(("Title {0}", "Related work {0} was done.", "Search {0} is fast.", "Notice {0} is a month."))
+    for tag in ("article", "div"):
+        pages = [page.format(f"<{tag}>{inside.format(n)}</{tag}>", n) for n in range(5)]
+        found = [r.text for r in wrapper.main_text(frame_of(spark, pages)).orderBy("page_id").collect()]
+        assert found == [want.format(n) for n in range(5)]

@@ -4,8 +4,9 @@ The pages of one host share a template. For each host a wrapper is induced from
 with the smallest hashes): their DOM trees are aligned one after the other by simple tree matching (the largest order-preserving
 match of nodes with equal labels whose parents match) and merged. A wrapper node that has nearly the same text on all pages is
 template; one whose text varies is a slot. A page with an article or main element of its own has its text there. In other pages,
-also of the same host, the slots that are not mostly links are content; never those whose names say menu, footer, advert and
-the like. Every page of the table is aligned with its host's wrapper, and the wrapper's decisions say what its text is.
+also of the same host, the slots that are not mostly links are content. Elements whose whole name says menu, footer, advert and the
+like are left out; parts of names only confirm that an element is constant or mostly links. What holds the article, or most of the
+text, is never left out by its name. Every page of the table is aligned with its host's wrapper, and the wrapper's decisions say what its text is.
 
 Pages that are copies of each other count once in the induction, so that a text is not taken for template because it was copied.
 Wrappers are small and one for each host; they are joined by host, and broadcast only if their measured size is small.
@@ -48,7 +49,15 @@ CLOSED_BY_BLOCK = frozenset(("p",))
 SAME_CLOSES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"),
                "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select", "optgroup")}
 ARTICLE = frozenset(("article", "main"))
-NAMES = re.compile(
+# Elements of these kinds may stand around the whole page, and hold the text then.
+AROUND = frozenset(("form", "object", "dialog"))
+# Names of a whole class, id or role that say by themselves what an element is. As a part of a longer name, and like the
+# words below, they only confirm what the alignment says.
+NAMES = frozenset((
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo sidebar side-bar menu nav navbar "
+    "navigation breadcrumb breadcrumbs footer masthead cookie cookies consent newsletter subscribe comments comment-list commentlist "
+    "disqus widget widgets toolbar pagination pager").split())
+HINTS = re.compile(
     r"(?<![a-z])(ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|menu\w*|nav\w*|breadcrumbs?|footer|foot|masthead|"
     r"cookies?|consent|notice|popup|modal|newsletter|subscribe|share|sharing|social|related|recommend\w*|comments?|"
     r"comment-?list|respond|reply|replies|disqus|widget\w*|toolbar|pagination|pager|login|signup|search\w*)(?![a-z])")
@@ -125,12 +134,34 @@ def _close(stack: list[Node], tags: tuple[str, ...] | frozenset[str], within: tu
             return
 
 
-def dropped(node: Node) -> bool:
-    """If the element's kind or names say that it is no part of the article."""
-    if node.tag in DROPPED:
-        return True
-    # The names of the whole page or of the article's own element say nothing.
-    return node.tag not in ARTICLE and node.tag != "body" and bool(node.names) and bool(NAMES.search(node.names))
+def named(node: Node) -> bool:
+    """If one of the element's names alone says that it is no part of the article. The page's and the article's own say nothing."""
+    return (node.tag not in ARTICLE and node.tag not in ("html", "body")
+            and any(name.split(":", 1)[1] in NAMES for name in node.names.split()))
+
+
+def hinted(node: Node) -> bool:
+    """If the element's names would fit a part of the page that isn't the article, should it be constant or mostly links."""
+    return node.tag not in ARTICLE and node.tag not in ("html", "body") and bool(HINTS.search(node.names))
+
+
+def measured(page: Node) -> tuple[dict[int, int], set[int], bool]:
+    """Characters of text in each element, without those of kinds that are dropped; elements that hold an article or main
+    element with a text; if there is one."""
+    order, todo = [], [page]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        if node.tag not in DROPPED or node.tag in AROUND:
+            todo.extend(p for p in node.parts if isinstance(p, Node))
+    chars: dict[int, int] = {}
+    holding: set[int] = set()
+    for node in reversed(order):
+        inner = [] if node.tag in DROPPED and node.tag not in AROUND else node.parts
+        chars[id(node)] = sum(len("".join(p.split())) if isinstance(p, str) else chars[id(p)] for p in inner)
+        if (node.tag in ARTICLE and chars[id(node)]) or any(id(p) in holding for p in inner if isinstance(p, Node)):
+            holding.add(id(node))
+    return chars, holding, id(page) in holding
 
 
 def children(node: Node) -> list[Node]:
@@ -265,17 +296,6 @@ def induce(pages: list[str]) -> Slot:
     return root
 
 
-def has_article(page: Node) -> bool:
-    """If the page itself has an article or main element with a text."""
-    todo = [page]
-    while todo:
-        node = todo.pop()
-        if node.tag in ARTICLE and text_of(node):
-            return True
-        todo.extend(children(node))
-    return False
-
-
 def decide(slot: Slot, inside: bool, out: bool) -> None:
     """Inline elements share the fate of what they stand in."""
     inside = inside or slot.tag in ARTICLE
@@ -312,12 +332,23 @@ def extract(page: str | None, wrapper: Slot) -> str:
         if text:
             blocks.append(text)
 
-    def visit(node: Node, slot: Slot | None, out: bool, own: bool) -> None:
-        """``own``: inside the article element, where only names decide."""
-        if dropped(node) or (node.tag == "header" and not own):
+    def dropped(node: Node, slot: Slot | None, whole: int) -> bool:
+        """By kind, name, or a hint that is confirmed; never what holds the article or most of the ``whole`` text."""
+        if node.tag in DROPPED and node.tag not in AROUND:
+            return True
+        if id(node) in holding or not (node.tag in AROUND or node.names):
+            return False
+        if 2 * chars[id(node)] <= whole and (node.tag in AROUND or named(node)):
+            return True
+        return hinted(node) and (2 * _links([node]) > len(text_of(node)) or (slot is not None and slot.out))
+
+    def visit(node: Node, slot: Slot | None, out: bool, own: bool, whole: int) -> None:
+        """``own``: inside the article element, where names decide."""
+        if dropped(node, slot, whole) or (node.tag == "header" and not own and id(node) not in holding):
             close() if node.tag not in INLINE else None
             return
-        own = own or node.tag in ARTICLE
+        if node.tag in ARTICLE and not own:
+            own, whole = True, chars[id(node)]
         out = not own and (article or out or (slot is not None and slot.out))
         partner: dict[int, Slot] = {}
         if slot is not None and slot.kids and not own and not article:
@@ -334,13 +365,13 @@ def extract(page: str | None, wrapper: Slot) -> str:
             elif part.tag == "br":
                 held.append(" ")
             else:
-                visit(part, partner.get(id(part)), out, own)
+                visit(part, partner.get(id(part)), out, own, whole)
         if block:
             close()
 
     tree = parse(page)
-    article = has_article(tree)
-    visit(tree, wrapper, False, False)
+    chars, holding, article = measured(tree)
+    visit(tree, wrapper, False, False, chars[id(tree)])
     close()
     return "\n\n".join(blocks)
 
