@@ -92,3 +92,31 @@ def test_names_of_layouts_and_sections(spark):
         pages = [page.format(f"<{tag}>{inside.format(n)}</{tag}>", n) for n in range(5)]
         found = [r.text for r in wrapper.main_text(frame_of(spark, pages)).orderBy("page_id").collect()]
         assert found == [want.format(n) for n in range(5)]
+
+
+def test_rare_layout_of_a_hot_host(spark):
+    often = "<body><div id='a'><p>Often {n}.</p></div><div class='b'>Words of all pages.</div></body>"
+    rare = "<body><div id='r'><p>Rare {n}.</p></div><table class='q'><tr><td>Words of the rare layout.</td></tr></table></body>"
+    pages = [often.format(n=n) for n in range(396)] + [rare.format(n=n) for n in range(4)]
+    found = wrapper.main_text(frame_of(spark, pages).repartition(7)).orderBy("page_id").collect()
+    assert [r.text for r in found] == [f"Often {n}." for n in range(396)] + [f"Rare {n}." for n in range(4)]
+
+
+def test_parts_of_a_wrapper_add_up():
+    pages = [PAGE.format(n=f"number {i}") for i in range(40)]
+    parts = [wrapper.Slot("html"), wrapper.Slot("html")]
+    for i, page in enumerate(pages):
+        tree = wrapper.parse(page)
+        wrapper.merge(parts[i % 2], wrapper.page_slots(tree, wrapper.Facts(tree)))
+    wrapper.merge(parts[0], wrapper.from_flat(wrapper.flat(parts[1])))
+    assert wrapper.packed(parts[0]) == wrapper.packed(wrapper.induce(pages))
+
+
+def test_texts_of_a_slot_are_bounded_and_none_is_lost():
+    slot = wrapper.Slot("p")
+    for i in range(5000):
+        one = wrapper.Slot("p")
+        one.pages, one.members, one.texts = 1, 2, {7 if i % 10 < 7 else -i: 1, i + 100: 1}
+        slot.add(one)
+    slot.decide()
+    assert slot.constant == {7} and len(slot.texts) <= 2 * wrapper.KEPT

@@ -1,15 +1,16 @@
 """Main text of web pages by wrapper induction.
 
-The pages of one host share a template. For each host a wrapper is induced from a bounded number of its pages (a parameter; those
-with the smallest hashes): their DOM trees are aligned one after the other by simple tree matching (the largest order-preserving
-match of nodes with equal labels whose parents match) and merged. A wrapper node that has nearly the same text on all pages is
-template; one whose text varies is a slot. A page with an article or main element of its own has its text there. In other pages,
-also of the same host, the slots that are not mostly links are content. Elements whose whole name says menu, footer, advert and the
-like are left out; parts of names only confirm that an element is constant or mostly links. What holds the article, or most of the
-text, is never left out by its name. Every page of the table is aligned with its host's wrapper, and the wrapper's decisions say what its text is.
-
-Pages that are copies of each other count once in the induction, so that a text is not taken for template because it was copied.
-Wrappers are small and one for each host; they are joined by host, and broadcast only if their measured size is small.
+The pages of one host share a template. For each host a wrapper is induced from all its pages: their DOM trees are aligned one
+after the other by simple tree matching (the largest order-preserving match of nodes with equal labels whose parents match)
+and merged. A text that nearly all pages have in a node of the wrapper is template; other texts are content. A page with an
+article or main element of its own has its text there. In other pages, also of the same host, the nodes that are not mostly
+links are content. Elements whose whole name says menu, footer, advert and the like are left out; parts of names only confirm
+that an element is constant or mostly links. What holds the article, or most of the text, is never left out by its name.
+
+A page goes to the induction as a tree of labels, hashes and counts, without texts. Trees of a host are merged in parts, and the
+parts by the same alignment, counts added; a task holds one wrapper at a time. Pages with the same article (or, without one, the
+same text) count once, so that a text is not taken for template because it was copied. Wrappers are joined by host, and
+broadcast only if their measured size is small.
 """
 
 from __future__ import annotations
@@ -17,20 +18,25 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Generator, Iterator
+from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from wardline.llm.frames import ready, written
 
-# Pages of a host that its wrapper is induced from, at most.
-SAMPLE = 48
+# Parts that the pages of one host are merged in, side by side, at most.
+PARTS = 64
 # Share of (different) pages with one text that makes a node template, and the pages it takes to tell.
 CONSTANT, LEAST_PAGES = 0.6, 3
+# Texts that a slot keeps counts of: this many, and a multiple of its elements on a page. A text's count is then short by at most
+# a sixteenth of the slot's pages, and the slot knows by how much (Misra and Gries).
+KEPT, KEPT_TIMES = 64, 16
+PRIME, BASE = (1 << 61) - 1, 0x1D3F84A5B7C96E21 % ((1 << 61) - 1)
 # Children of one parent that are aligned one by one; longer lists are matched by label.
 LONGEST = 48
 BROADCAST_BYTES = 8 << 20
@@ -63,6 +69,7 @@ HINTS = re.compile(
     r"comment-?list|respond|reply|replies|disqus|widget\w*|toolbar|pagination|pager|login|signup|search\w*)(?![a-z])")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+DIGITS = re.compile(r"\d+")
 LINK = "a"
 _ends: dict[str, re.Pattern[str]] = {}
 
@@ -76,7 +83,8 @@ class Node:
 
     @property
     def label(self) -> str:
-        return f"{self.tag} {self.names}" if self.names else self.tag
+        """Numbers in names (of posts, of ads) say nothing about the layout."""
+        return f"{self.tag} {DIGITS.sub('#', self.names)}" if self.names else self.tag
 
 
 def parse(page: str) -> Node:
@@ -145,23 +153,54 @@ def hinted(node: Node) -> bool:
     return node.tag not in ARTICLE and node.tag not in ("html", "body") and bool(HINTS.search(node.names))
 
 
-def measured(page: Node) -> tuple[dict[int, int], set[int], bool]:
-    """Characters of text in each element, without those of kinds that are dropped; elements that hold an article or main
-    element with a text; if there is one."""
-    order, todo = [], [page]
-    while todo:
-        node = todo.pop()
-        order.append(node)
-        if node.tag not in DROPPED or node.tag in AROUND:
-            todo.extend(p for p in node.parts if isinstance(p, Node))
-    chars: dict[int, int] = {}
-    holding: set[int] = set()
-    for node in reversed(order):
-        inner = [] if node.tag in DROPPED and node.tag not in AROUND else node.parts
-        chars[id(node)] = sum(len("".join(p.split())) if isinstance(p, str) else chars[id(p)] for p in inner)
-        if (node.tag in ARTICLE and chars[id(node)]) or any(id(p) in holding for p in inner if isinstance(p, Node)):
-            holding.add(id(node))
-    return chars, holding, id(page) in holding
+class Facts:
+    """What is known of a page's elements, by their ids: characters of text, those in links, and a hash of the text, all without
+    white space and without elements that are dropped by kind; which hold an article or main element with a text; and the
+    hash of the page's articles or, without one, of its text."""
+
+    def __init__(self, page: Node):
+        order, todo = [], [page]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo.extend(_inner(node))
+        self.chars: dict[int, int] = {}
+        self.links: dict[int, int] = {}
+        self.hash: dict[int, int] = {}
+        self.blocks: set[int] = set()
+        self.holding: set[int] = set()
+        power: dict[int, int] = {}
+        articles = 0
+        for node in reversed(order):
+            me, chars, links, value, times = id(node), 0, 0, 0, 1
+            gone = node.tag in DROPPED and node.tag not in AROUND
+            for part in () if gone else node.parts:
+                if isinstance(part, str):
+                    text = "".join(part.split())
+                    if text:
+                        chars += len(text)
+                        word = int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+                        value, times = (value * BASE + word) % PRIME, times * BASE % PRIME
+                else:
+                    its = id(part)
+                    chars += self.chars[its]
+                    links += self.links[its]
+                    value, times = (value * power[its] + self.hash[its]) % PRIME, times * power[its] % PRIME
+                    if its in self.holding:
+                        self.holding.add(me)
+                    if part.tag not in INLINE or its in self.blocks:
+                        self.blocks.add(me)
+            self.chars[me], self.hash[me], power[me] = chars, value, times
+            self.links[me] = chars if node.tag == LINK else links
+            if node.tag in ARTICLE and chars:
+                self.holding.add(me)
+                articles = (articles * BASE + value + 1) % PRIME
+        self.article = id(page) in self.holding
+        self.key = articles if self.article else self.hash[id(page)]
+
+
+def _inner(node: Node) -> list[Node]:
+    return [] if node.tag in DROPPED and node.tag not in AROUND else [p for p in node.parts if isinstance(p, Node)]
 
 
 def children(node: Node) -> list[Node]:
@@ -185,28 +224,99 @@ def groups(node_list: list[Node]) -> list[tuple[str, list[Node]]]:
 
 
 class Slot:
-    """A node of a wrapper: a label, what its text was on how many pages, and child slots in order."""
+    """A node of a wrapper: a label, the pages that have it, its texts and on how many pages each was, and child slots in order.
+
+    A page is a wrapper of its own, whose slots know their nodes.
+    """
 
-    __slots__ = ("label", "tag", "pages", "texts", "chars", "links", "kids", "out")
+    __slots__ = ("label", "tag", "pages", "members", "chars", "links", "texts", "lost", "kids", "nodes", "constant", "linked")
 
-    def __init__(self, label: str):
+    def __init__(self, label: str, nodes: list[Node] | None = None):
         self.label, self.tag = label, label.split(" ", 1)[0]
-        self.pages, self.chars, self.links = 0, 0, 0
+        self.pages, self.members, self.chars, self.links, self.lost = 0, 0, 0, 0, 0
         self.texts: dict[int, int] = {}
         self.kids: list[Slot] = []
-        self.out = False
-
-
-def match(slots: list[Slot], found: list[tuple[str, list[Node]]]) -> list[tuple[int, int]]:
-    """Simple tree matching of two lists of siblings: pairs of places, in order on both sides, with the most nodes matched."""
-    n, m = len(slots), len(found)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    worth = {}
-    for i in range(n):
-        for j in range(m):
-            if slots[i].label == found[j][0]:
-                worth[i, j] = size(slots[i], found[j][1])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + worth.get((i, j), 0))
+        self.nodes = nodes or []
+        self.constant: frozenset[int] = frozenset()
+        self.linked = False
+
+    def add(self, other: Slot) -> None:
+        self.pages += other.pages
+        self.members += other.members
+        self.chars += other.chars
+        self.links += other.links
+        self.lost += other.lost
+        for text, pages in other.texts.items():
+            self.texts[text] = self.texts.get(text, 0) + pages
+        keep = max(KEPT, KEPT_TIMES * self.members // max(1, self.pages))
+        if len(self.texts) > 2 * keep:
+            less = sorted(self.texts.values(), reverse=True)[keep]
+            self.texts = {t: n - less for t, n in self.texts.items() if n > less}
+            self.lost += less
+
+    def decide(self) -> None:
+        if self.pages >= LEAST_PAGES:
+            self.constant = frozenset(t for t, n in self.texts.items() if n >= 2 and n + self.lost >= CONSTANT * self.pages)
+        self.linked = 2 * self.links > self.chars > 0
+
+
+def page_slots(page: Node, facts: Facts) -> Slot:
+    """The page as a wrapper; inline elements share the fate of what they stand in."""
+    root = Slot("html", [page])
+    todo = [root]
+    while todo:
+        slot = todo.pop()
+        slot.pages, slot.members = 1, len(slot.nodes)
+        slot.chars = sum(facts.chars[id(n)] for n in slot.nodes)
+        slot.links = sum(facts.links[id(n)] for n in slot.nodes)
+        slot.texts = {facts.hash[id(n)]: 1 for n in slot.nodes if facts.chars[id(n)]}
+        inner = [k for n in slot.nodes for k in children(n)
+                 if (k.tag not in DROPPED or k.tag in AROUND) and (k.tag not in INLINE or id(k) in facts.blocks)]
+        slot.kids = [Slot(label, members) for label, members in groups(inner)]
+        todo.extend(slot.kids)
+    return root
+
+
+Sizes = dict[tuple[int, int], int]
+Pairs = list[tuple[int, int]]
+
+
+def _run(job: Generator[tuple[Slot, Slot], None, Pairs | None], sizes: Sizes) -> Pairs | None:
+    """A job that asks for sizes of matches, and they for others: a stack of its own, as trees may be of any depth."""
+    stack, result = [job], None
+    while stack:
+        try:
+            stack.append(_sizing(*next(stack[-1]), sizes))
+        except StopIteration as end:
+            stack.pop()
+            result = end.value
+    return result
+
+
+def _sizing(a: Slot, b: Slot, sizes: Sizes) -> Generator[tuple[Slot, Slot], None, None]:
+    """Nodes of the largest match of the two trees, their roots included."""
+    pairs = yield from _aligned(a.kids, b.kids, sizes)
+    sizes[id(a), id(b)] = 1 + sum(sizes[id(a.kids[i]), id(b.kids[j])] for i, j in pairs)
+
+
+def _aligned(left: list[Slot], right: list[Slot], sizes: Sizes) -> Generator[tuple[Slot, Slot], None, Pairs]:
+    """Simple tree matching of two lists of siblings: pairs of places, in order on both sides, with the most nodes matched; of
+    equal matches the one with more equal texts."""
+    n, m = len(left), len(right)
+    best = [[0] * (m + 1)]
+    worth: Sizes = {}
+    for i, a in enumerate(left):
+        above, row = best[-1], [0] * (m + 1)
+        best.append(row)
+        for j, b in enumerate(right):
+            most = above[j + 1] if above[j + 1] > row[j] else row[j]
+            if a.label == b.label:
+                if (id(a), id(b)) not in sizes:
+                    yield a, b
+                few, many = (a.texts, b.texts) if len(a.texts) < len(b.texts) else (b.texts, a.texts)
+                worth[i, j] = 2 * sizes[id(a), id(b)] + any(t in many for t in few)
+                most = max(most, above[j] + worth[i, j])
+            row[j + 1] = most
     pairs, i, j = [], n, m
     while i and j:
         if (i - 1, j - 1) in worth and best[i][j] == best[i - 1][j - 1] + worth[i - 1, j - 1]:
@@ -219,110 +329,130 @@ def match(slots: list[Slot], found: list[tuple[str, list[Node]]]) -> list[tuple[
     return pairs[::-1]
 
 
-def size(slot: Slot, nodes: list[Node]) -> int:
-    """Nodes of the largest match of the two trees, their roots included."""
-    if not slot.kids:
-        return 1
-    found = groups([k for n in nodes for k in children(n)])
-    if not found:
-        return 1
-    n, m = len(slot.kids), len(found)
-    row = [0] * (m + 1)
-    for i in range(n):
-        new = [0] * (m + 1)
-        for j in range(m):
-            same = size(slot.kids[i], found[j][1]) if slot.kids[i].label == found[j][0] else 0
-            new[j + 1] = max(row[j + 1], new[j], row[j] + same)
-        row = new
-    return 1 + row[m]
-
-
-def text_of(node: Node) -> str:
-    parts: list[str] = []
-    todo: list[Node | str] = [node]
+def match(slots: list[Slot], found: list[tuple[str, list[Node]]]) -> Pairs:
+    """Places of slots and of groups of nodes that match."""
+    page = Node("html")
+    page.parts = [n for _, members in found for n in members]
+    facts = Facts(page)
+    return _matched(slots, page_slots(page, facts).kids)
+
+
+def _matched(left: list[Slot], right: list[Slot], sizes: Sizes | None = None) -> Pairs:
+    sizes = {} if sizes is None else sizes
+    return _run(_aligned(left, right, sizes), sizes) or []
+
+
+def merge(into: Slot, other: Slot) -> None:
+    """Add a page or another wrapper; slots without a match become new ones at their place."""
+    sizes: Sizes = {}
+    todo = [(into, other)]
     while todo:
-        part = todo.pop()
-        if isinstance(part, str):
-            parts.append(part)
-        elif part.tag not in RAW:
-            todo.extend(reversed(part.parts))
-    return " ".join("".join(parts).split())
+        a, b = todo.pop()
+        a.add(b)
+        if not a.kids or not b.kids:
+            a.kids = a.kids or b.kids
+            continue
+        partner = {j: i for i, j in _matched(a.kids, b.kids, sizes)}
+        kids, done = [], 0
+        for j, kid in enumerate(b.kids):
+            if j in partner:
+                kids.extend(a.kids[done:partner[j] + 1])
+                done = partner[j] + 1
+                todo.append((a.kids[partner[j]], kid))
+            else:
+                kids.append(kid)
+        a.kids = kids + a.kids[done:]
 
 
-def _links(nodes: list[Node]) -> int:
-    todo, total = list(nodes), 0
+def in_order(root: Slot) -> Iterator[Slot]:
+    todo = [root]
     while todo:
-        node = todo.pop()
-        if node.tag == LINK:
-            total += len(text_of(node))
-        else:
-            todo.extend(children(node))
-    return total
-
-
-def merge(slot: Slot, nodes: list[Node]) -> None:
-    """Add one page's nodes to the wrapper below this slot; nodes without a match become new slots at their place."""
-    text = "\n".join(map(text_of, nodes))
-    slot.pages += 1
-    slot.chars += len(text)
-    slot.links += _links(nodes)
-    key = hash(text)
-    slot.texts[key] = slot.texts.get(key, 0) + 1
-    found = groups([k for n in nodes for k in children(n)])
-    pairs = match(slot.kids, found)
-    partner = {j: i for i, j in pairs}
-    kids, done = [], 0
-    for j, (label, members) in enumerate(found):
-        if j in partner:
-            kids.extend(slot.kids[done:partner[j] + 1])
-            done = partner[j] + 1
-            merge(slot.kids[partner[j]], members)
-        else:
-            new = Slot(label)
-            merge(new, members)
-            kids.append(new)
-    slot.kids = kids + slot.kids[done:]
+        slot = todo.pop()
+        yield slot
+        todo.extend(reversed(slot.kids))
 
 
 def induce(pages: list[str]) -> Slot:
     root, seen = Slot("html"), set()
     for page in pages:
         tree = parse(page)
-        text = text_of(tree)
-        if text not in seen:
-            seen.add(text)
-            merge(root, [tree])
-    decide(root, False, False)
+        facts = Facts(tree)
+        if facts.key not in seen:
+            seen.add(facts.key)
+            merge(root, page_slots(tree, facts))
+    for slot in in_order(root):
+        slot.decide()
     return root
 
 
-def decide(slot: Slot, inside: bool, out: bool) -> None:
-    """Inline elements share the fate of what they stand in."""
-    inside = inside or slot.tag in ARTICLE
-    if slot.tag in INLINE:
-        slot.out = out
-    elif not inside and slot.tag not in ("html", "body"):
-        constant = slot.pages >= LEAST_PAGES and max(slot.texts.values()) >= CONSTANT * slot.pages
-        slot.out = constant or 2 * slot.links > slot.chars > 0
-    for kid in slot.kids:
-        decide(kid, inside, slot.out)
+def flat(root: Slot) -> bytes:
+    """A part of a wrapper as bytes, to be merged with others."""
+    rows = [[s.label, s.pages, s.members, s.chars, s.links, s.lost, len(s.kids), *(x for t in s.texts.items() for x in t)]
+            for s in in_order(root)]
+    return zlib.compress(json.dumps(rows, separators=(",", ":")).encode(), 1)
+
+
+def from_flat(data: bytes) -> Slot:
+    def slot(row: list) -> Slot:
+        made = Slot(row[0])
+        made.pages, made.members, made.chars, made.links, made.lost = row[1:6]
+        made.texts = dict(zip(row[7::2], row[8::2], strict=True))
+        return made
 
+    return _tree((slot(row), row[6]) for row in json.loads(zlib.decompress(data)))
+
+
+def _tree(slots: Iterator[tuple[Slot, int]]) -> Slot:
+    """Slots in page order, each with the count of its children, as a tree."""
+    root, open_slots = None, []
+    for slot, kids in slots:
+        root = root or slot
+        if open_slots:
+            open_slots[-1][0].kids.append(slot)
+            open_slots[-1][1] -= 1
+        open_slots.append([slot, kids])
+        while open_slots and not open_slots[-1][1]:
+            open_slots.pop()
+    return root
 
-def packed(slot: Slot) -> list:
-    return [slot.label, int(slot.out), [packed(k) for k in slot.kids]]
 
+def packed(root: Slot) -> str:
+    """What pages are told apart by. Slots of few pages are left out: elements without a slot are judged by their own links."""
+    for slot in in_order(root):
+        slot.decide()
+        slot.kids = [k for k in slot.kids if k.pages >= LEAST_PAGES]
+    return json.dumps([[s.label, int(s.linked), len(s.kids), *sorted(s.constant)] for s in in_order(root)], separators=(",", ":"))
 
-def unpacked(parts: list) -> Slot:
-    slot = Slot(parts[0])
-    slot.out = bool(parts[1])
-    slot.kids = [unpacked(k) for k in parts[2]]
-    return slot
 
+def unpacked(data: str) -> Slot:
+    def slot(row: list) -> Slot:
+        made = Slot(row[0])
+        made.linked, made.constant = bool(row[1]), frozenset(row[3:])
+        return made
 
-def extract(page: str | None, wrapper: Slot) -> str:
-    """The blocks of the page that the wrapper calls content, joined by an empty line."""
+    return _tree((slot(row), row[2]) for row in json.loads(data))
+
+
+def partners(page: Slot, wrapper: Slot) -> dict[int, Slot]:
+    """The wrapper's slot of each of the page's elements that has one."""
+    found: dict[int, Slot] = {}
+    sizes: Sizes = {}
+    todo = [(wrapper, page)]
+    while todo:
+        slot, here = todo.pop()
+        found.update((id(n), slot) for n in here.nodes)
+        if slot.kids and here.kids:
+            todo.extend((slot.kids[i], here.kids[j]) for i, j in _matched(slot.kids, here.kids, sizes))
+    return found
+
+
+def extract(page: str | None, wrapper: Slot | None) -> str:
+    """The blocks of the page that the wrapper calls content, joined by an empty line. Without a wrapper names and kinds decide."""
     if not page:
         return ""
+    tree = parse(page)
+    facts = Facts(tree)
+    slots = partners(page_slots(tree, facts), wrapper) if wrapper else {}
     blocks: list[str] = []
     held: list[str] = []
 
@@ -332,46 +462,51 @@ def extract(page: str | None, wrapper: Slot) -> str:
         if text:
             blocks.append(text)
 
-    def dropped(node: Node, slot: Slot | None, whole: int) -> bool:
+    def linked(node: Node) -> bool:
+        return 2 * facts.links[id(node)] > facts.chars[id(node)]
+
+    def constant(node: Node) -> bool:
+        return id(node) in slots and facts.hash[id(node)] in slots[id(node)].constant
+
+    def template(node: Node) -> bool:
+        if node.tag in INLINE or node.tag in ("html", "body") or wrapper is None:
+            return False
+        return constant(node) or (slots[id(node)].linked if id(node) in slots else linked(node))
+
+    def dropped(node: Node, own: bool, whole: int) -> bool:
         """By kind, name, or a hint that is confirmed; never what holds the article or most of the ``whole`` text."""
         if node.tag in DROPPED and node.tag not in AROUND:
             return True
-        if id(node) in holding or not (node.tag in AROUND or node.names):
+        if id(node) in facts.holding:
             return False
-        if 2 * chars[id(node)] <= whole and (node.tag in AROUND or named(node)):
+        if node.tag == "header" and not own:
             return True
-        return hinted(node) and (2 * _links([node]) > len(text_of(node)) or (slot is not None and slot.out))
+        if 2 * facts.chars[id(node)] <= whole and (node.tag in AROUND or named(node)):
+            return True
+        return hinted(node) and (linked(node) or constant(node))
 
-    def visit(node: Node, slot: Slot | None, out: bool, own: bool, whole: int) -> None:
-        """``own``: inside the article element, where names decide."""
-        if dropped(node, slot, whole) or (node.tag == "header" and not own and id(node) not in holding):
-            close() if node.tag not in INLINE else None
-            return
-        if node.tag in ARTICLE and not own:
-            own, whole = True, chars[id(node)]
-        out = not own and (article or out or (slot is not None and slot.out))
-        partner: dict[int, Slot] = {}
-        if slot is not None and slot.kids and not own and not article:
-            found = groups(children(node))
-            for i, j in match(slot.kids, found):
-                partner.update((id(n), slot.kids[i]) for n in found[j][1])
-        block = node.tag not in INLINE
-        if block:
-            close()
-        for part in node.parts:
-            if isinstance(part, str):
-                if not out:
-                    held.append(part)
-            elif part.tag == "br":
-                held.append(" ")
-            else:
-                visit(part, partner.get(id(part)), out, own, whole)
-        if block:
+    # Texts and elements still to come, and for each: if it is out, if it is in the article, the characters around it.
+    todo: list[tuple[Node | str | None, bool, bool, int]] = [(tree, False, False, facts.chars[id(tree)])]
+    while todo:
+        part, out, own, whole = todo.pop()
+        if part is None:
             close()
-
-    tree = parse(page)
-    chars, holding, article = measured(tree)
-    visit(tree, wrapper, False, False, chars[id(tree)])
+        elif isinstance(part, str):
+            if not out:
+                held.append(part)
+        elif part.tag == "br":
+            held.append(" ")
+        elif dropped(part, own, whole):
+            if part.tag not in INLINE:
+                close()
+        else:
+            if part.tag in ARTICLE and not own:
+                own, whole = True, facts.chars[id(part)]
+            out = not own and (facts.article or out or template(part))
+            if part.tag not in INLINE:
+                close()
+                todo.append((None, out, own, whole))
+            todo.extend((p, out, own, whole) for p in reversed(part.parts))
     close()
     return "\n\n".join(blocks)
 
@@ -382,7 +517,57 @@ def host_of(url: str) -> Column:
     return F.when(found != "", found)
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE, id_column: str = "page_id", url_column: str = "url",
+def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, trees = [], []
+        for page in batch.column("html").to_pylist():
+            tree = parse(page)
+            facts = Facts(tree)
+            keys.append(facts.key)
+            trees.append(flat(page_slots(tree, facts)))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array(keys, pa.int64()), pa.array(trees, pa.binary())], ["host", "key", "part"])
+
+
+def merged(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
+    """One wrapper for rows that follow each other with one host and salt; of those with one key the first."""
+    group, last, root = None, None, Slot("html")
+
+    def made() -> pa.RecordBatch:
+        if whole:
+            return pa.RecordBatch.from_arrays([pa.array([group[0]]), pa.array([packed(root)])], ["__host", "__wrapper"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([group[0]]), pa.array([group[1]], pa.int64()), pa.array([flat(root)], pa.binary())], ["host", "key", "part"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            here = row["host"], row["salt"]
+            if here != group:
+                if group:
+                    yield made()
+                group, last, root = here, None, Slot("html")
+            if row["key"] != last:
+                last = row["key"]
+                merge(root, from_flat(row["part"]))
+    if group:
+        yield made()
+
+
+def wrappers_of(some: DataFrame) -> DataFrame:
+    """__host, __wrapper of pages with ``host`` and ``html``."""
+    found = some.mapInArrow(sketches, "host string, key long, part binary")
+    salted = found.withColumn("salt", F.pmod("key", F.lit(PARTS)).cast("long"))
+    parts = (
+        salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "key", "part")
+        .mapInArrow(lambda b: merged(b, False), "host string, key long, part binary")
+    )
+    return (
+        parts.withColumn("salt", F.lit(0).cast("long")).repartition("host").sortWithinPartitions("host", "key")
+        .mapInArrow(lambda b: merged(b, True), "__host string, __wrapper string")
+    )
+
+
+def main_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url",
               html_column: str = "html", name: str = "text") -> DataFrame:
     """All columns and ``text`` (replaces a given one): the page's main text.
 
@@ -394,33 +579,21 @@ def main_text(pages: DataFrame, sample: int = SAMPLE, id_column: str = "page_id"
     ready(spark)
     own = [c for c in pages.columns if c not in (name, "__host", "__wrapper")]
     placed = pages.select(*own, host_of(url_column).alias("__host"))
-    rank = F.row_number().over(Window.partitionBy("host").orderBy("order", "id"))
-    some = (
-        placed.filter(F.col("__host").isNotNull() & F.col(html_column).isNotNull())
-        .select(F.col("__host").alias("host"), F.xxhash64(id_column, url_column).alias("order"),
-                F.col(id_column).alias("id"), F.col(html_column).alias("html"))
-        .withColumn("rank", rank).filter(F.col("rank") <= sample)
-    )
-
-    def learn(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rank")
-        found = induce(group["html"].tolist())
-        return pd.DataFrame({"__host": [group["host"].iloc[0]], "__wrapper": [json.dumps(packed(found))]})
-
-    wrappers = written(some.groupBy("host").applyInPandas(learn, "__host string, __wrapper string"), "wrappers")
+    some = placed.filter(F.col("__host").isNotNull() & F.col(html_column).isNotNull())
+    wrappers = written(wrappers_of(some.select(F.col("__host").alias("host"), F.col(html_column).cast("string").alias("html"))), "wrappers")
     total = wrappers.agg(F.sum(F.octet_length("__wrapper") + 64)).first()[0] or 0
     joined = placed.join(F.broadcast(wrappers) if total <= BROADCAST_BYTES else wrappers, "__host", "left")
     at = own.index(html_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str | None, Slot] = {}
+        known: dict[str | None, Slot | None] = {}
         for batch in batches:
             texts = []
             for page, wrapper in zip(batch.column(at).to_pylist(), batch.column(len(own)).to_pylist(), strict=True):
                 if wrapper not in known:
                     if len(known) >= 1000:
                         known.clear()
-                    known[wrapper] = unpacked(json.loads(wrapper)) if wrapper else Slot("html")
+                    known[wrapper] = unpacked(wrapper) if wrapper else None
                 texts.append(extract(page, known[wrapper]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*own, name])
 
