@@ -120,3 +120,14 @@ def test_texts_of_a_slot_are_bounded_and_none_is_lost():
         slot.add(one)
     slot.decide()
     assert slot.constant == {7} and len(slot.texts) <= 2 * wrapper.KEPT
+
+
+def test_template_inside_articles(spark):
+    page = """<body><article><h1>Title {n}</h1><p>The text of page {n} is this.</p><p>And more of it, number {n}.</p>
+<div>Pass this on to friends.</div><section><p>Ann: fine work.</p></section><p>The editors take no blame.</p></article></body>"""
+    copies = [f"<body><article><p>{'A copied text with many words. ' * 5}</p><p>Change {n}.</p></article></body>" for n in range(6)]
+    frame = frame_of(spark, [page.format(n=n) for n in range(8)]).unionAll(frame_of(spark, copies, "http://copies.org/"))
+    found = {(r.url, r.page_id): r.text for r in wrapper.main_text(frame).collect()}
+    for n in range(8):
+        assert found["http://mixed.org/", n] == f"Title {n}\n\nThe text of page {n} is this.\n\nAnd more of it, number {n}."
+    assert all("A copied text" in found["http://copies.org/", n] for n in range(6))

@@ -3,7 +3,7 @@
 The pages of one host share a template. For each host a wrapper is induced from all its pages: their DOM trees are aligned one
 after the other by simple tree matching (the largest order-preserving match of nodes with equal labels whose parents match)
 and merged. A text that nearly all pages have in a node of the wrapper is template; other texts are content. A page with an
-article or main element of its own has its text there. In other pages, also of the same host, the nodes that are not mostly
+article or main element of its own has its text there, without what is template by the same count over different articles. In other pages, also of the same host, the nodes that are not mostly
 links are content. Elements whose whole name says menu, footer, advert and the like are left out; parts of names only confirm
 that an element is constant or mostly links. What holds the article, or most of the text, is never left out by its name.
 
@@ -36,6 +36,8 @@ CONSTANT, LEAST_PAGES = 0.6, 3
 # Texts that a slot keeps counts of: this many, and a multiple of its elements on a page. A text's count is then short by at most
 # a sixteenth of the slot's pages, and the slot knows by how much (Misra and Gries).
 KEPT, KEPT_TIMES = 64, 16
+# Share of an article's text that may be template; with more it is taken for a copy.
+MOST_REPEATED = 2 / 3
 PRIME, BASE = (1 << 61) - 1, 0x1D3F84A5B7C96E21 % ((1 << 61) - 1)
 # Children of one parent that are aligned one by one; longer lists are matched by label.
 LONGEST = 48
@@ -254,9 +256,11 @@ class Slot:
             self.texts = {t: n - less for t, n in self.texts.items() if n > less}
             self.lost += less
 
-    def decide(self) -> None:
+    def decide(self, inside: bool = False) -> None:
+        """``inside`` an article it takes one page more, as articles quote each other."""
         if self.pages >= LEAST_PAGES:
-            self.constant = frozenset(t for t, n in self.texts.items() if n >= 2 and n + self.lost >= CONSTANT * self.pages)
+            least = LEAST_PAGES if inside else LEAST_PAGES - 1
+            self.constant = frozenset(t for t, n in self.texts.items() if n >= least and n + self.lost >= CONSTANT * self.pages)
         self.linked = 2 * self.links > self.chars > 0
 
 
@@ -380,11 +384,19 @@ def induce(pages: list[str]) -> Slot:
         if facts.key not in seen:
             seen.add(facts.key)
             merge(root, page_slots(tree, facts))
-    for slot in in_order(root):
-        slot.decide()
+    decide(root)
     return root
 
 
+def decide(root: Slot) -> None:
+    todo = [(root, False)]
+    while todo:
+        slot, inside = todo.pop()
+        inside = inside or slot.tag in ARTICLE
+        slot.decide(inside)
+        todo.extend((k, inside) for k in slot.kids)
+
+
 def flat(root: Slot) -> bytes:
     """A part of a wrapper as bytes, to be merged with others."""
     rows = [[s.label, s.pages, s.members, s.chars, s.links, s.lost, len(s.kids), *(x for t in s.texts.items() for x in t)]
@@ -418,8 +430,8 @@ def _tree(slots: Iterator[tuple[Slot, int]]) -> Slot:
 
 def packed(root: Slot) -> str:
     """What pages are told apart by. Slots of few pages are left out: elements without a slot are judged by their own links."""
+    decide(root)
     for slot in in_order(root):
-        slot.decide()
         slot.kids = [k for k in slot.kids if k.pages >= LEAST_PAGES]
     return json.dumps([[s.label, int(s.linked), len(s.kids), *sorted(s.constant)] for s in in_order(root)], separators=(",", ":"))
 
@@ -473,6 +485,22 @@ def extract(page: str | None, wrapper: Slot | None) -> str:
             return False
         return constant(node) or (slots[id(node)].linked if id(node) in slots else linked(node))
 
+    def repeated() -> set[int]:
+        """Elements inside the article with a text that other articles have there too; none if they are most of it, as then the
+        article is a copy with changes."""
+        found, whole, part = set(), 0, 0
+        todo = [(tree, False)]
+        while todo:
+            node, inside = todo.pop()
+            if node.tag in ARTICLE and not inside:
+                inside, whole = True, whole + facts.chars[id(node)]
+            elif inside and node.tag not in INLINE and constant(node):
+                found.add(id(node))
+                part += facts.chars[id(node)]
+                continue
+            todo.extend((n, inside) for n in _inner(node))
+        return found if part <= MOST_REPEATED * whole else set()
+
     def dropped(node: Node, own: bool, whole: int) -> bool:
         """By kind, name, or a hint that is confirmed; never what holds the article or most of the ``whole`` text."""
         if node.tag in DROPPED and node.tag not in AROUND:
@@ -485,6 +513,7 @@ def extract(page: str | None, wrapper: Slot | None) -> str:
             return True
         return hinted(node) and (linked(node) or constant(node))
 
+    again = repeated() if wrapper and facts.article else set()
     # Texts and elements still to come, and for each: if it is out, if it is in the article, the characters around it.
     todo: list[tuple[Node | str | None, bool, bool, int]] = [(tree, False, False, facts.chars[id(tree)])]
     while todo:
@@ -501,8 +530,11 @@ def extract(page: str | None, wrapper: Slot | None) -> str:
                 close()
         else:
             if part.tag in ARTICLE and not own:
-                own, whole = True, facts.chars[id(part)]
-            out = not own and (facts.article or out or template(part))
+                own, out, whole = True, False, facts.chars[id(part)]
+            elif own:
+                out = out or id(part) in again
+            else:
+                out = out or facts.article or template(part)
             if part.tag not in INLINE:
                 close()
                 todo.append((None, out, own, whole))
