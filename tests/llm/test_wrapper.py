@@ -131,3 +131,32 @@ def test_template_inside_articles(spark):
     for n in range(8):
         assert found["http://mixed.org/", n] == f"Title {n}\n\nThe text of page {n} is this.\n\nAnd more of it, number {n}."
     assert all("A copied text" in found["http://copies.org/", n] for n in range(6))
+
+
+def test_long_lists_and_deep_pages(spark):
+    def page(n, sections):
+        body = "".join(f"<h2>Head {n} {i}</h2><p>Section {i} of page {n}.</p>" for i in range(sections))
+        return f"<body><div id='all'>{body}<hr><div><p>No. 5, Long Street</p></div><p>All our legal words.</p></div></body>"
+
+    pages = [page(n, 1) for n in range(7)] + [page(7, 400)]
+    found = [r.text for r in wrapper.main_text(frame_of(spark, pages)).orderBy("page_id").collect()]
+    for n, text in enumerate(found):
+        assert text == "\n\n".join(
+            f"Head {n} {i}\n\nSection {i} of page {n}." for i in range(1 if n < 7 else 400))
+    # 5,000 elements around the text, and blocks and menus in the depth.
+    deep = "<div>" * 5000 + "<p>One {0}.</p><nav>Menu</nav><p>Two {0}.</p><aside>Aside</aside>" + "</div>" * 5000 + "<p>End {0}.</p>"
+    deep = "<body>" + deep + "</body>"
+    found = wrapper.main_text(frame_of(spark, [deep.format(n) for n in range(4)])).orderBy("page_id").collect()
+    assert [r.text for r in found] == [f"One {n}.\n\nTwo {n}.\n\nEnd {n}." for n in range(4)]
+
+
+def test_windows_match_once_and_in_order():
+    def slots(labels):
+        return [wrapper.Slot(x) for x in labels]
+
+    right = slots(["a", *["h2", "p"] * 300, "mid", *["h2", "p"] * 5, "z"])
+    left = slots(["a", *["h2", "p"] * 3, "mid", *["h2", "p"] * 400, "z"])
+    pairs = wrapper._matched(left, right)
+    assert len(pairs) == 3 + 6 + 10 and pairs == sorted(pairs)
+    assert all(left[i].label == right[j].label for i, j in pairs)
+    assert len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)

@@ -19,6 +19,8 @@ import html as entities
 import json
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Generator, Iterator
 from hashlib import blake2b
 
@@ -39,11 +41,9 @@ KEPT, KEPT_TIMES = 64, 16
 # Share of an article's text that may be template; with more it is taken for a copy.
 MOST_REPEATED = 2 / 3
 PRIME, BASE = (1 << 61) - 1, 0x1D3F84A5B7C96E21 % ((1 << 61) - 1)
-# Children of one parent that are aligned one by one; longer lists are matched by label.
-LONGEST = 48
+# Siblings that are aligned at once; longer lists are aligned between labels that both have once, in windows that overlap.
+ALIGNED = 64
 BROADCAST_BYTES = 8 << 20
-# Elements nested deeper are taken as empty, and what they hold as their parent's.
-DEEPEST = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "title", "textarea", "template", "iframe", "noembed", "noframes", "xmp"))
@@ -92,7 +92,7 @@ class Node:
 def parse(page: str) -> Node:
     """The page's tree; missing and stray end tags are put right as browsers do for the common cases."""
     root = Node("html")
-    stack, at = [root], 0
+    stack, at = Stack(root), 0
     while True:
         found = TAG.search(page, at)
         text = page[at:found.start()] if found else page[at:]
@@ -105,9 +105,9 @@ def parse(page: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if stack.open[tag] else ():
                 if stack[depth].tag == tag:
-                    del stack[depth:]
+                    stack.cut(depth)
                     break
                 # An inline element's end tag doesn't end the blocks around it.
                 if tag in INLINE and stack[depth].tag not in INLINE:
@@ -131,14 +131,30 @@ def parse(page: str) -> Node:
             end = _ends.setdefault(tag, re.compile(rf"</{tag}[^>]*>", re.I)).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        stack.push(node)
 
 
-def _close(stack: list[Node], tags: tuple[str, ...] | frozenset[str], within: tuple[str, ...]) -> None:
-    for depth in range(len(stack) - 1, 0, -1):
+class Stack(list[Node]):
+    """Open elements, and how many there are of each kind, so that nothing is looked for in vain in deep pages."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.open: Counter[str] = Counter()
+
+    def push(self, node: Node) -> None:
+        self.append(node)
+        self.open[node.tag] += 1
+
+    def cut(self, depth: int) -> None:
+        for node in self[depth:]:
+            self.open[node.tag] -= 1
+        del self[depth:]
+
+
+def _close(stack: Stack, tags: tuple[str, ...] | frozenset[str], within: tuple[str, ...]) -> None:
+    for depth in range(len(stack) - 1, 0, -1) if any(stack.open[t] for t in tags) else ():
         if stack[depth].tag in tags:
-            del stack[depth:]
+            stack.cut(depth)
             return
         if stack[depth].tag in within:
             return
@@ -210,18 +226,13 @@ def children(node: Node) -> list[Node]:
 
 
 def groups(node_list: list[Node]) -> list[tuple[str, list[Node]]]:
-    """Nodes to be aligned: runs of one label are one group; in very long lists all nodes of one label are."""
+    """Nodes to be aligned: runs of one label are one group."""
     out: list[tuple[str, list[Node]]] = []
     for node in node_list:
         if out and out[-1][0] == node.label and (node.tag in INLINE or node.tag in ("p", "li", "tr", "td", "dt", "dd")):
             out[-1][1].append(node)
         else:
             out.append((node.label, [node]))
-    if len(out) > LONGEST:
-        by_label: dict[str, list[Node]] = {}
-        for label, members in out:
-            by_label.setdefault(label, []).extend(members)
-        out = list(by_label.items())
     return out
 
 
@@ -304,6 +315,53 @@ def _sizing(a: Slot, b: Slot, sizes: Sizes) -> Generator[tuple[Slot, Slot], None
 
 
 def _aligned(left: list[Slot], right: list[Slot], sizes: Sizes) -> Generator[tuple[Slot, Slot], None, Pairs]:
+    """The match of two lists of siblings of any length, each place at most once and in order."""
+    if len(left) <= ALIGNED and len(right) <= ALIGNED:
+        return (yield from _window(left, right, sizes))
+    pairs: Pairs = []
+    for i, i_end, j, j_end in _between(left, right):
+        while i < i_end and j < j_end:
+            part = yield from _window(left[i:min(i + ALIGNED, i_end)], right[j:min(j + ALIGNED, j_end)], sizes)
+            if i + ALIGNED >= i_end and j + ALIGNED >= j_end:
+                pairs.extend((i + a, j + b) for a, b in part)
+                break
+            # Pairs near the window's end may change with what follows.
+            sure = [(i + a, j + b) for a, b in part if max(a, b) < ALIGNED // 2]
+            pairs.extend(sure)
+            if sure:
+                i, j = sure[-1][0] + 1, sure[-1][1] + 1
+            elif part:
+                i, j = i + part[0][0], j + part[0][1]
+            else:
+                i, j = i + ALIGNED // 2, j + ALIGNED // 2
+    return pairs
+
+
+def _between(left: list[Slot], right: list[Slot]) -> Iterator[tuple[int, int, int, int]]:
+    """Parts of both lists that belong together: labels that both have once, as many as are in one order, and what is between."""
+    times = Counter(s.label for s in left), Counter(s.label for s in right)
+    there = {s.label: j for j, s in enumerate(right) if times[1][s.label] == 1}
+    alone = [(i, there[s.label]) for i, s in enumerate(left) if times[0][s.label] == 1 and s.label in there]
+    ends: list[int] = []
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(alone):
+        at = bisect_left(ends, j)
+        before.append(last[at - 1] if at else -1)
+        ends[at:at + 1], last[at:at + 1] = [j], [n]
+    chain, n = [], last[-1] if last else -1
+    while n >= 0:
+        chain.append(alone[n])
+        n = before[n]
+    i = j = 0
+    for a, b in reversed(chain):
+        yield i, a, j, b
+        yield a, a + 1, b, b + 1
+        i, j = a + 1, b + 1
+    yield i, len(left), j, len(right)
+
+
+def _window(left: list[Slot], right: list[Slot], sizes: Sizes) -> Generator[tuple[Slot, Slot], None, Pairs]:
     """Simple tree matching of two lists of siblings: pairs of places, in order on both sides, with the most nodes matched; of
     equal matches the one with more equal texts."""
     n, m = len(left), len(right)
