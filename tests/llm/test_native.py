@@ -55,6 +55,19 @@ def test_lines_that_fail_are_removed_first(spark):
     assert not second.kept and not second.base_failed
 
 
+def test_clean_lines_stay(spark):
+    wrapped = "\n".join([
+        "The museum shows a design in wood and a blog in print by people of", "the town, who bake bread more often than others and log infrequently",
+        "what the cookie recipes and the copyright law of the country have in common", "with JavaScript, a language that many people read more about each year."])
+    tabbed = "\n".join("\t".join(f"value{i}{j}" for j in range(9)) for i in range(5))
+    boilerplate = ["All rights reserved.", "Read more!", "Please sign in", "Copyright 2024", "Privacy policy | Cookies", "Subscribe!"]
+    frame = spark.createDataFrame(
+        [(1, wrapped), (2, tabbed), (3, "\n".join([wrapped, *boilerplate])), (4, "two\twords")], "doc_id long, text string")
+    one, two, three, four = line_rules.judge(frame).orderBy("doc_id").collect()
+    assert one.kept and one.clean_text == wrapped and two.kept and two.clean_text == tabbed
+    assert three.kept and three.clean_text == wrapped and four.n_lines_removed == 1
+
+
 def test_rules_with_clashing_columns_and_no_rows(spark, clashing):
     found = line_rules.judge(clashing)
     assert found.filter("n_words >= 0").count() == len(EDGES)

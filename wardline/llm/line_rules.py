@@ -29,7 +29,7 @@ class Rules:
     separators: str = "|»›•·"
     separators_per_word: float = 0.25
     least_separators: int = 2
-    # Boilerplate: one of these phrases in a line of this many words at most.
+    # Boilerplate: these phrases, as whole words, are most of the words of a line of this many words at most.
     phrase_words: int = 30
     phrases: tuple[str, ...] = (
         "all rights reserved", "copyright", "cookie", "privacy policy", "terms of use", "terms of service", "javascript",
@@ -47,15 +47,20 @@ def _marks(line: Column, marks: str) -> Column:
 
 
 def line_fails(line: Column, rules: Rules) -> Column:
-    words = _marks(F.trim(line), " ") + 1
+    # The line's words, by all ASCII white space: the places where one begins.
+    words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     symbols = _marks(line, rules.marks)
     cuts = _marks(line, rules.separators)
-    phrase = "(?i)(" + "|".join(rules.phrases) + ")"
+    # Plurals of a phrase's last word are the phrase too. Only lines with a phrase are taken apart.
+    phrase = r"(?i)(?<![\p{L}\p{N}_])(?:" + "|".join(rules.phrases) + r")s?(?![\p{L}\p{N}_])"
+    of_phrases = F.aggregate(F.regexp_extract_all(line, F.lit(phrase), F.lit(0)), F.lit(0),
+                             lambda n, p: n + _marks(p, " ") + 1)
+    boilerplate = F.when(line.rlike(phrase), 2 * of_phrases > words).otherwise(False)
     return (
         ((symbols >= rules.least_marks) & (symbols > rules.marks_per_word * words))
         | ((cuts >= rules.least_separators) & (cuts > rules.separators_per_word * words))
         | ((words <= rules.stub_words) & ~line.rlike(rules.sentence_end))
-        | ((words <= rules.phrase_words) & line.rlike(phrase))
+        | ((words <= rules.phrase_words) & boilerplate)
     )
 
 
