@@ -113,3 +113,23 @@ def test_walks_meet_again_after_an_edit():
     same = (contamination.walk(a, 3, 60) == contamination.walk(b, 3, 60)).mean()
     other = (contamination.walk(a, 3, 60) == contamination.walk(np.roll(a, 1, axis=0), 3, 60)).mean()
     assert same > 0.6 and other < 0.01
+
+
+def test_short_items_and_scripts_without_spaces():
+    items = ["Paris, France", "a red fox ran", "水を飲む前に、必ず手を洗ってください。", "ดื่มน้ำก่อนอาหาร", "one", "el niño corrió — muy rápido"]
+    docs = ["We saw Paris (France) and Paris, France.", "a red dog ran, a red fox sat", "昨日、水を飲む前に必ず手を洗ってくださいと言われた。",
+            "水を飲む前に、必ず手を拭いてください。", "เขาดื่มน้ำก่อนอาหารทุกวัน", "one", "«El niño corrió muy rápido»", "Paris", "France in Paris",
+            "今日は天気がいいから散歩しましょう", "A RED FOX ran", None]
+    held = contamination.index(list(range(len(items))), items)
+    found = [(d, held.ids[i], first, n) for d, i, first, n in contamination.search(docs, held)]
+    assert [f for f in found if f[3] == 0] == [(0, 0, 2, 0), (2, 2, 2, 0), (4, 3, 3, 0), (6, 5, 0, 0), (10, 1, 0, 0)]
+    assert [f[:2] for f in found if f[3]] == [(3, 2)]
+
+
+def test_recall_that_is_missed_is_an_error(monkeypatch):
+    import pytest
+
+    words = np.random.default_rng(1).integers(1, 1 << 62, 400).astype(np.uint64)
+    monkeypatch.setattr(contamination, "MOST_TABLES", 3)
+    with pytest.raises(RuntimeError):
+        contamination.tables_needed([words], 480, 0.99)

@@ -1,6 +1,8 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are sequences of words (runs of letters and digits, ASCII letters in lower case), so case, punctuation and white space don't count. A
+Texts are sequences of words (runs of letters and digits, ASCII letters in lower case; in scripts without spaces each character is
+a word), so case, punctuation and white space don't count. Items of two to four words, which allow no edits, are looked up as they
+are, in the same pass; a single word identifies no passage. A
 window of a document matches an item of n words if their word edit distance is at most ``edits(n)`` (a fifth of n).
 
 1. Windows: item-sized, at every word of the document where one can lie at all. An item within k edits of a window shares at
@@ -19,6 +21,9 @@ The benchmark is the query set. It goes to the tasks in blocks of bounded size,
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,18 +38,55 @@ from wardline.llm.text import Words, blocks, mix
 U64 = np.uint64
 # Share of an item's words that may be edited.
 EDITS = 0.2
-# Items with fewer words identify no passage.
-LEAST_WORDS = 5
+# Items with fewer words allow no edits and are matched exactly, down to the shortest.
+LEAST_WORDS, SHORTEST = 5, 2
 # Steps that a table hashes; walks that tables take their steps from.
 SAMPLED = 3
 RECALL = 0.99
-MOST_TABLES = 256
+# With as many tables and less than the target recall the search is given up with an error.
+MOST_TABLES = 4096
 # Items in a block of the query set.
 ITEMS = 5000
 
 _GAP = np.ones(256, bool)
 for _low, _high in ((48, 57), (65, 90), (97, 122), (128, 255)):
     _GAP[_low:_high + 1] = False
+# Characters of scripts without spaces: Thai, Lao, Tibetan, Burmese, Khmer, Tai, kana and Han.
+_ALONE = (
+    "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3021-\u3029\u3031-\u3035\u3040-\u309f\u30a1-\u30ff"
+    "\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f"
+    "\U0001aff0-\U0001b16f\U00020000-\U000323af")
+
+
+_SINGLE = re.compile(f"([{_ALONE}])")
+
+
+def _kinds() -> np.ndarray:
+    """For each character 1 if it is punctuation, a symbol or a space beyond ASCII, 2 if it stands alone."""
+    kinds = np.zeros(sys.maxunicode + 1, np.uint8)
+    for code in range(128, sys.maxunicode + 1):
+        if code < 160 or unicodedata.category(chr(code))[0] in "PSZ":
+            kinds[code] = 1
+    for first, last in re.findall("(.)-(.)", _ALONE):
+        part = kinds[ord(first):ord(last) + 1]
+        part[part == 0] = 2
+    return kinds
+
+
+_KINDS = _kinds()
+
+
+def plain(text: str | None) -> str | None:
+    """The text with spaces for signs beyond ASCII and around the characters of scripts without spaces."""
+    if not text or text.isascii():
+        return text
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _KINDS[codes]
+    most = kinds.max()
+    if not most:
+        return text
+    text = np.where(kinds == 1, np.uint32(32), codes).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return _SINGLE.sub(r" \1 ", text) if most == 2 else text
 
 
 def edits(n: np.ndarray | int) -> np.ndarray:
@@ -113,10 +155,12 @@ class Index:
     known_pairs: np.ndarray
     # For each class of lengths (windows of one size): window words, pairs needed, table values -> items.
     classes: list[tuple[int, int, list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]]
+    # Items that are matched exactly: number of words, their values in order, items.
+    short: list[tuple[int, np.ndarray, np.ndarray]]
 
 
 def item_words(texts: list[str | None]) -> list[np.ndarray]:
-    words = Words(texts, letters=_GAP)
+    words = Words([plain(t) for t in texts], letters=_GAP)
     return np.split(words.hash, np.cumsum(words.count)[:-1]) if len(texts) else []
 
 
@@ -144,7 +188,9 @@ def tables_needed(items: list[np.ndarray], size: int, recall: float) -> list[tup
     found = np.zeros(len(pairs), bool)
     tables: list[tuple[int, np.ndarray]] = []
     least = min(len(i) for i in items)
-    while len(tables) < MOST_TABLES and found.mean() < recall:
+    while found.mean() < recall:
+        if len(tables) >= MOST_TABLES:
+            raise RuntimeError(f"{len(tables)} tables find {found.mean():.3f} of edited items of {size} words, not {recall}")
         seed = len(tables)
         # Steps up to the item's length: most walks are still inside both sequences.
         steps = np.sort(random.choice(least, SAMPLED, replace=False))
@@ -170,11 +216,21 @@ def _value(embedded: np.ndarray, seed: int) -> np.ndarray:
 
 def index(ids: list[int | None], texts: list[str | None], recall: float = RECALL) -> Index:
     words = item_words(texts)
-    good = [i for i, w in enumerate(words) if len(w) >= LEAST_WORDS]
+    good = [i for i, w in enumerate(words) if len(w) >= SHORTEST]
     ids, words = [ids[i] for i in good], [words[i] for i in good]
-    known = np.unique(np.concatenate([pairs_of(w) for w in words])) if words else np.empty(0, U64)
+    long = [w for w in words if len(w) >= LEAST_WORDS]
+    known = np.unique(np.concatenate([pairs_of(w) for w in long])) if long else np.empty(0, U64)
+    short = []
+    for n in range(SHORTEST, LEAST_WORDS):
+        members = np.array([i for i, w in enumerate(words) if len(w) == n], np.int64)
+        if len(members):
+            value = _value(np.array([words[i] for i in members]), 0)
+            order = np.argsort(value, kind="stable")
+            short.append((n, value[order], members[order]))
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
+        if len(w) < LEAST_WORDS:
+            continue
         groups.setdefault(-(-len(w) // 8) * 8, []).append(i)
     classes = []
     for top, members in sorted(groups.items()):
@@ -189,21 +245,46 @@ def index(ids: list[int | None], texts: list[str | None], recall: float = RECALL
             tables.append((seed, steps, value[order], np.array(members)[order]))
         classes.append((size, max(1, needed), tables))
     return Index(ids, words, [pattern_bits(w) for w in words],
-                 [frozenset(pairs_of(w).tolist()) for w in words], known, classes)
+                 [frozenset(pairs_of(w).tolist()) for w in words], known, classes, short)
 
 
 def search(texts: list[str | None], held: Index) -> list[tuple[int, int, int, int]]:
     """(text number, item number, first word, edit distance) of the best match of each text and item."""
-    words = Words(texts, letters=_GAP)
+    words = Words([plain(t) for t in texts], letters=_GAP)
     h = words.hash
-    if len(h) < 2 or not len(held.known_pairs):
+    if len(h) < 2:
         return []
+    best = _exact(words, held)
+    if len(held.known_pairs):
+        _near(words, held, best)
+    return [(doc, item, int(s - words.offset[doc]), d) for (doc, item), (d, s) in sorted(best.items())]
+
+
+def _exact(words: Words, held: Index) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (0, first place) of the short items."""
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    h = words.hash
+    for n, values, items in held.short:
+        if len(h) < n:
+            continue
+        value = _value(np.lib.stride_tricks.sliding_window_view(h, n), 0)
+        low, high = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+        inside = words.doc[:len(value)] == words.doc[n - 1:]
+        for s in np.flatnonzero((high > low) & inside).tolist():
+            for item in items[low[s]:high[s]].tolist():
+                if np.array_equal(h[s:s + n], held.words[item]):
+                    best.setdefault((int(words.doc[s]), item), (0, s))
+    return best
+
+
+def _near(words: Words, held: Index, best: dict[tuple[int, int], tuple[int, int]]) -> None:
+    """Add the matches of all other items to ``best``."""
+    h = words.hash
     value = pairs_of(h)
     at = np.minimum(np.searchsorted(held.known_pairs, value), len(held.known_pairs) - 1)
     hit = (held.known_pairs[at] == value) & (words.doc[:-1] == words.doc[1:])
     sums = np.concatenate(([0], np.cumsum(hit)))
     ends = (words.offset + words.count)[words.doc]
-    best: dict[tuple[int, int], tuple[int, int]] = {}
     start = np.arange(len(h) - 1)
     fits = np.zeros((len(held.classes), len(start)), bool)
     for i, (size, needed, _) in enumerate(held.classes):
@@ -227,7 +308,6 @@ def search(texts: list[str | None], held: Index) -> list[tuple[int, int, int, in
             d = distance_at_most(held.bits[item], n, h[s:end].tolist(), most)
             if d is not None and (old is None or (d, s) < old):
                 best[key] = (d, s)
-    return [(doc, item, int(s - words.offset[doc]), d) for (doc, item), (d, s) in sorted(best.items())]
 
 
 def _candidates(start: np.ndarray, fits: np.ndarray, h: np.ndarray, ends: np.ndarray, held: Index) -> list[list[int]]:
@@ -258,7 +338,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, items
             text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_item_words, distance, first_word: one row for each row of ``docs`` and item with a match, the best one.
 
-    ``first_word`` counts from 0. NULL and empty texts and items match nothing, nor do items of fewer than five words. NULL ids
+    ``first_word`` counts from 0. NULL and empty texts and items match nothing, nor do items of one word; those of two to four words match exactly. NULL ids
     are carried like others; rows with one id each have their matches. Empty tables give an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
