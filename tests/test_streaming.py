@@ -45,3 +45,23 @@ def test_feed(spark):
     compacted = work_path(spark, "compacted")
     feed.compact_counts(spark, counts, compacted)
     assert rows(feed.daily_counts(spark, compacted)) == rows(feed.daily_counts(spark, counts))
+
+
+def test_late_rows_are_laid_out_by_the_tables_own_partitions(spark, tmp_path, monkeypatch):
+    import os
+
+    from conftest import SF
+
+    from wardline.plans import queries
+
+    for name in os.listdir(SF):
+        if name != "events.parquet":
+            os.symlink(f"{SF}/{name}", tmp_path / name)
+    spark.read.parquet(f"{SF}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = rows(queries.registered()["t2_late_rows"](spark, SF))
+    places = {}
+    given = queries.work_path
+    monkeypatch.setattr(queries, "work_path", lambda s, name: places.setdefault(name, given(s, name)))
+    found = rows(queries.registered()["t2_late_rows"](spark, str(tmp_path)))
+    assert len([f for f in os.listdir(places["events"].removeprefix("file:")) if f.endswith(".parquet")]) > 2
+    assert found and found == want
