@@ -17,7 +17,10 @@ from wardline.llm import (
     quality_model,
     setsketch,
     slots,
+    token_counts,
     token_files,
+    turn_repair,
+    whitening,
     wrapper,
 )
 
@@ -112,6 +115,33 @@ def op10_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    audits, repaired = turn_repair.repair(turn_repair.damaged(turns))
+    found = audits.alias("a").join(
+        turn_repair.digests(repaired).alias("r"), F.col("a.conv_id").eqNullSafe(F.col("r.conv_id")), "left"
+    ).select("a.*", "repaired_sha256")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in (
+        "gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    # A conversation that lost all rows has no faults left, and nothing to hash.
+    return turns.select("conv_id").distinct().alias("o").join(
+        found.alias("f"), F.col("o.conv_id").eqNullSafe(F.col("f.conv_id")), "left"
+    ).select("o.conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+             F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = token_counts.count_tokens(docs, tokenizer_file("word_bpe_49k.json"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+def op13_lanczos_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _table(spark, folder, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors, components=16)
+    return whitening.per_component(spark, whitening.apply(vectors, model), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_setsketch_near_duplicates": op1_setsketch_near_duplicates,
     "op2_virtual_slot_shards": op2_virtual_slot_shards,
@@ -123,10 +153,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_cgk_decontamination": op9_cgk_decontamination,
     "op10_wrapper_text": op10_wrapper_text,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_token_counts": op12_token_counts,
+    "op13_lanczos_whitening": op13_lanczos_whitening,
 }
 
 ORACLES: dict[str, str] = {
     "op1_setsketch_near_duplicates": setsketch.ORACLE,
     "op4_line_rules": line_rules.oracle_sql(),
     "op5_preference_format": preference.ORACLE,
+    "op11_turn_repair": turn_repair.ORACLE,
 }
