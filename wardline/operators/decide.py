@@ -83,15 +83,24 @@ def new_steward_tag() -> Column:
     return F.expr("CASE WHEN keeps_tag AND steward_tag <> '' THEN steward_tag END")
 
 
-def fold(decisions: DataFrame, key: str = "id") -> DataFrame:
-    """Last status and last tag per item. One aggregation with partial results, so hot items shrink first."""
+def fold_parts(decisions: DataFrame, key: str = "id") -> DataFrame:
+    """Last decision, last tag and number per item, from changing decisions with each id once. Parts of a log add up."""
     place = [F.col(n) for n in ORDER]
     tag = new_steward_tag()
-    last = F.max(F.struct(*place, F.col("status_after"), F.col("user_email")))
-    last_tag = F.max(F.when(tag.isNotNull(), F.struct(*place, tag.alias("tag"))))
-    return effective(decisions).groupBy(key).agg(
-        last.alias("last"), last_tag.alias("last_tag"), F.count(F.lit(1)).alias("n_decisions")
-    ).select(
+    return decisions.groupBy(key).agg(
+        F.max(F.struct(*place, F.col("status_after"), F.col("user_email"))).alias("last"),
+        F.max(F.when(tag.isNotNull(), F.struct(*place, tag.alias("tag")))).alias("last_tag"),
+        F.count(F.lit(1)).alias("n_decisions"),
+    )
+
+
+def added_parts(some: DataFrame, more: DataFrame, key: str = "id") -> DataFrame:
+    return some.unionByName(more).groupBy(key).agg(
+        F.max("last").alias("last"), F.max("last_tag").alias("last_tag"), F.sum("n_decisions").alias("n_decisions"))
+
+
+def from_parts(parts: DataFrame, key: str = "id") -> DataFrame:
+    return parts.select(
         key,
         F.col("last.status_after").alias("decided_status"),
         F.col("last_tag.tag").alias("decided_tag"),
@@ -101,9 +110,14 @@ def fold(decisions: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
+def fold(decisions: DataFrame, key: str = "id") -> DataFrame:
+    """Last status and last tag per item. One aggregation with partial results, so hot items shrink first."""
+    return from_parts(fold_parts(effective(decisions), key), key)
+
+
+def with_state(queue: DataFrame, folded: DataFrame, key: str = "id") -> DataFrame:
     """Queue with the decided status and tag. Both sides have one row per item, so the join cannot be skewed."""
-    joined = queue.join(fold(decisions, key), key, "left")
+    joined = queue.join(folded, key, "left")
     return joined.withColumns(
         {
             "status": F.coalesce("decided_status", "status"),
@@ -113,6 +127,11 @@ def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") ->
     ).drop("decided_status", "decided_tag")
 
 
+def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
+    """Queue with the state that the decisions give."""
+    return with_state(queue, fold(decisions, key), key)
+
+
 def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
     """Effective decisions on items that the queue does not hold."""
     return effective(decisions).join(queue.select(key), key, "left_anti")

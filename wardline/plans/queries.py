@@ -16,8 +16,10 @@ from wardline.operators import classify, decide, monitor, protect, questions, qu
 from wardline.plans.derived import KEY, TABLES, Derived
 from wardline.plans.oracle import AS_OF, sql
 from wardline.session import work_path
-from wardline.sources import discover, sinks, tables
+from wardline.sources import discover, sinks, tables, tag_store
 from wardline.streaming import decisions as feed
+from wardline.streaming import state as live
+from wardline.streaming import windows
 
 Query = Callable[[Derived], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -161,11 +163,12 @@ def _(d):
 
 @query("k4_append_audit", f"SELECT {SQL_AUDIT} FROM aud")
 def _(d):
-    """The log after the same decisions were appended twice: each is there once."""
+    """The stored rows after a part of the log was appended, then all of it, then all again under the same name."""
     target = work_path(d.spark, "log")
-    sinks.append_audit(d.audit, target)
-    sinks.append_audit(d.audit, target)
-    return log.once(d.spark.read.schema(schemas.GOVERNANCE_AUDIT).parquet(target))
+    sinks.append_audit(d.audit.filter(F.col("governance_decision_id") < "GD-6"), target)
+    for _ in range(2):
+        sinks.append_audit(d.audit, target, "all")
+    return sinks.stored_audit(d.spark, target)
 
 
 @query("k5_tag_write_back", """
@@ -585,6 +588,25 @@ def _(d):
     return cat.upsert_tags(known, decide.tag_events(d.audit)).drop("data_type")
 
 
+@query("j7_tag_table", f"""
+WITH {SQL_TAG_WRITES}
+SELECT schema_name, table_name, column_name, coalesce(w.new_tag, x.tag) AS tag, coalesce(x.masking_policy, 'None') AS masking_policy,
+  coalesce(x.abac_policy, 'None') AS abac_policy, coalesce(strftime(w.timestamp, '%Y-%m-%d'), x.class_date) AS class_date,
+  coalesce(w.user_email, x.last_reviewer) AS last_reviewer, CASE WHEN w.new_tag IS NOT NULL THEN 'Classified' ELSE x.status END AS status
+FROM x FULL OUTER JOIN w USING (schema_name, table_name, column_name)""")
+def _(d):
+    """The stored catalog after two batches of tag writes out of time order, of which the second repeats much of the first."""
+    known = cat.catalog_view(d.inventory, d.prior, keep=(KEY,))
+    renamed = F.when(F.col(KEY) % 8 == 0, F.concat("column_name", F.lit("_new"))).otherwise(F.col("column_name"))
+    target = work_path(d.spark, "tag-table")
+    tag_store.load(known.withColumn("column_name", renamed), target)
+    written = decide.tag_events(d.audit)
+    tag_store.write_tags(written.filter(F.col("decision_id") >= "GD-8"), target, "first")
+    for _ in range(2):
+        tag_store.write_tags(written.filter(F.col("decision_id") < "GD-b"), target, "second")
+    return tag_store.read(d.spark, target).drop("data_type")
+
+
 # --- aggregations ----------------------------------------------------------------------------------------------
 
 
@@ -1242,5 +1264,40 @@ def _(d):
     return d.spark.read.parquet(late).select("governance_decision_id", "timestamp")
 
 
+@query("t2_current_state", "SELECT id, suggested_tag, status, decided_at, decided_by, n_decisions FROM st")
+def _(d):
+    """The stored state after two runs of the stream; the second brings older decisions and repeats some of the first."""
+    source, target, state = (work_path(d.spark, n) for n in ("events", "state", "state-run"))
+    events, number = d.table("events"), F.col("event_id")
+    for part in (number % 2 == 1, (number % 2 == 0) | (number % 16 == 1)):
+        events.filter(part).write.mode("append").parquet(source)
+        stream = decide.changing(d.decisions_from(feed.feed(d.spark, source, events.schema)))
+        live.state_stream(stream, target, state, KEY).awaitTermination()
+    return live.queue_now(d.queue, stream, target, KEY).select(
+        "id", "suggested_tag", "status", "decided_at", "decided_by", "n_decisions")
+
+
+@query("t2_event_windows", """
+WITH odd AS (SELECT * FROM eff WHERE decision_key IN (SELECT concat('D-', CAST(event_id AS VARCHAR)) FROM events WHERE event_id % 2 = 1)),
+even AS (SELECT * FROM eff WHERE governance_decision_id NOT IN (SELECT governance_decision_id FROM odd)),
+mark AS (SELECT date_trunc('millisecond', max(timestamp)) - INTERVAL 1 HOUR AS watermark FROM odd),
+marked AS (SELECT timestamp, false AS late FROM odd
+  UNION ALL SELECT timestamp, date_trunc('day', timestamp) + INTERVAL 1 DAY <= watermark FROM even, mark)
+SELECT CAST(timestamp AS DATE) AS day, count(*) AS n_decisions, count(*) FILTER (late) AS n_late FROM marked GROUP BY ALL""")
+def _(d):
+    """Days by event time: closed counts and late rows, after two runs out of time order and one without decisions."""
+    source, target, state = (work_path(d.spark, n) for n in ("decisions", "windows", "windows-run"))
+    rows = decide.changing(d.decisions)
+    odd = F.substring_index("decision_key", "-", -1).cast("long") % 2 == 1
+    for part in (rows.filter(odd), rows.filter(~odd), windows.heartbeat(d.spark, rows, "2100-01-01 00:00:00"),
+                 windows.heartbeat(d.spark, rows, "2100-01-01 00:00:01")):
+        part.write.mode("append").parquet(source)
+        windows.window_stream(feed.feed(d.spark, source, rows.schema), target, state).awaitTermination()
+    closed = windows.closed_days(d.spark, target).withColumn("n_late", F.lit(0).cast("long"))
+    late = windows.late_rows(d.spark, target).groupBy("day").agg(F.count(F.lit(1)).alias("n_decisions"))
+    return closed.unionByName(late.withColumn("n_late", F.col("n_decisions"))).groupBy("day").agg(
+        F.sum("n_decisions").alias("n_decisions"), F.sum("n_late").alias("n_late"))
+
+
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, folder, f=function: f(Derived(spark, folder))) for name, function in QUERIES.items()}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from wardline.schemas import COLUMN_TAG_EVENT, GOVERNANCE_AUDIT
+from wardline.sources import commits
 
 
 def shaped(df: DataFrame, schema: StructType) -> DataFrame:
@@ -32,8 +33,14 @@ def append(df: DataFrame, schema: StructType, target: str) -> None:
     _save(shaped(df, schema), target, "append")
 
 
-def append_audit(audit: DataFrame, target: str) -> None:
-    append(audit, GOVERNANCE_AUDIT, target)
+def append_audit(audit: DataFrame, target: str, batch: str | None = None) -> bool:
+    """Append audit rows to the stored log, each decision id once: a batch or a row that is there already adds nothing."""
+    return commits.append_once(shaped(audit, GOVERNANCE_AUDIT), target, batch)
+
+
+def stored_audit(spark: SparkSession, target: str) -> DataFrame:
+    """The rows of the stored log, as they are."""
+    return commits.logged(spark, target, GOVERNANCE_AUDIT).drop("day")
 
 
 def append_tag_events(events: DataFrame, target: str) -> None:
