@@ -173,7 +173,7 @@ VALUE_PATTERNS = (
     ("email", "pii:email", "@", r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     ("ssn", "pii:ssn", "-", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
     ("phone", "pii:phone", None, r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}"),
-    ("card_number", "financial:account", None, r"[0-9]{13,16}"),
+    ("card_number", "financial:account", None, r"[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{13,16}"),
     ("birth_date", "pii:dob", "-", r"(19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}"),
     ("ip_address", "pii:address", ".", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
 )

@@ -57,22 +57,48 @@ def rule_table(spark, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
     )
 
 
+def _grams(text: str, size: int) -> Column:
+    """All runs of ``size`` characters of a text column."""
+    count = F.length(text) - (size - 1)
+    return F.when(count > 0, F.transform(
+        F.sequence(F.lit(1), count), lambda i: F.substring(F.col(text), i, F.lit(size)))).otherwise(
+        F.array().cast("array<string>"))
+
+
 def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
-    """As ``classify`` for a rule table of any length.
+    """As ``classify`` for a rule table of any length: the first rule (by rule_order) with a keyword in the name counts.
 
-    The rules become one sorted array, a scalar subquery of the projection: nothing passes through the driver and no
-    column meets a rule in a join. The first rule with a keyword in the name counts.
+    Keywords are found through an index of runs of three characters. Each keyword is listed once, under the run of its own that the
+    fewest names have (shorter keywords under themselves), so a run that most names have is no meeting place unless it
+    is all there is. Names meet keywords by an equi-join on runs, and ``contains`` verifies. Only distinct names are looked at, and
+    get their rule back by a join. Of rules of one order the smallest in its values counts; an empty keyword is in every
+    name; missing names and keywords match nothing.
     """
-    listed = rules.select(F.struct("rule_order", "keywords", *RULE_FIELDS).alias("rule")).agg(
-        F.array_sort(F.collect_list("rule")).alias("rules")).scalar()
     keyed = df if "c_key" in df.columns else df.withColumn("c_key", c.clean("column_name"))
-    held = keyed.withColumn("__rules", listed)
-
-    def matches(rule: Column) -> Column:
-        return F.exists(rule["keywords"], lambda word: F.contains(F.col("c_key"), word))
-
-    first = held.withColumn("__rule", F.get(F.filter("__rules", matches), F.lit(0)))
-    return first.select(
+    words = (
+        rules.select(F.struct("rule_order", *RULE_FIELDS).alias("rule"), F.explode("keywords").alias("word"))
+        .filter(F.col("word").isNotNull()).groupBy("word").agg(F.min("rule").alias("rule"))
+    )
+    short = words.agg(F.max(F.length("word").between(1, 2)).alias("any")).scalar()
+    runs = F.when(F.coalesce(short, F.lit(False)), F.concat(*(_grams("c_key", n) for n in (1, 2, 3)))).otherwise(
+        _grams("c_key", 3))
+    names = keyed.select("c_key").filter(F.col("c_key").isNotNull()).distinct()
+    probes = names.select("c_key", F.explode(F.array_distinct(runs)).alias("gram"))
+    held = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("n_names"))
+    own = F.when(F.length("word") < 3, F.array("word")).otherwise(F.array_distinct(_grams("word", 3)))
+    # A keyword of which a run is in no name at all needs no listing; the count of its runs tells.
+    listed = (
+        words.filter(F.length("word") > 0).select("word", "rule", F.size(own).alias("n_runs"), F.explode(own).alias("gram"))
+        .join(held, "gram")
+        .groupBy("word").agg(F.min(F.struct("n_names", "gram")).alias("rarest"), F.count(F.lit(1)).alias("n_held"),
+                             F.max("n_runs").alias("n_runs"), F.min("rule").alias("rule"))
+        .filter("n_held = n_runs").select("rarest.gram", "word", "rule")
+    )
+    found = probes.join(listed, "gram").filter(F.contains("c_key", "word")).groupBy("c_key").agg(F.min("rule").alias("__rule"))
+    every = words.filter(F.length("word") == 0).agg(F.min("rule").alias("rule")).scalar()
+    joined = keyed.join(found, "c_key", "left").withColumn(
+        "__rule", F.when(F.col("c_key").isNotNull(), F.least("__rule", every)))
+    return joined.select(
         *keyed.columns, F.col("__rule")["rule_order"].alias("rule_number"),
         *(F.coalesce(F.col("__rule")[f], F.lit(getattr(ref.UNMATCHED, f))).alias(f"rule_{f}") for f in RULE_FIELDS))
 

@@ -63,14 +63,14 @@ def changing(decisions: DataFrame) -> DataFrame:
     return resolved(accepted(decisions)).filter(F.col("status_after").isNotNull())
 
 
-def effective(decisions: DataFrame) -> DataFrame:
+def effective(decisions: DataFrame, unique: bool = False) -> DataFrame:
     """Permitted decisions that change something, each decision id once.
 
-    A log that holds a decision twice gives what it gives without the repetition. Of rows that share an id but differ, the
+    ``unique`` says that the log holds each id once already, as one that ``append_once`` fills; then nothing is sorted. A log that holds a decision twice gives what it gives without the repetition. Of rows that share an id but differ, the
     smallest one counts; the choice is made before the shuffle as far as rows of an id are in one task.
     """
     rows = changing(decisions)
-    return top_per_key(rows, ["governance_decision_id"], [F.col(n) for n in rows.columns])
+    return rows if unique else top_per_key(rows, ["governance_decision_id"], [F.col(n) for n in rows.columns])
 
 
 def no_op(decisions: DataFrame) -> DataFrame:
@@ -110,9 +110,9 @@ def from_parts(parts: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def fold(decisions: DataFrame, key: str = "id") -> DataFrame:
+def fold(decisions: DataFrame, key: str = "id", unique: bool = False) -> DataFrame:
     """Last status and last tag per item. One aggregation with partial results, so hot items shrink first."""
-    return from_parts(fold_parts(effective(decisions), key), key)
+    return from_parts(fold_parts(effective(decisions, unique), key), key)
 
 
 def with_state(queue: DataFrame, folded: DataFrame, key: str = "id") -> DataFrame:
@@ -127,9 +127,9 @@ def with_state(queue: DataFrame, folded: DataFrame, key: str = "id") -> DataFram
     ).drop("decided_status", "decided_tag")
 
 
-def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
+def apply_decisions(queue: DataFrame, decisions: DataFrame, key: str = "id", unique: bool = False) -> DataFrame:
     """Queue with the state that the decisions give."""
-    return with_state(queue, fold(decisions, key), key)
+    return with_state(queue, fold(decisions, key, unique), key)
 
 
 def unknown_items(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
@@ -158,12 +158,12 @@ def timeline(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFra
     return listed(start, first).unionByName(listed(known, stages))
 
 
-def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id") -> DataFrame:
+def to_audit(queue: DataFrame, decisions: DataFrame, key: str = "id", unique: bool = False) -> DataFrame:
     """One audit row per effective decision on a known item.
 
     previous_tag is the tag in force just before the decision; an approval without a tag of its own confirms it.
     """
-    steps = running_last(effective(decisions), key, *ORDER, new_steward_tag(), "__before")
+    steps = running_last(effective(decisions, unique), key, *ORDER, new_steward_tag(), "__before")
     items = queue.select(
         key, "schema_name", "table_name", "column_name", F.col("suggested_tag").alias("ai_recommendation"),
         "confidence_score",

@@ -132,6 +132,47 @@ def near_names(df: DataFrame, name: str = "column_name") -> DataFrame:
     return met.select("name", "near_name").distinct().filter(F.levenshtein("name", "near_name") == 1)
 
 
+def name_tokens(name: Column | str) -> Column:
+    """The distinct runs of letters and of digits of a name, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(name), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1)))
+
+
+def similar_names(df: DataFrame, name: str = "column_name", percent: int = 60) -> DataFrame:
+    """Pairs of distinct names whose token sets are similar: 100 * common >= ``percent`` * all (Jaccard), with the similarity
+    and the edit distance of the names.
+
+    A set-similarity join with prefix filtering. The tokens of all names are ordered by how many names have them, the rarest
+    first. Two sets of sizes x and y can only be similar if the first x - ceil(t x) + 1 tokens of one and the first
+    y - ceil(t y) + 1 of the other have a token in common, and if neither size is below t times the other. So names meet by an
+    equi-join on (token of the prefix, size): frequent tokens stand at the end of the order and make no block, and a block
+    is split by size. A pair is kept at its first common token only, so it is listed once, and then verified. Names
+    without letters and digits are similar to none.
+    """
+    names = df.select(F.lower(F.col(name)).alias("name")).distinct().withColumn("tokens", name_tokens("name"))
+    each = names.select("name", F.explode("tokens").alias("token"))
+    count = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    ordered = each.join(count, "token").groupBy("name").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("n", "token"))), lambda t: t["token"]).alias("tokens"))
+
+    def at_least(size: Column) -> Column:
+        return F.ceil(size * percent / 100).cast("int")
+
+    size = F.size("tokens")
+    sized = ordered.withColumn("size", size).withColumn("prefix", F.slice("tokens", F.lit(1), size - at_least(size) + 1))
+    keyed = sized.withColumn("token", F.explode("prefix"))
+    # The larger set looks for the sizes that a smaller or equal one may have.
+    left = keyed.withColumn("other", F.explode(F.sequence(F.greatest(at_least(F.col("size")), F.lit(1)), F.col("size"))))
+    a, b = left.alias("a"), keyed.alias("b")
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.other") == F.col("b.size")))
+    once = (F.col("a.size") > F.col("b.size")) | (F.col("a.name") < F.col("b.name"))
+    first = F.get(F.array_intersect("a.prefix", "b.prefix"), F.lit(0)) == F.col("a.token")
+    common = F.size(F.array_intersect("a.tokens", "b.tokens"))
+    whole = F.col("a.size") + F.col("b.size") - common
+    return met.filter(once & first & (100 * common >= percent * whole)).select(
+        F.least("a.name", "b.name").alias("name"), F.greatest("a.name", "b.name").alias("near_name"),
+        F.round(common / whole, 6).alias("similarity"), F.levenshtein("a.name", "b.name").alias("distance"))
+
+
 # --- composite score -------------------------------------------------------------------------------------------
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
 from wardline.functions import masks
 from wardline.functions import reference_data as ref
+from wardline.functions import validators
 from wardline.operators.joins import top_per_key
 
 def hits(text: Column, needed: str | None, pattern: str) -> Column:
@@ -54,6 +57,39 @@ def scan_values(df: DataFrame, columns: Sequence[str], patterns=ref.VALUE_PATTER
     return rows.withColumn("hit_rate", F.coalesce(F.try_divide("n_rows_hit", "n_values"), F.lit(0.0)))
 
 
+def scan_valid(df: DataFrame, columns: Sequence[str], patterns=ref.VALUE_PATTERNS) -> DataFrame:
+    """As ``scan_values``, with how many matches are values that exist: n_valid, and the rows that have one, n_rows_valid.
+
+    What counts as valid is in ``validators``: check digits, number ranges, calendar dates. One pass over the table.
+    """
+    matched = df.select(*(
+        F.when(F.col(n).cast("string").contains(needed) if needed else F.lit(True),
+               F.regexp_extract_all(F.col(n).cast("string"), F.lit(pattern), F.lit(0))).alias(f"{i}_{label}")
+        for i, n in enumerate(columns) for label, _, needed, pattern in patterns
+    ), *(F.col(n).isNotNull().alias(f"{i}") for i, n in enumerate(columns)))
+    counted = matched.select(
+        *(F.col(f"{i}") for i, _ in enumerate(columns)),
+        *(F.struct(F.coalesce(F.size(f"{i}_{label}"), F.lit(0)).alias("all"),
+                   F.coalesce(F.size(F.filter(f"{i}_{label}", validators.BY_PATTERN[label])), F.lit(0)).alias("valid"))
+          .alias(f"{i}_{label}") for i, _ in enumerate(columns) for label, *_rest in patterns))
+    sums = [F.count_if(F.col(f"{i}")).alias(f"{i}") for i, _ in enumerate(columns)]
+    for i, _ in enumerate(columns):
+        for label, *_rest in patterns:
+            n = F.col(f"{i}_{label}")
+            sums.append(F.struct(
+                F.count_if(n["all"] > 0).alias("rows"), F.sum(n["all"].cast("long")).alias("all"),
+                F.count_if(n["valid"] > 0).alias("rows_valid"), F.sum(n["valid"].cast("long")).alias("valid"))
+                .alias(f"{i}_{label}"))
+    entries = F.array(*(
+        F.struct(F.lit(n).alias("column_name"), F.lit(label).alias("pattern"), F.lit(tag).alias("tag"),
+                 F.col(f"{i}").alias("n_values"), F.col(f"{i}_{label}.rows").alias("n_rows_hit"),
+                 F.coalesce(F.col(f"{i}_{label}.all"), F.lit(0)).alias("n_hits"),
+                 F.col(f"{i}_{label}.rows_valid").alias("n_rows_valid"),
+                 F.coalesce(F.col(f"{i}_{label}.valid"), F.lit(0)).alias("n_valid"))
+        for i, n in enumerate(columns) for label, tag, *_rest in patterns))
+    return counted.agg(*sums).select(F.explode(entries).alias("entry")).select("entry.*")
+
+
 def suggested_tags(scan: DataFrame, min_rate: float = 0.5) -> DataFrame:
     """The best tag per column by hit rate, for columns that reach the rate."""
     good = scan.filter(F.col("hit_rate") >= min_rate)
@@ -66,7 +102,7 @@ def mask_table(df: DataFrame, policies: Mapping[str, str], secret: str | None =
 
 
 def mask_texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Mask mail names, SSN formats and long digit runs inside running text."""
+    """Mask what the value scan finds inside running text."""
     return df.withColumns({name: masks.free_text(name) for name in columns})
 
 
@@ -84,33 +120,55 @@ def policies_of(catalog: DataFrame, schema: str, table: str, most: int = 10_000)
     return {r.column_name: r.masking_policy for r in rows}
 
 
+def smallest(df: DataFrame, names: Sequence[str], k: int) -> DataFrame:
+    """(column number, pick, value): the ``k`` distinct non-empty values of each column with the smallest hashes, and maybe more.
+
+    A bottom-k sketch for each column: a task keeps ``k`` values of a column, whatever it reads, and sends no more. Two tasks' rows
+    together hold the smallest of both, so the k smallest of all are among what is returned.
+    """
+    texts = [F.col(n).cast("string") for n in names]
+    listed = df.select(*(F.md5(t).alias(f"p{i}") for i, t in enumerate(texts)), *(t.alias(f"v{i}") for i, t in enumerate(texts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[set[tuple[str, str]]] = [set() for _ in names]
+        limit: list[str | None] = [None] * len(names)
+        for batch in batches:
+            for i in range(len(names)):
+                pick, value = batch.column(i), batch.column(len(names) + i)
+                wanted = pc.greater(pc.binary_length(value), 0)
+                if limit[i] is not None:
+                    wanted = pc.and_(wanted, pc.less_equal(pick, limit[i]))
+                part = pa.table([pick.filter(wanted), value.filter(wanted)], ["p", "v"])
+                if limit[i] is None and len(part) > 8 * k:
+                    # The k-th smallest hash of a batch bounds what can be among the smallest; equal hashes are equal values.
+                    some = pc.sort_indices(pc.unique(part["p"]))[:k]
+                    part = part.filter(pc.less_equal(part["p"], pc.unique(part["p"])[some[-1].as_py()]))
+                held[i].update(zip(part["p"].to_pylist(), part["v"].to_pylist(), strict=True))
+                held[i] = set(sorted(held[i])[:k])
+                if len(held[i]) == k:
+                    limit[i] = max(held[i])[0]
+        rows = [(i, p, v) for i, kept in enumerate(held) for p, v in kept]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.string(), pa.string()))],
+            ["column", "pick", "value"])
+
+    return listed.mapInArrow(run, "column int, pick string, value string")
+
+
 def masked_samples(df: DataFrame, policies: Mapping[str, str], k: int = 3, secret: str | None = None) -> DataFrame:
     """``k`` masked sample values per column: distinct non-empty values, picked by hash so that the choice is stable.
 
-    ``k`` rounds, each over the table with one aggregate per column: the smallest (hash, value) above the one found before. A
-    task sends one row per round, whatever the number of values, and the columns are not exploded.
+    One scan of the table, whatever the number of columns and values; the plan has two expressions for each column.
     """
     names = list(policies)
+    found = smallest(df, names, k).dropDuplicates(["column", "value"])
+    picked = top_per_key(found, ["column"], [F.col("pick"), F.col("value")], k, "sample_number")
 
-    def pick(name: str) -> Column:
-        text = F.col(name).cast("string")
-        return F.when(F.length(text) > 0, F.struct(F.md5(text).alias("pick"), text.alias("value")))
+    def of_column(values: Sequence[str]) -> Column:
+        return F.get(F.array(*map(F.lit, values)).cast("array<string>"), F.col("column"))
 
-    picks = df.select(*(pick(n).alias(f"c{i}") for i, n in enumerate(names)))
-    rounds: list[Column] = []
-    for _ in range(k):
-        wanted = [
-            F.min(F.when(F.col(f"c{i}") > rounds[-1][f"c{i}"], F.col(f"c{i}")) if rounds else F.col(f"c{i}")).alias(f"c{i}")
-            for i in range(len(names))
-        ]
-        rounds.append(picks.agg(F.struct(*wanted).alias("found")).scalar())
-    listed = F.array(*(
-        F.struct(F.lit(n).alias("column_name"), F.lit(number).alias("sample_number"),
-                 masks.by_policy(found[f"c{i}"]["value"], policies[n], secret).alias("masked_value"))
-        for number, found in enumerate(rounds, 1) for i, n in enumerate(names)
-    ))
-    rows = df.sparkSession.range(1).select(F.explode(listed).alias("sample")).select("sample.*")
-    return rows.filter(F.col("masked_value").isNotNull())
+    masked = masks.by_policy_column("value", of_column([policies[n] for n in names]), secret)
+    return picked.select(of_column(names).alias("column_name"), "sample_number", masked.alias("masked_value"))
 
 
 def sample_lists(samples: DataFrame) -> DataFrame:

@@ -149,15 +149,16 @@ class Derived:
 
     @cached_property
     def decisions(self) -> DataFrame:
+        """One decision for each event, so each decision id is there once."""
         return self.decisions_from(self.table("events"))
 
     @cached_property
     def audit(self) -> DataFrame:
-        return decide.to_audit(self.queue, self.decisions, KEY)
+        return decide.to_audit(self.queue, self.decisions, KEY, unique=True)
 
     @cached_property
     def state(self) -> DataFrame:
-        return decide.apply_decisions(self.queue, self.decisions, KEY)
+        return decide.apply_decisions(self.queue, self.decisions, KEY, unique=True)
 
     @cached_property
     def questions(self) -> DataFrame:

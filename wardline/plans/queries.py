@@ -481,6 +481,22 @@ def _(d):
     return classify.classify_by_table(d.inventory, rules).select(KEY, *RULE_COLUMNS)
 
 
+@query("c1_large_rule_table", """
+SELECT i.item_key, min(p_partkey)::INTEGER AS rule_number, concat('part:', min(p_partkey)) AS rule_tag
+FROM inv i JOIN part ON contains(i.column_name, concat('_', p_partkey)) OR contains(i.column_name, concat(p_partkey, p_partkey % 7))
+GROUP BY ALL""")
+def _(d):
+    """A rule for each part: two keywords made of its number."""
+    number = F.col("p_partkey")
+    rules = d.table("part").select(
+        number.cast("int").alias("rule_order"),
+        F.array(F.concat(F.lit("_"), number), F.concat(number, number % 7)).alias("keywords"),
+        F.concat(F.lit("part:"), number).alias("tag"), F.lit("Part").alias("category"), F.lit(0.5).alias("confidence"),
+        F.lit("Low").alias("priority"), F.lit("Part").alias("native_class"), F.lit("Part number.").alias("explanation"))
+    found = classify.classify_by_table(d.inventory, rules)
+    return found.filter(F.col("rule_number").isNotNull()).select(KEY, "rule_number", "rule_tag")
+
+
 @query("c2_catalog_classifier", """
 SELECT item_key, catalog_rule_tag AS tag, coalesce(catalog_category, 'Unknown') AS category FROM classified""")
 def _(d):
@@ -1018,24 +1034,37 @@ def _(d):
         "slashed_birth": "MASK_DOB"})
 
 
-SQL_MASKED = r"""regexp_replace(regexp_replace(regexp_replace({0}, '([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@', '\1***@', 'g'),
-  '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}', '***-**-****', 'g'), '[0-9]{{5,}}([0-9]{{4}})', '****\1', 'g')"""
+def _masked_sql(text: str) -> str:
+    for form, stays in (
+        (r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", r"\1***@"),
+        (r"\d{4}[ -]\d{4}[ -]\d{4}[ -](\d{4})", r"**** **** **** \1"),
+        (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "***-**-****"),
+        (r"[(]?\d{3}[)]?[. -]\d{3}[. -](\d{4})", r"***-***-\1"),
+        (r"(19\d\d|20\d\d)-\d\d-\d\d", r"\1-**-**"),
+        (r"(?:\d{1,3}[.]){3}\d{1,3}", "*.*.*.*"),
+        (r"[0-9]{5,}([0-9]{4})", r"****\1"),
+    ):
+        text = f"regexp_replace({text}, '{form}', '{stays}', 'g')"
+    return text
 
 
-@query("r1_mask_documents", f"SELECT doc_id, {SQL_MASKED.format('text')} AS text, lang, source, n_chars FROM documents")
+@query("r1_mask_documents", f"SELECT doc_id, {_masked_sql('text')} AS text, lang, source, n_chars FROM documents")
 def _(d):
     return protect.mask_texts(d.table("documents"), ["text"])
 
 
 @query("r1_nothing_in_clear", """
-SELECT doc_id, 0::BIGINT AS n_long_numbers, 0::BIGINT AS n_mail_names,
+SELECT doc_id, 0::BIGINT AS n_long_numbers, 0::BIGINT AS n_mail_names, 0::BIGINT AS n_values,
   length(regexp_replace(text, '[^\\n]', '', 'g')) AS n_line_ends FROM documents""")
 def _(d):
-    """What masking promises, counted in the masked texts: no run of nine digits, no mail name beyond one character."""
+    """What masking promises, counted in the masked texts: no run of nine digits, no mail name beyond one character, and
+    nothing of the other forms that the value scan looks for."""
     masked = protect.mask_texts(d.table("documents"), ["text"])
+    found = sum((F.regexp_count("text", F.lit(p)) for label, _, _, p in ref.VALUE_PATTERNS if label != "email"), F.lit(0))
     return masked.select(
         "doc_id", F.regexp_count("text", F.lit("[0-9]{9}")).cast("long").alias("n_long_numbers"),
         F.regexp_count("text", F.lit("[A-Za-z0-9._%+-]@")).cast("long").alias("n_mail_names"),
+        found.cast("long").alias("n_values"),
         F.char_length(F.regexp_replace("text", "[^\\n]", "")).cast("long").alias("n_line_ends"))
 
 
@@ -1044,7 +1073,7 @@ SQL_PATTERNS = (
     ("email", "pii:email", r"[[:alnum:]._%+-]+@[[:alnum:]-]+([.][[:alnum:]-]+)+"),
     ("ssn", "pii:ssn", r"\d\d\d-\d\d-\d\d\d\d"),
     ("phone", "pii:phone", r"[(]?\d{3}[)]?[. -]\d{3}[. -]\d{4}"),
-    ("card_number", "financial:account", r"\d{13}\d?\d?\d?"),
+    ("card_number", "financial:account", r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13}\d?\d?\d?"),
     ("birth_date", "pii:dob", r"(?:19|20)\d\d-\d\d-\d\d"),
     ("ip_address", "pii:address", r"(?:\d{1,3}[.]){3}\d{1,3}"),
 )
@@ -1069,6 +1098,49 @@ def _(d):
     return protect.scan_values(d.table("pages"), ["url", "html"])
 
 
+SQL_VALID = {
+    "email": r"regexp_full_match(v, '[A-Za-z0-9_%+-]+([.][A-Za-z0-9_%+-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?[.])+[A-Za-z]{2,}')",
+    "ssn": "v[1:3] NOT IN ('000', '666') AND v[1] <> '9' AND v[5:6] <> '00' AND v[8:] <> '0000'",
+    "phone": r"regexp_full_match(regexp_replace(v, '\D', '', 'g'), '[2-9]\d\d[2-9].*') AND regexp_replace(v, '\D', '', 'g')[2:3] <> '11' "
+             r"AND regexp_replace(v, '\D', '', 'g')[5:6] <> '11'",
+    "card_number": "v[1] BETWEEN '2' AND '6' AND list_sum(list_transform(list_reverse(list_filter(string_split(v, ''), "
+                   "lambda c: c BETWEEN '0' AND '9')), lambda c, i: CASE WHEN i % 2 = 1 THEN c::INT "
+                   "ELSE c::INT * 2 - CASE WHEN c::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0",
+    "birth_date": "TRY_CAST(v AS DATE) IS NOT NULL",
+    "ip_address": "len(list_filter(string_split(v, '.'), lambda p: p::INT > 255 OR (len(p) > 1 AND p[1] = '0'))) = 0",
+}
+
+
+def _valid_sql(table: str, column: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{column}' AS column_name, '{label}' AS pattern, '{tag}' AS tag, count({column}) AS n_values,
+  count(*) FILTER (len(m) > 0) AS n_rows_hit, CAST(coalesce(sum(len(m)), 0) AS BIGINT) AS n_hits,
+  count(*) FILTER (k > 0) AS n_rows_valid, CAST(coalesce(sum(k), 0) AS BIGINT) AS n_valid
+FROM (SELECT *, len(list_filter(m, lambda v: {SQL_VALID[label]})) AS k FROM (
+  SELECT {column}, regexp_extract_all({column}, '{pattern}') AS m FROM {table}))""" for label, tag, pattern in SQL_PATTERNS)
+
+
+@query("r2_valid_documents", _valid_sql("documents", "text"))
+def _(d):
+    return protect.scan_valid(d.table("documents"), ["text"])
+
+
+@query("r2_valid_people", f"""
+WITH v AS (SELECT concat('4', lpad(CAST(c_custkey * 7919 AS VARCHAR), 12, '0')) AS card, ssn, birth_date,
+  concat(c_custkey % 300, '.', c_custkey % 7, '.0.', c_custkey % 256) AS ip FROM people)
+{" UNION ALL ".join(f"SELECT * FROM ({_valid_sql('v', c)}) WHERE pattern = '{p}'"
+                   for c, p in (("card", "card_number"), ("ssn", "ssn"), ("birth_date", "birth_date"), ("ip", "ip_address")))}""")
+def _(d):
+    """Numbers of which some can't be real: card numbers, social security numbers, dates and addresses of the customers."""
+    number = F.col("c_custkey")
+    values = d.people.select(
+        F.concat(F.lit("4"), F.lpad((number * 7919).cast("string"), 12, "0")).alias("card"), "ssn", "birth_date",
+        F.concat_ws(".", (number % 300).cast("string"), (number % 7).cast("string"), F.lit("0"), (number % 256).cast("string")).alias("ip"))
+    wanted = F.struct("column_name", "pattern").isin(
+        *(F.struct(F.lit(c), F.lit(p)) for c, p in (
+            ("card", "card_number"), ("ssn", "ssn"), ("birth_date", "birth_date"), ("ip", "ip_address"))))
+    return protect.scan_valid(values, ["card", "ssn", "birth_date", "ip"]).filter(wanted)
+
+
 @query("r2_suggested_tags", """
 SELECT * FROM (VALUES ('ssn', 'ssn', 'pii:ssn'), ('birth_date', 'birth_date', 'pii:dob'), ('email', 'email', 'pii:email'),
   ('phone', 'phone', 'pii:phone'), ('account', 'card_number', 'financial:account')) v(column_name, pattern, tag)
@@ -1161,6 +1233,19 @@ def _(d):
     return monitor.near_names(d.inventory)
 
 
+@query("r6_similar_names", """
+WITH n AS (SELECT DISTINCT lower(concat(base_name, '-', urgency, '.', progress, item_key // 32 % 20)) AS name FROM inv),
+t AS (SELECT name, list_distinct(regexp_extract_all(name, '[[:alpha:]]+|[[:digit:]]+')) AS tokens FROM n),
+e AS (SELECT name, unnest(tokens) AS token FROM t),
+c AS (SELECT a.name, b.name AS near_name, count(*) AS common FROM e a JOIN e b USING (token) WHERE a.name < b.name GROUP BY ALL)
+SELECT c.name, near_name, round(common / (len(x.tokens) + len(y.tokens) - common), 6) AS similarity, levenshtein(c.name, near_name)::INTEGER AS distance
+FROM c JOIN t x ON x.name = c.name JOIN t y ON y.name = near_name WHERE 100 * common >= 60 * (len(x.tokens) + len(y.tokens) - common)""")
+def _(d):
+    """Longer names: the base name with urgency, progress and a number."""
+    name = F.concat("base_name", F.lit("-"), "urgency", F.lit("."), "progress", F.expr(f"{KEY} div 32 % 20"))
+    return monitor.similar_names(d.inventory.select(name.alias("column_name")))
+
+
 @query("r7_composite_confidence", """
 WITH w AS (SELECT item_key, rule_confidence AS c, 0.5::DOUBLE AS w FROM classified WHERE rule IS NOT NULL
   UNION ALL SELECT item_key, prior_conf, 0.3::DOUBLE FROM classified WHERE from_prior)
