@@ -103,9 +103,9 @@ def by_policy_column(value: Column | str, policy: Column | str, secret: str | No
 # Forms that the value scan knows, inside running text: (needed character or form, form, what stays).
 IN_TEXT = (
     ("@", MAIL_NAME, "$1***@"),
-    ("[0-9][ -][0-9]", r"[0-9]{4}(?:[ -][0-9]{4}){2}[ -]([0-9]{4})", "**** **** **** $1"),
     ("-", SSN, "***-**-****"),
-    ("[0-9]{3}[-. )]", r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ]([0-9]{4})", "***-***-$1"),
+    ("[0-9]{3}[-. )]", r"\(?[0-9]{3}\)?[-. ][0-9]{3}[-. ][0-9]{4}", "***-***-****"),
+    ("[0-9][ -][0-9]", r"[0-9]{4}(?:[ -][0-9]{4}){2}[ -]([0-9]{4})", "**** **** **** $1"),
     ("-", r"((?:19|20)[0-9]{2})-[0-9]{2}-[0-9]{2}", "$1-**-**"),
     ("[0-9][.][0-9]", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "*.*.*.*"),
     ("[0-9]{9}", LONG_NUMBER, "****$1"),

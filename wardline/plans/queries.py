@@ -16,7 +16,8 @@ from wardline.operators import classify, decide, monitor, protect, questions, qu
 from wardline.plans.derived import KEY, TABLES, Derived
 from wardline.plans.oracle import AS_OF, sql
 from wardline.session import work_path
-from wardline.sources import discover, sinks, tables, tag_store
+from wardline.sources import commits, discover, footers, schema_watch, search_index, sinks, tables, tag_store
+from wardline.streaming import breaches
 from wardline.streaming import decisions as feed
 from wardline.streaming import state as live
 from wardline.streaming import windows
@@ -63,6 +64,31 @@ def _(d):
     return found.join(sizes, "table_name").select("table_name", "column_name", "n_rows")
 
 
+@query("s1_footer_columns", "SELECT c.table_name, c.column_name, n.n_rows FROM information_schema.columns c JOIN ("
+       + " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in TABLES)
+       + ") n USING (table_name)")
+def _(d):
+    """The same from the footers alone, which tasks read."""
+    read = footers.footers(footers.files_of(d.spark, {t: d.path(t) for t in TABLES}))
+    return footers.file_columns(read).join(footers.table_sizes(read).select("table_name", F.col("n_rows").alias("all")), "table_name").select(
+        "table_name", "column_name", F.col("all").alias("n_rows"))
+
+
+@query("s1_mixed_files", """
+SELECT c.column_name, c.data_type, c.n_types::BIGINT AS n_types, n.n AS n_rows FROM (VALUES
+  ('event_id', 'bigint', 1, 2), ('value', 'double', 2, 0), ('value', 'string', 2, 1), ('props', 'string', 1, 1)) c(column_name, data_type, n_types, k)
+JOIN (SELECT 0 AS k, count(*) FILTER (event_id % 2 = 0) AS n FROM events UNION ALL SELECT 1, count(*) FILTER (event_id % 2 = 1) FROM events
+  UNION ALL SELECT 2, count(*) FROM events) n USING (k)""")
+def _(d):
+    """A folder whose files have two schemas: one column with two types, and one that only half of the files have."""
+    path = work_path(d.spark, "mixed")
+    events = d.table("events")
+    events.filter("event_id % 2 = 0").select("event_id", "value").write.parquet(path)
+    events.filter("event_id % 2 = 1").select("event_id", F.col("value").cast("string").alias("value"), "props").write.mode("append").parquet(path)
+    read = footers.footers(footers.files_of(d.spark, {"mixed": path}))
+    return footers.file_columns(read).select("column_name", "data_type", "n_types", "n_rows")
+
+
 @query("s2_listed_types", """
 SELECT item_key, table_name, column_name, CASE WHEN type_text IS NULL OR type_text = '' THEN type_name ELSE type_text END AS data_type
 FROM listing""")
@@ -444,6 +470,37 @@ def _(d):
     return queue.by_id(d.state, first).select("id", "suggested_tag", "status")
 
 
+@query("f9_indexed_search", """
+SELECT schema_name, table_name, column_name, tag, masking_policy, abac_policy, class_date, last_reviewer, status FROM cat
+WHERE contains(schema_name, 'phone') OR contains(table_name, 'phone') OR contains(column_name, 'phone') OR contains(lower(tag), 'phone')""")
+def _(d):
+    """The same rows through the index of the catalog's texts."""
+    path = work_path(d.spark, "search")
+    search_index.build(d.catalog.drop("data_type"), ("schema_name", "table_name", "column_name", "tag"), path)
+    return search_index.Index(d.spark, path).search("Phone")
+
+
+@query("f10_stored_metadata", """
+SELECT schema_name, table_name, column_name, tag, status FROM cat ORDER BY schema_name, table_name, column_name LIMIT 1""")
+def _(d):
+    """The same entry from the stored catalog, of which one bucket is read."""
+    target = work_path(d.spark, "catalog")
+    tag_store.load(d.catalog, target)
+    first = d.inventory.agg(F.min(F.struct("schema_name", "table_name", "column_name")).alias("p")).first()["p"]
+    return tag_store.column_metadata(d.spark, target, *first).select("schema_name", "table_name", "column_name", "tag", "status")
+
+
+@query("f11_stored_item", "SELECT id, suggested_tag, status FROM st WHERE id = (SELECT min(id) FROM q WHERE base_name = 'ssn')")
+def _(d):
+    """The same item from the stored queue, of which one bucket is read."""
+    rows = d.state.select("id", "suggested_tag", "status")
+    table = commits.Keyed(d.spark, work_path(d.spark, "queue"), ["id"])
+    table.upsert(rows)
+    named = d.inventory.filter("base_name = 'ssn'")
+    first = named.agg(F.min(c.item_id("schema_name", "table_name", "column_name")).alias("id")).first()["id"]
+    return table.get(rows.schema, first)
+
+
 @query("f12_alerts", f"SELECT {SQL_ITEM} FROM st WHERE status = 'PENDING' AND confidence_score < 0.70")
 def _(d):
     return queue.alerts(d.state).select(*ITEM_COLUMNS)
@@ -1037,9 +1094,9 @@ def _(d):
 def _masked_sql(text: str) -> str:
     for form, stays in (
         (r"([A-Za-z0-9._%+-])[A-Za-z0-9._%+-]*@", r"\1***@"),
-        (r"\d{4}[ -]\d{4}[ -]\d{4}[ -](\d{4})", r"**** **** **** \1"),
         (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", "***-**-****"),
-        (r"[(]?\d{3}[)]?[. -]\d{3}[. -](\d{4})", r"***-***-\1"),
+        (r"[(]?\d{3}[)]?[. -]\d{3}[. -]\d{4}", "***-***-****"),
+        (r"\d{4}[ -]\d{4}[ -]\d{4}[ -](\d{4})", r"**** **** **** \1"),
         (r"(19\d\d|20\d\d)-\d\d-\d\d", r"\1-**-**"),
         (r"(?:\d{1,3}[.]){3}\d{1,3}", "*.*.*.*"),
         (r"[0-9]{5,}([0-9]{4})", r"****\1"),
@@ -1185,6 +1242,24 @@ def _(d):
     return monitor.deadline_summary(d.state, d.as_of)
 
 
+@query("r4_breach_stream", f"""
+WITH o AS (SELECT *, CASE WHEN status = 'ESCALATED' THEN decided_at + INTERVAL 4 HOUR WHEN category = 'PHI' THEN submitted_time + INTERVAL 24 HOUR
+    WHEN category = 'PII' THEN submitted_time + INTERVAL 48 HOUR WHEN category = 'Financial' THEN submitted_time + INTERVAL 72 HOUR END AS due_time
+  FROM st WHERE status IN ('PENDING', 'ESCALATED'))
+SELECT CAST(item_key AS VARCHAR) AS item, category, status, date_trunc('millisecond', due_time) AS due_time FROM o
+WHERE date_trunc('millisecond', due_time) < {AS_OF}""")
+def _(d):
+    """Items past their deadline, as the alerts of a stream say that has seen the log in two runs and then the time."""
+    source, target, state = (work_path(d.spark, n) for n in ("breach-rows", "breaches", "breach-run"))
+    rows = breaches.item_rows(d.queue, KEY).unionByName(breaches.decision_rows(decide.changing(d.decisions), KEY))
+    early = F.col("event_time") < F.lit("2024-01-20").cast("timestamp")
+    for part in (rows.filter(early), rows.filter(~early), breaches.heartbeat(d.spark, "2024-02-01 01:00:00")):
+        part.write.mode("append").parquet(source)
+        stream = feed.feed(d.spark, source, rows.schema)
+        breaches.breach_stream(stream, target, state).awaitTermination()
+    return breaches.breached_now(d.spark, target).select("item", "category", "status", "due_time")
+
+
 @query("r5_concepts", """
 SELECT id, suggested_tag, CASE suggested_tag WHEN 'phi:patient_id' THEN 'Patient Master Identifier' WHEN 'financial:amount' THEN 'Adjudicated Claim Charge'
   WHEN 'phi:diagnosis' THEN 'ICD Medical Coding Taxonomy' WHEN 'financial:account' THEN 'Patient Billing Account Reference'
@@ -1304,6 +1379,27 @@ def _(d):
     return monitor.schema_changes(d.inventory, d.snapshot_after, d.as_of).drop("action_taken", "ts")
 
 
+SQL_SCHEMA_EVENTS = """
+SELECT concat('EVT-', substr(sha256(concat(event_type, '|', schema_name, '|', table_name, '|', column_name, '|{1}')), 1, 12)) AS event_id,
+  event_type, concat(schema_name, '.', table_name) AS target_table, TIMESTAMP '{1}' AS ts
+FROM (SELECT schema_name, table_name, column_name, CASE WHEN b.data_type IS NULL THEN 'COLUMN_ADDED' WHEN a.data_type IS NULL THEN 'COLUMN_REMOVED'
+         WHEN a.data_type <> b.data_type THEN 'TYPE_CHANGED' END AS event_type
+  FROM {0} USING (schema_name, table_name, column_name)) WHERE event_type IS NOT NULL"""
+
+
+@query("t1_schema_feed",
+       SQL_SCHEMA_EVENTS.format("inv b FULL OUTER JOIN snapshot_after a", "2024-02-01 00:00:00") + " UNION ALL "
+       + SQL_SCHEMA_EVENTS.format("snapshot_after b FULL OUTER JOIN inv a", "2024-02-02 00:00:00"))
+def _(d):
+    """The feed of changes after three versions, recorded in two runs of which the second repeats one."""
+    path = work_path(d.spark, "schema-watch")
+    listed = (("first", d.inventory, "2024-01-31 00:00:00"), ("second", d.snapshot_after, "2024-02-01 00:00:00"),
+              ("second", d.snapshot_after, "2024-02-01 00:00:00"), ("third", d.inventory, "2024-02-02 00:00:00"))
+    for name, inventory, taken in listed:
+        schema_watch.record(inventory, path, name, taken)
+    return schema_watch.feed(d.spark, path).select("event_id", "event_type", "target_table", "ts")
+
+
 # --- streaming -------------------------------------------------------------------------------------------------
 
 

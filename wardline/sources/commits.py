@@ -154,12 +154,27 @@ class Keyed:
         return self._read(sorted(self.live().values()), schema)
 
     def _stage(self, rows: DataFrame) -> str:
+        """Rows by bucket, sorted by key, with Bloom filters on the keys, so that a reader can skip row groups."""
         staged = self.folder.staging()
         place = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-        rows.withColumn("bucket", place).repartition("bucket").write.partitionBy("bucket").parquet(
-            f"{self.folder.path}/{staged}")
+        writer = rows.withColumn("bucket", place).repartition("bucket").sortWithinPartitions("bucket", *self.keys).write
+        for key in self.keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer.partitionBy("bucket").parquet(f"{self.folder.path}/{staged}")
         return staged
 
+    def get(self, schema: StructType, *values) -> DataFrame:
+        """The row of one key: reads the files of its bucket only, and of those the row groups that may hold it."""
+        types = [schema[k].dataType.simpleString() for k in self.keys]
+        names = [f"v{i}" for i in range(len(values))]
+        cast = ", ".join(f"CAST(:{n} AS {t})" for n, t in zip(names, types, strict=True))
+        place = self.spark.sql(f"SELECT pmod(xxhash64({cast}), {self.buckets}) AS b", dict(zip(names, values, strict=True)))
+        found = self.live().get(f"bucket={place.first()['b']}")
+        test = F.lit(True)
+        for key, value, kind in zip(self.keys, values, types, strict=True):
+            test = test & (F.col(key).isNull() if value is None else F.col(key) == F.lit(value).cast(kind))
+        return self._read([found] if found else [], schema).filter(test)
+
     def replaced(self, old: DataFrame, changes: DataFrame) -> DataFrame:
         """The old rows without those whose key changes, and the changes. NULL is a key like others."""
         same = F.lit(True)

@@ -68,3 +68,8 @@ def write_tags(events: DataFrame, path: str, batch: str = "", buckets: int = BUC
 def read(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The stored catalog, in the shape of the catalog view."""
     return _table(spark, path, buckets).rows(SCHEMA).drop("tag_time", "tag_decision")
+
+
+def column_metadata(spark: SparkSession, path: str, schema: str, table: str, column: str, buckets: int = BUCKETS) -> DataFrame:
+    """The stored entry of one column, from the files of one bucket."""
+    return _table(spark, path, buckets).get(SCHEMA, schema, table, column).drop("tag_time", "tag_decision")
