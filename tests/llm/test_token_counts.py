@@ -27,7 +27,7 @@ def test_query_as_the_library(spark, library):
     assert rows(QUERIES["op12_token_counts"](spark, SF)) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("head", [0, 40, token_counts.HEAD])
+@pytest.mark.parametrize("head", [0, 400, token_counts.HEAD])
 def test_odd_texts_as_the_library(spark, library, monkeypatch, head):
     """Whatever part of the pre-tokens is broadcast, and however often words are forgotten."""
     r = random.Random(4)
@@ -36,7 +36,7 @@ def test_odd_texts_as_the_library(spark, library, monkeypatch, head):
     texts += [None, "", "a<|endoftext|>b <|startoftext|>x", "<|ENDOFTEXT|>", "don't I'LL we'Re", "x" * 5000, "e\u0301\u0144x", " \u0301",
               "ab" * 3000 + "!" * 3000, "word " * 40_000, "<|endoftext|>" * 200, "=" * 100 + " " + "=" * 100]
     texts += ["=" * 80] * 300
-    monkeypatch.setattr(token_counts, "WORDS", 300)
+    monkeypatch.setattr(token_counts, "HELD", 300)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     found = token_counts.count_tokens(frame, PATH, head=head)
     assert rows(found) == sorted(((i, len((t or "").encode()), count(library, t)) for i, t in enumerate(texts)), key=repr)
@@ -46,6 +46,12 @@ def test_pieces_are_counted_once_for_each_pretoken(spark, library):
     frame = spark.createDataFrame([(1, "Don't don't, DON'T"), (2, "don , <|endoftext|>"), (3, None)], "doc_id long, text string")
     found = {r["pretoken"]: (r["times"], r["pieces"]) for r in token_counts.vocabulary(frame, PATH).collect()}
     assert found == {"don": (4, 1), "'t": (3, 1), ",": (2, 1), token_counts.WHOLE + "<|endoftext|>": (1, 1)}
+    assert token_counts.head_of(token_counts.vocabulary(frame, PATH), 2) == {"don": 1, "'t": 1}
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="another kind"):
+        token_counts.Cutter(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_edges(spark, library, clashing):
