@@ -95,7 +95,6 @@ def test_file_round_trip():
 
 def library_rows(texts):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
     out, start = [], 0
     for i, text in texts:
         ids = [*library.encode(text or "", add_special_tokens=False).ids, 2]
@@ -113,6 +112,37 @@ def test_token_files_query(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == library_rows(texts)
 
 
+def test_random_texts_as_the_tokenizers_library(monkeypatch):
+    """Special strings included, and whatever is forgotten between blocks."""
+    monkeypatch.setattr(bpe, "REMEMBERED", 60)
+    monkeypatch.setattr(bpe, "LONGEST_WORD", 30)
+    monkeypatch.setattr(token_files, "_units", {})
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    words = ["a", "the", "The,", "x.", "don't", "<|endoftext|>", "<|endoftext|>b", "a<|endoftext|>,", "<|end", "日本", "é!?", "12", "\n", "\t", "",
+             "ab" * 40, "!!", "'s"]
+    texts = [r.choice(("", " ", "x")) + " ".join(r.choice(words) for _ in range(r.randint(0, 12))) for _ in range(1500)]
+    texts += ["a <|endoftext|> b", None, "", "q" * 3000, "q" * 100 + " r"]
+    units = token_files._tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    for low in range(0, len(texts), 41):
+        part = texts[low:low + 41]
+        flat, count = units.texts(part)
+        found = [f.tolist() for f in np.split(flat, np.cumsum(count)[:-1])]
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in part]
+    assert len(units.young.place) + len(units.old.place) < 500
+
+
+def test_special_strings_in_files(spark):
+    texts = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "plain")]
+    path = work_path(spark, "tokens")
+    files = token_files.write_files(
+        spark.createDataFrame(texts, "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    found = token_files.read_files(files, path)
+    ids = dict(tuple(r) for r in found.select("doc_id", "ids").collect())
+    assert (ids[1], ids[2]) == ([64, 220, 50256, 275, 2], [50256, 2])
+    assert sorted(map(tuple, token_files.checksums(found).collect())) == library_rows(texts)
+
+
 def test_token_files_of_edges(spark, clashing):
     path = work_path(spark, "tokens")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")

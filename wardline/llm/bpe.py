@@ -11,7 +11,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Callable, Iterator, Sequence
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,13 @@ from wardline.llm.text import blocks, grouped, mix
 
 U64 = np.uint64
 NONE = np.int32(2**31 - 1)
-# Longest piece, in bytes, that is merged in a matrix; cells of a matrix at once; texts' cuts remembered by a worker, at most.
+# Longest piece, in bytes, that is merged in a matrix; cells of a matrix at once.
 LONGEST = 256
 CELLS = 1 << 20
+# Words, and their characters, of one of the two generations that a worker remembers; longest word that is.
 REMEMBERED = 450_000
+LETTERS = 8 << 20
+LONGEST_WORD = 256
 # Characters that are no letters, numbers or white space.
 MARKS = ".,;:!?\"')]}*$%&#|"
 
@@ -221,72 +224,132 @@ class Ranks:
         return self.bytes[gathered(self.start[tokens], size)], size
 
 
+class Known:
+    """Words and their runs of token numbers, up to ``REMEMBERED`` words and ``LETTERS`` characters."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.letters = 0
+        self.used = 0
+        self.flat = np.empty(1 << 12, np.int32)
+        self.start, self.size = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
+        # Words that tell that their text must be encoded as a whole. The first entry stands for words that aren't kept.
+        self.whole = np.empty(1 << 10, bool)
+        self.add([None], Runs(self.flat[:0], np.zeros(1, np.int64), np.zeros(1, np.int64)), [True])
+
+    def full(self) -> bool:
+        return len(self.place) > REMEMBERED or self.letters > LETTERS
+
+    def add(self, words: Sequence[str | None], found: Runs, whole: Sequence[bool]) -> None:
+        """Arrays grow by doubling, so a word is copied a few times only."""
+        first, n = len(self.place), len(words)
+        for name, used, more in (("flat", self.used, len(found.flat)), ("start", first, n), ("size", first, n), ("whole", first, n)):
+            held = getattr(self, name)
+            if used + more > len(held):
+                grown = np.empty(max(2 * len(held), used + more), held.dtype)
+                grown[:used] = held[:used]
+                setattr(self, name, grown)
+        self.flat[self.used:self.used + len(found.flat)] = found.flat
+        self.start[first:first + n] = self.used + found.start
+        self.size[first:first + n] = found.size
+        self.whole[first:first + n] = whole
+        self.used += len(found.flat)
+        self.place.update(zip(words, range(first, first + n), strict=True))
+        self.letters += sum(map(len, filter(None, words)))
+
+    def runs(self) -> Runs:
+        n = len(self.place)
+        return Runs(self.flat[:self.used], self.start[:n], self.size[:n])
+
+
 class Units:
     """Encodes whole texts, word by word, and remembers the words.
 
     A cut of the pattern always lies before a single space behind a character that isn't white space, so a text is the run of its
-    words with the space before each. A text where a space follows other white space is cut as a whole.
-    """
+    words with the space before each. A text where a space follows other white space, one with a word of more than ``LONGEST_WORD``
+    characters, and one that holds one of the texts ``special``, is encoded as a whole.
 
-    def __init__(self, encode: Callable[[Sequence[str]], Runs]):
-        self.encode = encode
-        self.place: dict[str, int] = {}
-        # Words after which, or before which, a cut may lie elsewhere.
-        self.odd: set[str] = set()
-        self.runs = Runs.none()
+    Two generations of words are kept. When the younger one is full it becomes the older one, and words of that one that are met
+    again move on, so frequent words are encoded once.
+    """
 
-    def _add(self, words: Sequence[str], found: Runs) -> None:
-        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.runs = self.runs.extended(found)
+    def __init__(self, encode: Callable[[Sequence[str]], Runs], special: Sequence[str] = ()):
+        self.encode, self.special = encode, tuple(special)
+        self.young, self.old = Known(), Known()
+
+    def _whole(self, word: str) -> bool:
+        return not word or word[-1].isspace() or any(s in word for s in self.special)
+
+    def _take(self, words: list[str]) -> None:
+        """Put words into the young generation that aren't there: from the old one, or by encoding them."""
+        get = self.old.place.get
+        held = [(w, i) for w in words if (i := get(w)) is not None]
+        if held:
+            moved, places = [w for w, _ in held], np.fromiter((i for _, i in held), np.int64, len(held))
+            self.young.add(moved, self.old.runs().joined(places, np.ones(len(held), np.int64)), self.old.whole[places])
+            known = set(moved)
+            words = [w for w in words if w not in known]
+        if words:
+            self._learn(words)
 
     def _learn(self, new: list[str]) -> None:
         """Encode words. Marks behind a letter are a cut's run of their own, so a word's tokens are those of the word without
         them and those of the marks."""
-        self.odd.update(w for w in new if not w or w[-1].isspace())
         plain: list[str] = []
         marked: list[str] = []
         halves: list[str] = []
         for word in new:
-            base = word.rstrip(MARKS)
-            if len(base) < len(word) and base[-1:].isalpha():
+            if word[-1:] in MARKS and word and (base := word.rstrip(MARKS))[-1:].isalpha():
                 marked.append(word)
                 halves += (base, " " + word[len(base):])
             else:
                 plain.append(word)
-        plain.extend(set(halves).difference(self.place, plain))
-        self._add(plain, self.encode([w[1:] if w[:1] == " " else " " + w for w in plain]))
+        mine = set(plain)
+        need = {h for h in halves if h not in self.young.place and h not in mine}
+        plain.extend(need)
+        self.young.add(plain, self.encode([w[1:] if w[:1] == " " else " " + w for w in plain]), list(map(self._whole, plain)))
         if marked:
-            place = self.place
+            place = self.young.place
             which = np.fromiter((place[h] for h in halves), np.int64, len(halves))
-            self._add(marked, self.runs.joined(which, np.full(len(marked), 2)))
+            whole = [any(s in w for s in self.special) for w in marked]
+            self.young.add(marked, self.young.runs().joined(which, np.full(len(marked), 2)), whole)
 
     def texts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(token numbers of all texts one after the other, how many each has)."""
-        if len(self.place) > REMEMBERED:
-            self.place, self.odd, self.runs = {}, set(), Runs.none()
-        rows: list[list[str]] = []
-        wanted: set[str] = set()
-        for text in texts:
-            words = (text or "").split(" ")
-            # The first word has no space before it; it is kept under a key that no other word can have.
-            words[0] = " " + words[0]
-            rows.append(words)
-            wanted.update(words)
-        new = [w for w in wanted if w not in self.place]
-        if new:
-            self._learn(new)
-        count = np.fromiter(map(len, rows), np.int64, len(rows))
-        place = self.place
-        number = np.fromiter(map(place.__getitem__, chain.from_iterable(rows)), np.int64, int(count.sum()))
-        found = self.runs.joined(number, count)
-        odd = self.odd & wanted if self.odd else self.odd
-        whole = [i for i, words in enumerate(rows) if not odd.isdisjoint(words)] if odd else []
-        if whole:
+        if self.young.full():
+            self.young, self.old = Known(), self.young
+        if not len(texts):
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        # Arrow splits the texts and numbers the distinct words; Python looks up each of those once.
+        lists = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
+        count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        first = np.cumsum(count) - count
+        flat = lists.flatten()
+        begins = flat.take(pa.array(first)).to_pylist()
+        inner = np.ones(len(flat), bool)
+        inner[first] = False
+        coded = flat.filter(pa.array(inner)).dictionary_encode()
+        # The first word has no space before it; it is kept under a key that no other word can have.
+        words = coded.dictionary.to_pylist()
+        words += [" " + w for w in begins]
+        place = np.fromiter(map(self.young.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            missed = [words[i] for i in missing]
+            self._take([w for w in dict.fromkeys(missed) if len(w) <= LONGEST_WORD])
+            place[missing] = np.fromiter(map(self.young.place.get, missed, repeat(0)), np.int64, len(missed))
+        number = np.empty(len(flat), np.int64)
+        number[inner] = place[coded.indices.to_numpy()]
+        number[first] = place[len(words) - len(texts):]
+        runs = self.young.runs()
+        whole = np.flatnonzero(np.logical_or.reduceat(self.young.whole[number], first))
+        found = runs.joined(number, count)
+        if len(whole):
             other = self.encode([texts[i] or "" for i in whole])
             both = found.extended(other)
-            order = np.arange(len(rows))
-            order[whole] = len(rows) + np.arange(len(whole))
-            found = both.joined(order, np.ones(len(rows), np.int64))
+            order = np.arange(len(texts))
+            order[whole] = len(texts) + np.arange(len(whole))
+            found = both.joined(order, np.ones(len(texts), np.int64))
         return found.flat, found.size
 
 

@@ -116,13 +116,14 @@ _units: dict[str, Units] = {}
 
 
 def _tokenizer(path: str) -> Units:
-    """The words of texts are encoded by the tokenizers library, once each while they are remembered."""
+    """The words of texts are encoded by the tokenizers library as it comes, once each while they are remembered; a text that holds
+    the string of a special token goes to the library as a whole."""
     if path not in _units:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        special = [t.content for t in library.get_added_tokens_decoder().values()]
 
         spaced = np.zeros(library.get_vocab_size(), bool)
         # The library writes the byte of a space as this letter.
@@ -148,7 +149,7 @@ def _tokenizer(path: str) -> Units:
             back = np.argsort(np.concatenate((np.array(other, np.int64), np.array(single, np.int64))))
             return Runs(np.concatenate((flat, joined)), (np.cumsum(sizes) - sizes)[back], sizes[back])
 
-        _units[path] = Units(encode)
+        _units[path] = Units(encode, special)
     return _units[path]
 
 
@@ -161,7 +162,8 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
     """Encode every whole text, append ``end_id``, and write the files in ascending id order.
 
     Returns the written table of files: file, n_docs, n_ids. NULL ids come first; rows with one id are ordered by the hash of the
-    text. A NULL text counts as empty: it has the end id only. An empty table writes no file.
+    text. Ids are whole numbers. A NULL text counts as empty: it has the end id only. The string of a special token in a text is that
+    token, as the library has it. An empty table writes no file.
     """
     spark = docs.sparkSession
     ready(spark)
