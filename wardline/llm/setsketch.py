@@ -6,7 +6,8 @@ it is given, on a scale of exponentially spaced steps (base 1.001, rate 20), cut
 the larger ones of the parts, register by register, and two registers agree with about the Jaccard similarity.
 
 1. Sketch: one pass over the texts. Documents with the same set become one class; its first row stands for it.
-2. Bands: 42 bands of 6 registers. A pair with similarity 0.8 shares no band with a chance of about 3 in a million.
+2. Bands: 42 bands of 6 registers. A pair with similarity 0.8 shares no band with a chance of about 3 in a million. Band values that
+   one class has, which are almost all, are counted by 48 bits and left out before classes are dealt out by them.
 3. Stars: in each bucket (documents with one band value) every class is paired with the first one only. Pairs
    are judged by the likelihood of their registers given both set sizes; what isn't far below the threshold is then
    confirmed on the full sets of shingles, taken from the texts. Confirmed links give components.
@@ -40,6 +41,8 @@ RATE = 20.0
 TOP = (1 << 16) - 1
 BAND = 6
 BANDS = REGISTERS // BAND
+# Bits of a band key by which keys are counted first.
+SHORT = 48
 # Pairs whose likeliest similarity lies this many standard errors below the threshold are not confirmed.
 ERRORS = 5.0
 # Classes of one side in a group of the last step.
@@ -310,18 +313,34 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str =
     A document without words is alone. Ids may be NULL or repeated: rows are told apart by uid.
     """
     held = sketches(docs, width, id_column, text_column)
-    first = held.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("uid").alias("first"))
+    worded = held.filter("digest IS NOT NULL")
+    first = worded.groupBy("digest").agg(F.min("uid").alias("first"))
+    own = ["uid", "id", "mark", "n_shingles"]
     members = written(
-        held.select("uid", "id", "mark", "n_shingles", "digest").join(first, "digest", "left")
-        .select("uid", "id", "mark", "n_shingles", F.coalesce("first", "uid").alias("first")), "members")
+        worded.select(*own, "digest").join(first, "digest").select(*own, "first")
+        .unionByName(held.filter("digest IS NULL").select(*own, F.col("uid").alias("first"))), "members")
     leaders = members.filter("uid = first AND n_shingles > 0").select("uid")
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("regs"), i * 2 * BAND + 1, F.lit(2 * BAND))))
-    banded = held.select("uid", "regs").join(leaders, "uid").select("uid", F.explode(bands).alias("key"))
-    shared = banded.groupBy("key").agg(F.min("uid").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    buckets = written(banded.join(shared.select("key", "centre"), "key"), "buckets")
-    stars = buckets.filter("uid != centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
+    # Registers stay where they are: copies of a leader are kept away by a filter, the few it lets through by the join below.
+    near = IdFilter(leaders, "uid")
+    banded = worded.filter(near.maybe(F.col("uid"))).select("uid", "n_shingles", F.explode(bands).alias("key"))
+    # Almost all keys have one class. They are counted by a part of the key, and only classes under a key that may be shared are dealt out.
+    part = F.col("key").bitwiseAND((1 << SHORT) - 1)
+    common = written(
+        banded.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("part"), "common")
+    rows = banded.filter(IdFilter(common, "part").maybe(part)).join(leaders, "uid", "left_semi")
+    rows = written(rows, "banded")
+    shared = rows.groupBy("key").agg(
+        F.min(F.struct("uid", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    buckets = written(rows.join(shared.select(
+        "key", F.col("first.uid").alias("centre"), F.col("first.n_shingles").alias("n_centre")), "key"), "buckets")
+    # A pair whose sizes are too far apart can't reach the threshold.
+    sized = F.least("n_shingles", "n_centre") * 100 >= F.greatest("n_shingles", "n_centre") * percent
+    stars = buckets.filter((F.col("uid") != F.col("centre")) & sized).select(
+        F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
+    buckets = buckets.select("key", "uid", "centre")
     parts = components(confirmed(written(stars, "stars"), held, width, percent))
 
     def with_links(links: DataFrame) -> DataFrame:
