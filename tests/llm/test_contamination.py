@@ -97,12 +97,16 @@ def test_edges(spark, clashing):
         [(1, None), (2, ""), (3, "one"), (None, "A b c, d e f g h i j!"), (5, "a b c d e f g h i j"), (6, "x y z q r s t")],
         "item_id long, text string")
     found = rows(contamination.matches(clashing, items), "doc_id", "item_id", "distance", "first_word")
-    assert found == sorted([(8, 5, 0, 0)] * 2 + [(8, None, 0, 0)] * 2, key=repr)
+    assert found == sorted([(8, 5, 0, 0)] * 2 + [(8, None, 0, 0)] * 2 + [(i, 3, 0, 0) for i in (4, 5, 6, None)], key=repr)
+    # An item of one word is found, but takes no document out.
     kept = contamination.decontaminate(clashing, items)
     assert kept.columns == clashing.columns and kept.count() == len(EDGES) - 2
     assert contamination.matches(clashing.limit(0), items).collect() == []
     assert contamination.matches(clashing, items.limit(0)).collect() == []
     assert contamination.decontaminate(clashing, items.limit(0)).count() == len(EDGES)
+    assert contamination.decontaminate(clashing, items, shortest=1).count() == len(EDGES) - 6
+    named = items.selectExpr("concat('i', item_id) AS item_id", "text")
+    assert set(rows(contamination.matches(clashing, named), "item_id")) == {("i5",), ("i3",), (None,)}
 
 
 def test_walks_meet_again_after_an_edit():
@@ -122,7 +126,7 @@ def test_short_items_and_scripts_without_spaces():
             "今日は天気がいいから散歩しましょう", "A RED FOX ran", None]
     held = contamination.index(list(range(len(items))), items)
     found = [(d, held.ids[i], first, n) for d, i, first, n in contamination.search(docs, held)]
-    assert [f for f in found if f[3] == 0] == [(0, 0, 2, 0), (2, 2, 2, 0), (4, 3, 3, 0), (6, 5, 0, 0), (10, 1, 0, 0)]
+    assert [f for f in found if f[3] == 0] == [(0, 0, 2, 0), (2, 2, 2, 0), (4, 3, 3, 0), (5, 4, 0, 0), (6, 5, 0, 0), (10, 1, 0, 0)]
     assert [f[:2] for f in found if f[3]] == [(3, 2)]
 
 

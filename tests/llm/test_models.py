@@ -77,3 +77,94 @@ def test_filters_return_all_languages_of_an_ngram(spark):
     assert filters.languages == tuple(names) and len(filters.cells) == 2
     assert (langfilter.shares(["shared"], filters)[0] > 0.9).all()
     assert rows(langfilter.identify(frame, filters).filter("lang = lang_pred"), "doc_id") == sorted(((i,) for i in range(70)), key=repr)
+
+
+def plain_score(model, text):
+    """The sparse dot product, feature by feature."""
+    from collections import Counter
+
+    number, _, count = quality_model.features([text])
+    dot = sum(n * model.weights[i] for i, n in Counter(number.tolist()).items()) / max(1, count[0]) ** 0.5
+    return 1 / (1 + np.exp(-(dot + model.bias)))
+
+
+def test_scores_are_sparse_dot_products(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_model.fit(docs, labels, quality_model.fold("doc_id", 5) != 0)
+    for r in quality_model.score(docs, model).select("text", "score").collect():
+        assert abs(r.score - plain_score(model, r.text)) < 1e-9
+
+
+def test_features_are_words_pairs_and_shapes():
+    """As many as a plain count gives, the same for the same words, wherever they stand."""
+    def expected(text):
+        n = len(text.split())
+        same = sum(a == b for a, b in zip(text.split(), text.split()[1:], strict=False))
+        return 2 * n + 2 * max(0, n - 1) + max(0, n - 2) + same
+
+    texts = ["", "one", "a a a", "Ab 12 cd", "x y\tz\nw w", "word " * 50]
+    number, owner, count = quality_model.features(texts)
+    assert count.tolist() == [expected(t) for t in texts]
+    alone = [sorted(quality_model.features([t])[0].tolist()) for t in texts]
+    assert alone == [sorted(number[owner == i].tolist()) for i in range(len(texts))]
+    assert set(quality_model.features(["one"])[0]) <= set(quality_model.features(["two one two"])[0])
+
+
+def test_the_fit_is_the_same_for_repeated_ids(spark):
+    texts = [(i % 5, f"text {i} of the row {i * 7}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)], "doc_id long, quality int")
+    a, b = (quality_model.fit(spark.createDataFrame(t, "doc_id long, text string").repartition(n), labels, F.lit(True))
+            for t, n in ((texts, 1), (texts[::-1], 7)))
+    assert (a.weights == b.weights).all() and a.bias == b.bias
+
+
+def test_languages_by_plain_sets(spark):
+    """The same predictions without filters: sets of n-grams, counted text by text."""
+    from collections import Counter
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    filters = langfilter.fit(frame, F.lit(True))
+    counts = {}
+    for _, text, lang in docs:
+        if lang is not None:
+            counts.setdefault(lang, Counter()).update(langfilter.grams([text])[0].tolist())
+    kept = {}
+    for lang, found in counts.items():
+        first = sorted((g for g, n in found.items() if n > 1), key=lambda g: (-found[g], np.uint64(g).view(np.int64)))
+        kept[lang] = {g: found[g] for g in first[:langfilter.GRAMS]}
+    share = {lang: {g: n / sum(k.values()) for g, n in k.items()} for lang, k in kept.items()}
+    most = {}
+    for k in share.values():
+        for g, s in k.items():
+            most[g] = max(s, most.get(g, 0))
+    sets = {lang: {g for g, s in k.items() if s >= langfilter.FAIR * most[g]} for lang, k in share.items()}
+    names = sorted(sets)
+    same = 0
+    for _, text, _ in docs:
+        own = langfilter.grams([text])[0].tolist()
+        plain = [sum(g in sets[n] for g in own) / max(1, len(own)) for n in names]
+        found = langfilter.shares([text], filters)[0]
+        # What is left of chance hits is small: a filter knows no n-gram less than the set.
+        assert np.abs(found - plain).max() < 0.05
+        same += int(np.argmax(plain)) == int(np.argmax(found))
+    assert same >= len(docs) - 1
+
+
+def test_ngrams_seen_once_in_each_part_count(spark, monkeypatch):
+    given = [(i, "zqx" if i % 2 else "other words", "xx" if i % 2 else "yy") for i in range(60)]
+    frame = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    fits = []
+    for parts in (1, 64):
+        monkeypatch.setattr(langfilter, "PARTS", parts)
+        fits.append(langfilter.fit(frame, F.lit(True)))
+    assert (fits[0].cells == fits[1].cells).all() and langfilter.shares(["zqx"], fits[1])[0][0] > 0.9
+
+
+def test_first_rows_of_a_language_by_parts(spark):
+    frame = spark.range(5000).selectExpr("id", "if(id % 7 = 0, 'b', 'a') AS lang", "xxhash64(id) AS h")
+    found = langfilter._first(frame, [F.col("h"), F.col("id")], F.col("id"), 1500)
+    want = []
+    for name in ("a", "b"):
+        want += sorted((r.h, r.id, name) for r in frame.filter(F.col("lang") == name).collect())[:1500]
+    assert rows(found, "h", "id", "lang") == sorted(want, key=repr)

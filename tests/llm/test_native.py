@@ -22,13 +22,23 @@ def test_twin(spark, name, source):
     assert table(found.columns, [tuple(r) for r in found.collect()]) == twin
 
 
-def test_edges_against_the_twin(spark, edges):
-    found = line_rules.judge(edges).selectExpr(
+PHRASES = [
+    "Read more\tsign in", "sign in, log in; COOKIES!", "a design in wood", "the catalog in print", "cookiesheet", "cookie_jar here now",
+    "click here click here", "copyright-free text of ten words that goes on for a while longer", "Subscribes", "All  rights reserved.",
+    "tab\tseparated\twords\tin\ta\tline", "x y\u2028", "ends here.\u2028", "Ünsubscribe", "one two three four. \r", "a|b|c", "»sign up«",
+    "back to top back to top of the page", "javascript",
+]
+
+
+def test_edges_against_the_twin(spark):
+    texts = [(i, t) for i, (_, t, *_) in enumerate(EDGES)] + [(100 + i, t) for i, t in enumerate(PHRASES)]
+    texts.append((200, "\n".join(PHRASES)))
+    found = line_rules.judge(spark.createDataFrame(texts, "doc_id long, text string")).selectExpr(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_lines_removed", "cast(char_length(clean_text) as long) clean_chars")
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
-    con.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in EDGES])
+    con.executemany("INSERT INTO documents VALUES (?, ?)", texts)
     result = con.execute(ORACLES["op4_line_rules"])
     assert table(found.columns, [tuple(r) for r in found.collect()]) == table(
         [c[0] for c in result.description], result.fetchall())
@@ -102,3 +112,31 @@ def test_preferences(spark):
     assert (found[3].prompt, found[3].chosen, found[3].complete) == ("", "<|unknown|>\nalone\n", False)
     assert (found[4].n_common, found[4].chosen, found[4].rejected) == (2, "<|user|>\nu\n", "")
     assert preference.format_preferences(frame.limit(0)).collect() == []
+
+
+def test_pairs_begin_alike(spark):
+    given = spark.read.parquet(f"{SF}/conversations.parquet")
+    found = QUERIES["op5_preference_format"](spark, SF)
+    assert found.agg({"n_common": "max"}).first()[0] > 2 and found.filter("n_common = 0").count() < found.count() / 4
+    with_answer = given.filter("role = 'assistant'").select("conv_id").distinct().count()
+    assert found.count() == with_answer
+    listed = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b"), (1, 3, "user", "thanks"),
+              (2, 0, "assistant", "z"), (3, 0, "user", "alone"), (None, 0, "assistant", "lost")]
+    frame = spark.createDataFrame(listed, "conv_id long, turn long, role string, text string")
+    pairs = {r.pair_id: r for r in preference.format_preferences(preference.with_other_ending(frame)).collect()}
+    assert sorted(pairs) == [1, 2]
+    assert (pairs[1].n_common, pairs[1].chosen) == (2, "<|assistant|>\nb\n<|user|>\nthanks\n")
+    assert pairs[1].rejected == "<|assistant|>\nz\n<|user|>\nthanks\n"
+    assert (pairs[2].n_common, pairs[2].rejected, pairs[2].complete) == (0, "", False)
+
+
+def test_twin_of_pairs_on_hard_rows(spark, tmp_path):
+    listed = [(1, 0, "user", "q"), (1, None, "assistant", "n"), (2, 5, "assistant", "x"), (2, 5, "assistant", "x"), (2, 5, "assistant", None),
+              (3, 1, None, "r"), (3, 2, "assistant", None), (4, 0, "assistant", "<|end"), (None, 1, "assistant", "y")]
+    spark.createDataFrame(listed, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = QUERIES["op5_preference_format"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    result = con.execute(ORACLES["op5_preference_format"])
+    assert table(found.columns, [tuple(r) for r in found.collect()]) == table(
+        [c[0] for c in result.description], result.fetchall())

@@ -55,6 +55,25 @@ def test_map_is_versioned_and_edited(spark, edges):
     assert max(held.values()) - min(held.values()) <= 2 * max(r["size"] for r in second)
 
 
+def test_an_empty_map_folder_gets_a_first_map(spark, edges, tmp_path):
+    slots.shard(edges, shards=2, map_path=f"{tmp_path}").collect()
+    assert slots.stored_map(spark, f"{tmp_path}").version == 1
+
+
+def test_copies_without_an_id_spread(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(slots, "RUN", 100)
+    same = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("xy").alias("text"))
+    other = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text"))
+    twice = spark.range(2000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("zz").alias("text"))
+    found = slots.shard(same.unionAll(other).unionAll(twice), shards=8)
+    loads = {r["shard"]: r["n"] for r in found.groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert sum(loads.values()) == 30_000 and max(loads.values()) - min(loads.values()) <= 30
+    assert found.filter("id = 7").count() == 2001 and found.filter("id IS NULL").count() == 4000
+    assert found.select("shard", "slot").distinct().count() == 10_000
+
+
 def test_rebalancing_moves_little():
     loads = {i: 100 + i % 7 for i in range(slots.SLOTS)}
     old = slots.first_map(loads, 8)

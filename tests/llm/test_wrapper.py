@@ -34,6 +34,31 @@ def test_article_of_the_given_pages(spark):
     assert rows(found) == sorted(((i, u, want(h), len(want(h))) for i, u, h in given), key=repr)
 
 
+def test_given_pages_without_article_elements():
+    """The wrapper finds the content where no element is marked as the article: the given pages give the same texts with a plain
+    div in its place. The adverts differ from page to page like content does, so their names tell them; without any names all of the
+    content is found still, and the adverts with it."""
+    import collections
+
+    import pyarrow.parquet as pq
+
+    hosts = collections.defaultdict(list)
+    for row in pq.read_table(f"{SF.replace('0.001', '0.01')}/pages.parquet").to_pylist():
+        hosts[re.match(r"https?://([^/]+)", row["url"])[1]].append(row["html"])
+    same = inside = total = 0
+    for pages in hosts.values():
+        plain = [p.replace("<article", "<div").replace("</article", "</div") for p in pages]
+        nameless = [re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", "", p) for p in plain]
+        marked, own, bare = (wrapper.induce(x) for x in (pages, plain, nameless))
+        for given, without, none in zip(pages, plain, nameless, strict=True):
+            want = wrapper.extract(given, marked)
+            same += wrapper.extract(without, own) == want
+            inside += set(want.split("\n\n")) <= set(wrapper.extract(none, bare).split("\n\n"))
+            total += 1
+    # The two others share most of their text with another page of the host.
+    assert total == 250 and same >= 248 and inside >= 245
+
+
 def test_copies_are_not_template(spark):
     page = "<html><body><article><p>Copied text.</p></article></body></html>"
     frame = spark.createDataFrame([(i, "https://a.b/c", page) for i in range(9)], "page_id long, url string, html string")

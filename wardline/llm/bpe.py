@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from collections.abc import Callable, Iterator, Sequence
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,17 +22,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from wardline.llm.frames import ready
-from wardline.llm.text import blocks, grouped, mix
+from wardline.llm.text import grouped, mix, sized
 
 U64 = np.uint64
 NONE = np.int32(2**31 - 1)
 # Longest piece, in bytes, that is merged in a matrix; cells of a matrix at once.
 LONGEST = 256
 CELLS = 1 << 20
-# Words, and their characters, of one of the two generations that a worker remembers; longest word that is.
-REMEMBERED = 450_000
-LETTERS = 8 << 20
+# Words, and their bytes, of one of the two generations that a worker remembers; longest word that is, in bytes.
+REMEMBERED = 500_000
+LETTERS = 16 << 20
 LONGEST_WORD = 256
+# Rows that go back to Spark at once.
+ROWS_OUT = 512
 # Characters that are no letters, numbers or white space.
 MARKS = ".,;:!?\"')]}*$%&#|"
 
@@ -224,25 +226,40 @@ class Ranks:
         return self.bytes[gathered(self.start[tokens], size)], size
 
 
+def _spaced(words: pa.Array) -> pa.Array:
+    """The words with a space before each."""
+    space, nothing = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    return pc.binary_join_element_wise(space, words, nothing)
+
+
 class Known:
-    """Words and their runs of token numbers, up to ``REMEMBERED`` words and ``LETTERS`` characters."""
+    """Words and their runs of token numbers, up to ``REMEMBERED`` words and ``LETTERS`` bytes, in arrays.
+
+    Entry 0 stands for all words that aren't kept: it tells that their text must be encoded as a whole.
+    """
 
     def __init__(self):
-        self.place: dict[str, int] = {}
+        self.words: list[pa.Array] = []
         self.letters = 0
+        self.count = 0
         self.used = 0
         self.flat = np.empty(1 << 12, np.int32)
         self.start, self.size = np.empty(1 << 10, np.int64), np.empty(1 << 10, np.int64)
-        # Words that tell that their text must be encoded as a whole. The first entry stands for words that aren't kept.
         self.whole = np.empty(1 << 10, bool)
-        self.add([None], Runs(self.flat[:0], np.zeros(1, np.int64), np.zeros(1, np.int64)), [True])
+        # No word has two spaces.
+        self.add(pa.array(["  "], pa.large_string()), Runs(self.flat[:0], np.zeros(1, np.int64), np.zeros(1, np.int64)), np.ones(1, bool))
 
     def full(self) -> bool:
-        return len(self.place) > REMEMBERED or self.letters > LETTERS
+        return self.count > REMEMBERED or self.letters > LETTERS
 
-    def add(self, words: Sequence[str | None], found: Runs, whole: Sequence[bool]) -> None:
-        """Arrays grow by doubling, so a word is copied a few times only."""
-        first, n = len(self.place), len(words)
+    def places(self, words: pa.Array) -> np.ndarray:
+        """The entry of each word, -1 where there is none."""
+        found = pc.index_in(words, value_set=pa.chunked_array(self.words))
+        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def add(self, words: pa.Array, found: Runs, whole: np.ndarray) -> None:
+        """Arrays grow by doubling, so an entry is copied a few times only."""
+        first, n = self.count, len(words)
         for name, used, more in (("flat", self.used, len(found.flat)), ("start", first, n), ("size", first, n), ("whole", first, n)):
             held = getattr(self, name)
             if used + more > len(held):
@@ -254,102 +271,106 @@ class Known:
         self.size[first:first + n] = found.size
         self.whole[first:first + n] = whole
         self.used += len(found.flat)
-        self.place.update(zip(words, range(first, first + n), strict=True))
-        self.letters += sum(map(len, filter(None, words)))
+        self.count += n
+        self.words.append(words)
+        self.letters += pc.sum(pc.binary_length(words)).as_py() or 0
 
     def runs(self) -> Runs:
-        n = len(self.place)
-        return Runs(self.flat[:self.used], self.start[:n], self.size[:n])
+        return Runs(self.flat[:self.used], self.start[:self.count], self.size[:self.count])
 
 
 class Units:
     """Encodes whole texts, word by word, and remembers the words.
 
     A cut of the pattern always lies before a single space behind a character that isn't white space, so a text is the run of its
-    words with the space before each. A text where a space follows other white space, one with a word of more than ``LONGEST_WORD``
-    characters, and one that holds one of the texts ``special``, is encoded as a whole.
+    words with the space before each. A text where a space follows other white space (or a sign that may count as such), one with
+    a word of more than ``LONGEST_WORD`` bytes, and one that holds one of the texts ``special``, is encoded as a whole.
 
-    Two generations of words are kept. When the younger one is full it becomes the older one, and words of that one that are met
-    again move on, so frequent words are encoded once.
+    Words are numbered and looked up by Arrow, so only new ones become Python texts. Two generations of them are kept. When the
+    younger one is full it becomes the older one, and words of that one that are met again move on, so frequent words are
+    encoded once.
     """
 
     def __init__(self, encode: Callable[[Sequence[str]], Runs], special: Sequence[str] = ()):
         self.encode, self.special = encode, tuple(special)
         self.young, self.old = Known(), Known()
 
-    def _whole(self, word: str) -> bool:
-        return not word or word[-1].isspace() or any(s in word for s in self.special)
-
-    def _take(self, words: list[str]) -> None:
-        """Put words into the young generation that aren't there: from the old one, or by encoding them."""
-        get = self.old.place.get
-        held = [(w, i) for w in words if (i := get(w)) is not None]
-        if held:
-            moved, places = [w for w, _ in held], np.fromiter((i for _, i in held), np.int64, len(held))
-            self.young.add(moved, self.old.runs().joined(places, np.ones(len(held), np.int64)), self.old.whole[places])
-            known = set(moved)
-            words = [w for w in words if w not in known]
-        if words:
+    def _special(self, words: pa.Array) -> np.ndarray:
+        found = np.zeros(len(words), bool)
+        for text in self.special:
+            found |= pc.match_substring(words, text).to_numpy(zero_copy_only=False)
+        return found
+
+    def _take(self, words: pa.Array) -> None:
+        """Put distinct words into the young generation that aren't there: from the old one, or by encoding them."""
+        places = self.old.places(words)
+        held = places >= 0
+        if held.any():
+            places = places[held]
+            self.young.add(words.filter(pa.array(held)), self.old.runs().joined(places, np.ones(len(places), np.int64)),
+                           self.old.whole[places])
+            words = words.filter(pa.array(~held))
+        if len(words):
             self._learn(words)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Encode words. Marks behind a letter are a cut's run of their own, so a word's tokens are those of the word without
         them and those of the marks."""
-        plain: list[str] = []
-        marked: list[str] = []
-        halves: list[str] = []
-        for word in new:
-            if word[-1:] in MARKS and word and (base := word.rstrip(MARKS))[-1:].isalpha():
-                marked.append(word)
-                halves += (base, " " + word[len(base):])
-            else:
-                plain.append(word)
-        mine = set(plain)
-        need = {h for h in halves if h not in self.young.place and h not in mine}
-        plain.extend(need)
-        self.young.add(plain, self.encode([w[1:] if w[:1] == " " else " " + w for w in plain]), list(map(self._whole, plain)))
-        if marked:
-            place = self.young.place
-            which = np.fromiter((place[h] for h in halves), np.int64, len(halves))
-            whole = [any(s in w for s in self.special) for w in marked]
-            self.young.add(marked, self.young.runs().joined(which, np.full(len(marked), 2)), whole)
-
-    def texts(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        base = pc.utf8_rtrim(new, characters=MARKS)
+        marked = pc.and_(pc.less(pc.binary_length(base), pc.binary_length(new)), pc.match_substring_regex(base, r"\pL$"))
+        plain = new.filter(pc.invert(marked))
+        new, base = new.filter(marked), base.filter(marked)
+        if len(new):
+            marks = _spaced(pc.extract_regex(new, f"(?P<m>[{re.escape(MARKS)}]+)$").field("m").cast(pa.large_string()))
+            halves = pa.concat_arrays([base, marks]).unique()
+            there = self.young.places(halves) >= 0
+            there |= pc.is_in(halves, value_set=plain).to_numpy(zero_copy_only=False)
+            plain = pa.concat_arrays([plain, halves.filter(pa.array(~there))])
+        first = pc.starts_with(plain, " ")
+        texts = pc.if_else(first, pc.utf8_slice_codeunits(plain, 1), _spaced(plain))
+        whole = pc.match_substring_regex(plain, r"[\pZ\pC]$|^$").to_numpy(zero_copy_only=False) | self._special(plain)
+        self.young.add(plain, self.encode(texts.to_pylist()), whole)
+        if len(new):
+            which = np.empty(2 * len(new), np.int64)
+            which[::2], which[1::2] = self.young.places(base), self.young.places(marks)
+            self.young.add(new, self.young.runs().joined(which, np.full(len(new), 2)), self._special(new))
+
+    def texts(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token numbers of all texts one after the other, how many each has)."""
         if self.young.full():
             self.young, self.old = Known(), self.young
         if not len(texts):
             return np.empty(0, np.int32), np.empty(0, np.int64)
-        # Arrow splits the texts and numbers the distinct words; Python looks up each of those once.
-        lists = pc.split_pattern(pa.array([t or "" for t in texts], pa.large_string()), " ")
-        count = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        given = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        given = pc.fill_null(given, "")
+        lists = pc.split_pattern(given, " ")
+        count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(count) - count
         flat = lists.flatten()
-        begins = flat.take(pa.array(first)).to_pylist()
         inner = np.ones(len(flat), bool)
         inner[first] = False
         coded = flat.filter(pa.array(inner)).dictionary_encode()
         # The first word has no space before it; it is kept under a key that no other word can have.
-        words = coded.dictionary.to_pylist()
-        words += [" " + w for w in begins]
-        place = np.fromiter(map(self.young.place.get, words, repeat(-1)), np.int64, len(words))
+        begins = _spaced(flat.take(pa.array(first)))
+        words = pa.concat_arrays([coded.dictionary, begins])
+        place = self.young.places(words)
         missing = np.flatnonzero(place < 0)
         if len(missing):
-            missed = [words[i] for i in missing]
-            self._take([w for w in dict.fromkeys(missed) if len(w) <= LONGEST_WORD])
-            place[missing] = np.fromiter(map(self.young.place.get, missed, repeat(0)), np.int64, len(missed))
+            missed = words.take(pa.array(missing))
+            self._take(missed.filter(pc.less_equal(pc.binary_length(missed), LONGEST_WORD)).unique())
+            place[missing] = np.maximum(self.young.places(missed), 0)
         number = np.empty(len(flat), np.int64)
         number[inner] = place[coded.indices.to_numpy()]
-        number[first] = place[len(words) - len(texts):]
+        number[first] = place[len(words) - len(given):]
         runs = self.young.runs()
         whole = np.flatnonzero(np.logical_or.reduceat(self.young.whole[number], first))
         found = runs.joined(number, count)
         if len(whole):
-            other = self.encode([texts[i] or "" for i in whole])
+            other = self.encode(given.take(pa.array(whole)).to_pylist())
             both = found.extended(other)
-            order = np.arange(len(texts))
-            order[whole] = len(texts) + np.arange(len(whole))
-            found = both.joined(order, np.ones(len(texts), np.int64))
+            order = np.arange(len(given))
+            order[whole] = len(given) + np.arange(len(whole))
+            found = both.joined(order, np.ones(len(given), np.int64))
         return found.flat, found.size
 
 
@@ -376,14 +397,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text_column: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = ranks(path, pattern)
         units = _units.setdefault((path, pattern), Units(held.encode_units))
-        for batch in batches:
-            texts = pc.cast(batch.column(at), pa.string()).to_pylist()
-            for low, high in blocks(texts):
-                flat, count = units.texts(texts[low:high])
-                ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*own, name])
+        for batch in sized(batches, at):
+            flat, count = units.texts(pc.cast(batch.column(at), pa.large_string()))
+            ends = np.concatenate(([0], np.cumsum(count))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            for low in range(0, batch.num_rows, ROWS_OUT):
+                part = batch.slice(low, ROWS_OUT)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids.slice(low, ROWS_OUT)], [*own, name])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, ArrayType(IntegerType()))]))
 

@@ -29,8 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from wardline.llm.frames import ready
 from wardline.llm.text import Words, blocks, mix
@@ -38,8 +41,10 @@ from wardline.llm.text import Words, blocks, mix
 U64 = np.uint64
 # Share of an item's words that may be edited.
 EDITS = 0.2
-# Items with fewer words allow no edits and are matched exactly, down to the shortest.
-LEAST_WORDS, SHORTEST = 5, 2
+# Items with fewer words allow no edits and are matched exactly.
+LEAST_WORDS = 5
+# Shortest items, in words, for which ``decontaminate`` takes a document out: one word identifies no passage.
+SHORTEST = 2
 # Steps that a table hashes; walks that tables take their steps from.
 SAMPLED = 3
 RECALL = 0.99
@@ -214,14 +219,14 @@ def _value(embedded: np.ndarray, seed: int) -> np.ndarray:
     return value
 
 
-def index(ids: list[int | None], texts: list[str | None], recall: float = RECALL) -> Index:
+def index(ids: list, texts: list[str | None], recall: float = RECALL, shortest: int = 1) -> Index:
     words = item_words(texts)
-    good = [i for i, w in enumerate(words) if len(w) >= SHORTEST]
+    good = [i for i, w in enumerate(words) if len(w) >= shortest]
     ids, words = [ids[i] for i in good], [words[i] for i in good]
     long = [w for w in words if len(w) >= LEAST_WORDS]
     known = np.unique(np.concatenate([pairs_of(w) for w in long])) if long else np.empty(0, U64)
     short = []
-    for n in range(SHORTEST, LEAST_WORDS):
+    for n in range(max(1, shortest), LEAST_WORDS):
         members = np.array([i for i, w in enumerate(words) if len(w) == n], np.int64)
         if len(members):
             value = _value(np.array([words[i] for i in members]), 0)
@@ -252,10 +257,10 @@ def search(texts: list[str | None], held: Index) -> list[tuple[int, int, int, in
     """(text number, item number, first word, edit distance) of the best match of each text and item."""
     words = Words([plain(t) for t in texts], letters=_GAP)
     h = words.hash
-    if len(h) < 2:
+    if not len(h):
         return []
     best = _exact(words, held)
-    if len(held.known_pairs):
+    if len(held.known_pairs) and len(h) > 1:
         _near(words, held, best)
     return [(doc, item, int(s - words.offset[doc]), d) for (doc, item), (d, s) in sorted(best.items())]
 
@@ -338,25 +343,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, items
             text_column: str = "text", item_column: str = "item_id") -> DataFrame:
     """doc_id, item_id, n_item_words, distance, first_word: one row for each row of ``docs`` and item with a match, the best one.
 
-    ``first_word`` counts from 0. NULL and empty texts and items match nothing, nor do items of one word; those of two to four words match exactly. NULL ids
+    ``first_word`` counts from 0. NULL and empty texts and items match nothing, items of one to four words match exactly. NULL ids
     are carried like others; rows with one id each have their matches. Empty tables give an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
     ready(spark)
     given = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
-    asked = benchmark.select(F.col(item_column).cast("long").alias("item"), F.col(text_column).cast("string").alias("text"))
+    asked = benchmark.select(F.col(item_column).alias("item"), F.col(text_column).cast("string").alias("text"))
+    item_kind = asked.schema["item"].dataType
     blocks_of = max(1, -(-asked.count() // items))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks_of)))
     found: DataFrame | None = None
     for block in range(blocks_of):
         rows = asked.filter(F.col("block") == block).orderBy("item", "text").collect()
-        part = _searched(given, index([r["item"] for r in rows], [r["text"] for r in rows], recall), kind)
+        part = _searched(given, index([r["item"] for r in rows], [r["text"] for r in rows], recall), kind, item_kind)
         found = part if found is None else found.unionByName(part)
     return found.select(F.col("id").alias(id_column), F.col("item").alias(item_column), "n_item_words", "distance", "first_word")
 
 
-def _searched(given: DataFrame, held: Index, kind: str) -> DataFrame:
+def _searched(given: DataFrame, held: Index, kind: str, item_kind: DataType) -> DataFrame:
+    item_type = to_arrow_type(item_kind)
     sent = given.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,35 +376,35 @@ def _searched(given: DataFrame, held: Index, kind: str) -> DataFrame:
                     doc, item, first, distance = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [batch.column("id").take(pa.array([low + d for d in doc])),
-                         pa.array([known.ids[i] for i in item], pa.int64()),
+                         pa.array([known.ids[i] for i in item], item_type),
                          pa.array([len(known.words[i]) for i in item], pa.int64()),
                          pa.array(distance, pa.int64()), pa.array(first, pa.int64())],
                         ["id", "item", "n_item_words", "distance", "first_word"])
 
-    return given.mapInArrow(run, f"id {kind}, item long, n_item_words long, distance long, first_word long")
+    return given.mapInArrow(run, f"id {kind}, item {item_kind.simpleString()}, n_item_words long, distance long, first_word long")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, id_column: str = "doc_id",
-                  text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a match, all columns.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, recall: float = RECALL, text_column: str = "text",
+                  item_text: str = "text", shortest: int = SHORTEST) -> DataFrame:
+    """The rows of ``docs`` without a match, all columns. Items of fewer than ``shortest`` words take no document out.
 
     The decision is taken row by row, in the pass that reads the row, so nothing is joined and rows without an id are judged too.
     Here the benchmark is one block: a larger one than ``ITEMS`` is applied block after block.
     """
     ready(docs.sparkSession)
-    asked = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text"))
+    asked = benchmark.select(F.col(item_text).cast("string").alias("text")).distinct()
     blocks_of = max(1, -(-asked.count() // ITEMS))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks_of)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks_of)))
     own = docs.columns
     at = own.index(text_column)
     for block in range(blocks_of):
-        rows = asked.filter(F.col("block") == block).orderBy("item", "text").collect()
+        rows = asked.filter(F.col("block") == block).orderBy("text").collect()
         sent = docs.sparkSession.sparkContext.broadcast(
-            index([r["item"] for r in rows], [r["text"] for r in rows], recall))
+            index([None] * len(rows), [r["text"] for r in rows], recall, shortest))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = batch.column(at).to_pylist()
+                texts = pc.cast(batch.column(at), pa.string()).to_pylist()
                 clean = np.ones(len(texts), bool)
                 for low, high in blocks(texts):
                     clean[[low + found[0] for found in search(texts[low:high], sent.value)]] = False

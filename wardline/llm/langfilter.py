@@ -23,9 +23,11 @@ CELLS = 1 << 18
 HASHES = 3
 SIZES = (2, 3, 4)
 # Texts of one language that the fit looks at, at most (those with the smallest hashes of their ids), and the n-grams kept for
-# each language, at most (the most frequent ones).
+# each language, at most (the most frequent ones): the size of the model, a parameter of ``fit``.
 SAMPLE = 3000
 GRAMS = 15_000
+# Parts in which the rows of a language are ranked first.
+SPREAD = 32
 # A language has an n-gram if its share there is at least this part of the largest share that any language has.
 FAIR = 0.2
 PARTS = 4
@@ -80,6 +82,16 @@ def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
+def _first(rows: DataFrame, order: list[Column], spread: Column, most: int) -> DataFrame:
+    """The first ``most`` rows of each language. They are ranked in parts first, so that a language is not one task's, and what is
+    left of all parts is bounded."""
+    for keys in (("lang", "__part"), ("lang",)):
+        ranked = rows if "__part" in rows.columns else rows.withColumn("__part", F.pmod(spread, F.lit(SPREAD)))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        rows = ranked.withColumn("__rank", rank).filter(F.col("__rank") <= most).drop("__rank")
+    return rows.drop("__part")
+
+
 def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, most: int = GRAMS, id_column: str = "doc_id",
         text_column: str = "text", lang_column: str = "lang") -> Filters:
     """Filters from at most ``sample`` texts of each language of the ``usable`` rows (a condition on the id)."""
@@ -87,8 +99,7 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, most: int = GRAMS
     ready(spark)
     rows = docs.filter(usable & F.col(lang_column).isNotNull()).select(
         F.col(id_column).alias("id"), F.col(lang_column).alias("lang"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.withColumn("r", rank).filter(F.col("r") <= sample).select("id", "lang").distinct()
+    chosen = _first(rows, [F.xxhash64("id"), F.col("id")], F.xxhash64("id", F.lit(7)), sample).select("id", "lang").distinct()
     texts = (
         docs.select(F.col(id_column).alias("id"), F.col(lang_column).alias("lang"),
                     F.col(text_column).cast("string").alias("text"))
@@ -105,14 +116,13 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, most: int = GRAMS
             times.append(c)
         gram, at = np.unique(np.concatenate(value), return_inverse=True)
         n = np.bincount(at, np.concatenate(times), minlength=len(gram)).astype(np.int64)
-        kept = n > 1
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "gram": gram[kept].view(np.int64), "n": n[kept]})
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "gram": gram.view(np.int64), "n": n})
 
     counted = texts.groupBy("lang", "part").applyInPandas(count, "lang string, gram long, n long")
-    sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    # An n-gram seen once, in all parts together, tells nothing.
+    sums = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1")
     # Not more than ``most`` n-grams of each language, and one total.
-    held = sums.withColumn("r", place).filter(F.col("r") <= most).select("lang", "gram", "n").toPandas()
+    held = _first(sums, [F.desc("n"), F.col("gram")], F.col("gram"), most).select("lang", "gram", "n").toPandas()
     totals = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     names = tuple(sorted(totals))
     every, at = np.unique(held["gram"].to_numpy(np.int64), return_inverse=True)

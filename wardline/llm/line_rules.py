@@ -25,7 +25,7 @@ class Rules:
     least_marks: int = 3
     # Navigation: a line of this many words at most that doesn't end like a sentence, or one cut up by separators.
     stub_words: int = 3
-    sentence_end: str = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*$"
+    sentence_end: str = r"[.!?:;…\"'”’»)\]][\x20\x09-\x0D]*\z"
     separators: str = "|»›•·"
     separators_per_word: float = 0.25
     least_separators: int = 2
@@ -151,15 +151,20 @@ def oracle_sql(rules: Rules | None = None) -> str:
     def marks(of: str, which: str) -> str:
         return f"(length({of}) - length(translate({of}, {text(which)}, '')))"
 
-    count = f"({marks("trim(l, ' ')", ' ')} + 1)"
-    phrase = "(?i)(" + "|".join(rules.phrases) + ")"
+    # Words by all ASCII white space. Signs are doubled, so that two phrases side by side each have one at both ends.
+    count = f"len(regexp_extract_all(l, '{word}+'))"
+    doubled = r"regexp_replace(l, '([^\p{L}\p{N}_])', '\1\1', 'g')"
+    phrase = text(r"(?i)(?:^|[^\p{L}\p{N}_])((?:" + "|".join(p.replace(" ", "  ") for p in rules.phrases)
+                  + r")s?)(?:$|[^\p{L}\p{N}_])")
+    of_phrases = (f"coalesce(list_sum(list_transform(regexp_extract_all({doubled}, {phrase}, 1), "
+                  f"lambda p: {marks('p', ' ')} / 2 + 1)), 0)")
     end = rules.sentence_end
     fails = (
         f"(({marks('l', rules.marks)} >= {rules.least_marks} AND {marks('l', rules.marks)} > {rules.marks_per_word} * {count})"
         f" OR ({marks('l', rules.separators)} >= {rules.least_separators}"
         f" AND {marks('l', rules.separators)} > {rules.separators_per_word} * {count})"
         f" OR ({count} <= {rules.stub_words} AND NOT regexp_matches(l, {text(end)}))"
-        f" OR ({count} <= {rules.phrase_words} AND regexp_matches(l, {text(phrase)})))"
+        f" OR ({count} <= {rules.phrase_words} AND {of_phrases} > 0 AND 2 * {of_phrases} > {count}))"
     )
     return f"""
 WITH base AS (

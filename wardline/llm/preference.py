@@ -71,17 +71,44 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
+def with_other_ending(turns: DataFrame) -> DataFrame:
+    """Pairs whose sides begin alike, from a table of conversations (conv_id, turn, role, text): the pair of a conversation has
+    itself as chosen, and as rejected the same turns with the last of the assistant's replaced by the one of conversation
+    conv_id + 1. If that has none, the rejected side ends without it. Conversations without a turn of the assistant give no pair.
+
+    The last turn is the one with the greatest number, then the greatest text (NULLs least); rows equal to it are replaced with it.
+    """
+    rows = turns.filter("conv_id IS NOT NULL").select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
+    last = rows.filter(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("other"), F.lit(True).alias("found"))
+    placed = rows.join(last, "conv_id").join(other, "conv_id", "left")
+    ends = F.col("role").eqNullSafe(TRAINED_ROLE) & F.struct("turn", "text").eqNullSafe(F.col("last"))
+    chosen = placed.select(F.col("conv_id").alias("pair_id"), F.lit(True).alias("chosen"), "turn", "role", "text")
+    rejected = placed.filter(~ends | F.coalesce("found", F.lit(False))).select(
+        F.col("conv_id").alias("pair_id"), F.lit(False).alias("chosen"), "turn", "role",
+        F.when(ends, F.col("other")).otherwise(F.col("text")).alias("text"))
+    return chosen.unionByName(rejected)
+
+
 def mask_text(mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda r: F.concat(
         r["chars"].cast("string"), F.when(r["train"], "+").otherwise("-"))), " ")
 
 
 ORACLE = """
-WITH sides AS (
-  SELECT conv_id // 2 AS pair_id,
-    coalesce(list_sort(list({'turn': turn, 'role': role, 'text': text}) FILTER (conv_id % 2 = 0)), []) AS a,
-    coalesce(list_sort(list({'turn': turn, 'role': role, 'text': text}) FILTER (conv_id % 2 = 1)), []) AS b
-  FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1
+WITH last AS (
+  SELECT conv_id, turn, text FROM conversations WHERE conv_id IS NOT NULL AND role = 'assistant'
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1
+), placed AS (
+  SELECT c.conv_id, c.turn, c.role, c.text, o.conv_id IS NOT NULL AS found, o.text AS other,
+    c.role IS NOT DISTINCT FROM 'assistant' AND c.turn IS NOT DISTINCT FROM l.turn AND c.text IS NOT DISTINCT FROM l.text AS ends
+  FROM conversations c JOIN last l USING (conv_id) LEFT JOIN last o ON o.conv_id = c.conv_id + 1
+), sides AS (
+  SELECT conv_id AS pair_id,
+    coalesce(list({'turn': turn, 'role': role, 'text': text} ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), []) AS a,
+    coalesce(list({'turn': turn, 'role': role, 'text': new} ORDER BY turn NULLS FIRST, role NULLS FIRST, new NULLS FIRST)
+      FILTER (NOT ends OR found), []) AS b
+  FROM (SELECT *, CASE WHEN ends THEN other ELSE text END AS new FROM placed) GROUP BY 1
 ), met AS (
   SELECT *, coalesce(list_min(list_filter(range(1, least(len(a), len(b)) + 1), lambda i:
     a[i].role IS DISTINCT FROM b[i].role OR a[i].text IS DISTINCT FROM b[i].text)) - 1, least(len(a), len(b))) AS k

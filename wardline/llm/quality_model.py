@@ -109,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
         id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model:
     """Fit on at most ``sample`` rows of ``labels`` that are ``usable`` (a condition on the id) and have a label.
 
-    Several labels of one id: the lowest counts. Without any labelled row all weights are 0 and every score is 0.5.
+    Several labels of one id: the lowest counts; several texts: the least one. Without any labelled row all weights are 0 and every score is 0.5.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE
     learners = max(1, -(-chosen.count() // learner))
     rows = (
         docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
-        .join(F.broadcast(chosen), "id").dropDuplicates(["id"])
+        .join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
         .withColumn("learner", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(learners)))
     )
 

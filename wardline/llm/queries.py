@@ -73,10 +73,8 @@ def op4_line_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_preference_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 are the chosen and the rejected side of pair k."""
-    turns = _table(spark, folder, "conversations").select(
-        F.shiftright("conv_id", 1).alias("pair_id"), (F.col("conv_id").bitwiseAND(1) == 0).alias("chosen"),
-        "turn", "role", "text")
+    """The table names no pairs: each conversation is paired with itself under another ending."""
+    turns = preference.with_other_ending(_table(spark, folder, "conversations").select("conv_id", "turn", "role", "text"))
     return (
         preference.format_preferences(turns)
         .withColumn("chosen_mask", preference.mask_text(F.col("chosen_mask")))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from wardline.llm.frames import written
 from wardline.session import work_path
 
 SLOTS = 4096
+# Equal rows that are numbered at once.
+RUN = 4096
 MAP_SCHEMA = "vslot int, shard int, bytes long, rows long"
 
 
@@ -34,15 +37,26 @@ class SlotMap:
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, size (UTF-8 bytes and 1), text_crc32, vslot of each row. The slot comes from the id and the text, so that rows
-    without an id spread too."""
+    """id, size (UTF-8 bytes and 1), text_crc32, vslot of each row.
+
+    The slot comes from the id and the text, so that copies under other ids, and rows without an id, spread too. Rows that agree in
+    all three are counted and numbered from 0, and all but the first take their slot from the number as well: they spread like
+    others, whatever order they come in.
+    """
     text = F.col(text_column).cast("string")
     slim = docs.select(
         F.col(id_column).alias("id"),
         (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    return slim.withColumn("vslot", F.pmod(F.xxhash64("id", "size", "text_crc32"), F.lit(slots)).cast("int"))
+    own = ["id", "size", "text_crc32"]
+    blocks = F.sequence(F.lit(0).cast("long"), F.expr(f"(__n - 1) div {RUN}"))
+    last = F.least(F.lit(RUN), F.col("__n") - F.col("__block") * RUN) - 1
+    counted = slim.groupBy(*own).agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", F.explode(blocks))
+    numbered = counted.withColumn("__place", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    copy = F.col("__block") * RUN + F.col("__place")
+    place = F.when(copy == 0, F.xxhash64(*own)).otherwise(F.xxhash64(*own, copy))
+    return numbered.select(*own, F.pmod(place, F.lit(slots)).cast("int").alias("vslot"))
 
 
 def slot_loads(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -137,7 +151,7 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_column: str =
     """One row for each row given: id, size, text_crc32, vslot, shard, slot, map_version. Shards have nearly equal bytes.
 
     With ``map_path``, the latest map stored there is edited for the present loads and stored as the next version; without one,
-    or with an empty folder, a first map is made. A NULL text has size 1; NULL ids and repeated rows are rows like any other;
+    or with a missing or empty folder, a first map is made. Equal texts are not kept together: each copy has its own slot. A NULL text has size 1; NULL ids and repeated rows are rows like any other;
     an empty table gives an empty one. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -147,8 +161,8 @@ def shard(docs: DataFrame, shards: int = 8, slots: int = SLOTS, id_column: str =
     path = map_path or work_path(spark, "slot-map")
     try:
         old = stored_map(spark, path)
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         old = None
     new = rebalanced(old, bytes_of, shards) if old else first_map(bytes_of, shards, slots)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -127,6 +129,33 @@ def blocks(texts: Sequence[str | None], limit: int = 1 << 21) -> Iterator[tuple[
         yield low, len(texts)
 
 
+def sized(batches: Iterator[pa.RecordBatch], at: int, limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of about ``limit`` bytes of the texts in column ``at``, one text at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        return whole
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(pc.cast(batch.column(at), pa.string())), 0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(lengths.astype(np.int64) + 32)
+        low = 0
+        while low < len(ends):
+            before = int(ends[low - 1]) if low else 0
+            high = min(len(ends), int(np.searchsorted(ends, before + limit - size)) + 1)
+            held.append(batch.slice(low, high - low))
+            size += int(ends[high - 1]) - before
+            low = high
+            if size >= limit:
+                yield joined()
+                size = 0
+    if held:
+        yield joined()
+
+
 def jaccard_counts(left: str | None, right: str | None, width: int) -> tuple[int, int]:
     """(intersection, union) of the full shingle sets of two texts, by the words themselves."""
     a, b = word_set(left, width), word_set(right, width)

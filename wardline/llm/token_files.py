@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from wardline.llm.bpe import Runs, Units, gathered
 from wardline.llm.frames import ready, written
-from wardline.llm.text import blocks, grouped
+from wardline.llm.text import grouped, sized
 from wardline.session import work_path
 
 MAGIC = b"RVB1"
@@ -197,17 +197,15 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
             doc_ids.clear()
             held.clear()
 
-        for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for low, high in blocks(texts):
-                flat, count = units.texts(texts[low:high])
-                size = count + 1
-                ids = np.full(int(size.sum()), end_id, np.int32)
-                ids[gathered(np.cumsum(size) - size, count)] = flat
-                doc_ids.extend(names[low:high])
-                held.append((size, ids))
-                if sum(len(x) for _, x in held) >= FILE_IDS:
-                    close()
+        for batch in sized(batches, 1):
+            flat, count = units.texts(pc.cast(batch.column(1), pa.large_string()))
+            size = count + 1
+            ids = np.full(int(size.sum()), end_id, np.int32)
+            ids[gathered(np.cumsum(size) - size, count)] = flat
+            doc_ids.extend(batch.column(0).to_pylist())
+            held.append((size, ids))
+            if sum(len(x) for _, x in held) >= FILE_IDS:
+                close()
         close()
         yield pa.RecordBatch.from_arrays(
             [pa.array([f[i] for f in files], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
