@@ -127,6 +127,16 @@ def test_rare_layout_of_a_hot_host(spark):
     assert [r.text for r in found] == [f"Often {n}." for n in range(396)] + [f"Rare {n}." for n in range(4)]
 
 
+def test_a_large_host_is_merged_in_rounds(spark, monkeypatch):
+    pages = [PAGE.format(n=f"number {i}") for i in range(120)]
+    frame = frame_of(spark, pages).unionAll(frame_of(spark, pages[:9], "http://small.org/")).repartition(5)
+    want = rows(wrapper.main_text(frame), "page_id", "text")
+    for parts, size in ((2, 3), (4, 1)):  # 20 and 30 times the first parts, merged in rounds of two and four
+        monkeypatch.setattr(wrapper, "PARTS", parts)
+        monkeypatch.setattr(wrapper, "PAGES", size)
+        assert rows(wrapper.main_text(frame), "page_id", "text") == want
+
+
 def test_parts_of_a_wrapper_add_up():
     pages = [PAGE.format(n=f"number {i}") for i in range(40)]
     parts = [wrapper.Slot("html"), wrapper.Slot("html")]

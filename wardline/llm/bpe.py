@@ -30,10 +30,11 @@ NONE = np.int32(2**31 - 1)
 LONGEST = 256
 CELLS = 1 << 20
 # Words, and their bytes, of one of the two generations that a worker remembers; longest word that is, in bytes.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 LETTERS = 16 << 20
 LONGEST_WORD = 256
-# Rows that go back to Spark at once.
+# Runs that are gathered at once. Rows that go back to Spark at once.
+RUNS_AT_ONCE = 1 << 18
 ROWS_OUT = 512
 # Characters that are no letters, numbers or white space.
 MARKS = ".,;:!?\"')]}*$%&#|"
@@ -65,7 +66,12 @@ class Runs:
         size = self.size[which]
         ends = np.concatenate(([0], np.cumsum(size)))
         bounds = np.concatenate(([0], np.cumsum(count)))
-        return Runs(self.flat[gathered(self.start[which], size)], ends[bounds[:-1]], np.diff(ends[bounds]))
+        out = np.empty(int(ends[-1]), np.int32)
+        # Places are made for some runs at a time.
+        for low in range(0, len(which), RUNS_AT_ONCE):
+            high = min(low + RUNS_AT_ONCE, len(which))
+            out[ends[low]:ends[high]] = self.flat[gathered(self.start[which[low:high]], size[low:high])]
+        return Runs(out, ends[bounds[:-1]], np.diff(ends[bounds]))
 
 
 class Ranks:
@@ -252,10 +258,13 @@ class Known:
     def full(self) -> bool:
         return self.count > REMEMBERED or self.letters > LETTERS
 
-    def places(self, words: pa.Array) -> np.ndarray:
-        """The entry of each word, -1 where there is none."""
-        found = pc.index_in(words, value_set=pa.chunked_array(self.words))
-        return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    def places(self, words: pa.Array, since: int = 0) -> np.ndarray:
+        """The entry of each word, -1 where there is none among the arrays of words from number ``since`` on."""
+        known = self.words[since:] or [words[:0]]
+        found = pc.fill_null(pc.index_in(words, value_set=pa.chunked_array(known)), -1)
+        places = found.to_numpy(zero_copy_only=False).astype(np.int64)
+        places[places >= 0] += sum(map(len, self.words[:since]))
+        return places
 
     def add(self, words: pa.Array, found: Runs, whole: np.ndarray) -> None:
         """Arrays grow by doubling, so an entry is copied a few times only."""
@@ -357,8 +366,9 @@ class Units:
         missing = np.flatnonzero(place < 0)
         if len(missing):
             missed = words.take(pa.array(missing))
+            before = len(self.young.words)
             self._take(missed.filter(pc.less_equal(pc.binary_length(missed), LONGEST_WORD)).unique())
-            place[missing] = np.maximum(self.young.places(missed), 0)
+            place[missing] = np.maximum(self.young.places(missed, before), 0)
         number = np.empty(len(flat), np.int64)
         number[inner] = place[coded.indices.to_numpy()]
         number[first] = place[len(words) - len(given):]

@@ -39,6 +39,8 @@ HEAD = np.dtype([("docs", "<u4"), ("ranks", "<u4"), ("ids", "<u8"), ("data", "<u
 FILE_IDS = 1 << 21
 # Words that the library encodes as one text.
 TOGETHER = 1000
+# Short texts that the library gets at once.
+AT_ONCE = 4096
 # Bytes of text in a part of the sorted pass, about.
 PART_BYTES = 16 << 20
 # The four lengths that a control byte stands for.
@@ -130,9 +132,15 @@ def _tokenizer(path: str) -> Units:
         spaced[[number for token, number in library.get_vocab().items() if token[0] == "\u0120"]] = True
 
         def ids_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            return np.fromiter(chain.from_iterable(found), np.int32, int(size.sum())), size
+            parts, size = [np.empty(0, np.int32)], np.empty(len(texts), np.int64)
+            low = 0
+            # What the library returns is many times as large as the numbers, so only some texts are encoded at a time.
+            for part in grouped(texts, AT_ONCE if texts and len(texts[0]) < AT_ONCE else 32):
+                found = [e.ids for e in library.encode_batch_fast(part, add_special_tokens=False)]
+                size[low:low + len(part)] = np.fromiter(map(len, found), np.int64, len(found))
+                parts.append(np.fromiter(chain.from_iterable(found), np.int32, int(size[low:low + len(part)].sum())))
+                low += len(part)
+            return np.concatenate(parts), size
 
         def encode(texts: list[str]) -> Runs:
             """Words with a space before them are encoded together: the tokens that begin with a space tell them apart."""
@@ -197,7 +205,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
             doc_ids.clear()
             held.clear()
 
-        for batch in sized(batches, 1):
+        for batch in sized(batches, 1, PART_BYTES):
             flat, count = units.texts(pc.cast(batch.column(1), pa.large_string()))
             size = count + 1
             ids = np.full(int(size.sum()), end_id, np.int32)

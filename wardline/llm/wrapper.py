@@ -33,6 +33,8 @@ from wardline.llm.frames import ready, written
 
 # Parts that the pages of one host are merged in, side by side, at most.
 PARTS = 64
+# Pages of a part of a large host, about.
+PAGES = 256
 # Share of (different) pages with one text that makes a node template, and the pages it takes to tell.
 CONSTANT, LEAST_PAGES = 0.6, 3
 # Texts that a slot keeps counts of: this many, and a multiple of its elements on a page. A text's count is then short by at most
@@ -644,13 +646,29 @@ def merged(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.Record
 
 
 def wrappers_of(some: DataFrame) -> DataFrame:
-    """__host, __wrapper of pages with ``host`` and ``html``."""
+    """__host, __wrapper of pages with ``host`` and ``html``.
+
+    The trees of a host are merged in parts, and the parts in rounds of ``PARTS`` at a time. A host has ``PARTS`` parts at first, or as many
+    as make each ``PAGES`` pages.
+    """
+    large = written(
+        some.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / F.lit(PARTS * PAGES)).alias("times")).filter("times > 1"), "large-hosts")
+    most = large.agg(F.max("times")).first()[0] or 1
     found = some.mapInArrow(sketches, "host string, key long, part binary")
-    salted = found.withColumn("salt", F.pmod("key", F.lit(PARTS)).cast("long"))
-    parts = (
-        salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "key", "part")
-        .mapInArrow(lambda b: merged(b, False), "host string, key long, part binary")
-    )
+    if most > 1:
+        found = found.join(large, "host", "left").withColumn("parts", F.coalesce("times", F.lit(1)) * PARTS)
+        salted = found.withColumn("salt", F.pmod("key", "parts")).select("host", "key", "part", "salt")
+    else:
+        salted = found.withColumn("salt", F.pmod("key", F.lit(PARTS)).cast("long"))
+
+    def round_of(rows: DataFrame) -> DataFrame:
+        return rows.repartition("host", "salt").sortWithinPartitions("host", "salt", "key", "part").mapInArrow(
+            lambda b: merged(b, False), "host string, key long, part binary")
+
+    parts, left = round_of(salted), most * PARTS
+    while left > PARTS:
+        parts = round_of(parts.withColumn("salt", F.expr(f"key div {PARTS}")))
+        left = -(-left // PARTS)
     return (
         parts.withColumn("salt", F.lit(0).cast("long")).repartition("host").sortWithinPartitions("host", "key")
         .mapInArrow(lambda b: merged(b, True), "__host string, __wrapper string")
