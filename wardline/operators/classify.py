@@ -57,6 +57,10 @@ def rule_table(spark, rules: Sequence[Rule] = ref.QUEUE_RULES) -> DataFrame:
     )
 
 
+# Characters of the runs under which keywords are listed.
+RUN = 4
+
+
 def _grams(text: str, size: int) -> Column:
     """All runs of ``size`` characters of a text column."""
     count = F.length(text) - (size - 1)
@@ -68,7 +72,7 @@ def _grams(text: str, size: int) -> Column:
 def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     """As ``classify`` for a rule table of any length: the first rule (by rule_order) with a keyword in the name counts.
 
-    Keywords are found through an index of runs of three characters. Each keyword is listed once, under the run of its own that the
+    Keywords are found through an index of runs of four characters. Each keyword is listed once, under the run of its own that the
     fewest names have (shorter keywords under themselves), so a run that most names have is no meeting place unless it
     is all there is. Names meet keywords by an equi-join on runs, and ``contains`` verifies. Only distinct names are looked at, and
     get their rule back by a join. Of rules of one order the smallest in its values counts; an empty keyword is in every
@@ -79,13 +83,14 @@ def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
         rules.select(F.struct("rule_order", *RULE_FIELDS).alias("rule"), F.explode("keywords").alias("word"))
         .filter(F.col("word").isNotNull()).groupBy("word").agg(F.min("rule").alias("rule"))
     )
-    short = words.agg(F.max(F.length("word").between(1, 2)).alias("any")).scalar()
-    runs = F.when(F.coalesce(short, F.lit(False)), F.concat(*(_grams("c_key", n) for n in (1, 2, 3)))).otherwise(
-        _grams("c_key", 3))
+    # Names are cut into runs of the sizes that keywords need.
+    sizes = words.agg(F.collect_set(F.least(F.length("word"), F.lit(RUN))).alias("sizes")).scalar()
+    none = F.array().cast("array<string>")
+    runs = F.concat(*(F.when(F.array_contains(sizes, n), _grams("c_key", n)).otherwise(none) for n in range(1, RUN + 1)))
     names = keyed.select("c_key").filter(F.col("c_key").isNotNull()).distinct()
     probes = names.select("c_key", F.explode(F.array_distinct(runs)).alias("gram"))
     held = probes.groupBy("gram").agg(F.count(F.lit(1)).alias("n_names"))
-    own = F.when(F.length("word") < 3, F.array("word")).otherwise(F.array_distinct(_grams("word", 3)))
+    own = F.when(F.length("word") < RUN, F.array("word")).otherwise(F.array_distinct(_grams("word", RUN)))
     # A keyword of which a run is in no name at all needs no listing; the count of its runs tells.
     listed = (
         words.filter(F.length("word") > 0).select("word", "rule", F.size(own).alias("n_runs"), F.explode(own).alias("gram"))
