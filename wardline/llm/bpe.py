@@ -329,19 +329,24 @@ class Units:
         marked = pc.and_(pc.less(pc.binary_length(base), pc.binary_length(new)), pc.match_substring_regex(base, r"\pL$"))
         plain = new.filter(pc.invert(marked))
         new, base = new.filter(marked), base.filter(marked)
+        halves, known = new[:0], np.empty(0, np.int64)
         if len(new):
             marks = _spaced(pc.extract_regex(new, f"(?P<m>[{re.escape(MARKS)}]+)$").field("m").cast(pa.large_string()))
             halves = pa.concat_arrays([base, marks]).unique()
-            there = self.young.places(halves) >= 0
-            there |= pc.is_in(halves, value_set=plain).to_numpy(zero_copy_only=False)
-            plain = pa.concat_arrays([plain, halves.filter(pa.array(~there))])
+            known = self.young.places(halves)
+            among = pc.fill_null(pc.index_in(halves, value_set=plain), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = np.where(among >= 0, self.young.count + among, known)
+            missing = known < 0
+            known[missing] = self.young.count + len(plain) + np.arange(int(missing.sum()))
+            plain = pa.concat_arrays([plain, halves.filter(pa.array(missing))])
         first = pc.starts_with(plain, " ")
         texts = pc.if_else(first, pc.utf8_slice_codeunits(plain, 1), _spaced(plain))
         whole = pc.match_substring_regex(plain, r"[\pZ\pC]$|^$").to_numpy(zero_copy_only=False) | self._special(plain)
         self.young.add(plain, self.encode(texts.to_pylist()), whole)
         if len(new):
             which = np.empty(2 * len(new), np.int64)
-            which[::2], which[1::2] = self.young.places(base), self.young.places(marks)
+            for k, part in enumerate((base, marks)):
+                which[k::2] = known[pc.index_in(part, value_set=halves).to_numpy(zero_copy_only=False).astype(np.int64)]
             self.young.add(new, self.young.runs().joined(which, np.full(len(new), 2)), self._special(new))
 
     def texts(self, texts: Sequence[str | None] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -356,12 +361,12 @@ class Units:
         count = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         first = np.cumsum(count) - count
         flat = lists.flatten()
-        inner = np.ones(len(flat), bool)
-        inner[first] = False
-        coded = flat.filter(pa.array(inner)).dictionary_encode()
         # The first word has no space before it; it is kept under a key that no other word can have.
         begins = _spaced(flat.take(pa.array(first)))
+        coded = flat.dictionary_encode()
         words = pa.concat_arrays([coded.dictionary, begins])
+        indices = coded.indices.to_numpy()
+        del lists, flat, coded
         place = self.young.places(words)
         missing = np.flatnonzero(place < 0)
         if len(missing):
@@ -369,9 +374,9 @@ class Units:
             before = len(self.young.words)
             self._take(missed.filter(pc.less_equal(pc.binary_length(missed), LONGEST_WORD)).unique())
             place[missing] = np.maximum(self.young.places(missed, before), 0)
-        number = np.empty(len(flat), np.int64)
-        number[inner] = place[coded.indices.to_numpy()]
+        number = place[indices]
         number[first] = place[len(words) - len(given):]
+        del words, indices
         runs = self.young.runs()
         whole = np.flatnonzero(np.logical_or.reduceat(self.young.whole[number], first))
         found = runs.joined(number, count)
@@ -381,6 +386,7 @@ class Units:
             order = np.arange(len(given))
             order[whole] = len(given) + np.arange(len(whole))
             found = both.joined(order, np.ones(len(given), np.int64))
+        pa.default_memory_pool().release_unused()
         return found.flat, found.size
 
 

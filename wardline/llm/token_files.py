@@ -43,6 +43,8 @@ TOGETHER = 1000
 AT_ONCE = 4096
 # Bytes of text in a part of the sorted pass, about.
 PART_BYTES = 16 << 20
+# Bytes of text that are encoded together.
+BLOCK_BYTES = 10 << 20
 # The four lengths that a control byte stands for.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1
 
@@ -188,33 +190,28 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
         system, folder = _place(path)
         system.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
-        doc_ids: list[int | None] = []
-        held: list[tuple[np.ndarray, np.ndarray]] = []
         files: list[tuple[str, int, int]] = []
 
-        def close() -> None:
-            if not doc_ids:
-                return
-            counts, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        def write_file(doc_ids: list[int | None], counts: np.ndarray, flat: np.ndarray) -> None:
+            ids = np.full(int(counts.sum()), end_id, np.int32)
+            own = np.ones(len(ids), bool)
+            own[np.cumsum(counts) - 1] = False
+            ids[own] = flat
             name = f"{part:06d}-{len(files):05d}.rvb"
             temporary = f"{folder}/.{uuid.uuid4().hex}"
             with system.open_output_stream(temporary) as out:
                 out.write(file_bytes(doc_ids, counts, ids))
             system.move(temporary, f"{folder}/{name}")
             files.append((name, len(doc_ids), len(ids)))
-            doc_ids.clear()
-            held.clear()
 
-        for batch in sized(batches, 1, PART_BYTES):
+        for batch in sized(batches, 1, BLOCK_BYTES):
             flat, count = units.texts(pc.cast(batch.column(1), pa.large_string()))
-            size = count + 1
-            ids = np.full(int(size.sum()), end_id, np.int32)
-            ids[gathered(np.cumsum(size) - size, count)] = flat
-            doc_ids.extend(batch.column(0).to_pylist())
-            held.append((size, ids))
-            if sum(len(x) for _, x in held) >= FILE_IDS:
-                close()
-        close()
+            doc_ids, ends = batch.column(0).to_pylist(), np.concatenate(([0], np.cumsum(count)))
+            low = 0
+            while low < len(doc_ids):
+                high = max(low + 1, int(np.searchsorted(ends, ends[low] + FILE_IDS)))
+                write_file(doc_ids[low:high], count[low:high] + 1, flat[ends[low]:ends[min(high, len(doc_ids))]])
+                low = high
         yield pa.RecordBatch.from_arrays(
             [pa.array([f[i] for f in files], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))],
             ["file", "n_docs", "n_ids"])
