@@ -50,8 +50,11 @@ def test_append_goes_by_name_and_repeats_leave_no_trace(spark, database):
     shuffled = log.select(*reversed(log.columns))
     sinks.append_audit(shuffled, "brz.governance_audit")
     stored = tables.read(spark, "brz.governance_audit")
-    assert stored.count() == 6
-    assert rows(audit.once(stored)) == rows(log)
+    assert rows(stored) == rows(sinks.stored_audit(spark, "brz.governance_audit")) == rows(log)
+    doubled = sinks.shaped(log, schemas.GOVERNANCE_AUDIT)
+    sinks.append(doubled, schemas.GOVERNANCE_AUDIT, "brz.governance_audit")
+    assert spark.table("brz.governance_audit").count() == 6
+    assert rows(audit.once(spark.table("brz.governance_audit"))) == rows(log)
 
 
 def test_health(spark, database):

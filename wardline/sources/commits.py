@@ -3,7 +3,7 @@
 Spark writes rows below ``_staging``, a name that its readers skip, and the finished folder is renamed into place. So a folder
 that has its final name is complete, a run that was killed leaves the table as it was, and what it staged is never read. The rename
 must be atomic, as on HDFS and local disks. A table has one writer at a time; a second one fails at the rename instead of
-overwriting.
+overwriting. An append or upsert lists one folder for each earlier batch or version, so batches should be minutes, not rows.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
+from wardline.operators.joins import top_per_key
 from wardline.schemas import COLUMN_TAG_EVENT, GOVERNANCE_AUDIT
 from wardline.sources import commits
 
@@ -34,13 +35,23 @@ def append(df: DataFrame, schema: StructType, target: str) -> None:
 
 
 def append_audit(audit: DataFrame, target: str, batch: str | None = None) -> bool:
-    """Append audit rows to the stored log, each decision id once: a batch or a row that is there already adds nothing."""
-    return commits.append_once(shaped(audit, GOVERNANCE_AUDIT), target, batch)
+    """Append audit rows to the stored log, each decision id once: a batch or a row that is there already adds nothing.
+
+    A path is a log of named batches (see ``commits``). A table of the session catalog remembers no batches: its ids are read.
+    """
+    rows = shaped(audit, GOVERNANCE_AUDIT)
+    if "/" in target:
+        return commits.append_once(rows, target, batch)
+    name = "governance_decision_id"
+    known = audit.sparkSession.table(target).select(name)
+    new = top_per_key(rows, [name], [F.col(n) for n in rows.columns]).join(known, name, "left_anti")
+    append(new, GOVERNANCE_AUDIT, target)
+    return True
 
 
 def stored_audit(spark: SparkSession, target: str) -> DataFrame:
     """The rows of the stored log, as they are."""
-    return commits.logged(spark, target, GOVERNANCE_AUDIT).drop("day")
+    return commits.logged(spark, target, GOVERNANCE_AUDIT).drop("day") if "/" in target else spark.table(target)
 
 
 def append_tag_events(events: DataFrame, target: str) -> None:
