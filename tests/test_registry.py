@@ -52,3 +52,11 @@ def test_no_query_has_a_cross_join(derived):
 def test_scans_read_only_what_they_need(spark):
     plan = entry.queries()["p3_domain"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_the_stored_log_takes_new_decisions(spark, con):
+    """u1 reads the log as append_once lays it out: without the columns of its folders."""
+    df = entry.queries()["u1_log_with_new"](spark, SF)
+    result = con.execute(entry.oracle_sql()["u1_log_with_new"])
+    twin = table([c[0] for c in result.description], result.fetchall())
+    assert table(df.columns, [tuple(r) for r in df.collect()]) == twin

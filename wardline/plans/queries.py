@@ -910,7 +910,7 @@ def _(d):
     """The stored log, the log again and new bulk decisions: old rows stay single, new ones are added."""
     target = work_path(d.spark, "log")
     sinks.append_audit(d.audit, target)
-    stored = d.spark.read.schema(schemas.GOVERNANCE_AUDIT).parquet(target)
+    stored = sinks.stored_audit(d.spark, target)
     escalated = d.state.filter(F.col("status") == "ESCALATED")
     added = decide.bulk_audit(escalated, "reject", "steward@example.com", d.as_of, KEY)
     return log.with_new(stored, stored.unionByName(added))
