@@ -146,3 +146,11 @@ def test_texts_hide_every_form_that_the_scan_finds(spark):
     text = protect.mask_texts(spark.createDataFrame([(given,), (None,), ("",)], "t string"), ["t"]).first()["t"]
     assert text == ("a***@c.de ***-***-**** ***-***-**** **** **** **** 3456, **** **** **** 3456; 1970-**-** at *.*.*.* ****6789 "
                     "***-**-****")
+
+
+def test_near_names_are_not_broadcast(spark):
+    """Names are many times their size once they are listed by variant, so a small table of names is no side to broadcast."""
+    names = spark.createDataFrame([(n,) for n in ("ab", "abc", "abd", "x", "AB", "", None)], "column_name string")
+    found = monitor.near_names(names)
+    assert rows(found) == [("ab", "abc"), ("ab", "abd"), ("abc", "ab"), ("abc", "abd"), ("abd", "ab"), ("abd", "abc")]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()

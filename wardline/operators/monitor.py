@@ -128,7 +128,8 @@ def near_names(df: DataFrame, name: str = "column_name") -> DataFrame:
         places, lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name")))
     )
     variants = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), shorter))).alias("variant"))
-    met = variants.join(variants.withColumnRenamed("name", "near_name"), "variant").filter("name <> near_name")
+    # There are as many variants as characters, so neither side is one to broadcast, whatever the planner takes its size for.
+    met = variants.join(variants.withColumnRenamed("name", "near_name").hint("merge"), "variant").filter("name <> near_name")
     return met.select("name", "near_name").distinct().filter(F.levenshtein("name", "near_name") == 1)
 
 
