@@ -175,3 +175,11 @@ def test_free_text_whole_length(spark):
     text = "a" * 100_000 + " jane.doe@x.org " + "9" * 16 + " 123-45-6789"
     found = one(spark, "string", [text], masks.free_text("x"))[0]
     assert found.endswith(" j***@x.org ****9999 ***-**-****") and len(found) > 100_000
+
+
+def test_names_are_not_broadcast_to_find_their_rule(spark, derived):
+    """Neither the runs of the names nor the names that have a rule: both grow with the names."""
+    found = classify.classify_by_table(derived.inventory, classify.rule_table(spark))
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+    few = spark.createDataFrame([(1, "a_ssn"), (2, "A_SSN"), (3, None), (4, "zzz")], "i int, column_name string")
+    assert rows(classify.classify_by_table(few, classify.rule_table(spark)), "i", "rule_number") == [(1, 1), (2, 1), (3, None), (4, None)]

@@ -75,7 +75,8 @@ def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     Keywords are found through an index of runs of four characters. Each keyword is listed once, under the run of its own that the
     fewest names have (shorter keywords under themselves), so a run that most names have is no meeting place unless it
     is all there is. Names meet keywords by an equi-join on runs, and ``contains`` verifies. Only distinct names are looked at, and
-    get their rule back by a join. Of rules of one order the smallest in its values counts; an empty keyword is in every
+    get their rule back by a join. Runs and found names grow with the names but look small to the planner, so these joins are
+    merged: nothing is broadcast by a guess. Of rules of one order the smallest in its values counts; an empty keyword is in every
     name; missing names and keywords match nothing.
     """
     keyed = df if "c_key" in df.columns else df.withColumn("c_key", c.clean("column_name"))
@@ -94,14 +95,14 @@ def classify_by_table(df: DataFrame, rules: DataFrame) -> DataFrame:
     # A keyword of which a run is in no name at all needs no listing; the count of its runs tells.
     listed = (
         words.filter(F.length("word") > 0).select("word", "rule", F.size(own).alias("n_runs"), F.explode(own).alias("gram"))
-        .join(held, "gram")
+        .join(held.hint("merge"), "gram")
         .groupBy("word").agg(F.min(F.struct("n_names", "gram")).alias("rarest"), F.count(F.lit(1)).alias("n_held"),
                              F.max("n_runs").alias("n_runs"), F.min("rule").alias("rule"))
         .filter("n_held = n_runs").select("rarest.gram", "word", "rule")
     )
-    found = probes.join(listed, "gram").filter(F.contains("c_key", "word")).groupBy("c_key").agg(F.min("rule").alias("__rule"))
+    found = probes.hint("merge").join(listed, "gram").filter(F.contains("c_key", "word")).groupBy("c_key").agg(F.min("rule").alias("__rule"))
     every = words.filter(F.length("word") == 0).agg(F.min("rule").alias("rule")).scalar()
-    joined = keyed.join(found, "c_key", "left").withColumn(
+    joined = keyed.join(found.hint("merge"), "c_key", "left").withColumn(
         "__rule", F.when(F.col("c_key").isNotNull(), F.least("__rule", every)))
     return joined.select(
         *keyed.columns, F.col("__rule")["rule_order"].alias("rule_number"),
