@@ -172,3 +172,20 @@ def test_alerts_go_by_buckets_of_items(spark):
     assert run() == sorted((f"i{n}",) for n in range(1, 300, 2) if n % 3 < 2)
     breaches.heartbeat(spark, str(datetime(2024, 1, 1, 9))).write.mode("append").parquet(source)
     assert run() == sorted((f"i{n}",) for n in range(1, 300, 2))
+
+
+def test_a_bucket_of_the_index_has_few_files(spark, tmp_path):
+    """However many tasks write: one file for each task and bucket made most of the index."""
+    frame = spark.range(0, 4000, 1, 6).select(F.concat(F.lit("name_"), "id").alias("a"), F.lit("same").alias("b"))
+    path = f"{tmp_path}/index"
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        search_index.build(frame, ("a", "b"), path, 8)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    index = search_index.Index(spark, path)
+    for part in ("rows", "postings"):
+        assert len(index._read(part, None).inputFiles()) <= 8
+    assert index.search("SAME").count() == 4000 and rows(index.search("name_399"), "a") == sorted(
+        (f"name_{n}",) for n in (399, *range(3990, 4000)))

@@ -23,7 +23,8 @@ def _place(name: str, buckets: int):
 
 
 def _dealt(df: DataFrame, key: str, buckets: int, path: str) -> None:
-    df.withColumn("bucket", _place(key, buckets)).repartition("bucket", key).sortWithinPartitions("bucket", key).write.option(
+    """A bucket goes to few tasks, so it has few files; one that is large, as by a text that many rows have, is split."""
+    df.withColumn("bucket", _place(key, buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", key).write.option(
         f"parquet.bloom.filter.enabled#{key}", "true").partitionBy("bucket").parquet(path)
 
 
@@ -32,15 +33,16 @@ def build(df: DataFrame, columns: Sequence[str], path: str, buckets: int = BUCKE
     however many rows have them."""
     texts = F.array_distinct(F.array_compact(F.array(*(F.lower(F.col(c).cast("string")) for c in columns))))
     rows = df.withColumn("__text", F.explode(texts))
-    distinct = rows.select("__text").distinct()
+    folder = Folder(df.sparkSession, path)
+    staged = folder.staging()
+    _dealt(rows, "__text", buckets, f"{folder.path}/{staged}/rows")
+    # The texts are read back, so the rows are made once.
+    distinct = df.sparkSession.read.schema("__text string").parquet(f"{folder.path}/{staged}/rows").distinct()
     count = F.length("__text") - (SIZE - 1)
     grams = F.when(count > 0, F.transform(
         F.sequence(F.lit(1), count), lambda i: F.substring(F.col("__text"), i, F.lit(SIZE))))
     postings = distinct.select(F.explode(F.array_distinct(grams)).alias("gram"), F.col("__text").alias("text"))
-    folder = Folder(df.sparkSession, path)
-    staged = folder.staging()
     _dealt(postings, "gram", buckets, f"{folder.path}/{staged}/postings")
-    _dealt(rows, "__text", buckets, f"{folder.path}/{staged}/rows")
     folder.commit(staged, f"index={buckets}")
 
 
