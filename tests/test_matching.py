@@ -154,3 +154,34 @@ def test_near_names_are_not_broadcast(spark):
     found = monitor.near_names(names)
     assert rows(found) == [("ab", "abc"), ("ab", "abd"), ("abc", "ab"), ("abc", "abd"), ("abd", "ab"), ("abd", "abc")]
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of a plan have written, once it has run."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_near_names_are_sent_by_window(spark):
+    """Names of all lengths, with runs of a character over the windows' ends; what is sent is no row for each variant or pair."""
+    r = random.Random(11)
+    names = {"".join(r.choice("aab_é\U0001f600") for _ in range(r.randint(1, 22))) for _ in range(300)} | {"a" * n for n in range(1, 23)}
+    for n in sorted(names):
+        i = r.randint(0, len(n) - 1)
+        names |= {n[:i] + n[i] + n[i:], n[:i] + r.choice("ab_1") + n[i + 1:], r.choice("ab_1") + n, n + n[-1]}
+    names |= {f"billed_amt_{n}" for n in range(300, 700)}
+    want = set()
+    for a in names:
+        for i in range(len(a)):
+            near = {a[:i] + a[i + 1:]} | {a[:i] + c + a[i + 1:] for c in "ab_1é\U0001f600023456789"}
+            want |= {p for b in near & names - {a} for p in ((a, b), (b, a))}
+    found = monitor.near_names(spark.createDataFrame([(n,) for n in names] * 2, "column_name string"))
+    assert rows(found) == sorted(want, key=repr)
+    characters = sum(len(n) for n in names)
+    assert len(want) > 3 * len(names)
+    assert len(names) < shuffled_rows(found._jdf.queryExecution().executedPlan()) < characters

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import columns as c
@@ -115,22 +115,59 @@ def with_similar(found: DataFrame) -> DataFrame:
     }).drop("similar", "common_tag", "n_similar")
 
 
+# The windows of a name have so many characters at most, and a name has so many windows at least.
+WINDOW, LEAST_WINDOWS = 5, 3
+
+
 def near_names(df: DataFrame, name: str = "column_name") -> DataFrame:
     """Pairs of distinct names that differ by one character inserted, dropped or replaced.
 
-    Two such names share a variant: one of them unchanged or with one character dropped. Only names with a common
-    variant meet. A variant of length n belongs to at most 1 + (n + 1) * (size of the alphabet) distinct names, so
-    no variant is hot, and nothing is cut off.
+    A name is cut into windows of a few characters. Two such names are the same before and behind one window of the longer
+    one. So a name is sent once for each of its windows, and once for each window that a name longer by one character
+    would have, to a place that stands for all before and behind the window. Only there it is listed by its variants: each
+    drops one character of the window. What is sent is a fraction of the variants, and nothing is sent after them.
+
+    Names of one length are near if they share the variant without one position, and a longer name is near to its own
+    variants, where of equal neighbours the first one is dropped. So a pair is found at one position only, and once. The names of a
+    place differ within a window, so no place is hot, and nothing is cut off. Hashes only bring names together: the texts are compared.
     """
     names = df.select(F.lower(F.col(name)).alias("name")).filter(F.length("name") > 0).distinct()
-    places = F.sequence(F.lit(1), F.length("name"))
-    shorter = F.transform(
-        places, lambda i: F.concat(F.substring("name", F.lit(1), i - 1), F.substring("name", i + 1, F.length("name")))
-    )
-    variants = names.select("name", F.explode(F.array_distinct(F.concat(F.array("name"), shorter))).alias("variant"))
-    # There are as many variants as characters, so neither side is one to broadcast, whatever the planner takes its size for.
-    met = variants.join(variants.withColumnRenamed("name", "near_name").hint("merge"), "variant").filter("name <> near_name")
-    return met.select("name", "near_name").distinct().filter(F.levenshtein("name", "near_name") == 1)
+
+    def width(length: Column) -> Column:
+        return F.least(F.lit(WINDOW), F.ceil(length / LEAST_WINDOWS).cast("int"))
+
+    def windows(length: Column) -> Column:
+        return F.ceil(length / width(length)).cast("int")
+
+    def variant(text: str, at: str) -> Column:
+        """The name without the character at a position; the name itself at what is no position."""
+        shorter = F.concat(F.substring(text, F.lit(1), F.col(at) - 1), F.substring(text, F.col(at) + 1, F.length(text)))
+        return F.when(F.col(at) > 0, shorter).otherwise(F.col(text))
+
+    # Windows are numbered from 1, and those of a longer name from -1 downwards. Names in order are alike and take less space.
+    size, number = F.length("name"), F.abs("window")
+    sent = names.sortWithinPartitions("name").select("name", F.explode(F.concat(
+        F.sequence(F.lit(1), windows(size)), F.sequence(F.lit(-1), -windows(size + 1)))).alias("window"))
+    more = F.when(F.col("window") < 0, 1).otherwise(0)
+    length = size + more
+    begin, end = (number - 1) * width(length), F.least(number * width(length), length)
+    place = F.xxhash64(number, length, F.substring("name", F.lit(1), begin), F.substring("name", end - more + 1, size))
+    # The number of tasks is given, as Spark would join parts by what is sent, and they grow only then.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    positions = F.when(F.col("window") > 0, F.sequence(begin + 1, end)).otherwise(F.array("window"))
+    met = sent.repartition(tasks, place).select("name", place.alias("place"), F.explode(positions).alias("at"))
+    listed = met.select("place", F.xxhash64(variant("name", "at")).alias("variant"), F.struct("at", "name").alias("one"))
+    # Whole names stand first, then those without their first character, their second and so on. Each meets what stands before it.
+    group = Window.partitionBy("place", "variant").orderBy("one").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = listed.withColumn("ahead", F.collect_list("one").over(group)).filter((F.col("one.at") > 0) & (F.size("ahead") > 0))
+    pairs = ahead.select("one", F.explode("ahead").alias("other")).select(
+        "one.name", "one.at", F.col("other.name").alias("near_name"), F.col("other.at").alias("near_at"))
+    leads = (F.col("at") == 1) | (F.substring("name", F.col("at") - 1, F.lit(1)) != F.substring("name", F.col("at"), F.lit(1)))
+    longer = leads & (F.col("near_at") == -F.ceil(F.col("at") / width(size)))
+    near = F.when(F.col("near_at") > 0, F.col("near_at") == F.col("at")).otherwise(longer)
+    found = pairs.filter(near & (variant("name", "at") == variant("near_name", "near_at")) & (F.col("name") != F.col("near_name")))
+    return found.select(F.inline(F.array(
+        F.struct("name", "near_name"), F.struct(F.col("near_name").alias("name"), F.col("name").alias("near_name")))))
 
 
 def name_tokens(name: Column | str) -> Column:
